@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, exact_dedup, simhash
+from lorekeep.llm import bpe, exact_dedup, secret_scan, simhash
 from lorekeep.llm.common import table
 
 
@@ -34,10 +34,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [p.kind for p in secret_scan.PARTS if p.base]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    own = F.filter("spans", lambda x: x["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(secret_scan.spans_text(own), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
+    "op5_secret_scan": op5_secret_scan,
 }
 
 ORACLES = {
