@@ -6,8 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, exact_dedup, secret_scan, simhash
-from lorekeep.llm.common import table
+from lorekeep.llm import bpe, exact_dedup, secret_scan, simhash, token_counts
+from lorekeep.llm.common import table, whole_text
+
+
+#: Texts of more tokens are over the limit.
+TOKEN_LIMIT = 512
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +54,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_token_counts(texts, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.octet_length(whole_text()).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_token_counts": op6_token_counts,
 }
 
 ORACLES = {
