@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, exact_dedup, secret_scan, simhash, token_counts
+from lorekeep.llm import bpe, exact_dedup, fingerprints, secret_scan, simhash, token_counts
 from lorekeep.llm.common import table, whole_text
 
 
@@ -29,7 +29,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(texts, path, pattern), path, pattern)
+    coded = bpe.round_trip(texts, path, pattern)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -65,12 +65,32 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.with_next(table(spark, sf_dir, "documents"))
+    changed = fingerprints.with_sketch(
+        pairs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))), "edited", "edited_sketch"
+    )
+    own = F.col("sketch")
+    return changed.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.sketch_text(own).alias("fingerprint"),
+        fingerprints.sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        fingerprints.containment(own, F.col("edited_sketch")).alias("contained_in_edited"),
+        fingerprints.distinct_shingles(own).alias("distinct_shingles"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLES = {
