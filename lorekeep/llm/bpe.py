@@ -12,20 +12,23 @@ from __future__ import annotations
 import base64
 import functools
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import whole_text
+from lorekeep.llm.common import own_name, whole_text
 
 #: Pre-tokens that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Longer pre-tokens are not remembered.
 SHORT = 64
+#: Texts whose ids a worker holds at a time.
+HELD = 128
 NORMAL, UNKNOWN = 1, 2  # fixed values: piece types of the sentencepiece format
 BPE = 2  # fixed value: model type of the sentencepiece format
 
@@ -80,6 +83,20 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + unknown + trainer + normaliser
 
 
+class _Remembered(dict):
+    """The ids of pre-tokens as 32-bit integers, encoded when first met."""
+
+    def __init__(self, encode_word):
+        super().__init__()
+        self.encode_word = encode_word
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.encode_word(word), np.int32).tobytes()
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes as the tiktoken library does with the same ranks and pattern, without special tokens."""
 
@@ -91,36 +108,23 @@ class Codec:
         self.shown = dict(enumerate(shown))  # for str.translate of latin-1 text
         back = {c: b for b, c in enumerate(shown)}
         self.tokens = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
-        self.known: dict[str, list[int]] = {}
-
-    def _encode_new(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        self.known = _Remembered(self.encode_word)
+
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a pre-token. One that is itself a token is that token, whatever the merges say."""
+        data = word.encode("utf-8", "surrogatepass")
+        if (rank := self.ranks.get(data)) is not None:
+            return [rank]
+        return self.model.encode(data.decode("latin-1").translate(self.shown))
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as 32-bit integers."""
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known.update(zip(words, self.encode_words(words), strict=True))
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-token. One that is itself a token is that token, whatever the merges say."""
-        data = [w.encode("utf-8", "surrogatepass") for w in words]
-        found = self.model.encode([d.decode("latin-1").translate(self.shown) for d in data], num_threads=1)
-        return [[self.ranks[d]] if d in self.ranks else ids for d, ids in zip(data, found, strict=True)]
-
-    def encode_batch(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """The ids of each text; pre-tokens not met before go to the model together, text by text."""
-        for text in texts:
-            words = self.pattern.findall(text)
-            new = [w for w in {*words} if w not in self.known and len(w) <= SHORT]
-            if new:
-                self._encode_new(new)
-            known, ids = self.known, []
-            for word in words:
-                if (own := known.get(word)) is None:
-                    own = self.encode_words([word])[0]
-                ids += own
-            yield ids
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.pattern.findall(text))), np.int32)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,6 +133,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of Arrow batches in slices of HELD rows, which need not be copies."""
+    for batch in batches:
+        for at in range(0, len(batch), HELD):
+            yield batch.slice(at, HELD)
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.empty(0, np.int32))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with the array column `ids` (replaced where docs has one) of the token ids of each whole text.
 
@@ -136,11 +152,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     pass through as they are; an empty table stays empty. The vocabulary's path must exist on all executors.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pd.Series(list(own.encode_batch(batch)))
+        for batch in _slices(batches):
+            yield _lists([own.encode(x.as_py()) for x in batch])
 
     return docs.withColumn(ids, ids_of(whole_text(text)))
 
@@ -148,10 +164,31 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """encoded with the binary column `text` of the bytes that the ids stand for; null ids give no bytes."""
 
-    @F.pandas_udf("binary")
-    def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in batches:
-            yield pd.Series([own.decode(x) for x in batch])
+        for batch in _slices(batches):
+            yield pa.array([own.decode(x.values.to_numpy()) for x in batch], pa.binary())
 
     return encoded.withColumn(text, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+
+
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded"
+) -> DataFrame:
+    """docs with both columns of `encode` and `decode`, the ids decoded by the worker that made them.
+
+    Cases are as in `encode`; the decoded bytes of a null text are empty.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for batch in _slices(batches):
+            found = [own.encode(x.as_py()) for x in batch]
+            back = pa.array([own.decode(x) for x in found], pa.binary())
+            yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
+
+    coded = own_name(docs, "coded")
+    marked = docs.withColumn(coded, both(whole_text(text)))
+    return marked.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)
