@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, exact_dedup, fingerprints, secret_scan, simhash, token_counts
-from lorekeep.llm.common import table, whole_text
+from lorekeep.llm import bpe, exact_dedup, fingerprints, mixing, secret_scan, simhash, token_counts, toxicity
+from lorekeep.llm.common import held_out, table, whole_text
 
 
+#: Documents of this score or more are toxic.
+TOXIC = 0.5
 #: Texts of more tokens are over the limit.
 TOKEN_LIMIT = 512
 
@@ -26,6 +28,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    """Trained on the labels outside the held-out fold."""
+    return toxicity.fit(docs, labels, learn=~held_out(F.col("doc_id")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), name="score")
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +83,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "mix_epoch", "mix_weight", "mix_block", "mix_order")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.with_next(table(spark, sf_dir, "documents"))
     changed = fingerprints.with_sketch(
@@ -87,9 +110,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_counts": op6_token_counts,
+    "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
 }
 

@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +23,10 @@ from lorekeep.llm.bpe import byte_characters
 from lorekeep.llm.common import whole_text
 
 #: Characters that a chunk holds, and those that are laid end to end before a run.
-CHUNK, LAID_OUT = 128, 4_000_000
+CHUNK, LAID_OUT = 128, 1_000_000
 #: Entries that each memory of a worker may hold before it is emptied.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+NEVER = float("inf")
 
 # Character classes. The letters that contractions are made of are told apart from the others.
 LETTER, ONE, R, V, L, E, NUMBER, SPACE, BLANK, QUOTE, OTHER, END = range(12)
@@ -128,49 +129,60 @@ class Counter:
     the longest suffix that begins some token, with the last token and the relative count at each place in it.
     """
 
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
-        self.tokens, self.merges = tokens, merges
+    def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
+        self.tokens = tokens
         self.begins = {t[:i] for t in tokens for i in range(len(t) + 1)}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.ranks = {tokens[a] << 32 | tokens[b]: rank for rank, (a, b) in enumerate(merges)}
+        #: For each token the parts that are its last (first) one while it is merged, up to the token itself,
+        #: each with the rank of the merge that takes the part up.
+        self.last_parts: dict[int, list[tuple[int, float]]] = {i: [(i, NEVER)] for i in tokens.values()}
+        self.first_parts: dict[int, list[tuple[int, float]]] = {i: [(i, NEVER)] for i in tokens.values()}
+        for rank, (a, b) in enumerate(merges):
+            whole = tokens[a + b]
+            for parts, side in ((self.last_parts, tokens[b]), (self.first_parts, tokens[a])):
+                parts[whole] = [*parts[side][:-1], (side, rank), (whole, NEVER)]
         self._reset()
 
     def _reset(self) -> None:
         start = (b"", (None,), (0,))
         self.states, self.numbers, self.moves = [start], {start: 0}, {}
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The encoding of a short string by merging the best pair until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        best = object()
-        while best is not None:
-            ranked = [(self.merges[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in self.merges]
-            best = min(ranked, default=None)
-            if best is not None:
-                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
-
-    def stand_apart(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens, written together, are encoded as the two."""
-        if (known := self.apart.get((left, right))) is None:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == [left, right]
-        return known
+    def stand_apart(self, left: int, right: int) -> bool:
+        """Whether the two tokens, written together, are encoded as the two.
+
+        Merges happen in order of rank, so the parts on both sides of the seam grow in that order, and the
+        tokens part ways only if no merge across the seam is due before one of its sides is taken up. Of equal
+        merges the left one comes first.
+        """
+        lefts, rights, ranks, i, j = self.last_parts[left], self.first_parts[right], self.ranks, 0, 0
+        while True:
+            (a, a_ends), (b, b_ends) = lefts[i], rights[j]
+            across = ranks.get(a << 32 | b, NEVER)
+            if across < a_ends and across <= b_ends and across != NEVER:
+                return False
+            if a_ends <= b_ends:
+                if a_ends == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         """The transition from a state on a byte: the next state, and by how much the count changes."""
         suffix, last, counts = self.states[state]
-        suffix += bytes([byte])
-        for at in range(len(suffix)):
-            token = suffix[at:]
-            if token in self.tokens and (last[at] is None or self.stand_apart(last[at], token)):
+        suffix += bytes((byte,))
+        keep = 0
+        while suffix[keep:] not in self.begins:
+            keep += 1
+        # A token that is a suffix begins a token too, so it cannot be longer than what is kept.
+        for at in range(keep, len(suffix)):
+            token = self.tokens.get(suffix[at:])
+            if token is not None and (last[at] is None or self.stand_apart(last[at], token)):
                 break
         else:
             raise ValueError(f"no token ends in byte {byte}")
         change = counts[at] + 1
-        keep = next(i for i in range(len(suffix) + 1) if suffix[i:] in self.begins)
-        places = [*zip(last, counts), (token, change)][keep:]
-        new = (suffix[keep:], tuple(t for t, _ in places), tuple(c - change for _, c in places))
+        new = (suffix[keep:], (*last[keep:], token), (*[c - change for c in counts[keep:]], 0))
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
@@ -178,7 +190,7 @@ class Counter:
         return number, change
 
     def count(self, word: bytes) -> int:
-        if len(self.states) > REMEMBERED:
+        if len(self.moves) > REMEMBERED:
             self._reset()
         moves, state, total = self.moves, 0, 0
         for byte in word:
@@ -200,7 +212,7 @@ class TextCounter:
 
         special = {x["content"] for x in spec["added_tokens"]}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        merges = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(pairs)}
+        merges = [(plain(a), plain(b)) for a, b in pairs]
         self.words = Counter({plain(t): i for t, i in spec["model"]["vocab"].items() if t not in special}, merges)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
         self.known: dict[str, int] = {}
@@ -230,10 +242,9 @@ class TextCounter:
         sums = np.cumsum(counts)[at_end]
         np.add.at(totals, owners, np.diff(sums, prepend=0))
 
-    def count_batch(self, texts: Iterable[str]) -> np.ndarray:
-        """The number of tokens of each text."""
-        texts = list(texts)
-        totals, pieces, owners, size = np.zeros(len(texts), np.int64), [], [], 0
+    def count_batch(self, texts: Iterable[str], n: int) -> np.ndarray:
+        """The number of tokens of each of n texts, which are taken one by one."""
+        totals, pieces, owners, size = np.zeros(n, np.int64), [], [], 0
         for i, text in enumerate(texts):
             parts = self.special.split(text)
             totals[i] += len(parts) - 1
@@ -261,10 +272,10 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", name: str
     pass through; an empty table stays empty. `path` must exist on all executors.
     """
 
-    @F.pandas_udf("long")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = text_counter(path)
         for batch in batches:
-            yield pd.Series(own.count_batch(batch))
+            yield pa.array(own.count_batch((x.as_py() for x in batch), len(batch)))
 
     return docs.withColumn(name, counts(whole_text(text)))
