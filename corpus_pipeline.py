@@ -2,14 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lorekeep.llm import bpe, exact_dedup, mixing, queries, simhash, toxicity
+from lorekeep.llm.common import stash, table, whole_text
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; clean ones, empty ones too, stay."""
+    model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model, queries.TOXIC)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for white space, the one of smallest doc_id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates, the document of smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs, radius=4, words=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of sources under their target weight occur again."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids, round_trip (whether the ids decode to the text)."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), path, pattern)
+    return coded.select(
+        "doc_id",
+        "source",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        "token_ids",
+        (F.col("decoded") == whole_text().cast("binary")).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", tokenise),
+]
+
+#: SQL can express neither the trained model nor the hash order of the mix; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each stage's result is materialised before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stash(docs)
     return docs
