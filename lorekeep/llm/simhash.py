@@ -2,7 +2,8 @@
 
 Fingerprints within a radius of r bits agree wholly on at least k of r + k bit blocks. Each distinct
 fingerprint is therefore keyed by the bits of every choice of k blocks, and only those that share a key are
-compared. A bucket of over CHUNK fingerprints is dealt out as pairs of chunks, so no task holds more than
+compared. (A wide fingerprint, for a similarity threshold, is too far apart for that; it is keyed by bands of
+minimum hashes instead, and the same comparison decides.) A bucket of over CHUNK fingerprints is dealt out as pairs of chunks, so no task holds more than
 about 2 * CHUNK of one bucket and none is left out. A comparison stores its fingerprints as 64 bit planes, a
 machine word holding one bit of 64 fingerprints; the distances of 64 fingerprints to a query then grow
 together in carry-save counters, and words whose fingerprints all exceed the radius are abandoned on the
@@ -11,6 +12,7 @@ way. A task returns a spanning forest of the links that it finds, never all pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -28,33 +30,72 @@ BITS, SEED = 64, 42
 CHUNK = 4096
 #: A bucket should hold about this many fingerprints by chance; it sets how many blocks a key takes.
 BY_CHANCE = 512
+#: A wide comparison looks every so many bits for words to abandon.
+LOOK = 64
 #: Words of the bit-sliced state of one comparison.
 STATE_WORDS = 1 << 18
-#: Shingles whose bits are counted at a time.
-COUNTED = 1 << 16
+#: Rows of bits that are summed in bytes.
+BYTE = 255
+#: A wide fingerprint's words, and the bands of minimum hashes that key it. Texts that share 0.8 of their shingles
+#: share one of 8 bands of 4 with probability 0.985.
+WIDE, BANDS, BAND_ROWS = 8, 8, 4
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The fingerprint of a text, A-Z in lower case: bit set where it is in over half the shingles' hashes.
-
-    With fewer words than a shingle takes, the whole sequence is the one shingle; without words it is zero.
-    """
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, A-Z in lower case; of all words where a shingle takes more."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(found)
     starts = [0, *accumulate(len(w) + 1 for w in found)]
-    n = max(1, len(found) - words + 1)
-    digest, width = xxhash.xxh64_intdigest, min(words, len(found))
-    hashes = np.fromiter(
+    n, width = max(1, len(found) - words + 1), min(words, len(found))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
         (digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], starts[width:], strict=True)), "<u8", n
     )
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, COUNTED):
-        part = hashes[at : at + COUNTED].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For rows of hashes (n, words of 64 bits), the words whose bits are set in over half the rows."""
+    counts = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for at in range(0, len(hashes), BYTE):  # sums of so many bits fit a byte
+        part = np.ascontiguousarray(hashes[at : at + BYTE]).view(np.uint8)
+        counts += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """The fingerprint of a text: bit set where it is in over half the shingles' hashes; without words zero."""
+    hashes = shingle_hashes(text, words)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def wide_fingerprint(text: str, words: int = 5) -> tuple[bytes, list[int]]:
+    """A fingerprint of WIDE words and the keys of its bands; a text without words has zeros."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return bytes(8 * WIDE), [0] * BANDS
+    steps = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros(WIDE * BITS, np.int64)
+    least = np.full(BANDS * BAND_ROWS, ALL)
+    turns = _mixed(np.arange(1, len(least) + 1, dtype=np.uint64)) | np.uint64(1)
+    for at in range(0, len(hashes), BYTE):
+        part = hashes[at : at + BYTE, None]
+        wide = np.ascontiguousarray(_mixed(part + steps)).view(np.uint8)
+        bits += np.add.reduce(np.unpackbits(wide, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        least = np.minimum(least, (part * turns).min(axis=0))
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        keys = _mixed(keys ^ row)
+    return np.packbits(bits * 2 > len(hashes), bitorder="little").tobytes(), keys.view(np.int64).tolist()
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -72,11 +113,16 @@ def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name:
     return docs.withColumn(name, of(whole_text(text)))
 
 
+def bits_of(fingerprints: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (n, words), low bit first, a row for each."""
+    return np.unpackbits(np.ascontiguousarray(fingerprints, "<u8").view(np.uint8), axis=1, bitorder="little")
+
+
 def bit_planes(fingerprints: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit i of word w in row p is bit p of fingerprint 64 w + i; lanes beyond are zero."""
-    bits = np.unpackbits(fingerprints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lanes = np.zeros((BITS, -(-len(fingerprints) // BITS) * BITS), np.uint8)
-    lanes[:, : len(fingerprints)] = bits.T
+    """A row for each bit: bit i of word w in row p is bit p of fingerprint 64 w + i; lanes beyond are zero."""
+    bits = bits_of(fingerprints)
+    lanes = np.zeros((bits.shape[1], -(-len(bits) // BITS) * BITS), np.uint8)
+    lanes[:, : len(bits)] = bits.T
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
 
@@ -98,33 +144,38 @@ def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def within(queries: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, word and lanes of all fingerprints within the radius (0 to 7) of a query."""
+    """Query row, word and lanes of all fingerprints within the radius of a query (n, words)."""
     width = planes.shape[1]
-    masks = np.zeros((BITS, len(queries)), np.uint64) - ((queries >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1))
+    masks = np.zeros((len(planes), len(queries)), np.uint64) - bits_of(queries).T
     row, word = np.repeat(np.arange(len(queries)), width), np.tile(np.arange(width), len(queries))
-    ones, twos, fours, over = (np.zeros(len(row), np.uint64) for _ in range(4))
-    far = over
-    for p in range(0, BITS, 8):
+    over = np.zeros(len(row), np.uint64)
+    counter = [over] * max(3, radius.bit_length())
+    far, last = over, len(planes) - 8
+    for p in range(0, len(planes), 8):
         d = planes[p : p + 8, word] ^ masks[p : p + 8, row]
+        ones, twos, fours = counter[:3]
         ones, a = _carry_save(ones, d[0], d[1])
         ones, b = _carry_save(ones, d[2], d[3])
         twos, low = _carry_save(twos, a, b)
         ones, a = _carry_save(ones, d[4], d[5])
         ones, b = _carry_save(ones, d[6], d[7])
         twos, high = _carry_save(twos, a, b)
-        fours, eights = _carry_save(fours, low, high)
-        over = over | eights
-        far = over | _exceeds([ones, twos, fours], radius)
-        alive = far != ALL
-        if alive.mean() < 0.9:
-            row, word, ones, twos, fours, over, far = (
-                x[alive] for x in (row, word, ones, twos, fours, over, far)
-            )
+        fours, carry = _carry_save(fours, low, high)
+        counter[:3] = ones, twos, fours
+        for place in range(3, len(counter)):
+            counter[place], carry = counter[place] ^ carry, counter[place] & carry
+        over = over | carry
+        if p == last or p % LOOK == LOOK - 8 or len(planes) <= BITS:
+            far = over | _exceeds(counter, radius)
+            alive = far != ALL
+            if alive.mean() < 0.9:
+                row, word, over, far = row[alive], word[alive], over[alive], far[alive]
+                counter = [c[alive] for c in counter]
     return row, word, ~far
 
 
 def linked(fingerprints: np.ndarray, radius: int) -> np.ndarray:
-    """A spanning forest, as rows of two fingerprints, of the links among distinct fingerprints."""
+    """A spanning forest, as rows of two positions, of the links among fingerprints (n, words)."""
     n, planes = len(fingerprints), bit_planes(fingerprints)
     near, step = np.zeros((n, planes.shape[1]), np.uint64), max(1, STATE_WORDS // planes.shape[1])
     for at in range(0, n, step):
@@ -133,7 +184,7 @@ def linked(fingerprints: np.ndarray, radius: int) -> np.ndarray:
     lanes = np.arange(n)
     near[:, -1] &= ALL >> np.uint64(-n % BITS)
     near[lanes, lanes // BITS] &= ~(np.uint64(1) << (lanes % BITS).astype(np.uint64))
-    seen, edges = np.zeros(n, bool), []
+    seen, edges = np.zeros(n, bool), [np.empty((0, 2), np.int64)]
     for root in np.flatnonzero(near.any(axis=1)):
         if seen[root]:
             continue
@@ -143,7 +194,7 @@ def linked(fingerprints: np.ndarray, radius: int) -> np.ndarray:
             front = np.flatnonzero(np.unpackbits(reached, bitorder="little")[:n].astype(bool) & ~seen)
             seen[front] = True
             edges.append(np.column_stack([np.full(len(front), root), front]))
-    return fingerprints[np.concatenate(edges)] if edges else np.empty((0, 2), np.uint64)
+    return np.concatenate(edges)
 
 
 def block_masks(radius: int, equal: int) -> list[int]:
@@ -159,49 +210,63 @@ def blocks_in_key(count: int, radius: int) -> int:
     return next(fits, 4)
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """u, v: links that join all distinct fingerprints (column fp) within the radius of one another."""
-    masks = block_masks(radius, blocks_in_key(nodes.count(), radius))
-    keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(m) for m in masks))).alias("way", "key"))
+def links(keyed: DataFrame, radius: int, wide: bool = False) -> DataFrame:
+    """u, v: links that join all fingerprints within the radius of one another that share a key.
+
+    keyed: node (a long; the fingerprint itself unless wide), bits (the wide fingerprint), way, key.
+    """
     shards = (
         keyed.groupBy("way", "key")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
         .select("way", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("shards"))
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     dealt = (
         keyed.join(shards, ["way", "key"])
         .withColumn("own", own)
         .withColumn("other", F.explode(F.expr("filter(sequence(0, shards - 1), x -> shards = 1 OR x != own)")))
         .groupBy("way", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        .agg(F.collect_list("fp").alias("fps"))
-        .where(F.size("fps") > 1)
-        .select("fps")
+        .agg(F.collect_list(F.struct("node", "bits") if wide else "node").alias("members"))
+        .where(F.size("members") > 1)
     )
+    dealt = dealt.select(*(["members.node", "members.bits"] if wide else [F.col("members").alias("node")]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for fps in batch["fps"]:
-                found = linked(np.asarray(fps, np.int64).view(np.uint64), radius).view(np.int64)
+            for i, nodes in enumerate(batch["node"]):
+                nodes = np.asarray(nodes, np.int64)
+                bits = np.frombuffer(b"".join(batch["bits"][i]), "<u8") if wide else nodes.view(np.uint64)
+                found = nodes[linked(bits.reshape(len(nodes), -1), radius)]
                 if len(found):
                     yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
     return dealt.mapInPandas(compare, "u long, v long")
 
 
-def _labelled(docs: DataFrame, radius: int, words: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, fp, text_hash, component, component_id of each row."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    marked = with_fingerprint(plain, words)
-    rows = stash(marked.select("doc_id", F.col("fingerprint").alias("fp"), F.xxhash64("text").alias("text_hash")))
-    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = stash(connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"))
-    smallest = found.join(nodes, "fp").groupBy("component").agg(F.min("first").alias("smallest"))
-    labels = nodes.join(found.join(smallest, "component"), "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("smallest", "first").alias("component_id")
+def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
+    """Each fingerprint (column node) under every choice of blocks."""
+    masks = block_masks(radius, blocks_in_key(nodes.count(), radius))
+    keys = F.array(*(F.col("node").bitwiseAND(m) for m in masks))
+    return nodes.select("node", F.posexplode(keys).alias("way", "key"))
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits by which wide fingerprints may differ. Texts of the similarity differ by fewer with probability 0.95."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = WIDE * BITS
+    return math.floor(bits * angle + 1.645 * math.sqrt(bits * angle * (1 - angle)))
+
+
+def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, node, ...) with the component of each and its smallest doc_id, from links between nodes."""
+    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
+    tied = stash(connected_components(found))
+    smallest = tied.join(nodes, "node").groupBy("component").agg(F.min("first").alias("smallest"))
+    labels = nodes.join(tied.join(smallest, "component"), "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("smallest", "first").alias("component_id")
     )
-    return rows.join(labels, "fp")
+    return rows.join(labels, "node")
 
 
 def near_duplicates(
@@ -209,25 +274,52 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (signed long), component_id.
 
-    component_id is the smallest doc_id among all rows reachable over links of `radius` or fewer differing
-    bits. Null and wordless texts have fingerprint zero and link like any other. A null id is never the
-    smallest unless a component has no other. Repeated rows repeat in the result; an empty table gives none.
+    component_id is the smallest doc_id among all rows reachable over links of `radius` (0 to 7) or fewer
+    differing bits. Null and wordless texts have fingerprint zero and link like any other. A null id is never
+    the smallest unless a component has no other. Repeated rows repeat in the result; an empty table gives none.
     """
-    found = _labelled(docs, radius, words, text, doc_id)
-    return found.select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    rows = stash(with_fingerprint(plain, words).select("doc_id", F.col("fingerprint").alias("node")))
+    nodes = stash(rows.select("node").distinct())
+    found = _label(rows, links(_keyed(nodes, radius), radius))
+    return found.select("doc_id", F.col("node").alias("fingerprint"), "component_id")
+
+
+def similar_documents(
+    docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """One row per input row: doc_id, text_hash, component, component_id, by wide fingerprints.
+
+    Texts are linked if they share a band and their wide fingerprints differ by `wide_radius` or fewer bits,
+    which estimates that they share `similarity` of their distinct shingles. Cases are as in `near_duplicates`.
+    """
+
+    @F.pandas_udf("struct<bits: binary, keys: array<long>>")
+    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [wide_fingerprint(x, words) for x in batch]
+            yield pd.DataFrame({"bits": [m[0] for m in made], "keys": [m[1] for m in made]})
+
+    plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    signed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), signature("text").alias("s"))
+    signed = stash(signed.select("doc_id", "text_hash", F.xxhash64("s.bits", "s.keys").alias("node"), "s.bits", "s.keys"))
+    distinct = signed.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    keyed = distinct.select("node", "bits", F.posexplode("keys").alias("way", "key"))
+    found = links(keyed, wide_radius(similarity), wide=True)
+    return _label(signed.select("doc_id", "text_hash", "node"), found).drop("node")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, radius: int = 4, words: int = 4, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, similarity: float = 0.8, words: int = 5, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
     """The documents that stay, with the columns of docs: of each component the one of smallest id.
 
-    Of rows of one component that share that id, the one of smallest text hash stays, and of equal rows one.
-    Other cases are as in `near_duplicates`. Texts move only if a row that stays is repeated.
+    Components are those of `similar_documents`. Of rows of one component that share that id, the one of smallest
+    text hash stays, and of equal rows one. Texts move only if a row that stays is repeated.
     """
     key, mark, times = (own_name(docs, x) for x in ("head", "text_hash", "times"))
     heads = (
-        _labelled(docs, radius, words, text, doc_id)
+        similar_documents(docs, similarity, words, text, doc_id)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component", "doc_id", "text_hash")
         .agg(F.count("*").alias("times"))

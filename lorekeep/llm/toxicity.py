@@ -40,7 +40,7 @@ class Settings:
     shortest_gram: int = 3
     longest_gram: int = 6
     window: int = 2
-    sample: int = 6_000
+    sample: int = 5_000
     longest: int = 20_000
     rounds: int = 80
     rate: float = 0.1
@@ -108,15 +108,18 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     begins = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
     # Windows: first word and length, and the document of each.
     starts = [window_starts(len(d), settings.window) for d in docs]
-    first = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)])
-    length = np.concatenate([np.minimum(settings.window, len(d) - s) for d, s in zip(docs, starts, strict=True)])
+    first = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)]).astype(np.int32)
+    length = np.concatenate([np.minimum(settings.window, len(d) - s) for d, s in zip(docs, starts, strict=True)]).astype(np.int32)
     doc_first = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
     counts = np.array([len(s) for s in starts])
-    owner = np.repeat(np.arange(len(docs)), counts)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
+    del kept, docs, starts
     size = len(vocabulary)
     found, word_of = gram_rows([*vocabulary], settings)
-    rows, inverse = np.unique(found, return_inverse=True)
-    inverse = inverse.astype(np.int32)
+    del vocabulary
+    rows = np.unique(found)
+    inverse = np.searchsorted(rows, found).astype(np.int32)
+    del found
     grams = np.bincount(word_of, minlength=size)
 
     draw = np.random.default_rng(settings.seed)
