@@ -22,8 +22,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document of smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs, radius=4, words=5)
+    """Of each component of documents that share 0.8 of their five-word shingles, the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs, similarity=0.8, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
