@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, exact_dedup, fingerprints, mixing, secret_scan, simhash, token_counts, toxicity
+from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, quality, secret_scan, simhash, token_counts, toxicity
 from lorekeep.llm.common import held_out, table, whole_text
 
 
@@ -107,6 +107,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    return rendered.withColumn("mask", F.array_join(spans, ","))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out(F.col("doc_id")))
+    return quality.select(docs, quality.fit(docs, good))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -116,9 +128,33 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_chat": op9_chat,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op9_chat": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
+                   replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS body
+            FROM conversations),
+        sides AS (SELECT DISTINCT conv_id, who AS perspective FROM said WHERE who <> 'system'),
+        seen AS (
+            SELECT s.conv_id, perspective, coalesce(turn // 64, 0) AS part, turn, who, body, who = perspective AS own,
+                   '<|im_start|>' || CASE WHEN who = 'system' THEN who WHEN who = perspective THEN 'assistant'
+                       ELSE 'user name=' || who END || chr(10) AS head,
+                   row_number() OVER (PARTITION BY s.conv_id, perspective, part ORDER BY turn NULLS FIRST, who, body) AS place
+            FROM said s JOIN sides p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+        placed AS (
+            SELECT *, coalesce(sum(length(head) + length(body) + 11) OVER (
+                       PARTITION BY conv_id, perspective, part ORDER BY place
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+            FROM seen)
+        SELECT conv_id, perspective, part, count(*) AS n_turns,
+               string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY place) AS text,
+               coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(body) + 10 AS BIGINT), ',' ORDER BY place)
+                   FILTER (own), '') AS mask
+        FROM placed GROUP BY ALL""",
     "op2_exact_dedup": r"""
         WITH rows_ AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
