@@ -70,7 +70,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def keyset_page(df: DataFrame, sort: str, ident: str, size: int, after: tuple | None = None, back: bool = False) -> DataFrame:
     """`size` rows after (or before, with back) a cursor by (sort, ident) descending, and one more that tells of more."""
     if after is not None:
-        at = F.struct(F.lit(after[0]), F.lit(after[1]))
+        at = F.struct(*(F.lit(v).cast(df.schema[c].dataType) for v, c in zip(after, (sort, ident), strict=True)))
         here = F.struct(F.col(sort), F.col(ident))
         df = df.where(here > at if back else here < at)
     order = [F.asc(sort), F.asc(ident)] if back else [F.desc(sort), F.desc(ident)]
