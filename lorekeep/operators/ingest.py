@@ -23,57 +23,62 @@ def normalize(messages: DataFrame) -> DataFrame:
     return kept.withColumns({"role": F.trim("role"), "content": dates.rewrite_relative(F.col("content"), F.col("said_on"))})
 
 
-def chunk(messages: DataFrame, target: int, overlap: int = 0) -> DataFrame:
-    """session_id, chunk, first, last, chars: runs of messages (session_id, turn, role, content) up to a target size.
+def pack(rows: DataFrame, group: str, order: str, cost: str, target: int, overlap: int = 0, joint: int = 0) -> DataFrame:
+    """group, chunk, first, last, size: runs of a group's rows, in order, whose costs stay within a target.
 
-    A message costs its role, its content and eight characters, and one more unless it is first. A message is
-    never split, and each chunk begins `overlap` messages before the next new one but after the last begin.
-    Sessions are sorted within partitions and streamed, so a task holds one chunk at a time, not a session.
+    Every row after a run's first costs `joint` more; a run has at least one row; each begins `overlap` rows
+    before the next new one but after the last begin. Groups are sorted within partitions and streamed, so a
+    task holds one run at a time, not a group. Places count from zero within the group.
     """
-    cost = F.length(F.coalesce("role", F.lit(""))) + F.length(F.coalesce("content", F.lit(""))) + 8
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, base, costs, number, place = None, 0, [], 0, 0
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, base, costs, number = None, 0, [], 0
         out: list[tuple] = []
 
-        def full(last: bool) -> None:
-            """Emit the chunks that are complete: all but the growing one, and at a session's end that one too."""
+        def emit(last: bool) -> None:
+            """Emit the runs that are complete: all but the growing one, and at a group's end that one too."""
             nonlocal base, number
             while costs:
                 size, end = costs[0], 1
-                while end < len(costs) and size + costs[end] + 1 <= target:
-                    size += costs[end] + 1
+                while end < len(costs) and size + costs[end] + joint <= target:
+                    size += costs[end] + joint
                     end += 1
                 if end == len(costs) and not last:
                     return
-                out.append((session, number, base, base + end - 1, size))
+                out.append((own, number, base, base + end - 1, size))
                 number += 1
-                if end == len(costs):
-                    costs.clear()
-                    return
-                step = max(1, end - overlap)
+                step = len(costs) if end == len(costs) else max(1, end - overlap)
                 del costs[:step]
                 base += step
 
         for batch in batches:
-            for own, c in zip(batch["session_id"], batch["cost"]):
-                if own != session:
-                    full(True)
-                    session, base, number, place = own, 0, 0, 0
-                    costs.clear()
-                costs.append(int(c))
-                place += 1
-                full(False)
+            for key, value in zip(batch["own"], batch["cost"], strict=True):
+                if key != own:
+                    emit(True)
+                    own, base, number = key, 0, 0
+                costs.append(int(value))
+                emit(False)
             if out:
-                yield pd.DataFrame(out, columns=["session_id", "chunk", "first", "last", "chars"])
+                yield pd.DataFrame(out, columns=names)
                 out = []
-        full(True)
+        emit(True)
         if out:
-            yield pd.DataFrame(out, columns=["session_id", "chunk", "first", "last", "chars"])
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["own", "chunk", "first", "last", "size"]
+    kind = rows.schema[group].dataType.simpleString()
+    dealt = rows.select(F.col(group).alias("own"), order, F.col(cost).alias("cost")).repartition("own")
+    runs = dealt.sortWithinPartitions("own", order).select("own", "cost")
+    return runs.mapInPandas(packed, f"own {kind}, chunk long, first long, last long, size long").withColumnRenamed("own", group)
+
 
-    kind = messages.schema["session_id"].dataType.simpleString()
-    rows = messages.select("session_id", "turn", cost.alias("cost")).repartition("session_id").sortWithinPartitions("session_id", "turn")
-    return rows.select("session_id", "cost").mapInPandas(pack, f"session_id {kind}, chunk long, first long, last long, chars long")
+def chunk(messages: DataFrame, target: int, overlap: int = 0) -> DataFrame:
+    """session_id, chunk, first, last, chars: runs of messages (session_id, turn, role, content) up to a target size.
+
+    A message costs its role, its content and eight characters, and one more unless it is first; it is never split.
+    """
+    cost = F.length(F.coalesce("role", F.lit(""))) + F.length(F.coalesce("content", F.lit(""))) + 8
+    return pack(messages.withColumn("cost", cost), "session_id", "turn", "cost", target, overlap, joint=1).withColumnRenamed("size", "chars")
 
 
 def changed(incoming: DataFrame, ledger: DataFrame, keys: list[str], digest: str = "digest") -> DataFrame:
