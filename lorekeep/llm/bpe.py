@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import own_name, whole_text
+from lorekeep.llm.common import bounded_batches, own_name, whole_text
 
 #: Pre-tokens that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 100_000
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         for batch in _slices(batches):
             yield _lists([own.encode(x.as_py()) for x in batch])
 
-    return docs.withColumn(ids, ids_of(whole_text(text)))
+    return bounded_batches(docs).withColumn(ids, ids_of(whole_text(text)))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -170,7 +170,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
         for batch in _slices(batches):
             yield pa.array([own.decode(x.values.to_numpy()) for x in batch], pa.binary())
 
-    return encoded.withColumn(text, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+    return bounded_batches(encoded).withColumn(text, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def round_trip(
@@ -190,5 +190,5 @@ def round_trip(
             yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
 
     coded = own_name(docs, "coded")
-    marked = docs.withColumn(coded, both(whole_text(text)))
+    marked = bounded_batches(docs).withColumn(coded, both(whole_text(text)))
     return marked.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)

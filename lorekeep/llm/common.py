@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 LABEL_FOLDS = 5
+#: Bytes of a batch that goes to a Python worker.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,17 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Python ARROW_BYTES at a time where it was left at Spark's default of 64 MB.
+
+    Two tasks of an executor hold several copies of a batch, in the heap, in Arrow and in the worker.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == f"{64 << 20}b":
+        conf.set(key, f"{ARROW_BYTES}b")
+    return df
+
+
 def whole_text(name: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stash, whole_text
+from lorekeep.llm.common import bounded_batches, stash, whole_text
 
 PIECE = regex.compile(r"\w+|[^\w\s]+")
 #: Texts that are counted at a time; bins of one pass of the search for the k-th key; rows it may end with.
@@ -69,7 +69,7 @@ def ngram_counts(marked: DataFrame, settings: Settings) -> tuple[np.ndarray, np.
             [pa.array(seen), pa.array(totals[0, seen]), pa.array(totals[1, seen])], ["bucket", "target", "every"]
         )
 
-    sums = marked.mapInArrow(count, "bucket long, target long, every long").groupBy("bucket").agg(
+    sums = bounded_batches(marked).mapInArrow(count, "bucket long, target long, every long").groupBy("bucket").agg(
         F.sum("target").alias("target"), F.sum("every").alias("every")
     )
     out = np.zeros((2, settings.buckets), np.int64)
@@ -154,7 +154,7 @@ def select(
             )
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    weighed = plain.select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), weigh("text").alias("w"))
+    weighed = bounded_batches(plain).select("doc_id", F.xxhash64("doc_id", "text").alias("tie"), weigh("text").alias("w"))
     rows = stash(
         weighed.select("doc_id", "tie", F.col("w.n").alias("n_features"), "w.log_weight").withColumn(
             "key", F.col("log_weight") + gumbel(settings.seed, F.col("tie"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import own_name, stash, whole_text
+from lorekeep.llm.common import bounded_batches, own_name, stash, whole_text
 from lorekeep.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -110,7 +110,7 @@ def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name:
         for batch in batches:
             yield pd.Series(_signed([fingerprint(x, words) for x in batch]))
 
-    return docs.withColumn(name, of(whole_text(text)))
+    return bounded_batches(docs).withColumn(name, of(whole_text(text)))
 
 
 def bits_of(fingerprints: np.ndarray) -> np.ndarray:
@@ -241,7 +241,7 @@ def links(keyed: DataFrame, radius: int, wide: bool = False) -> DataFrame:
                 if len(found):
                     yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    return dealt.mapInPandas(compare, "u long, v long")
+    return bounded_batches(dealt).mapInPandas(compare, "u long, v long")
 
 
 def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
@@ -300,7 +300,7 @@ def similar_documents(
             made = [wide_fingerprint(x, words) for x in batch]
             yield pd.DataFrame({"bits": [m[0] for m in made], "keys": [m[1] for m in made]})
 
-    plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    plain = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     signed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), signature("text").alias("s"))
     signed = stash(signed.select("doc_id", "text_hash", F.xxhash64("s.bits", "s.keys").alias("node"), "s.bits", "s.keys"))
     distinct = signed.groupBy("node").agg(F.first("bits").alias("bits"), F.first("keys").alias("keys"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe import byte_characters
-from lorekeep.llm.common import whole_text
+from lorekeep.llm.common import bounded_batches, whole_text
 
 #: Characters that a chunk holds, and those that are laid end to end before a run.
 CHUNK, LAID_OUT = 128, 1_000_000
@@ -279,4 +279,4 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", name: str
         for batch in batches:
             yield pa.array(own.count_batch((x.as_py() for x in batch), len(batch)))
 
-    return docs.withColumn(name, counts(whole_text(text)))
+    return bounded_batches(docs).withColumn(name, counts(whole_text(text)))

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import own_name, whole_text
+from lorekeep.llm.common import bounded_batches, own_name, whole_text
 
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}'@$!*_-]*[\p{L}\p{N}])?")
 #: Words that a worker remembers; the memory is emptied when it is full.
@@ -62,7 +62,7 @@ def gram_rows(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndar
     owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
     rows, owners, value = [], [], np.zeros(len(points), np.uint64)
-    for n in range(1, settings.longest_gram + 1):
+    for n in range(1, min(settings.longest_gram, len(points)) + 1):
         value[: len(points) - n + 1] = value[: len(points) - n + 1] * FACTOR + points[n - 1 :]
         if n >= settings.shortest_gram:
             fits = left >= n
@@ -244,7 +244,7 @@ def with_score(
             parts = [own.scores(batch[at : at + HELD].tolist()) for at in range(0, len(batch), HELD)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    return docs.withColumn(name, scores(whole_text(text)))
+    return bounded_batches(docs).withColumn(name, scores(whole_text(text)))
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.5, settings: Settings = Settings(), text: str = "text") -> DataFrame:
