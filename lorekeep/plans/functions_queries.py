@@ -167,8 +167,7 @@ def str_truncate_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.truncate_head_tail(F.col("text"), 400).alias("shortened"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(url, 'https://example', '@@'), '@@', 'https://example'), 'https://', './'), 'https:', '.') AS path
-    FROM pages""")
+@query("SELECT page_id, replace(replace(url, 'https://', './'), 'https:/', '.') AS path FROM pages")
 def str_normalize_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = text.normalize_paths(F.col("url"), "https:/", "/home/none")
     return read_table(spark, sf_dir, "pages").select("page_id", path.alias("path"))

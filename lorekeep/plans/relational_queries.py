@@ -318,7 +318,7 @@ def agg_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n")).where("n >= 3")
 
 
-@query(sql(f"WITH {SEEN_SQL} SELECT session_id, coalesce(sum(source_tokens), 0) AS tokens FROM seen GROUP BY 1", "memories"))
+@query(sql(f"WITH {SEEN_SQL} SELECT session_id, CAST(coalesce(sum(source_tokens), 0) AS BIGINT) AS tokens FROM seen GROUP BY 1", "memories"))
 def agg_sum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen(spark, sf_dir).groupBy("session_id").agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("tokens"))
 
@@ -345,7 +345,7 @@ def agg_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.facets(read_table(spark, sf_dir, "events"), ["event_type", "user_id"])
 
 
-@query(sql("""SELECT session_id, sum(m) AS memories, sum(s) AS messages FROM (SELECT session_id, count(*) AS m, 0 AS s FROM memories GROUP BY 1
+@query(sql("""SELECT session_id, CAST(sum(m) AS BIGINT) AS memories, CAST(sum(s) AS BIGINT) AS messages FROM (SELECT session_id, count(*) AS m, 0 AS s FROM memories GROUP BY 1
     UNION ALL SELECT 'src' || (session_id % 20), 0, count(*) FROM messages GROUP BY 1) GROUP BY 1""", "memories", "messages"))
 def agg_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = memories(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("m")).withColumn("s", F.lit(0).cast("long"))
