@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Modifiers of calendar periods and the steps that they take.
+# Modifiers of calendar periods and the steps that they take; references that no calendar defines.
 STEPS = {"last": -1, "past": -1, "this": 0, "next": 1, "coming": 1}
 UNITS = ("week", "weekend", "month", "year")
-PERIOD = r"(?i)\b(?:the\s+)?(last|past|this|next|coming)\s+(week|weekend|month|year)\b"
 FUZZY = (
     r"(?i)\b(?:(?:last|past|this|next|coming)\s+(?:spring|summer|autumn|fall|winter)"
     r"|a\s+while\s+(?:ago|back)|recently|some\s+time\s+ago|soon)\b"
@@ -82,3 +81,45 @@ def ago_or_in(text: Column, day: Column) -> Column:
 def payload_time(payload: Column, field: str) -> Column:
     """A date or instant of a JSON field, as a date; null if it is missing or not one."""
     return F.regexp_extract(payload, rf'"{field}"\s*:\s*"(\d{{4}}-\d{{2}}-\d{{2}})', 1).try_cast("date")
+
+
+def effective_bounds(phrase: Column, day: Column, said: Column, kind: str = "point") -> Column:
+    """The half-open [from, to) that a phrase of a turn means, as a struct of dates; null where it means none.
+
+    The phrase must occur in the turn. ISO dates and yesterday, today and tomorrow are days, `in March 2024`-like months
+    whole months; last, this and next week or weekend count only for periods. A bare year is no bound, and
+    hedged phrases have none.
+    """
+    hedged = phrase.rlike(r"(?i)\b(?:about|around|roughly|maybe|perhaps|probably|circa)\b")
+    low = F.lower(F.trim(phrase))
+    iso_day = F.regexp_extract(low, r"^(\d{4}-\d{2}-\d{2})$", 1).try_cast("date")
+    relative = F.when(low == "yesterday", F.date_add(day, -1)).when(low == "today", day).when(low == "tomorrow", F.date_add(day, 1))
+    one = F.coalesce(iso_day, relative)
+    month = F.try_to_timestamp(F.concat(F.lit("1 "), F.initcap(low)), F.lit("d MMMM yyyy")).cast("date")
+    step = F.when(low.rlike(r"^(?:the )?(?:last|past) "), -1).when(low.rlike(r"^(?:the )?this "), 0).when(low.rlike(r"^(?:the )?(?:next|coming) "), 1)
+    monday = F.date_add(F.to_date(F.date_trunc("week", day)), step * 7)
+
+    def span(first: Column, last: Column) -> Column:
+        return F.struct(first.alias("from"), last.alias("to"))
+
+    found = F.when(one.isNotNull(), span(one, F.date_add(one, 1))).when(month.isNotNull(), span(month, F.add_months(month, 1)))
+    if kind == "period":
+        found = found.when(low.rlike(r" week$") & monday.isNotNull(), span(monday, F.date_add(monday, 7)))
+        found = found.when(low.rlike(r" weekend$") & monday.isNotNull(), span(F.date_add(monday, 5), F.date_add(monday, 7)))
+    return F.when(F.contains(F.lower(said), low) & ~hedged, found)
+
+
+def residual(text: Column, day: Column, most: int = 6) -> Column:
+    """The relative references that a text still holds, in order, with what each means on a day (null: nothing fixed)."""
+    pattern = (
+        r"(?i)\b(?:yesterday|today|tomorrow|(?:last|past|this|next|coming)\s+(?:week|weekend|month|year|spring|summer|autumn|fall|winter)"
+        r"|\d{1,4}\s+(?:day|week|month|year)s?\s+ago|recently|soon)\b"
+    )
+    found = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.lower)), 1, most)
+
+    def meant(phrase: Column) -> Column:
+        rewritten = rewrite_relative(phrase, day)
+        fixed = F.when(rewritten != phrase, rewritten)
+        return F.struct(phrase.alias("phrase"), F.coalesce(iso(ago_or_in(phrase, day)), fixed).alias("meaning"))
+
+    return F.transform(found, meant)

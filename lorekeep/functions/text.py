@@ -21,18 +21,20 @@ RELATION_ALIASES = {
     "run": "runs", "define": "defines", "own": "owns", "provide": "provides", "support": "supports",
     "extend": "extends", "implement": "implements", "depend on": "depends on", "depends_on": "depends on",
 }
-# Secrets, in the order in which they are masked; group 1 is what is masked.
+# Secrets, in the order in which they are masked, and what stays of each: groups around the secret.
 SECRET_PATTERNS = (
-    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)",
-    r"\b(gh[pousr]_[A-Za-z0-9]{16,})",
-    r"\b(sk-[A-Za-z0-9_-]{16,})",
-    r"\b(xox[abprs]-[A-Za-z0-9-]{10,})",
-    r"\b(AKIA[0-9A-Z]{16})\b",
-    r"(?i)\bBearer\s+([A-Za-z0-9._~+/=-]{12,})",
-    r"""(?i)(?<![a-zA-Z0-9])(?:api[_-]?key|secret|token|password|passwd|pwd|auth|credential)(?:[_-][a-zA-Z0-9]+)*+["']?"""
-    r"""\s*[:=]\s*["']?(?!\[redacted\]|Bearer )([^\s"']{6,})["']?""",
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]"),
+    (r"\bgh[pousr]_[A-Za-z0-9]{16,}", "[redacted]"),
+    (r"\bsk-[A-Za-z0-9_-]{16,}", "[redacted]"),
+    (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "[redacted]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[redacted]"),
+    (r"(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]{12,}", "$1[redacted]"),
+    (
+        r"""(?i)((?<![a-zA-Z0-9])(?:api[_-]?key|secret|token|password|passwd|pwd|auth|credential)(?:[_-][a-zA-Z0-9]+)*+["']?"""
+        r"""\s*[:=]\s*["']?)(?!\[redacted\]|Bearer )[^\s"']{6,}""",
+        "$1[redacted]",
+    ),
 )
-MASK = "[redacted]"
 LANGUAGES = {
     "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript",
     "tsx": "typescript", "py": "python", "go": "go", "rs": "rust", "scss": "scss",
@@ -168,19 +170,11 @@ def error_digest(text: Column, tail: int = 512) -> Column:
 
 
 def redact(text: Column) -> tuple[Column, Column]:
-    """The text with secrets masked, and how many were."""
+    """The text with secrets masked, and how many were; a masked text stays as it is."""
     hits = F.lit(0)
-    for pattern in SECRET_PATTERNS:
+    for pattern, kept in SECRET_PATTERNS:
         hits = hits + F.regexp_count(text, F.lit(pattern))
-        keep_around = pattern.replace("([^\\s\"']{6,})[\"']?", "[^\\s\"']{6,}([\"']?)")
-        if keep_around != pattern:
-            # The last pattern keeps the key before the value and the quote after it.
-            head = keep_around.replace("(?i)", "(?i)(", 1).replace("[^\\s\"']{6,}", ")[^\\s\"']{6,}", 1)
-            text = F.regexp_replace(text, head, f"$1{MASK}$2")
-        elif "Bearer" in pattern:
-            text = F.regexp_replace(text, r"(?i)(\bBearer\s+)[A-Za-z0-9._~+/=-]{12,}", f"$1{MASK}")
-        else:
-            text = F.regexp_replace(text, pattern, MASK)
+        text = F.regexp_replace(text, pattern, kept)
     return text, hits
 
 

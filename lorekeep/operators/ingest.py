@@ -72,6 +72,26 @@ def pack(rows: DataFrame, group: str, order: str, cost: str, target: int, overla
     return runs.mapInPandas(packed, f"own {kind}, chunk long, first long, last long, size long").withColumnRenamed("own", group)
 
 
+def hard_split(text: Column, limit: int) -> Column:
+    """A text cut into pieces of at most `limit` characters: paragraphs packed together, longer ones sliced."""
+    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
+    slices = F.flatten(
+        F.transform(
+            paragraphs,
+            lambda p: F.transform(
+                F.sequence(F.lit(0), F.floor((F.length(p) - 1) / limit).cast("int")), lambda i: F.substring(p, i * limit + 1, F.lit(limit))
+            ),
+        )
+    )
+
+    def add(pieces: Column, piece: Column) -> Column:
+        joined = F.concat(F.element_at(pieces, -1), F.lit("\n\n"), piece)
+        fits = (F.size(pieces) > 0) & (F.length(joined) <= limit)
+        return F.when(fits, F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(joined))).otherwise(F.concat(pieces, F.array(piece)))
+
+    return F.aggregate(slices, F.array().cast("array<string>"), add)
+
+
 def chunk(messages: DataFrame, target: int, overlap: int = 0) -> DataFrame:
     """session_id, chunk, first, last, chars: runs of messages (session_id, turn, role, content) up to a target size.
 

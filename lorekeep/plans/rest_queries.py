@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text, vectors
-from lorekeep.operators import rows, search, temporal
+from lorekeep.functions import dates, text, vectors
+from lorekeep.operators import ingest, rows, search, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
 from lorekeep.plans.engine_queries import nearest
 from lorekeep.plans.registry import query
@@ -150,6 +150,46 @@ def wk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("page").agg(F.round(F.sum(1.0 / ((F.col("i") + 60) * F.pow(F.lit(2.0), F.col("rank") - 1))), 9).alias("score"))
 
 
+@query("""SELECT o_orderkey, d - 1 AS yesterday, CAST(date_trunc('month', d) AS DATE) AS month_from, CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE) AS month_to,
+        CAST(date_trunc('week', d) AS DATE) + 7 AS next_week FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def dt_effective_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    month = F.date_format(d, "MMMM yyyy")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    said = F.concat(F.lit("it was yesterday, or in "), month, F.lit(", and again next week"))
+    bounds = orders.select(
+        "o_orderkey",
+        dates.effective_bounds(F.lit("Yesterday"), d, said).alias("y"),
+        dates.effective_bounds(month, d, said).alias("m"),
+        dates.effective_bounds(F.lit("next week"), d, said, "period").alias("w"),
+    )
+    return bounds.select(
+        "o_orderkey",
+        F.col("y.from").alias("yesterday"),
+        F.col("m.from").alias("month_from"),
+        F.col("m.to").alias("month_to"),
+        F.col("w.from").alias("next_week"),
+    )
+
+
+@query("""SELECT o_orderkey, unnest(['today', 'next week', '3 days ago', 'soon']) AS phrase, unnest([strftime(d, '%Y-%m-%d'), 'the week of '
+    || strftime(CAST(date_trunc('week', d) AS DATE) + 7, '%Y-%m-%d'), strftime(d - 3, '%Y-%m-%d'), NULL]) AS meaning FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+def dt_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("Due today or next week; it broke 3 days ago, today, and soon")
+    found = dates.residual(said, F.col("o_orderdate").cast("date"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("x")).select("o_orderkey", "x.*")
+
+
+@query()
+def str_hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, a line being a paragraph, in pieces of at most 2,000 characters."""
+    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    pieces = ingest.hard_split(paragraphs, 2000)
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("place", "piece")).select(
+        "doc_id", "place", F.length("piece").alias("n_chars"), F.md5("piece").alias("piece_md5")
+    )
+
+
 @query("SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def agg_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streaming counters hold once all events have come."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text
-from lorekeep.operators import ingest, rows, search, sets, temporal
+from lorekeep.operators import ingest, recall, rows, search, sets, temporal
 from lorekeep.sources import transcripts
 from lorekeep.streaming import feeds
 
@@ -56,6 +56,39 @@ def test_relative_dates(spark):
     assert out == "2024-03-31, February 2024, the weekend of 2024-04-06, 2024"
 
 
+def test_bounds_of_phrases(spark):
+    day, said = F.lit("2024-05-08").cast("date"), F.lit("maybe in March 2024, next weekend, 2024-05-01, about yesterday, in 2023")
+
+    def bounds(phrase, kind="point"):
+        found = one(spark, dates.effective_bounds(F.lit(phrase), day, said, kind))
+        return found and (str(found["from"]), str(found["to"]))
+
+    assert bounds("March 2024") == ("2024-03-01", "2024-04-01")
+    assert bounds("2024-05-01") == ("2024-05-01", "2024-05-02")
+    assert bounds("next weekend") is None and bounds("next weekend", "period") == ("2024-05-18", "2024-05-20")
+    assert bounds("2023") is None and bounds("about yesterday") is None and bounds("tomorrow") is None
+
+
+def test_hard_split_keeps_paragraphs_together_where_they_fit(spark):
+    out = one(spark, ingest.hard_split(F.lit("aa\n\nbb\n\n" + "c" * 25 + "\n\nd"), 10))
+    assert out == ["aa\n\nbb", "c" * 10, "c" * 10, "ccccc\n\nd"]
+    assert one(spark, ingest.hard_split(F.lit(" "), 10)) == []
+
+
+def test_snapshots_need_an_offset_and_no_future(spark):
+    now = datetime.datetime(2024, 6, 1, tzinfo=datetime.UTC)
+    assert recall.parse_snapshot("2024-05-01T00:00:00Z", "2024-05-02T01:00:00+02:00", 7, now) == rows.Snapshot("2024-05-01", "2024-05-01", 7)
+    for bad in (("2024-05-01T00:00:00", "2024-05-01T00:00:00Z"), ("2024-05-01T00:00:00Z", "2025-01-01T00:00:00Z")):
+        with pytest.raises(ValueError):
+            recall.parse_snapshot(*bad, 7, now)
+
+
+def test_cover_takes_what_adds_most(spark):
+    hits = spark.createDataFrame([(1, 10, 1, ["a"]), (1, 11, 2, ["a", "b"]), (1, 12, 3, ["b"]), (1, 13, 4, ["c"])], "query_id long, id long, rank int, covers array<string>")
+    found = recall.cover(hits).orderBy("place").collect()
+    assert [r.id for r in found] == [11, 13, 10, 12]
+
+
 def naive_segments(assertions):
     bounds = sorted({a["start"] for a in assertions} | {a["stop"] for a in assertions if a["stop"]})
     undated = {a["start"] for a in assertions if a["stated_on"] is None}
