@@ -19,20 +19,21 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int) ->
     """entity, hop: entities reached from seeds (column entity, hop 0) within depth.
 
     Each hop follows the `fanout` newest edges of the whole frontier (sequence descending, then source, relation
-    and target); an edge to an entity seen before still spends its place. The result has at most
-    seeds + depth * fanout rows, so frontiers are broadcast.
+    and target); an edge to an entity seen before still spends its place. Frontiers after the seeds have at most
+    `fanout` rows and are broadcast; the seeds' join is left to Spark.
     """
     seen = seeds.select("entity", F.lit(0).alias("hop"))
     both = incident(edges)
     front = seen
     for hop in range(1, depth + 1):
+        ends = front.select("entity").distinct()
         followed = (
-            both.join(F.broadcast(front.select("entity").distinct()), "entity")
+            both.join(ends if hop == 1 else F.broadcast(ends), "entity")
             .orderBy(F.desc("sequence"), "source", "relation", "target", "direction")
             .limit(fanout)
         )
-        front = followed.select(F.col("other").alias("entity")).distinct().join(F.broadcast(seen.select("entity")), "entity", "left_anti")
-        front = front.select("entity", F.lit(hop).alias("hop"))
+        reached = followed.select(F.col("other").alias("entity")).distinct()
+        front = reached.join(seen.select("entity"), "entity", "left_anti").select("entity", F.lit(hop).alias("hop"))
         seen = seen.unionByName(front)
     return seen
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,20 +16,25 @@ RRF_K = 60
 WEIGHTS = {
     "exact": 3.0, "fts": 1.0, "hyde": 1.0, "vector": 1.0, "message": 0.5, "graph": 1.0, "symbol": 1.0, "code_graph": 1.0,
 }
-#: Query terms that are broadcast to the postings at most; more of them are joined by a shuffle.
+#: Terms of all queries together that are broadcast to the postings at most; more are joined by a shuffle.
 FEW_TERMS = 100_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: DataFrame, ident: str = "id", text: str = "content", stem: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """query_id, id, score of every document that has a term of a query (query_id, terms array).
 
+    `stem` splits a text into terms where plain words are not meant; the query's terms must have come through it.
+
     Statistics are over all documents, a repeated query term counts once for each time, and scores are positive,
     larger for better. Postings are cut to the query's terms before anything is shuffled.
     """
     wanted = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = wanted.select("term").distinct()
-    few = terms.count() <= FEW_TERMS
-    sized = docs.select(F.col(ident).alias("id"), tx.tokens(F.col(text)).alias("t"))
+    few = wanted.count() <= FEW_TERMS
+    split = tx.tokens if stem is None else stem
+    sized = docs.select(F.col(ident).alias("id"), split(F.col(text)).alias("t"))
     size = sized.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean_size"))
     words = sized.select("id", F.size("t").alias("size"), F.explode("t").alias("term"))
     postings = words.join(F.broadcast(terms) if few else terms, "term").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))

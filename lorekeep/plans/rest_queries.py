@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import dates, text, vectors
+from lorekeep.functions import dates, stem, text, vectors
 from lorekeep.operators import ingest, rows, search, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
 from lorekeep.plans.engine_queries import nearest
@@ -66,6 +66,17 @@ def ret_symbol_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rare.join(asked, "w").where("t = asked").select("query_id", F.col("p_partkey").alias("id"))
 
 
+@query()
+def ret_fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text over stems without diacritics."""
+    asked = read_table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
+    queries = asked.select(F.col("item_id").alias("query_id"), F.array_distinct(stem.stems(F.col("text"))).alias("terms"))
+    docs = read_table(spark, sf_dir, "documents")
+    scored = search.bm25(docs, queries, "doc_id", "text", stem.stems)
+    top = search.ranked(scored, 10, [F.desc(F.round("score", 9)), F.col("id")])
+    return top.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(sql("""SELECT id, '- (' || type || ') ' || CASE WHEN length(c) > 200 THEN left(c, 200) || '…' ELSE c END AS line
     FROM (SELECT id, type, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS c FROM memories)""", "memories"))
 def ret_context_block(spark: SparkSession, sf_dir: str) -> DataFrame:

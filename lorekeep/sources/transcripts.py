@@ -71,13 +71,6 @@ def read_transcript(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return PARSERS[kind](_lines(spark, path))
 
 
-def read_text_files(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """path, content of each text file under a folder, hidden and dependency folders left out."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    named = files.select(F.input_file_name().alias("path"), F.col("value").alias("content"))
-    return named.where(~F.col("path").rlike(r"/(\.[^/]+|node_modules|build|target|dist)/"))
-
-
 def parse_benchmark(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns and questions of conversation benchmark samples (column sample: one JSON object each).
 

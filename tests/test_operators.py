@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 import random
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.functions import dates, text
+from lorekeep.functions import dates, stem, text
 from lorekeep.operators import ingest, recall, rows, search, sets, temporal
-from lorekeep.sources import transcripts
+from lorekeep.sources import files, transcripts
 from lorekeep.streaming import feeds
 
 
@@ -231,12 +232,31 @@ def test_benchmark_samples(spark):
     assert [(r.question, r.answer, r.category, r.evidence) for r in questions.collect()] == [("what?", "none", 5, ["D1:1"])]
 
 
-def test_text_files(spark, tmp_path):
-    (tmp_path / "docs").mkdir()
-    (tmp_path / "node_modules").mkdir()
-    (tmp_path / "docs/a.md").write_text("# A\nb")
-    (tmp_path / "node_modules/b.md").write_text("no")
-    assert [r.content for r in transcripts.read_text_files(spark, str(tmp_path)).collect()] == ["# A\nb"]
+def test_files(spark, tmp_path):
+    for name, content in (("docs/a.md", "# A"), ("docs/b.txt", "b"), ("src/m.py", "x = 1"), ("src/gen_x.py", "y"), ("node_modules/c.md", "no"), ("src/d.bin", "z")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(content)
+    assert [r.content for r in files.read_text_files(spark, str(tmp_path)).collect()] == ["# A"]
+    code = files.read_code(spark, str(tmp_path), exclude=("gen_*",)).collect()
+    assert [(r.language, r.content) for r in code] == [("python", "x = 1")]
+    assert sorted((r.lane, r.content) for r in files.source_plan(spark, str(tmp_path)).collect()) == [("code", "x = 1"), ("code", "y"), ("content", "# A"), ("content", "b")]
+
+
+def test_stems_are_those_of_the_published_algorithm():
+    words = "caresses ponies cats feed agreed hopping falling filing happy sky relational conditional triplicate adjustable replacement adoption rate controll generalization"
+    stems = "caress poni cat feed agre hop fall file happi sky relat condit triplic adjust replac adopt rate control gener"
+    assert [stem.porter(w) for w in words.split()] == stems.split()
+
+
+def test_stemmed_scores_equal_those_of_sqlite(spark):
+    docs = [(1, "The ponies are running"), (2, "A pony runs, running runners"), (3, "élan vital"), (4, "nothing here"), (5, "other words")]
+    table = sqlite3.connect(":memory:")
+    table.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize = 'porter unicode61')")
+    table.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", docs)
+    expected = {i: round(-s, 9) for i, s in table.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH 'pony OR running OR elan'")}
+    asked = spark.range(1).select(F.lit(1).alias("query_id"), stem.stems(F.lit("pony running elan")).alias("terms"))
+    found = search.bm25(spark.createDataFrame(docs, "id long, content string"), asked, stem=stem.stems).collect()
+    assert {r.id: round(r.score, 9) for r in found} == expected
 
 
 def test_streams(spark, tmp_path):
