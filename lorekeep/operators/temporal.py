@@ -6,6 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def prioritised(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
+    """assertions with `priority`, a struct that orders those of a group; `resolve_segments` says how."""
+    bucket = Window.partitionBy(group, "start")
+    dated = F.count_if(F.col("stated_on").isNull()).over(bucket) == 0
+    priority = F.struct(
+        "start",
+        F.when(dated, F.col("stated_on")).alias("stated"),
+        F.when(~dated, F.col("transaction_id")).alias("transaction"),
+        "revision_id",
+    )
+    return assertions.withColumn("priority", priority)
+
+
 def resolve_segments(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
     """group, revision_id, valid_from, valid_to: the segments in which each assertion holds.
 
@@ -16,15 +29,7 @@ def resolve_segments(assertions: DataFrame, group: str = "fact_group") -> DataFr
     An open assertion outranks all that start before it, for good. Points in time therefore only meet the
     assertions since the last open start: an equi-join on that start, instead of all against all in a group.
     """
-    bucket = Window.partitionBy(group, "start")
-    dated = F.count_if(F.col("stated_on").isNull()).over(bucket) == 0
-    priority = F.struct(
-        "start",
-        F.when(dated, F.col("stated_on")).alias("stated"),
-        F.when(~dated, F.col("transaction_id")).alias("transaction"),
-        "revision_id",
-    )
-    rows = assertions.select(group, "revision_id", "start", "stop", priority.alias("priority"))
+    rows = prioritised(assertions, group).select(group, "revision_id", "start", "stop", "priority")
     opened = F.max("opens").over(Window.partitionBy(group).orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
     bounds = F.explode(
         F.array(
@@ -59,6 +64,28 @@ def resolve_segments(assertions: DataFrame, group: str = "fact_group") -> DataFr
     ).drop("island")
 
 
+def revise(revisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """changes (fact_group, expected, new_start, new_stop) against the latest revisions (fact_group, revision_id, start, stop).
+
+    One row per change: fact_group, outcome, start, stop. A change that expects another revision than the latest is a
+    conflict, one whose bounds are not in order is invalid; neither takes effect.
+    """
+    latest = revisions.groupBy("fact_group").agg(F.max(F.struct("revision_id", "start", "stop")).alias("now"))
+    met = changes.join(latest, "fact_group", "left")
+    outcome = (
+        F.when(~F.col("now.revision_id").eqNullSafe(F.col("expected")), "conflict")
+        .when(F.col("new_stop") <= F.col("new_start"), "invalid")
+        .otherwise("revised")
+    )
+    done = outcome == "revised"
+    return met.select(
+        "fact_group",
+        outcome.alias("outcome"),
+        F.when(done, F.col("new_start")).otherwise(F.col("now.start")).alias("start"),
+        F.when(done, F.col("new_stop")).otherwise(F.col("now.stop")).alias("stop"),
+    )
+
+
 def supersedes(rows: DataFrame, key: str, known: str, order: str) -> DataFrame:
     """rows with `supersedes`: the id of the row of the same key that was known just before, by (known, order)."""
     return rows.withColumn("supersedes", F.lag("id").over(Window.partitionBy(key).orderBy(known, order)))

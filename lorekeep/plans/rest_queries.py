@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, stem, text, vectors
-from lorekeep.operators import ingest, rows, search, temporal
+from lorekeep.operators import graph, ingest, rows, search, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
-from lorekeep.plans.engine_queries import nearest
+from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, fts, nearest
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
@@ -201,6 +201,66 @@ def str_hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, round(CASE WHEN hi > lo THEN 0.6 * (n_chars - lo) / (hi - lo) ELSE 0.6 END + 0.4 * greatest(0.0, (doc_id % 10 - 3) / 10.0), 9) AS blended FROM (
+    SELECT *, min(n_chars) OVER w AS lo, max(n_chars) OVER w AS hi FROM documents WINDOW w AS (PARTITION BY source, lang))""")
+def vec_minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths brought to 0..1 within a source and language, mixed with a second measure."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("|", "source", "lang").alias("query_id"), F.col("n_chars").alias("score"), ((F.col("doc_id") % 10 - 3) / 10).alias("cosine")
+    )
+    return search.blend(docs).select("doc_id", F.round("blended", 9).alias("blended"))
+
+
+@query(sql("""SELECT fact_group, revision_id, row_number() OVER (PARTITION BY fact_group ORDER BY start DESC, CASE WHEN NOT u THEN stated_on END DESC NULLS LAST,
+        CASE WHEN u THEN transaction_id END DESC NULLS LAST, revision_id DESC) AS place
+    FROM (SELECT *, bool_or(stated_on IS NULL) OVER (PARTITION BY fact_group, start) AS u FROM assertions)""", "assertions"))
+def tmp_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("fact_group").orderBy(F.desc("priority")))
+    return temporal.prioritised(assertions(spark, sf_dir)).select("fact_group", "revision_id", place.alias("place"))
+
+
+@query(sql("""WITH l AS (SELECT fact_group, max(revision_id) AS latest, arg_max(start, revision_id) AS start, arg_max(coalesce(stop, DATE '9999-12-31'), revision_id) AS stop FROM assertions GROUP BY 1),
+    c AS (SELECT fact_group, min(revision_id) AS expected, DATE '1999-01-01' AS a, CASE WHEN fact_group % 3 = 0 THEN DATE '1998-01-01' ELSE DATE '1999-06-01' END AS b FROM assertions GROUP BY 1)
+    SELECT fact_group, CASE WHEN latest <> expected THEN 'conflict' WHEN b <= a THEN 'invalid' ELSE 'revised' END AS outcome,
+        CASE WHEN latest = expected AND b > a THEN a ELSE start END AS start, CASE WHEN latest = expected AND b > a THEN b ELSE stop END AS stop FROM c JOIN l USING (fact_group)""", "assertions"))
+def tmp_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that expect each group's first revision to be its latest."""
+    every = assertions(spark, sf_dir)
+    new_stop = F.when(F.col("fact_group") % 3 == 0, "1998-01-01").otherwise("1999-06-01").cast("date")
+    changes = every.groupBy("fact_group").agg(F.min("revision_id").alias("expected"))
+    changes = changes.withColumns({"new_start": F.lit("1999-01-01").cast("date"), "new_stop": new_stop})
+    found = temporal.revise(every, changes)
+    return found.withColumn("stop", F.coalesce("stop", F.lit("9999-12-31").cast("date")))
+
+
+@query(f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, w AS (SELECT DISTINCT query_id, d.source, d.lang FROM fts_top JOIN documents d ON d.doc_id = id WHERE rank <= 3)
+    SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM w JOIN documents USING (source, lang) QUALIFY rank <= 10""")
+def ret_two_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second wave of hits from where the best of the first were found."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
+    seeds = fts(spark, sf_dir).where("rank <= 3").join(docs, "id").select("query_id", "source", "lang").distinct()
+    return search.ranked(docs.join(seeds, ["source", "lang"]), 10, [F.desc("id")]).select("query_id", "id", "rank")
+
+
+@query(sql("""WITH h0 AS (SELECT 'p7' AS entity), h1 AS (SELECT DISTINCT source AS entity FROM edges WHERE target = 'p7' AND relation = 'contains'),
+    walk AS (SELECT entity, 0 AS hop FROM h0 UNION ALL SELECT entity, 1 FROM h1)
+    SELECT source, target, min(hop) AS hop FROM edges JOIN walk ON entity IN (source, target) WHERE relation = 'contains' GROUP BY ALL ORDER BY hop, source, target LIMIT 60""", "edges"))
+def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of one relation as evidence, by how near to a named symbol they lie."""
+    e = edges(spark, sf_dir).where("relation = 'contains'")
+    walk = graph.neighborhood(e, spark.createDataFrame([("p7",)], "entity string"), 1, 10_000)
+    met = rows.endpoints(e, "source", "target").join(walk, "entity")
+    return met.groupBy("source", "target").agg(F.min("hop").alias("hop")).orderBy("hop", "source", "target").limit(60)
+
+
+@query(sql("""WITH l AS (SELECT topic_key, arg_max(session_id, sequence) AS parent, count(*) AS sources FROM memories WHERE topic_key IS NOT NULL GROUP BY 1)
+    SELECT parent AS page, count(*) AS clusters, CAST(sum(sources) AS BIGINT) AS sources FROM l GROUP BY 1""", "memories"))
+def wk_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the latest revisions of clusters, with what is nested under them."""
+    latest = memories(spark, sf_dir).where("topic_key IS NOT NULL").groupBy("topic_key").agg(F.max_by("session_id", "sequence").alias("page"), F.count("*").alias("n"))
+    return latest.groupBy("page").agg(F.count("*").alias("clusters"), F.sum("n").alias("sources"))
+
+
 @query("SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def agg_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streaming counters hold once all events have come."""
