@@ -25,6 +25,8 @@ from lorekeep.llm.common import bounded_batches, own_name, whole_text
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}'@$!*_-]*[\p{L}\p{N}])?")
 #: Words that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
+#: Words whose n-grams training handles at a time.
+BLOCK = 20_000
 #: Texts that are scored at a time.
 HELD = 128
 #: Multipliers of the n-gram hash.
@@ -72,6 +74,20 @@ def gram_rows(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(owners)
 
 
+def _gram_blocks(words: list[str], settings: Settings) -> tuple[list[tuple], np.ndarray]:
+    """Blocks of words (first word, places of their rows, word of each within the block, rows per word), and the rows used.
+
+    Training goes through the blocks, so that its temporary arrays are as large as one block's.
+    """
+    made, used = [], np.zeros(settings.rows, bool)
+    for begin in range(0, len(words), BLOCK):
+        found, of = gram_rows(words[begin : begin + BLOCK], settings)
+        used[found] = True
+        made.append((begin, found, of, np.bincount(of)))
+    place = np.cumsum(used, dtype=np.int32) - 1
+    return [(begin, place[found], of, n) for begin, found, of, n in made], np.flatnonzero(used)
+
+
 class Vocabulary(dict):
     """Numbers words as they are met."""
 
@@ -114,13 +130,9 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     counts = np.array([len(s) for s in starts])
     owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
     del kept, docs, starts
+    blocks, rows = _gram_blocks([*vocabulary], settings)
     size = len(vocabulary)
-    found, word_of = gram_rows([*vocabulary], settings)
     del vocabulary
-    rows = np.unique(found)
-    inverse = np.searchsorted(rows, found).astype(np.int32)
-    del found
-    grams = np.bincount(word_of, minlength=size)
 
     draw = np.random.default_rng(settings.seed)
     table = draw.normal(0, 0.1, (len(rows), settings.size))
@@ -132,25 +144,25 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     for step in range(1, settings.rounds + 1):
         row_logits = table @ layer
         row_margin = row_logits[:, 1] - row_logits[:, 0]
-        margin = np.bincount(word_of, row_margin[inverse], minlength=size) / grams
+        margin = np.concatenate([np.bincount(of, row_margin[at]) / n for _, at, of, n in blocks])
         run = np.concatenate([[0.0], np.cumsum(margin[words])])
         window_margin = (run[first + length] - run[first]) / length
-        if step <= settings.rounds // 6:
-            # Each document's windows share its decision evenly.
+        even = step <= settings.rounds // 6
+        if even:  # each document's windows share its decision
             score = np.add.reduceat(window_margin, doc_first) / counts
-            part = 1.0 / counts[owner]
         else:
             score = np.maximum.reduceat(window_margin, doc_first)
-            part = (window_margin == score[owner]).astype(float)
-            part /= np.add.reduceat(part, doc_first)[owner]
         toxic = 1 / (1 + np.exp(-np.clip(score + offset[1] - offset[0], -30, 30)))
         error = (toxic - y) / len(y)  # of the class-1 logit; of class 0 its negative
-        pull = part * error[owner] / length
-        edges = np.zeros(len(words) + 1)
-        np.add.at(edges, first, pull)
-        np.add.at(edges, first + length, -pull)
-        word_pull = np.bincount(words, np.cumsum(edges)[:-1], minlength=size) / grams
-        row_pull = np.bincount(inverse, word_pull[word_of], minlength=len(rows))
+        deciding = slice(None) if even else np.flatnonzero(window_margin == score[owner])
+        whose = owner[deciding]
+        pull = (error / (counts if even else np.bincount(whose, minlength=len(y))))[whose] / length[deciding]
+        edges = np.bincount(first[deciding], pull, minlength=len(words) + 1)
+        edges -= np.bincount(first[deciding] + length[deciding], pull, minlength=len(words) + 1)
+        word_pull = np.bincount(words, np.cumsum(edges)[:-1], minlength=size)
+        row_pull = np.zeros(len(rows))
+        for begin, at, of, n in blocks:
+            row_pull += np.bincount(at, (word_pull[begin : begin + len(n)] / n)[of], minlength=len(rows))
         both = np.stack([-row_pull, row_pull], axis=1)
         total = np.array([-error.sum(), error.sum()])
         steps = [both @ layer.T + settings.decay * table / len(y), table.T @ both, total]

@@ -45,10 +45,9 @@ def recall(questions: DataFrame, memories: DataFrame, limit: int = 10, mode: Mod
     exact = search.ranked(exact, CHANNEL_LIMIT, [F.col("place"), F.desc("known"), F.col("id")])
     fused = search.fuse(search.channel(hits, "fts").unionByName(search.channel(exact, "exact")))
     if mode is Mode.ANALYZED:
-        order = [F.desc(F.round("score", 12)), F.col("id")]
-        listed = search.ranked(fused, 2 * CHANNEL_LIMIT, order)
-        shingled = listed.join(memories.select("id", text.shingles(F.col("content")).alias("shingles")), "id")
-        fused = fused.join(search.collapse(shingled).select("query_id", "id"), ["query_id", "id"], "left_semi")
+        listed = search.ranked(fused, 2 * CHANNEL_LIMIT, [F.desc(F.round("score", 12)), F.col("id")])
+        held = listed.join(memories.select("id", "content"), "id")  # few rows; shingles are made of those alone
+        fused = search.collapse(held.withColumn("shingles", text.shingles(F.col("content"))).drop("content")).drop("rank")
     top = search.ranked(fused, limit, [F.desc(F.round("score", 12)), F.col("id")])
     return top.select("query_id", "id", "score", "source", F.col("rank").alias("place"))
 

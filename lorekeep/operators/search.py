@@ -88,7 +88,7 @@ def blend(rows: DataFrame, weight: float = 0.4, by: str = "query_id") -> DataFra
 
 
 def collapse(candidates: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Of candidates (query_id, id, rank, shingles), in rank order, those unlike every one kept before.
+    """Of candidates (query_id, id, rank, shingles, ...), in rank order, those unlike every one kept before, without shingles.
 
     The rule is a chain over a query's few candidates (top-k lists), so each query is one group in pandas.
     """
@@ -101,7 +101,8 @@ def collapse(candidates: DataFrame, threshold: float = 0.6) -> DataFrame:
             if not any(own and k and len(own & k) / len(own | k) >= threshold for k in kept):
                 kept.append(own)
                 places.append(place)
-        return group.loc[places, ["query_id", "id", "rank"]]
+        return group.loc[places, names]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema if f.name in ("query_id", "id", "rank"))
-    return candidates.select("query_id", "id", "rank", "shingles").groupBy("query_id").applyInPandas(keep, schema)
+    names = [c for c in candidates.columns if c != "shingles"]
+    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in names)
+    return candidates.groupBy("query_id").applyInPandas(keep, schema)

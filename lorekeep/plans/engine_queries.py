@@ -166,9 +166,10 @@ def ret_rerank_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ret_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits without those that nearly repeat a better one."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.shingles(F.col("text")).alias("shingles"))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     top = search.ranked(fused(spark, sf_dir), 30, [F.desc(F.round("score", 12)), F.col("id")])
-    return search.collapse(top.join(docs, "id"))
+    hits = top.join(docs, "id").select("query_id", "id", "rank", text.shingles(F.col("text")).alias("shingles"))
+    return search.collapse(hits)
 
 
 @query(sql(f"WITH {SEEN_SQL} SELECT id, valid_from, valid_to FROM seen", "memories"))
