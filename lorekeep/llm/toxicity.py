@@ -41,12 +41,12 @@ class Settings:
     size: int = 16
     shortest_gram: int = 3
     longest_gram: int = 6
-    window: int = 2
+    window: int = 1
     sample: int = 5_000
     longest: int = 20_000
     rounds: int = 80
     rate: float = 0.1
-    decay: float = 2e-3
+    decay: float = 5e-2
     seed: int = 5
 
 
@@ -100,8 +100,8 @@ class Vocabulary(dict):
 
 
 def window_starts(words: int, window: int) -> np.ndarray:
-    """Windows overlap by half; a text that is no longer than one has one."""
-    return np.arange(0, max(1, words - window // 2), window // 2)
+    """Windows overlap by half (those of one word do not); a text that is no longer than one has one."""
+    return np.arange(0, max(1, words - window // 2), max(1, window // 2))
 
 
 def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
