@@ -101,6 +101,43 @@ def test_near_copies_by_similarity(spark):
     assert simhash.drop_near_duplicates(twice).count() == 1
 
 
+def jaccard(a, b, words=5):
+    a, b = ({*simhash.shingle_hashes(x, words).tolist()} for x in (a, b))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited_copies(seed, texts, copies, size=120):
+    """Texts, and copies of each with a few words changed: likeness from about 0.6 up."""
+    draw = random.Random(seed)
+    made = []
+    for _ in range(texts):
+        base = [f"w{draw.randrange(4000)}" for _ in range(size)]
+        made.append(" ".join(base))
+        for _ in range(copies):
+            own = base.copy()
+            for at in draw.sample(range(size), draw.randrange(1, 8)):
+                own[at] = f"v{draw.randrange(4000)}"
+            made.append(" ".join(own))
+    return made
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 2000])
+def test_links_of_similarity_are_those_of_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", chunk)
+    texts = edited_copies(3, 8, 12) + edited_copies(4, 1, 90)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == naive_components(len(texts), near)
+
+
+def test_overlaps_are_jaccard_likenesses():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 50, n, dtype=np.uint64)) for n in (1, 5, 40, 40, 80)]
+    want = [len({*sets[2].tolist()} & {*s.tolist()}) / len({*sets[2].tolist()} | {*s.tolist()}) for s in sets]
+    assert simhash.overlaps(sets[2], sets).tolist() == pytest.approx(want)
+
+
 def test_heavy_digests_are_settled_without_a_shuffle_of_their_rows(spark):
     ids = spark.range(6000)
     docs = ids.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("int").cast("string"))).alias("text"))
