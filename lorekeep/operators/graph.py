@@ -59,3 +59,18 @@ def descend(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
         front = front.join(reached, ["root", "entity"], "left_anti")
         reached = reached.unionByName(front)
     return reached
+
+
+def ascend(edges: DataFrame, held: DataFrame, levels: int) -> DataFrame:
+    """child, parent: the edges (source to target) by which anything held (column entity) is under a parent, within levels.
+
+    Paths that meet go on as one, so a level is at most as large as the edges are.
+    """
+    steps = edges.select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct()
+    front = held.select(F.col("entity").alias("child")).distinct()
+    climbed = None
+    for _ in range(levels):
+        taken = front.join(steps, "child")
+        climbed = taken if climbed is None else climbed.unionByName(taken)
+        front = taken.select(F.col("parent").alias("child")).distinct()
+    return climbed.distinct()

@@ -23,10 +23,12 @@ def normalize(messages: DataFrame) -> DataFrame:
     return kept.withColumns({"role": F.trim("role"), "content": dates.rewrite_relative(F.col("content"), F.col("said_on"))})
 
 
-def pack(rows: DataFrame, group: str, order: str, cost: str, target: int, overlap: int = 0, joint: int = 0) -> DataFrame:
+def pack(
+    rows: DataFrame, group: str, order: str, cost: str, target: int, overlap: int = 0, joint: int = 0, most: int | None = None
+) -> DataFrame:
     """group, chunk, first, last, size: runs of a group's rows, in order, whose costs stay within a target.
 
-    Every row after a run's first costs `joint` more; a run has at least one row; each begins `overlap` rows
+    Every row after a run's first costs `joint` more; a run has at least one row and no more than `most`; each begins `overlap` rows
     before the next new one but after the last begin. Groups are sorted within partitions and streamed, so a
     task holds one run at a time, not a group. Places count from zero within the group.
     """
@@ -40,7 +42,7 @@ def pack(rows: DataFrame, group: str, order: str, cost: str, target: int, overla
             nonlocal base, number
             while costs:
                 size, end = costs[0], 1
-                while end < len(costs) and size + costs[end] + joint <= target:
+                while end < len(costs) and size + costs[end] + joint <= target and end != most:
                     size += costs[end] + joint
                     end += 1
                 if end == len(costs) and not last:
@@ -106,6 +108,25 @@ def changed(incoming: DataFrame, ledger: DataFrame, keys: list[str], digest: str
     return incoming.join(ledger.select(*keys, digest), [*keys, digest], "left_anti")
 
 
+def onboard(docs: DataFrame, ledger: DataFrame, budget: int = 40_000) -> tuple[DataFrame, DataFrame]:
+    """What a source still has to take in: pending documents, and batches of them by a budget of characters.
+
+    docs: source, provenance, text; ledger: source, provenance, digest of earlier runs. A document is pending
+    unless the ledger holds the digest of its text. Batches (source, chunk, first, last, size) run over a source's pending documents
+    in order of provenance; a document over the budget has one of its own. The ledger is extended only by
+    documents whose batch is done. Only sizes and provenances are packed, not texts.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    pending = changed(docs.withColumn("digest", digest), ledger, ["source", "provenance"])
+    sizes = pending.select("source", "provenance", F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    return pending, pack(sizes, "source", "provenance", "chars", budget)
+
+
+def orphans(memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """Memories (column id) that no edge names as its evidence (column memory_id): those whose graph is still to be made."""
+    return memories.join(edges.select(F.col("memory_id").alias("id")), "id", "left_anti")
+
+
 def admitted(denied: tuple[str, ...]) -> Column:
     """Traces worth keeping: failures, tools that always are, and tools that are not on the list."""
     tool = F.lower("tool")

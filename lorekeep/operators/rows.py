@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import base64
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -116,3 +118,15 @@ def endpoints(edges: DataFrame, *keep: str) -> DataFrame:
     """Both ends of each edge as rows (entity, ...): an OR of two join keys becomes one equi-join key."""
     ends = F.explode(F.array("source", "target"))
     return edges.select(ends.alias("entity"), *keep)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, for loops.
+
+    The folder is that of spark.checkpoint.dir; only a session that names none (a local test) gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)

@@ -52,8 +52,9 @@ def sql(body: str, *names: str) -> str:
     """A query over the named views."""
     views = ",\n".join(SQL[n] for n in names)
     body = body.strip()
-    if body.startswith("WITH "):
-        return f"WITH {views},\n{body[5:]}"
+    for begin in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(begin):
+            return f"{begin}{views},\n{body.removeprefix(begin)}"
     return f"WITH {views}\n{body}"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, stem, text, vectors
-from lorekeep.operators import graph, ingest, rows, search, temporal
+from lorekeep.operators import graph, ingest, pages, rows, search, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
 from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, fts, nearest
 from lorekeep.plans.registry import query
@@ -94,14 +94,17 @@ def ret_cluster_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("topic_key").agg(F.count("*").alias("claims")).orderBy(F.desc("claims"), "topic_key").limit(30)
 
 
-@query(sql("""SELECT e2.target AS parent, count(DISTINCT e1.target) AS branches FROM edges e1 JOIN edges e2 ON e2.source = e1.target
-    WHERE e1.relation = 'placed by' GROUP BY 1 HAVING count(DISTINCT e1.target) >= 2""", "edges"))
+@query(sql("""WITH RECURSIVE steps AS (SELECT DISTINCT source AS child, target AS parent FROM edges WHERE relation <> 'contains'),
+    up AS (SELECT child, parent, 1 AS level FROM steps WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0 AND child LIKE 'o%'
+        UNION SELECT s.child, s.parent, level + 1 FROM up JOIN steps s ON s.child = up.parent WHERE level < 4)
+    SELECT parent, count(DISTINCT child) AS branches FROM up GROUP BY 1 HAVING count(DISTINCT child) >= 2 ORDER BY branches DESC, parent LIMIT 30""", "edges"))
 def ret_cluster_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents over two branches or more that hold a hit. Hits are made distinct before they climb."""
-    e = edges(spark, sf_dir)
-    held = e.where("relation = 'placed by'").select(F.col("target").alias("source")).distinct()
-    up = held.join(e.select("source", "target"), "source")
-    return up.groupBy(F.col("target").alias("parent")).agg(F.count_distinct("source").alias("branches")).where("branches >= 2")
+    """The thirty parents, up to four levels up, over the most branches that hold a hit; two at least."""
+    e = edges(spark, sf_dir).where("relation <> 'contains'")
+    hits = e.where(F.col("source").startswith("o") & (F.substring("source", 2, 20).cast("long") % 10 == 0))
+    up = graph.ascend(e, hits.select(F.col("source").alias("entity")), 4)
+    counted = up.groupBy("parent").agg(F.count_distinct("child").alias("branches")).where("branches >= 2")
+    return counted.orderBy(F.desc("branches"), "parent").limit(30)
 
 
 @query(sql("SELECT fact_group, count(*) AS revisions, min(start) AS first, max(start) AS last, arg_max(revision_id, transaction_id) AS latest FROM assertions GROUP BY 1", "assertions"))
@@ -266,3 +269,42 @@ def agg_usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streaming counters hold once all events have come."""
 
     return feeds.counters(read_table(spark, sf_dir, "events"), ["event_type", "user_id"], "value").withColumn("total", F.round("total", 4))
+
+
+def page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), F.col("vec_id").alias("id"), "embedding")
+
+
+@query()
+def wk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of over 30 sources into groups around farthest-first seeds; checked against brute force."""
+    return pages.split(page_members(spark, sf_dir), admit=0.2, over=30)
+
+
+@query("""WITH RECURSIVE p AS (SELECT source, length(text) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id % 3 <> 0),
+    w AS (SELECT source, place, CAST(0 AS BIGINT) AS chunk, CAST(cost AS BIGINT) AS size FROM p WHERE place = 0
+        UNION ALL SELECT p.source, p.place, CASE WHEN size + cost > 40000 THEN chunk + 1 ELSE chunk END, CASE WHEN size + cost > 40000 THEN cost ELSE size + cost END
+        FROM w JOIN p ON p.source = w.source AND p.place = w.place + 1)
+    SELECT source, chunk, min(place) AS first, max(place) AS last, max(size) AS size FROM w GROUP BY ALL""")
+def in_onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of what has changed since a ledger that holds every third document, and every third of the rest at an older state."""
+    docs = read_table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("provenance"), "text")
+    state = F.when(F.col("provenance") % 3 == 0, F.col("text")).otherwise("older")
+    ledger = docs.where("provenance % 3 <> 2").select("source", "provenance", F.sha2(state, 256).alias("digest"))
+    return ingest.onboard(docs, ledger)[1]
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_custkey % 50 AS profile_id, o_orderkey % 900 AS cost, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS place
+        FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)),
+    w AS (SELECT profile_id, place, CAST(0 AS BIGINT) AS chunk, CAST(cost AS BIGINT) AS size, 1 AS n FROM p WHERE place = 0
+        UNION ALL SELECT p.profile_id, p.place, CASE WHEN n = 8 OR size + cost > 3000 THEN chunk + 1 ELSE chunk END,
+            CASE WHEN n = 8 OR size + cost > 3000 THEN cost ELSE size + cost END, CASE WHEN n = 8 OR size + cost > 3000 THEN 1 ELSE n + 1 END
+        FROM w JOIN p ON p.profile_id = w.profile_id AND p.place = w.place + 1)
+    SELECT profile_id, chunk, min(place) AS first, max(place) AS last, max(size) AS size FROM w GROUP BY ALL""")
+def in_reminisce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of memories without edges, for a model to make their graphs; here orders without a third line."""
+    own = read_table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 50).alias("profile_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 900).alias("chars")
+    )
+    linked = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("memory_id"))
+    return ingest.pack(ingest.orphans(own, linked), "profile_id", "id", "chars", 3000, most=8)

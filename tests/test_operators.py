@@ -7,11 +7,13 @@ import json
 import random
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, stem, text
-from lorekeep.operators import ingest, recall, rows, search, sets, temporal
+from lorekeep.operators import graph, ingest, pages, recall, rows, search, sets, temporal
+from lorekeep.plans import rest_queries
 from lorekeep.sources import files, transcripts
 from lorekeep.streaming import feeds
 
@@ -278,3 +280,68 @@ def test_streams(spark, tmp_path):
     assert counted.count() > 0
     feeds.drain(stream(), lambda batch: batch.select("id"), str(tmp_path / "done"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "done")).count() == 12
+
+
+def naive_split(members, admit, over, most, least):
+    pages, out = {}, set()
+    for page, ident, vector in members:
+        pages.setdefault(page, {})[ident] = np.asarray(vector, float)
+
+    def like(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return a @ b / size if size else 0.0
+
+    for page, own in pages.items():
+        if len(own) <= over:
+            continue
+        seeds = [min(own)]
+        while len(seeds) < most:
+            nearest = {i: max(like(own[i], own[s]) for s in seeds) for i in own if i not in seeds}
+            rest = {i: x for i, x in nearest.items() if x < admit}
+            if not rest:
+                break
+            seeds.append(min(rest, key=lambda i: (rest[i], i)))
+        groups = {}
+        for i in own:
+            best = max(seeds, key=lambda s: like(own[i], own[s]))
+            if like(own[i], own[best]) >= admit:
+                groups.setdefault(best, []).append(i)
+        groups = {s: g for s, g in groups.items() if len(g) >= least}
+        if len(groups) >= 2:
+            out |= {(page, s, i) for s, g in groups.items() for i in g}
+    return out
+
+
+def test_pages_split_as_by_brute_force(spark):
+    members = rest_queries.page_members(spark, "/root/testdata/sf0.001")
+    local = [tuple(r) for r in members.collect()]
+    for admit, over, most in ((0.2, 30, 16), (0.1, 50, 4)):
+        found = pages.split(members, admit, over, most)
+        expected = naive_split(local, admit, over, most, 3)
+        assert {(r.page, r.seed, r.id) for r in found.collect()} == expected
+        assert expected
+    assert pages.split(members.limit(0), 0.2, 3).count() == 0
+
+
+def test_packed_runs_have_at_most_so_many_rows(spark):
+    rows_ = spark.createDataFrame([("a", i, c) for i, c in enumerate([1, 1, 1, 1, 1, 50, 1])], "g string, o long, c long")
+    found = ingest.pack(rows_, "g", "o", "c", 10, most=2).orderBy("chunk").collect()
+    assert [(r.first, r.last, r.size) for r in found] == [(0, 1, 2), (2, 3, 2), (4, 4, 1), (5, 5, 50), (6, 6, 1)]
+
+
+def test_ascend_goes_through_cycles_and_stops(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f")], "source string, target string")
+    held = spark.createDataFrame([("a",), ("a",), ("x",)], "entity string")
+    found = sorted((r.child, r.parent) for r in graph.ascend(edges, held, 4).collect())
+    assert found == [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")]
+    assert graph.ascend(edges, held.limit(0), 4).count() == 0
+
+
+def test_assignment_keeps_what_it_had(spark):
+    candidates = spark.createDataFrame(
+        [(1, "a", 0.3), (1, "b", 0.3), (1, "c", 0.9), (2, "a", 0.2), (3, "d", 0.5), (3, "c", 0.5), (3, "a", 0.6), (3, "b", 0.4)],
+        "id long, page string, score double",
+    )
+    placed = spark.createDataFrame([(1, "a"), (2, "a")], "id long, page string")
+    found = sorted((r.id, r.page or "") for r in pages.assign(candidates, placed, 0.35, 0.25).collect())
+    assert found == [(1, "a"), (1, "c"), (2, ""), (3, "a"), (3, "c"), (3, "d")]
