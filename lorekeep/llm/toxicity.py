@@ -85,7 +85,9 @@ def _gram_blocks(words: list[str], settings: Settings) -> tuple[list[tuple], np.
         used[found] = True
         made.append((begin, found, of, np.bincount(of)))
     place = np.cumsum(used, dtype=np.int32) - 1
-    return [(begin, place[found], of, n) for begin, found, of, n in made], np.flatnonzero(used)
+    for i, (begin, found, of, n) in enumerate(made):
+        made[i] = begin, place[found], of, n
+    return made, np.flatnonzero(used)
 
 
 class Vocabulary(dict):
@@ -135,8 +137,9 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     del vocabulary
 
     draw = np.random.default_rng(settings.seed)
-    table = draw.normal(0, 0.1, (len(rows), settings.size))
-    layer = draw.normal(0, 0.1, (settings.size, 2))
+    # Single precision: the table, its moments and its temporary arrays are most of what training holds.
+    table = draw.normal(0, 0.1, (len(rows), settings.size)).astype(np.float32)
+    layer = draw.normal(0, 0.1, (settings.size, 2)).astype(np.float32)
     offset = np.array([0.0, bias])
     weights = [table, layer, offset]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
@@ -163,14 +166,20 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
         row_pull = np.zeros(len(rows))
         for begin, at, of, n in blocks:
             row_pull += np.bincount(at, (word_pull[begin : begin + len(n)] / n)[of], minlength=len(rows))
-        both = np.stack([-row_pull, row_pull], axis=1)
+        both = np.stack([-row_pull, row_pull], axis=1).astype(np.float32)
         total = np.array([-error.sum(), error.sum()])
-        steps = [both @ layer.T + settings.decay * table / len(y), table.T @ both, total]
-        for i, (w, g) in enumerate(zip(weights, steps, strict=True)):
-            m, v = moments[i]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        pulls = both @ layer.T
+        pulls += np.float32(settings.decay / len(y)) * table
+        for (m, v), w, g in zip(moments, weights, [pulls, table.T @ both, total], strict=True):
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            np.square(g, out=g)
+            v += 0.01 * g
+            slope = np.sqrt(v / (1 - 0.99**step))
+            slope += 1e-8
+            w -= settings.rate / (1 - 0.9**step) * m / slope
+        del both, pulls, g, slope
     numbers = np.zeros(settings.rows)
     numbers[rows] = table @ (layer[:, 1] - layer[:, 0])
     return numbers, float(offset[1] - offset[0])
@@ -232,7 +241,9 @@ def fit(
 ) -> tuple[np.ndarray, float]:
     """Train on the labelled documents; `learn` says, over labels, which labels may be learnt from."""
     sample = training_sample(docs, labels if learn is None else labels.where(learn), settings, **names)
-    return train(sample["_text"], sample["_label"], settings)
+    texts, marks = sample["_text"].tolist()[::-1], sample["_label"].tolist()
+    del sample
+    return train((texts.pop() for _ in marks), marks, settings)  # a text goes once its words are numbered
 
 
 def with_score(
