@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -43,8 +44,10 @@ BYTE = 255
 WIDE, BANDS, BAND_ROWS = 8, 12, 4
 #: Shingles of one component that are checked in one go; larger components become pairs of chunks.
 CHUNK_SHINGLES = 1 << 20
-#: Standard deviations of the distance at the threshold that the radius of wide fingerprints leaves room for.
-ROOM = 2.33
+#: The radius of wide fingerprints misses a link at the threshold with this probability at most, at any number of shingles.
+MISSED = 0.001
+#: Up to so many shingles in both texts together, the distance is worked out exactly; ties of the vote matter there.
+FEW_SHINGLES = 40
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,8 +88,11 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprint(text: str, words: int = 5) -> tuple[bytes, list[int], int]:
-    """A fingerprint of WIDE words, the keys of its bands, the number of shingles; a text without words has zeros."""
-    hashes = shingle_hashes(text, words)
+    """A fingerprint of WIDE words, the keys of its bands, the number of shingles; a text without words has zeros.
+
+    All three are of the set of shingles, as the likeness is: each votes once, however often it occurs.
+    """
+    hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
         return bytes(8 * WIDE), [0] * BANDS, 0
     steps = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -301,11 +307,40 @@ def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.select("node", F.posexplode(keys).alias("way", "key"))
 
 
+def _halves(n: int) -> np.ndarray:
+    """The probabilities of 0 to n heads in n throws."""
+    return np.array([math.comb(n, k) for k in range(n + 1)]) / 2.0**n
+
+
+def differs(shared: int, one: int, two: int) -> float:
+    """The probability that a bit of two wide fingerprints differs, from the shingles they share and those of each alone."""
+    heads = np.arange(shared + 1)
+
+    def is_set(alone: int) -> np.ndarray:
+        least = np.clip((shared + alone) // 2 + 1 - heads, 0, alone + 1)  # of those alone, for over half of all
+        return np.append(np.cumsum(_halves(alone)[::-1])[::-1], 0.0)[least]
+
+    a, b = is_set(one), is_set(two)
+    return float(_halves(shared) @ (a + b - 2 * a * b))
+
+
+@cache
 def wide_radius(similarity: float) -> int:
-    """Bits by which wide fingerprints may differ. Texts of the similarity differ by fewer with probability 0.99."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = WIDE * BITS
-    return math.floor(bits * angle + ROOM * math.sqrt(bits * angle * (1 - angle)))
+    """Bits by which wide fingerprints may differ. Texts of the similarity differ by more with probability MISSED at most.
+
+    Votes of few shingles tie often, which moves the probability of a differing bit both ways from the angle that it
+    tends to with their number. It is the largest of all such numbers that counts.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for shared in range(1, FEW_SHINGLES + 1):
+        extra = min(FEW_SHINGLES, math.floor(shared / similarity + 1e-9)) - shared
+        for more in range(1, extra + 1):
+            chance = max(chance, *(differs(shared, one, more - one) for one in range(more // 2 + 1)))
+    bits, radius, reached = WIDE * BITS, -1, 0.0
+    while reached < 1 - MISSED:
+        radius += 1
+        reached += math.comb(bits, radius) * chance**radius * (1 - chance) ** (bits - radius)
+    return radius
 
 
 def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -390,7 +425,7 @@ def similar_documents(
 
     Texts are linked if they share a band, their wide fingerprints differ by `wide_radius` or fewer bits and
     `similarity` or more of their distinct shingles (Jaccard). The first two miss a link at the very threshold with
-    probability 0.002 and 0.01. Cases are as in `near_duplicates`; wordless texts are alike.
+    probability 0.002 and MISSED at most. Cases are as in `near_duplicates`; wordless texts are alike.
     """
 
     @F.pandas_udf("struct<bits: binary, keys: array<long>, shingles: long>")

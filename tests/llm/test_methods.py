@@ -131,6 +131,34 @@ def test_links_of_similarity_are_those_of_brute_force(spark, monkeypatch, chunk)
     assert [found[i] for i in range(len(texts))] == naive_components(len(texts), near)
 
 
+def test_links_of_repeated_lines_and_short_texts_are_those_of_brute_force(spark):
+    draw = random.Random(5)
+    texts = []
+    for times in (5, 40):
+        base = [f"w{draw.randrange(4000)}" for _ in range(204)]
+        line = [f"v{draw.randrange(4000)}" for _ in range(10)]
+        texts += [" ".join(x) for x in (base, base + line * times, base + base[-14:] * times)]
+    for size in range(5, 21):
+        for _ in range(30):
+            base = [f"w{draw.randrange(4000)}" for _ in range(size)]
+            texts += [" ".join(x) for x in (base, [*base, "end"], base[1:], [*base[:-1], "other"])]
+    near = []
+    for k in range(0, len(texts), 2):  # only copies of one base can be near: three in a row, then four in a row
+        near += [(i, j) for i in range(k, min(k + 7, len(texts))) for j in range(k, i) if jaccard(texts[i], texts[j]) >= 0.8]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == naive_components(len(texts), near)
+
+
+@pytest.mark.parametrize("shared, one, two", [(4, 0, 1), (12, 1, 2), (8, 1, 1), (80, 10, 10)])
+def test_bits_differ_as_often_as_worked_out(shared, one, two):
+    draw = np.random.default_rng(shared)
+    bits = draw.integers(0, 2, (40_000, shared + one + two), dtype=np.int8)
+    a, b = bits[:, : shared + one], np.delete(bits, slice(shared, shared + one), axis=1)
+    apart = (2 * a.sum(axis=1) > shared + one) != (2 * b.sum(axis=1) > shared + two)
+    assert simhash.differs(shared, one, two) == pytest.approx(apart.mean(), abs=0.01)
+
+
 def test_overlaps_are_jaccard_likenesses():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 50, n, dtype=np.uint64)) for n in (1, 5, 40, 40, 80)]
