@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.rows import settled
+
 
 def incident(edges: DataFrame) -> DataFrame:
     """Each edge seen from both ends: entity, direction, other, and the edge's columns."""
@@ -74,3 +76,19 @@ def ascend(edges: DataFrame, held: DataFrame, levels: int) -> DataFrame:
         climbed = taken if climbed is None else climbed.unionByName(taken)
         front = taken.select(F.col("parent").alias("child")).distinct()
     return climbed.distinct()
+
+
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """page, canonical: where each redirect (page, to; a page has one at most) ends. A cycle raises ValueError.
+
+    Each round doubles the length of the steps, until none goes further. A chain has no more steps than there
+    are redirects, so what still moves after that many rounds goes round in a cycle.
+    """
+    hops = settled(redirects.select("page", "to"))
+    for _ in range(hops.count().bit_length() + 1):
+        further = hops.select(F.col("page").alias("to"), F.col("to").alias("on"))
+        stepped = settled(hops.join(further, "to", "left").select("page", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")))
+        if stepped.where("moved").isEmpty():
+            return hops.select("page", F.col("to").alias("canonical"))
+        hops = stepped.select("page", "to")
+    raise ValueError("redirect cycle")

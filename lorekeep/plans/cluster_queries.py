@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import ingest, rows, search, sets
+from lorekeep.operators import graph, ingest, rows, search, sets
 from lorekeep.plans.derived import edges, memories, messages, sql, traces
 from lorekeep.plans.engine_queries import nearest, probes
 from lorekeep.plans.functions_queries import STOP
@@ -169,13 +169,12 @@ def wk_fact_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk AS (SELECT page, page AS here, 0 AS steps FROM r UNION ALL SELECT walk.page, r.next, steps + 1 FROM walk JOIN r ON r.page = walk.here WHERE r.next IS NOT NULL)
     SELECT page, arg_max(here, steps) AS canonical FROM walk GROUP BY 1""")
 def wk_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirects followed to their end; each round doubles the length of the steps."""
+    """Redirects followed to their end, however long the chain."""
     key = F.col("p_partkey")
-    hops = read_table(spark, sf_dir, "part").select(key.alias("page"), F.when((key % 4 == 0) | (key < 2), key).otherwise(key - 1).alias("to"))
-    for _ in range(3):
-        further = hops.select(F.col("page").alias("to"), F.col("to").alias("on"))
-        hops = hops.join(further, "to", "left").select("page", F.coalesce("on", "to").alias("to"))
-    return hops.select("page", F.col("to").alias("canonical"))
+    parts = read_table(spark, sf_dir, "part").select(key.alias("page"))
+    redirects = parts.where((F.col("page") % 4 != 0) & (F.col("page") >= 2)).select("page", (F.col("page") - 1).alias("to"))
+    ends = graph.redirect_ends(redirects)
+    return parts.join(ends, "page", "left").select("page", F.coalesce("canonical", "page").alias("canonical"))
 
 
 @query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 40 AS m FROM lineitem), k AS (SELECT id, list_sort(list(m)) AS members FROM s GROUP BY 1)

@@ -345,3 +345,12 @@ def test_assignment_keeps_what_it_had(spark):
     placed = spark.createDataFrame([(1, "a"), (2, "a")], "id long, page string")
     found = sorted((r.id, r.page or "") for r in pages.assign(candidates, placed, 0.35, 0.25).collect())
     assert found == [(1, "a"), (1, "c"), (2, ""), (3, "a"), (3, "c"), (3, "d")]
+
+
+def test_redirects_end_after_long_chains_and_cycles_raise(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(100, 7)], "page long, to long")
+    assert {r.page: r.canonical for r in graph.redirect_ends(chain).collect()} == dict.fromkeys([*range(1, 41), 100], 0)
+    assert graph.redirect_ends(chain.where("false")).count() == 0
+    for cycle in ([(1, 1)], [(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (9, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.redirect_ends(spark.createDataFrame(cycle, "page long, to long"))
