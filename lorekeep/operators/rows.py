@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import base64
+import re
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -121,12 +121,16 @@ def endpoints(edges: DataFrame, *keep: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, for loops.
+    """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    The folder is that of spark.checkpoint.dir; only a session that names none (a local test) gets a temporary one.
+    Only a session on this machine alone (local master) that names no folder gets a temporary one; on a cluster the
+    executors could not share it, so there it is an error. Set spark.cleaner.referenceTracking.cleanCheckpoints to
+    have checkpoints removed once nothing refers to them.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
