@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import bounded_batches, own_name, whole_text
+from lorekeep.llm.common import own_name, whole_text
 
 #: Pre-tokens that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 100_000
@@ -133,13 +133,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The rows of Arrow batches in slices of HELD rows, which need not be copies."""
-    for batch in batches:
-        for at in range(0, len(batch), HELD):
-            yield batch.slice(at, HELD)
-
-
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate(found) if found else np.empty(0, np.int32))
@@ -155,10 +148,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             yield _lists([own.encode(x.as_py()) for x in batch])
 
-    return bounded_batches(docs).withColumn(ids, ids_of(whole_text(text)))
+    return docs.withColumn(ids, ids_of(whole_text(text)))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -167,10 +160,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids",
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             yield pa.array([own.decode(x.values.to_numpy()) for x in batch], pa.binary())
 
-    return bounded_batches(encoded).withColumn(text, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
+    return encoded.withColumn(text, bytes_of(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def round_trip(
@@ -184,11 +177,11 @@ def round_trip(
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path, pattern)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [own.encode(x.as_py()) for x in batch]
             back = pa.array([own.decode(x) for x in found], pa.binary())
             yield pa.StructArray.from_arrays([_lists(found), back], ["ids", "decoded"])
 
     coded = own_name(docs, "coded")
-    marked = bounded_batches(docs).withColumn(coded, both(whole_text(text)))
+    marked = docs.withColumn(coded, both(whole_text(text)))
     return marked.withColumns({ids: F.col(f"{coded}.ids"), decoded: F.col(f"{coded}.decoded")}).drop(coded)

@@ -2,44 +2,84 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.rows import settled as stash  # noqa: F401
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 LABEL_FOLDS = 5
-#: Bytes of a batch that goes to a Python worker.
-ARROW_BYTES = 4 << 20
+#: Rows of an Arrow batch that a Python worker takes up at a time.
+HELD = 64
+#: A key is hot if it holds over 1 / HOT of the rows, so there are fewer than HOT hot keys at any input size.
+HOT = 1000
+#: A row set's bitmap has so many bits for each row, and BITMAP_BITS (16 MB) at most.
+BITS_A_ROW, BITMAP_BITS = 32, 1 << 27
+#: Bits of one value of Spark's bitmap functions.
+BITMAP_BUCKET = 32_768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of Arrow batches in slices of HELD rows, which need not be copies."""
+    for batch in batches:
+        for at in range(0, len(batch), HELD):
+            yield batch.slice(at, HELD)
+
 
-    Only a session that names no folder (a local test) gets a temporary one.
+def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """many joined with `one`, which has a row for each key (no nulls) and for which `hot` tells the hot keys.
+
+    Hot keys must be fewer than HOT by what they mean (over 1 / HOT of the rows of many). Their rows are broadcast, so
+    that the many rows of a hot key stay where they are; all others meet by a shuffle.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
-    return df.checkpoint(eager=True)
+    mark = own_name(many, "hot")
+    marked = many.join(F.broadcast(one.where(hot).withColumn(mark, F.lit(True))), keys, "left")
+    gained = [c for c in one.columns if c not in keys]
+    near = marked.where(F.col(mark)).drop(mark)
+    far = marked.where(F.col(mark).isNull()).drop(mark, *gained).join(one.where(~hot), keys)
+    return near.unionByName(far)
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that hands Python ARROW_BYTES at a time where it was left at Spark's default of 64 MB.
+def divide(rows: DataFrame, some: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows without, and with, those whose keys may be among those of `some` (the same columns, stashed).
 
-    Two tasks of an executor hold several copies of a batch, in the heap, in Arrow and in the worker.
+    All rows whose keys are among them are in the second part, and of the others a few (one in BITS_A_ROW). A
+    bitmap of hashed keys is broadcast for it, of at most BITMAP_BITS. With very many keys it tells less and less
+    apart, and the second part grows towards all rows; what is done to it must not depend on that.
+    """
+    bits = min(BITMAP_BITS, -(-max(1, some.count()) * BITS_A_ROW // BITMAP_BUCKET) * BITMAP_BUCKET)
+    bucket, bitmap = own_name(rows, "bucket"), own_name(rows, "bitmap")
+    spot = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    place = F.bitmap_bit_position(spot)
+    maps = some.groupBy(F.bitmap_bucket_number(spot).alias(bucket)).agg(F.bitmap_construct_agg(place).alias(bitmap))
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(spot)).join(F.broadcast(maps), bucket, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+    without, perhaps = (marked.where(x).drop(bucket, bitmap) for x in (~there, there))
+    return without, perhaps
+
+
+def without(docs: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """docs without the rows whose keys `marked` says to go (column goes); of rows of equal marked keys one stays.
+
+    marked has each of its keys once; keys that occur twice in docs must be among them. Keys may be null. Only rows that
+    may be marked are shuffled (see `divide`); all others stay where they are.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) == f"{64 << 20}b":
-        conf.set(key, f"{ARROW_BYTES}b")
-    return df
+    marked = stash(marked)
+    stays, doubtful = divide(docs, marked, keys)
+    gone = marked.where("goes").select(*(F.col(c).alias(f"gone_{i}") for i, c in enumerate(keys)))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"gone_{i}")) for i, c in enumerate(keys)))
+    return stays.unionByName(doubtful.dropDuplicates(keys).join(gone, same, "left_anti"))
 
 
 def whole_text(name: str = "text") -> Column:

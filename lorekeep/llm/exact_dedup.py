@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import BLANK, own_name, stash, whole_text
+from lorekeep.llm.common import BLANK, HOT as HEAVY_SHARE, own_name, stash, whole_text, without
 
-#: A digest is heavy from this fraction of the rows on; also the most winners there can be.
-HEAVY_SHARE = 1000
 #: Counters of the summary. Its error is below 3.5 / TRACKED of the rows, so no heavy digest escapes it.
 TRACKED = 10_000
 
@@ -41,9 +39,9 @@ def heavy_digests(rows: DataFrame) -> DataFrame:
     )
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """Settle rows (doc_id, digest): adds keep_id and group_size."""
-    winners = F.broadcast(stash(heavy_digests(rows)))
+def groups(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Settle rows (doc_id, digest) by the heavy digests' winners: adds keep_id and group_size."""
+    winners = F.broadcast(winners)
     settled = rows.join(winners, "digest")
     rest = rows.join(winners, "digest", "left_anti")
     light = rest.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
@@ -58,7 +56,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     kept (`deduplicate` leaves one of them). An empty table gives an empty table. Other columns are ignored.
     """
     rows = stash(docs.select(F.col(doc_id).alias("doc_id"), text_digest(whole_text(text)).alias("digest")))
-    return groups(rows).select(
+    return groups(rows, stash(heavy_digests(rows))).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"
     )
 
@@ -66,22 +64,20 @@ def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that stay, one of each group of equal texts, with the columns of docs.
 
-    Cases are as in `duplicate_groups`. The text columns move only for groups in which the kept id is repeated.
+    Cases are as in `duplicate_groups`. Rows of a heavy digest that do not stay go on the map side, by the broadcast
+    winners. Of all others, only rows of groups of two or more (and a few that a bitmap cannot tell from them) are shuffled.
     """
-    digest, keep, times = (own_name(docs, x) for x in ("digest", "keep", "times"))
+    digest, keep, own = (own_name(docs, x) for x in ("digest", "keep", "own"))
     rows = stash(docs.select(F.col(doc_id).alias("doc_id"), text_digest(whole_text(text)).alias("digest")))
-    kept = (
-        groups(rows)
-        .where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("group_size") > 1))
-        .groupBy("digest", "keep_id")
-        .agg(F.count("*").alias(times))
-        .select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), times)
-    )
-    kept = stash(kept)
-    marked = docs.withColumn(digest, text_digest(whole_text(text))).join(kept, digest, "left")
-    once = F.col(times).isNull() | ((F.col(times) == 1) & F.col(doc_id).eqNullSafe(F.col(keep)))
-    stays = marked.where(once)
-    if kept.where(F.col(times) > 1).isEmpty():
-        return stays.select(docs.columns)
-    again = marked.where((F.col(times) > 1) & F.col(doc_id).eqNullSafe(F.col(keep))).dropDuplicates([digest])
-    return stays.unionByName(again).select(docs.columns)
+    winners = stash(heavy_digests(rows))
+    few = winners.select(F.col("digest").alias(digest), F.struct("keep_id").alias(keep))
+    marked = docs.withColumns({digest: text_digest(whole_text(text)), own: F.col(doc_id)}).join(F.broadcast(few), digest, "left")
+    marked = marked.where(F.col(keep).isNull() | F.col(own).eqNullSafe(F.col(f"{keep}.keep_id")))
+    settled = groups(rows, winners).where("group_size > 1")
+    copies = settled.groupBy("digest", "doc_id", "keep_id").agg(F.count("*").alias("times"))
+    goes = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    light = copies.join(F.broadcast(winners.select("digest")), "digest", "left_anti").where(goes)
+    again = copies.where(~goes & (F.col("times") > 1))
+    decided = light.withColumn("goes", F.lit(True)).unionByName(again.withColumn("goes", F.lit(False)))
+    decided = decided.select(F.col("digest").alias(digest), F.col("doc_id").alias(own), "goes")
+    return without(marked, decided, [digest, own]).select(docs.columns)

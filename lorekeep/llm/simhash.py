@@ -21,11 +21,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import bounded_batches, own_name, stash, whole_text
+from lorekeep.llm.common import HOT, divide, meet, own_name, slices, stash, whole_text, without
 from lorekeep.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -117,12 +118,12 @@ def _signed(values: list[int]) -> np.ndarray:
 def with_fingerprint(docs: DataFrame, words: int = 4, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """docs with its fingerprint as a signed long; null texts count as empty."""
 
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(_signed([fingerprint(x, words) for x in batch]))
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(batches):
+            yield pa.array(_signed([fingerprint(x.as_py(), words) for x in part]))
 
-    return bounded_batches(docs).withColumn(name, of(whole_text(text)))
+    return docs.withColumn(name, of(whole_text(text)))
 
 
 def bits_of(fingerprints: np.ndarray) -> np.ndarray:
@@ -271,15 +272,12 @@ def links(keyed: DataFrame, radius: int, wide: bool = False) -> DataFrame:
 
     keyed: node (a long; the fingerprint itself unless wide), bits (the wide fingerprint), way, key.
     """
-    shards = (
-        keyed.groupBy("way", "key")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select("way", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("shards"))
-    )
+    counts = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shards = stash(counts.withColumn("shards", F.ceil(F.col("n") / CHUNK).cast("int")))
+    whole = shards.agg(F.sum("n")).first()[0] or 0
     own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     dealt = (
-        keyed.join(shards, ["way", "key"])
+        meet(keyed, shards, ["way", "key"], F.col("n") * HOT > whole)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.expr("filter(sequence(0, shards - 1), x -> shards = 1 OR x != own)")))
         .groupBy("way", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -297,7 +295,7 @@ def links(keyed: DataFrame, radius: int, wide: bool = False) -> DataFrame:
                 if len(found):
                     yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
-    return bounded_batches(dealt).mapInPandas(compare, "u long, v long")
+    return dealt.mapInPandas(compare, "u long, v long")
 
 
 def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
@@ -344,14 +342,19 @@ def wide_radius(similarity: float) -> int:
 
 
 def _label(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (doc_id, node, ...) with the component of each and its smallest doc_id, from links between nodes."""
-    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
-    tied = stash(connected_components(found))
-    smallest = tied.join(nodes, "node").groupBy("component").agg(F.min("first").alias("smallest"))
-    labels = nodes.join(tied.join(smallest, "component"), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"), F.coalesce("smallest", "first").alias("component_id")
-    )
-    return rows.join(labels, "node")
+    """rows (doc_id, node, ...) with the component of each and its smallest doc_id, from links between nodes.
+
+    Rows of a node that many share, and nodes of a component of many, meet what belongs to them on the map side.
+    """
+    nodes = stash(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    tied = stash(connected_components(found).join(nodes, "node"))
+    smallest = stash(tied.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    many = F.col("size") * HOT > tied.count()
+    linked = meet(tied.select("node", "component", "n"), smallest, ["component"], many).drop("size")
+    alone = nodes.join(tied.select("node"), "node", "left_anti")
+    alone = alone.select("node", F.col("node").alias("component"), "n", F.col("first").alias("component_id"))
+    labels = stash(linked.select(alone.columns).unionByName(alone))
+    return meet(rows, labels, ["node"], F.col("n") * HOT > rows.count()).drop("n")
 
 
 def near_duplicates(
@@ -377,32 +380,28 @@ def true_links(plain: DataFrame, signed: DataFrame, found: DataFrame, similarity
     candidate are cut into shingles again, one for each node. A component of over CHUNK_SHINGLES shingles or CHUNK
     nodes is dealt out as pairs of chunks, as buckets are.
     """
-    tied = stash(connected_components(found))
-    chosen = (
-        signed.join(tied, "node")
-        .groupBy("component", "node", "bits", "shingles", "doc_id", "text_hash")
-        .agg(F.count("*").alias("times"))
-        .groupBy("component", "node")
-        .agg(F.min(F.struct("text_hash", "doc_id", "bits", "shingles", "times")).alias("x"))
-        .select("component", "node", "x.*")
-    )
-    chosen = stash(chosen)
+    tied = connected_components(found)
+    first = F.min(F.struct("text_hash", "doc_id", "bits", "shingles", "times")).alias("x")
+    ones = signed.groupBy("node", "bits", "shingles", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    chosen = stash(ones.groupBy("node").agg(first).select("node", "x.*").join(tied, "node"))
     size = F.greatest(F.ceil(F.sum("shingles") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK))
-    shards = chosen.groupBy("component").agg(size.cast("int").alias("shards"))
+    shards = stash(chosen.groupBy("component").agg(size.cast("int").alias("shards"), F.count("*").alias("n")))
     own = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
-    seats = chosen.join(shards, "component").select(
-        F.col("doc_id").alias("of"), "text_hash", "component", "node", "bits", own.alias("own"), "shards"
+    many = F.col("n") * HOT > chosen.count()
+    seats = meet(chosen, shards, ["component"], many).select(
+        "doc_id", "text_hash", "component", "node", "bits", own.alias("own"), "shards"
     )
 
-    @F.pandas_udf("binary")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.unique(shingle_hashes(x, words)).tobytes() for x in batch])
+    @F.arrow_udf("binary")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(batches):
+            yield pa.array([np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in part], pa.binary())
 
-    hashed = plain.withColumn("hash", F.xxhash64("text"))
-    texts = hashed.join(seats, (F.col("hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    _, likely = divide(plain.withColumn("text_hash", F.xxhash64("text")), chosen.select("doc_id", "text_hash"), ["doc_id", "text_hash"])
     if not chosen.where("times > 1").isEmpty():
-        texts = texts.dropDuplicates(["node"])
+        likely = likely.dropDuplicates(["doc_id", "text_hash"])
+    seats = seats.withColumnsRenamed({"doc_id": "of", "text_hash": "with"})
+    texts = likely.join(seats, (F.col("text_hash") == F.col("with")) & F.col("doc_id").eqNullSafe(F.col("of")))
     dealt = texts.select("component", "node", "bits", cut("text").alias("sets"), "own", "shards").withColumn(
         "other", F.explode(F.expr("filter(sequence(0, shards - 1), x -> shards = 1 OR x != own)"))
     )
@@ -428,12 +427,14 @@ def similar_documents(
     probability 0.002 and MISSED at most. Cases are as in `near_duplicates`; wordless texts are alike.
     """
 
-    @F.pandas_udf("struct<bits: binary, keys: array<long>, shingles: long>")
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([wide_fingerprint(x, words) for x in batch], columns=["bits", "keys", "shingles"])
+    kind = pa.struct([("bits", pa.binary()), ("keys", pa.list_(pa.int64())), ("shingles", pa.int64())])
+
+    @F.arrow_udf("struct<bits: binary, keys: array<long>, shingles: long>")
+    def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in slices(batches):
+            yield pa.array([dict(zip(kind.names, wide_fingerprint(x.as_py(), words))) for x in part], kind)
 
-    plain = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     signed = plain.select("doc_id", F.xxhash64("text").alias("text_hash"), signature("text").alias("s"))
     signed = signed.select("doc_id", "text_hash", F.xxhash64("s.bits", "s.keys").alias("node"), "s.*")
     signed = stash(signed)
@@ -450,22 +451,16 @@ def drop_near_duplicates(
     """The documents that stay, with the columns of docs: of each component the one of smallest id.
 
     Components are those of `similar_documents`. Of rows of one component that share that id, the one of smallest
-    text hash stays, and of equal rows one. Texts move only if a row that stays is repeated.
+    text hash stays, and of equal rows one. Null ids stay only in a component without any other; an empty table gives
+    none. Only rows of components of two or more (and a few that a bitmap cannot tell from them) are shuffled.
     """
-    key, mark, times = (own_name(docs, x) for x in ("head", "text_hash", "times"))
-    heads = (
-        similar_documents(docs, similarity, words, text, doc_id)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component", "doc_id", "text_hash")
-        .agg(F.count("*").alias("times"))
-        .groupBy("component")
-        .agg(F.min(F.struct("text_hash", "doc_id", "times")).alias("head"))
-        .select(F.col("head.doc_id").alias(key), F.col("head.text_hash").alias(mark), F.col("head.times").alias(times))
-    )
-    heads = stash(heads)
-    stays = docs.join(
-        heads, docs[doc_id].eqNullSafe(F.col(key)) & (F.xxhash64(whole_text(text)) == F.col(mark)), "inner"
-    )
-    if not heads.where(F.col(times) > 1).isEmpty():
-        stays = stays.dropDuplicates([key, mark])
-    return stays.select(docs.columns)
+    own, mark = own_name(docs, "own"), own_name(docs, "text_hash")
+    rows = stash(similar_documents(docs, similarity, words, text, doc_id))
+    ones = rows.groupBy("component", "doc_id", "component_id", "text_hash").agg(F.count("*").alias("times"))
+    first = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("head")
+    several = stash(ones.groupBy("component").agg(F.sum("times").alias("n"), first).where("n > 1"))
+    found = meet(ones, several, ["component"], F.col("n") * HOT > rows.count())
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head")))
+    decided = found.where(goes | (F.col("times") > 1)).select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark), goes.alias("goes"))
+    keyed = docs.withColumns({own: F.col(doc_id), mark: F.xxhash64(whole_text(text))})
+    return without(keyed, decided, [own, mark]).select(docs.columns)

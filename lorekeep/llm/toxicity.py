@@ -1,12 +1,12 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams, hashed to rows of an embedding table; a text window is the mean of
-its words; a softmax layer of two classes reads the mean. Table and layer are trained together, so a
-misspelling that was never seen shares the vectors of the n-grams it kept. A text is as toxic as its most
-toxic window: long texts are not diluted, and the window that decides is the one that training moves.
+A word is the bag of its character n-grams, hashed to rows of an embedding table. A text is the sum of two averages: of
+all its words, and of the words of its most toxic window, so that a long text is not diluted. A softmax layer
+of two classes reads the sum. Table and layer are trained together, so a misspelling that was never seen shares
+the vectors of the n-grams it kept.
 
 Everything after the layer is linear in the embeddings, so a trained model reduces to one number for each
-n-gram row, and executors score words by the mean of their rows.
+n-gram row, and executors score words by the mean of their rows, texts and windows by the mean of their words.
 """
 
 from __future__ import annotations
@@ -16,34 +16,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import bounded_batches, own_name, whole_text
+from lorekeep.llm.common import own_name, slices, whole_text
 
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}'@$!*_-]*[\p{L}\p{N}])?")
 #: Words that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
 #: Words whose n-grams training handles at a time.
 BLOCK = 20_000
-#: Texts that are scored at a time.
-HELD = 128
 #: Multipliers of the n-gram hash.
 FACTOR, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: the most labelled rows that training takes, those of smallest hash; longest: it takes no longer texts."""
+    """What training takes and how it goes.
+
+    window: words of a window. sample: the most labelled rows that training takes, those of smallest hash;
+    characters: it takes no further row once the rows before hold so many.
+    """
 
     rows: int = 1 << 17
     size: int = 16
     shortest_gram: int = 3
     longest_gram: int = 6
-    window: int = 1
+    window: int = 2
     sample: int = 5_000
-    longest: int = 20_000
+    characters: int = 20_000_000
     rounds: int = 80
     rate: float = 0.1
     decay: float = 5e-2
@@ -101,16 +104,36 @@ class Vocabulary(dict):
         return np.array([*map(self.__getitem__, WORD.findall(text))], np.int32)
 
 
-def window_starts(words: int, window: int) -> np.ndarray:
-    """Windows overlap by half (those of one word do not); a text that is no longer than one has one."""
-    return np.arange(0, max(1, words - window // 2), max(1, window // 2))
+def blocks_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many words (none empty), their blocks of half a window: first word, number of words; and whether it is a text's last.
+
+    A window is a block and the next one of its text, so windows overlap by half; a text of one block is one window.
+    """
+    step = max(1, window // 2)
+    counts = -(-words // step)
+    ends = np.cumsum(counts)
+    place = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+    first = np.repeat(np.cumsum(words) - words, counts) + place * step
+    last = np.zeros(len(first), bool)
+    last[ends - 1] = True
+    length = np.full(len(first), step)
+    length[last] = words - (counts - 1) * step
+    return first, length, last
+
+
+def windows(values: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums over windows of sums over blocks. A last block has no window of its own unless its text has no other: -inf there."""
+    both = values.copy()
+    both[:-1] += np.where(last[:-1], 0.0, values[1:])
+    both[1:][last[1:] & ~last[:-1]] = -np.inf
+    return both
 
 
 def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """A number for each embedding row and one for all: a window's logit is their sum over its mean word.
+    """A number for each embedding row and one for all: a text's logit is that one and the means over its words and its window.
 
-    Full-batch Adam on the cross entropy of each text's deciding window; in the first rounds that is the mean
-    of all windows, so that no window decides before anything is learnt. Texts without words teach only
+    Full-batch Adam on the cross entropy of the texts; in the first rounds the mean of all windows takes the place of the
+    most toxic one, so that no window decides before anything is learnt. Texts without words teach only
     the share of toxic texts. With one class or no text at all, the scores are that share throughout.
     """
     vocabulary, labels = Vocabulary(), np.array([*labels], np.float64)
@@ -123,15 +146,17 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
         return np.zeros(settings.rows), bias
     docs = [k for k in kept if len(k)]
     words = np.concatenate(docs)
-    begins = np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]])
-    # Windows: first word and length, and the document of each.
-    starts = [window_starts(len(d), settings.window) for d in docs]
-    first = np.concatenate([b + s for b, s in zip(begins, starts, strict=True)]).astype(np.int32)
-    length = np.concatenate([np.minimum(settings.window, len(d) - s) for d, s in zip(docs, starts, strict=True)]).astype(np.int32)
-    doc_first = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
-    counts = np.array([len(s) for s in starts])
+    sizes = np.array([len(d) for d in docs])
+    first, length, last = blocks_of(sizes, settings.window)
+    counts = np.diff(np.flatnonzero(np.append(last, True)), prepend=-1)[: len(docs)]  # blocks of each text
+    doc_first = np.cumsum(counts) - counts
+    span = windows(length.astype(float), last)
+    real = span > 0
+    span[~real] = 1.0
     owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
-    del kept, docs, starts
+    many = np.bincount(owner, real)
+    second = np.flatnonzero(real & ~last) + 1  # the second blocks of windows
+    del kept, docs
     blocks, rows = _gram_blocks([*vocabulary], settings)
     size = len(vocabulary)
     del vocabulary
@@ -148,21 +173,21 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
         row_logits = table @ layer
         row_margin = row_logits[:, 1] - row_logits[:, 0]
         margin = np.concatenate([np.bincount(of, row_margin[at]) / n for _, at, of, n in blocks])
-        run = np.concatenate([[0.0], np.cumsum(margin[words])])
-        window_margin = (run[first + length] - run[first]) / length
+        block_margin = np.add.reduceat(margin[words], first)
+        window_margin = windows(block_margin, last) / span
         even = step <= settings.rounds // 6
         if even:  # each document's windows share its decision
-            score = np.add.reduceat(window_margin, doc_first) / counts
+            score = np.add.reduceat(np.where(real, window_margin, 0.0), doc_first) / many
         else:
             score = np.maximum.reduceat(window_margin, doc_first)
-        toxic = 1 / (1 + np.exp(-np.clip(score + offset[1] - offset[0], -30, 30)))
+        logit = score + np.add.reduceat(block_margin, doc_first) / sizes + offset[1] - offset[0]
+        toxic = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         error = (toxic - y) / len(y)  # of the class-1 logit; of class 0 its negative
-        deciding = slice(None) if even else np.flatnonzero(window_margin == score[owner])
-        whose = owner[deciding]
-        pull = (error / (counts if even else np.bincount(whose, minlength=len(y))))[whose] / length[deciding]
-        edges = np.bincount(first[deciding], pull, minlength=len(words) + 1)
-        edges -= np.bincount(first[deciding] + length[deciding], pull, minlength=len(words) + 1)
-        word_pull = np.bincount(words, np.cumsum(edges)[:-1], minlength=size)
+        deciding = real if even else window_margin == score[owner]
+        pull = np.where(deciding, (error / np.bincount(owner, deciding))[owner] / span, 0.0)
+        block_pull = pull + (error / sizes)[owner]
+        block_pull[second] += pull[second - 1]
+        word_pull = np.bincount(words, np.repeat(block_pull, length), minlength=size)
         row_pull = np.zeros(len(rows))
         for begin, at, of, n in blocks:
             row_pull += np.bincount(at, (word_pull[begin : begin + len(n)] / n)[of], minlength=len(rows))
@@ -205,14 +230,15 @@ class Scorer:
         found = [WORD.findall(t) for t in texts]
         words = [w for f in found for w in f]
         self._learn(words)
-        run = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), float, len(words)))])
-        out, at = np.full(len(texts), self.offset), 0
-        for i, own in enumerate(found):
-            if own:
-                first = at + window_starts(len(own), self.settings.window)
-                last = np.minimum(first + self.settings.window, at + len(own))
-                out[i] += ((run[last] - run[first]) / (last - first)).max()
-                at += len(own)
+        out, sizes = np.full(len(texts), self.offset), np.array([len(f) for f in found])
+        if words:
+            first, length, last = blocks_of(sizes[sizes > 0], self.settings.window)
+            values = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+            span = windows(length.astype(float), last)
+            sums = windows(np.add.reduceat(values, first), last)
+            means = np.divide(sums, span, out=np.full(len(sums), -np.inf), where=span > 0)
+            starts = np.flatnonzero(np.append(True, last[:-1]))
+            out[sizes > 0] += np.add.reduceat(values, first[starts]) / sizes[sizes > 0] + np.maximum.reduceat(means, starts)
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -222,24 +248,37 @@ class Scorer:
 def training_sample(
     docs: DataFrame, labels: DataFrame, settings: Settings, text: str = "text", doc_id: str = "doc_id", label: str = "toxic"
 ) -> pd.DataFrame:
-    """At most settings.sample labelled rows (text, label), the same whatever the partitioning."""
+    """Labelled rows (text, label), within settings.sample and settings.characters, the same whatever the partitioning."""
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
         F.col("_label").isin(0, 1)
     )
-    texts = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text")).where(
-        F.length("_text") <= settings.longest
-    )
+    texts = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text"))
     order = F.xxhash64(F.lit(settings.seed), "_id")
     some = marks.withColumn("_order", order).orderBy("_order", "_id", "_label").limit(settings.sample * 2)
     # At most twice the sample of small rows, so the join needs no shuffle of texts.
-    found = texts.join(F.broadcast(some), "_id").orderBy("_order", "_id", "_label", "_text").limit(settings.sample)
-    return found.select("_text", "_label").toPandas()
+    found = texts.join(F.broadcast(some), "_id").withColumn("_chars", F.length("_text"))
+    few = found.select("_order", "_id", "_label", "_chars", F.xxhash64("_text").alias("_hash"))
+    by = ["_order", "_id", "_label", "_hash"]
+    few = few.orderBy(*by).limit(settings.sample)  # so the window's one task holds no more than that
+    before = F.sum("_chars").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1))
+    ends = few.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < settings.characters)
+    bound = ends.agg(F.max(F.struct(*by)).alias("x"), F.count("*").alias("n")).first()
+    if not bound.n:
+        return found.select("_text", "_label").limit(0).toPandas()
+    kinds = [few.schema[c].dataType for c in by]
+    own = F.struct(*(F.col(c).alias(c) for c in by[:3]), F.xxhash64("_text").alias("_hash"))
+    last = F.struct(*(F.lit(x).cast(k).alias(c) for x, k, c in zip(bound.x, kinds, by)))
+    return found.where(own <= last).orderBy(own, "_text").limit(bound.n).select("_text", "_label").toPandas()
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, settings: Settings = Settings(), **names: str
 ) -> tuple[np.ndarray, float]:
-    """Train on the labelled documents; `learn` says, over labels, which labels may be learnt from."""
+    """Train on the labelled documents; `learn` says, over labels, which labels may be learnt from.
+
+    Labels that are neither 0 nor 1, null ids and labels of no document teach nothing; an id that is labelled or occurs twice counts
+    twice. Null texts are empty. Without any lesson all texts score one half. Other columns are ignored.
+    """
     sample = training_sample(docs, labels if learn is None else labels.where(learn), settings, **names)
     texts, marks = sample["_text"].tolist()[::-1], sample["_label"].tolist()
     del sample
@@ -260,17 +299,16 @@ def with_score(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # settings.rows numbers, about a megabyte
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(*shared.value, settings)
-        for batch in batches:
-            parts = [own.scores(batch[at : at + HELD].tolist()) for at in range(0, len(batch), HELD)]
-            yield pd.Series(np.concatenate([np.empty(0), *parts]))
+        for part in slices(batches):
+            yield pa.array(own.scores(part.to_pylist()))
 
-    return bounded_batches(docs).withColumn(name, scores(whole_text(text)))
+    return docs.withColumn(name, scores(whole_text(text)))
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.5, settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """The documents that score below the limit, with the columns of docs."""
+    """The documents that score below the limit, with the columns of docs. Cases are as in `with_score`."""
     score = own_name(docs, "toxicity")
     return with_score(docs, model, settings, text, score).where(F.col(score) < limit).select(docs.columns)
