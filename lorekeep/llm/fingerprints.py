@@ -14,13 +14,11 @@ from lorekeep.llm.common import BLANK, own_name, stash, whole_text
 
 #: Hashes kept, and words of a shingle.
 K, WORDS = 64, 5
-#: Rows that a neighbour bucket aims at, and the most buckets there are (so that a list of them is small).
-BUCKET_ROWS, BUCKETS = 4096, 20_000
 SPAN = 2.0**64
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
-    """A hash of each word shingle, A-Z in lower case; of all words where there are fewer; none without words."""
+    """A hash of each word shingle in lower case; of all words where there are fewer; none without words."""
     found = F.filter(F.split(F.lower(text), BLANK), lambda w: w != "")
 
     def hashes(array: Column) -> Column:
@@ -94,49 +92,59 @@ def with_sketch(docs: DataFrame, text: str = "text", name: str = "sketch", k: in
     return docs.withColumn(name, sketch(whole_text(text), k, words))
 
 
+def next_keys(ids: DataFrame) -> DataFrame:
+    """key, next and the other columns of ids: each key beside the next one by descending doc_id, after the last the first.
+
+    ids: key, a struct (doc_id, hash) that occurs once. Null ids order after all others, equal ids by hash. Spark deals the
+    keys out by sampled ranges, as for a sort, so that ranges hold like numbers of rows whatever the ids are; only the first key
+    of each range is broadcast.
+    """
+    order = [F.desc_nulls_last("key.doc_id"), F.asc("key.hash")]
+    ranged = stash(ids.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    within = Window.partitionBy("range").orderBy(*order)
+    near = stash(ranged.withColumns({"near": F.lead("key").over(within), "place": F.row_number().over(within)}))
+    heads = near.where("place = 1").select("range", F.col("key").alias("head"))
+    along = Window.orderBy("range")  # one row for each range
+    first = F.first("head").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("range", F.coalesce(F.lead("head").over(along), first).alias("after"))
+    found = near.join(F.broadcast(after), "range")
+    return found.select(*ids.columns, F.coalesce("near", "after").alias("next"))
+
+
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = K, words: int = WORDS) -> DataFrame:
-    """doc_id, text, sketch, next_text, next_sketch: each document beside the next one by descending id.
+    """doc_id, text, sketch, next_start, next_sketch: each document beside the next one by descending id.
 
-    After the last comes the first. Null ids order after all others, rows of equal id by text; a table of one
-    row is its own next. Null texts are empty. Ids are cut into ranges by value, at most BUCKETS of them. A
-    range's first row also goes to the range before it, which is what that range's last row needs: texts
-    are shuffled once and no task orders the whole table.
+    next_start is the beginning of the next text, half as long as the own text is (rounded down) or all of it.
+    After the last document comes the first. Null ids order after all others, rows of equal id by a hash of their text; rows
+    that repeat wholly follow one another. A table of one row is its own next; an empty table gives no rows. Null texts are
+    empty; other columns are ignored. Only ids, hashes and lengths are put in order. Texts meet by key: they are shuffled once whole,
+    and their beginnings once more.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    n, low, high = plain.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    buckets = min(BUCKETS, max(1, -(-n // BUCKET_ROWS)))
-    width = -(-(high - low + 1) // buckets)
-    # Bucket 0 is for null ids; all others count up with the id.
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width) + 1, F.lit(0))
-    if high - low >= 1 << 53:
-        bucket = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20)) - {low}) div {width} as bigint)") + 1, F.lit(0))
-    plain = plain.withColumn("bucket", bucket)
-    heads = plain.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    down = Window.orderBy(F.desc("bucket"))
-    first = F.max("bucket").over(Window.partitionBy())
-    last = F.min("bucket").over(Window.partitionBy())
-    before = F.when(F.col("bucket") == first, last).otherwise(F.lag("bucket").over(down))
-    heads = stash(heads.select(F.col("bucket").alias("of"), "head", before.alias("before")))
-    # At most BUCKETS + 1 rows of three numbers.
-    is_head = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head"))
-    placed = plain.join(F.broadcast(heads), is_head, "left").withColumn(
-        "seat",
-        F.explode(
-            F.when(
-                F.col("of").isNotNull(),
-                F.array(
-                    F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")),
-                    F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")),
-                ),
-            ).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))))
-        ),
+    keyed = plain.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    ids = stash(keyed.groupBy("key").agg(F.min(half).alias("half"), F.count("*").alias("times")))
+    pairs = stash(next_keys(ids))
+    if not ids.where("times > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["key"])
+    asked = pairs.select(F.col("next").alias("key"), F.col("key").alias("by"), "half", "times")
+    starts = keyed.join(asked, "key").select(
+        F.col("by").alias("key"),
+        "times",
+        F.substring(F.col("text"), F.lit(1), F.col("half")).alias("next_start"),
+        sketch(F.col("text"), k, words).alias("next_sketch"),
+    )
+    met = keyed.join(starts, "key").withColumn("sketch", sketch(F.col("text"), k, words))
+    # All but one of the rows that repeat are followed by themselves.
+    copy = F.col("copy") > 1
+    each = met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select(
+        F.col("key.doc_id").alias("doc_id"),
+        "text",
+        "sketch",
+        F.when(copy, F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("next_start")).alias("next_start"),
+        F.when(copy, F.col("sketch")).otherwise(F.col("next_sketch")).alias("next_sketch"),
     )
-    seated = placed.select("doc_id", "text", F.col("seat.bucket").alias("bucket"), F.col("seat.guest").alias("guest"))
-    dealt = with_sketch(seated.repartition("bucket"), k=k, words=words)
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    nexts = dealt.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    return nexts.where(~F.col("guest")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -91,7 +91,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.with_next(table(spark, sf_dir, "documents"))
     changed = fingerprints.with_sketch(
-        pairs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text"))), "edited", "edited_sketch"
+        pairs.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_start"))), "edited", "edited_sketch"
     )
     own = F.col("sketch")
     return changed.select(
@@ -140,7 +140,7 @@ ORACLES = {
             FROM conversations),
         sides AS (SELECT DISTINCT conv_id, who AS perspective FROM said WHERE who <> 'system'),
         seen AS (
-            SELECT s.conv_id, perspective, coalesce(turn // 64, 0) AS part, turn, who, body, who = perspective AS own,
+            SELECT s.conv_id, perspective, CAST(0 AS BIGINT) AS part, turn, who, body, who = perspective AS own,
                    '<|im_start|>' || CASE WHEN who = 'system' THEN who WHEN who = perspective THEN 'assistant'
                        ELSE 'user name=' || who END || chr(10) AS head,
                    row_number() OVER (PARTITION BY s.conv_id, perspective, part ORDER BY turn NULLS FIRST, who, body) AS place

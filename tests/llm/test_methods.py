@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -292,21 +293,80 @@ def test_merged_sketches_equal_the_sketch_of_the_whole(spark):
         assert merged[g] == sorted({h for r in rows if r.g == g for h in r.sketch})[:4]
 
 
+def slow_dialogue(turns, side):
+    """The dialogue of turns (number, who, text) from one side: text and mask."""
+    out, mask = "", []
+    for _, who, said in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])):
+        name = who if who == "system" else "assistant" if who == side else f"user name={who}"
+        out += f"<|im_start|>{name}\n"
+        if who == side:
+            mask.append((len(out), len(out) + len(said) + 10))
+        out += f"{said}<|im_end|>\n"
+    return out, mask
+
+
 def test_perspectives(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 70, "ann", None), (2, 0, "system", "alone"), (None, None, None, "x")],
         "conv_id long, turn long, role string, text string",
     )
-    found = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(turns).collect()}
-    assert set(found) == {(1, "ann", 0), (1, "ann", 1), (1, "bob", 0), (1, "bob", 1), (None, "unknown", 0)}
-    ann = found[1, "ann", 0]
-    assert ann.text == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n<|im_start|>user name=bob\nyo<|im_end|>\n"
-    assert [ann.text[a:b] for a, b in ann.mask] == ["hi <| im_end|><|im_end|>"]
-    bob = found[1, "bob", 0]
-    assert [bob.text[a:b] for a, b in bob.mask] == ["yo<|im_end|>"] and found[1, "bob", 1].mask == []
+    found = {(r.conv_id, r.perspective): r for r in chat.rotate(turns.withColumns({"part": F.lit("clash"), "x": F.lit(1), "n": F.lit(None), "of": F.lit(2)})).collect()}
+    assert set(found) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    ann, bob = found[1, "ann"], found[1, "bob"]
+    assert ann.text == (
+        "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <| im_end|><|im_end|>\n"
+        "<|im_start|>user name=bob\nyo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    )
+    assert [ann.text[a:b] for a, b in ann.mask] == ["hi <| im_end|><|im_end|>", "<|im_end|>"] and ann.n_turns == 4
+    assert [bob.text[a:b] for a, b in bob.mask] == ["yo<|im_end|>"]
     assert chat.rotate(turns.where("false")).count() == 0
 
 
+def test_long_dialogues_are_one_row(spark):
+    draw = random.Random(8)
+    spoken = [(i * 100, draw.choice(["ann", "bob", "cy", "system"]), "é" * draw.randrange(40)) for i in range(500)]
+    spoken += [(7, "ann", f"same number {i}") for i in range(200)] + [(None, "bob", "first"), (9, "cy", "long " * 100_000)]
+    rows = [(1, *t) for t in spoken] + [(c, i, f"p{i}", f"hi {c}") for c in range(2, 60) for i in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    found = {(r.conv_id, r.perspective): r for r in chat.rotate(turns).collect()}
+    assert len(found) == 3 + 58 * 3 and {r.part for r in found.values()} == {0}
+    for side in ("ann", "bob", "cy"):
+        text, mask = slow_dialogue(spoken, side)
+        own = found[1, side]
+        assert own.text == text and [*map(tuple, own.mask)] == mask and own.n_turns == 702
+
+
+def test_parts_repeat_the_system_turns(spark):
+    spoken = [(0, "system", "rules"), *((i, "ab"[i % 2], f"turn {i:03}") for i in range(1, 300)), (150, "system", "more rules")]
+    turns = spark.createDataFrame([(1, *t) for t in spoken], "conv_id long, turn long, role string, text string").repartition(16)
+    rows = sorted((r for r in chat.rotate(turns, part_chars=2500).collect() if r.perspective == "a"), key=lambda r: r.part)
+    assert len(rows) > 1 and sum(r.n_turns for r in rows) == 301
+    for r in rows:
+        assert r.text.startswith("<|im_start|>system\nrules")
+        assert ("more rules" in r.text) == (max(re.findall(r"turn (\d+)", r.text)) >= "150")
+        assert all(r.text[a:b].startswith("turn") and r.text[a:b].endswith("<|im_end|>") for a, b in r.mask)
+    assert sum(len(r.mask) for r in rows) == 149
+
+
+def test_neighbours_of_uneven_ids(spark):
+    ids = [*range(3000), 1 << 60, -(1 << 62), 5, 5, 5, None, None]
+    rows = [(i, f"text {k} of {i}" if k % 7 else None) for k, i in enumerate(ids)] + [(77, "again and again"), (77, "again and again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).alias("key"), "text")
+    hashes = {(r.key.doc_id, r.text): r.key.hash for r in keyed.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r]))
+    expected = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        expected.append((i, t, after[: len(t) // 2]))
+    found = [(r.doc_id, r.text, r.next_start) for r in fingerprints.with_next(docs).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    made = fingerprints.next_keys(keyed.select("key").distinct().repartition(4))
+    assert made.count() == made.select("next").distinct().count()
+    ranges = docs.select("doc_id").distinct().repartitionByRange(4, F.desc_nulls_last("doc_id")).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in ranges) < 2 * 3000 / 4
+
+
 def test_quality_on_held_out_rows(spark):
     from lorekeep.llm import queries
 
