@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import stash, whole_text
 
 PIECE = regex.compile(r"\w+|[^\w\s]+")
-#: Texts that are counted at a time; bins of one pass of the search for the k-th key; rows it may end with.
-HELD, BINS, ENOUGH = 64, 1024, 10_000
+#: Bins of one pass of the search for the k-th key; rows it may end with.
+BINS, ENOUGH = 1024, 10_000
 
 
 @dataclass(frozen=True)
@@ -87,8 +87,9 @@ def log_ratios(target: np.ndarray, every: np.ndarray, smooth: float = 1.0) -> np
 def fit(docs: DataFrame, good: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
     """The ratios for documents against those whose ids (column doc_id of good) are target examples.
 
-    The raw model counts all documents, the target model a bounded sample of the examples. Without examples
-    all ratios are near zero.
+    The raw model counts all documents, the target model a bounded sample of the examples. Without examples (or
+    documents) all ratios are zero. Null ids are no examples, an id of several rows makes all of them examples, a
+    repeated example counts once. Null texts are empty; other columns are ignored.
     """
     ids = good.select(F.col(doc_id).alias("_good")).where("_good IS NOT NULL").distinct()
     ids = ids.orderBy(F.xxhash64(F.lit(settings.seed), "_good"), "_good").limit(settings.sample)
