@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES in order, each over all that its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each over all that its predecessor kept.
+
+What holds for every stage: null texts are empty texts, null ids and repeated rows are allowed, columns of docs may have any
+names (those beside doc_id, text and source are carried along), an empty table gives an empty one, a text of any length is
+read whole. All stages but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +16,43 @@ from lorekeep.llm.common import stash, table, whole_text
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; clean ones, empty ones too, stay."""
+    """Documents that score 0.5 or more go; clean ones stay. Texts without words score the share of toxic labels.
+
+    Equal texts score alike. Labels of no document teach nothing.
+    """
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model, queries.TOXIC)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space, the one of smallest doc_id stays."""
+    """Of texts equal but for white space, the one of smallest doc_id stays.
+
+    A null id stays only in a group without any other; of rows that repeat the smallest id one stays.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 0.8 of their five-word shingles, the smallest doc_id stays."""
+    """Of each component of documents that share 0.8 of their five-word shingles, the smallest doc_id stays.
+
+    Texts without words are alike. Null and repeated ids are treated as among exact copies.
+    """
     return simhash.drop_near_duplicates(docs, similarity=0.8, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; those of sources under their target weight occur again."""
+    """Every document stays; those of sources under their target weight occur again. A null source is one source.
+
+    Sources whose documents have no words stay as they are. Equal rows go together.
+    """
     return mixing.mix(docs).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids, round_trip (whether the ids decode to the text)."""
+    """doc_id, source, n_tokens, token_ids, round_trip (whether the ids decode to the text), a row for each row of docs.
+
+    Texts that are null or empty have no tokens; other columns are left out.
+    """
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.round_trip(docs.select("doc_id", "source", "text"), path, pattern)
     return coded.select(
