@@ -138,7 +138,7 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     """
     vocabulary, labels = Vocabulary(), np.array([*labels], np.float64)
     kept = [vocabulary.add(text) for text in texts]
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    share = (labels.sum() + 0.5) / (len(labels) + 2)  # a quarter if nothing is known, so that nothing is called toxic then
     bias = float(np.log(share / (1 - share)))
     used = np.array([len(k) > 0 for k in kept], bool)
     y = labels[used] if len(labels) else labels
@@ -277,7 +277,7 @@ def fit(
     """Train on the labelled documents; `learn` says, over labels, which labels may be learnt from.
 
     Labels that are neither 0 nor 1, null ids and labels of no document teach nothing; an id that is labelled or occurs twice counts
-    twice. Null texts are empty. Without any lesson all texts score one half. Other columns are ignored.
+    twice. Null texts are empty. Without any lesson all texts score a quarter. Other columns are ignored.
     """
     sample = training_sample(docs, labels if learn is None else labels.where(learn), settings, **names)
     texts, marks = sample["_text"].tolist()[::-1], sample["_label"].tolist()
