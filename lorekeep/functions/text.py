@@ -15,13 +15,15 @@ STOPWORDS = (
     "to", "was", "were", "what", "when", "where", "which", "who", "why", "with", "you",
     "your", "about", "did", "had", "has", "have", "this", "these", "those",
 )
+CLAIM_STOPWORDS = ("the", "and", "for", "with", "from", "what", "how", "are", "was", "this", "that", "does", "can")
 NAME_ALIASES = {"postgres": "postgresql", "pg": "postgresql", "js": "javascript", "ts": "typescript"}
 RELATION_ALIASES = {
     "include": "includes", "use": "uses", "contain": "contains", "require": "requires", "return": "returns",
     "run": "runs", "define": "defines", "own": "owns", "provide": "provides", "support": "supports",
     "extend": "extends", "implement": "implements", "depend on": "depends on", "depends_on": "depends on",
 }
-# Secrets, in the order in which they are masked, and what stays of each: groups around the secret.
+# Secrets, in the order in which they are masked, and what stays of each. Spark's replacement keeps groups, so
+# the groups stand around the secret.
 SECRET_PATTERNS = (
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted]"),
     (r"\bgh[pousr]_[A-Za-z0-9]{16,}", "[redacted]"),
@@ -35,6 +37,7 @@ SECRET_PATTERNS = (
         "$1[redacted]",
     ),
 )
+# Languages by file ending.
 LANGUAGES = {
     "java": "java", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript",
     "tsx": "typescript", "py": "python", "go": "go", "rs": "rust", "scss": "scss",
@@ -120,6 +123,11 @@ def distinct_terms(text: Column, longer_than: int, limit: int) -> Column:
     return F.slice(F.array_distinct(F.filter(words(text, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > longer_than)), 1, limit)
 
 
+def claim_terms(text: Column) -> Column:
+    """The distinct words of a question by which claims are matched: three letters or more, without the commonest."""
+    return F.array_distinct(F.filter(words(text, r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*CLAIM_STOPWORDS)))
+
+
 def collapse(text: Column) -> Column:
     """Lower case, trimmed, each run of white space one space; null gives the empty text."""
     return F.trim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))

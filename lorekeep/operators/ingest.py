@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text
@@ -133,25 +133,94 @@ def admitted(denied: tuple[str, ...]) -> Column:
     return (F.col("status") == "failure") | tool.isin(*ALWAYS_KEPT) | ~tool.isin(*denied)
 
 
+def _line(text: Column, place: int) -> Column:
+    """The first (1) or last (-1) line of a text that is not blank, trimmed; null without any."""
+    lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.try_element_at(lines, F.lit(place))
+
+
+def signal_line() -> Column:
+    """The line of a trace (error, output) worth quoting: the first of its error, else the last of its output."""
+    return F.coalesce(_line(F.col("error"), 1), _line(F.col("output"), -1), F.lit("no output"))
+
+
+def invocation() -> Column:
+    """How a call (tool, args) reads; the shell goes unnamed, as its arguments name the program."""
+    args = F.trim(F.coalesce("args", F.lit("")))
+    return F.when(args == "", F.col("tool")).when(F.col("tool") == "Bash", args).otherwise(F.concat("tool", F.lit(" "), args))
+
+
+def event(calls: DataFrame, received: Column, budget: int, root: str, home: str) -> DataFrame:
+    """calls (tool, args, output, error, started_at, ended_at, ...) made clean, with occurred_at, from_receipt and hits.
+
+    Bodies are cut, secrets masked (hits counts them) and paths shortened. A call occurred when it ended, else when it
+    started, else when it was received. Null bodies stay null.
+    """
+    hits = F.lit(0)
+    for name in ("args", "output", "error"):
+        hits = hits + F.coalesce(text.redact(text.truncate_head_tail(F.col(name), budget))[1], F.lit(0))
+    found = calls.withColumns(
+        {
+            "hits": hits,
+            "occurred_at": F.coalesce("ended_at", "started_at", received),
+            "from_receipt": F.col("ended_at").isNull() & F.col("started_at").isNull(),
+        }
+    )
+    return found.withColumns({n: text.scrub(F.col(n), budget, root, home) for n in ("args", "output", "error")})
+
+
 def outcome(traces: DataFrame) -> DataFrame:
-    """traces (tool, args, status, error) with signature, topic_key, content and error_digest of their outcome."""
+    """traces (tool, args, status, exit_code, output, error) with signature, topic_key, content and error_digest of their outcome.
+
+    The digest is that of the error, or of the output where the error is blank.
+    """
     signature = text.command_signature(F.col("tool"), F.col("args"))
-    invocation = F.concat(F.lit("`"), F.col("tool"), F.lit(" "), F.coalesce("args", F.lit("")), F.lit("`"))
+    said = F.concat(F.lit("`"), invocation(), F.lit("`"))
+    exit_ = F.coalesce(F.concat(F.lit(" (exit "), F.col("exit_code").cast("string"), F.lit(")")), F.lit(""))
     content = (
-        F.when(F.col("status") == "failure", F.concat(invocation, F.lit(" failed: "), F.coalesce("error", F.lit(""))))
-        .when(F.col("status") == "success", F.concat(invocation, F.lit(" succeeded")))
-        .otherwise(F.concat(invocation, F.lit(" ran; outcome unknown")))
+        F.when(F.col("status") == "failure", F.concat(said, F.lit(" failed"), exit_, F.lit(": "), signal_line()))
+        .when(F.col("status") == "success", F.concat(said, F.lit(" succeeded"), exit_))
+        .otherwise(F.concat(said, F.lit(" ran; outcome unknown")))
     )
+    blank = F.coalesce(F.trim(F.regexp_replace("error", r"\s+", " ")), F.lit("")) == ""
     return traces.withColumns(
         {
             "signature": signature,
             "topic_key": F.concat(F.lit("trace:outcome:"), signature),
             "content": content,
-            "error_digest": text.error_digest(F.col("error")),
+            "error_digest": text.error_digest(F.when(blank, F.col("output")).otherwise(F.col("error"))),
         }
     )
 
 
+def due_chunks(chunks: DataFrame, ledger: DataFrame, ended: DataFrame) -> DataFrame:
+    """chunks (session_id, chunk, digest, ...) to take in now.
+
+    Not those whose digest the ledger holds, nor the last one of a session that has not ended (ended: session_id), as it may still grow.
+    """
+    last = chunks.groupBy("session_id").agg(F.max("chunk").alias("last"))
+    open_ = last.join(ended.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.col("last").alias("chunk"))
+    return changed(chunks, ledger, ["session_id", "chunk"]).join(open_, ["session_id", "chunk"], "left_anti")
+
+
+def new_tokens(chunks: DataFrame, said: DataFrame) -> DataFrame:
+    """session_id, chunk, tokens: what each chunk (first, last) adds to those before it, whose turns it may repeat.
+
+    said: session_id, place, tokens. A turn counts for the first chunk that has it.
+    """
+    along = Window.partitionBy("session_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.greatest("first", F.coalesce(F.max("last").over(along) + 1, F.lit(0)))
+    fresh = chunks.withColumn("begin", begin)
+    places = fresh.where("begin <= last").select("session_id", "chunk", F.explode(F.sequence("begin", "last")).alias("place"))
+    sums = places.join(said, ["session_id", "place"]).groupBy("session_id", "chunk").agg(F.sum("tokens").alias("tokens"))
+    return chunks.select("session_id", "chunk").join(sums, ["session_id", "chunk"], "left").select("session_id", "chunk", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+def route(mode: Column, content: Column, source: Column) -> Column:
+    """`verify` or `pass` for a statement: by mode all (always), none (never), or those that their source does not bear out."""
+    return F.when((mode == "always") | ((mode != "never") & ~text.grounded(content, source)), F.lit("verify")).otherwise(F.lit("pass"))
+
+
 def capture(body: Column, limit: int) -> list[Column]:
     """A bounded capture of a body: its beginning, its size in bytes, its digest, whether it was cut."""
     return [

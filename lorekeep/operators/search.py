@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +107,27 @@ def collapse(candidates: DataFrame, threshold: float = 0.6) -> DataFrame:
     names = [c for c in candidates.columns if c != "shingles"]
     schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in names)
     return candidates.groupBy("query_id").applyInPandas(keep, schema)
+
+
+def contained(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """texts with `term`: a row for each of the terms (column term, distinct) that is anywhere in the text, words or not.
+
+    The terms, FEW_TERMS at most, are one automaton that passes over each text once; there is no join of texts with terms.
+    """
+    listed = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
+    if len(listed) > FEW_TERMS:
+        raise ValueError(f"over {FEW_TERMS} terms; ask in batches")
+
+    @F.arrow_udf("array<string>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        known = ahocorasick.Automaton()
+        for term in listed:
+            known.add_word(term, term)
+        known.make_automaton()
+        for batch in batches:
+            held = [sorted({t for _, t in known.iter(x)}) if listed and (x := v.as_py()) else [] for v in batch]
+            yield pa.array(held, pa.list_(pa.string()))
+
+    return texts.withColumn("term", F.explode(found(F.col(text))))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import graph, ingest, rows, search, sets
+from lorekeep.operators import clusters, graph, ingest, pages, rows, search
 from lorekeep.plans.derived import edges, memories, messages, sql, traces
-from lorekeep.plans.engine_queries import nearest, probes
+from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, VECTOR_SQL, nearest, probes
 from lorekeep.plans.functions_queries import STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
@@ -25,12 +25,18 @@ def cl_topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(keyed.join(big, "topic_key"), 21, [F.col("id")], by="topic_key").select("topic_key", "id")
 
 
-@query(sql("""SELECT prefix, count(*) AS clusters FROM (SELECT DISTINCT topic_key, regexp_extract(topic_key, '^([a-z]+\\.[a-z]+)', 1) AS prefix FROM memories
-    WHERE topic_key IS NOT NULL) WHERE length(prefix) >= 4 GROUP BY 1 HAVING count(*) >= 2""", "memories"))
+@query(sql("""WITH k AS (SELECT DISTINCT topic_key, regexp_extract(source || 'x:' || topic_key, '^([^:]+):', 1) AS prefix FROM (
+        SELECT topic_key, CASE WHEN sequence % 6 = 0 THEN 'code' WHEN sequence % 6 = 1 THEN 'ab' ELSE session_id END AS source FROM memories WHERE topic_key IS NOT NULL))
+    SELECT prefix, count(*) AS clusters FROM k WHERE length(prefix) >= 4 AND prefix NOT IN ('code', 'trace', 'task', 'project', 'general') GROUP BY 1 HAVING count(*) >= 2""", "memories"))
 def cl_prefix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("topic_key").distinct()
-    prefix = F.regexp_extract("topic_key", r"^([a-z]+\.[a-z]+)", 1)
-    return keys.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("clusters")).where("length(prefix) >= 4 AND clusters >= 2")
+    """Namespaces of two scopes or more; short and generic ones tell nothing."""
+    n = F.col("sequence") % 6
+    name = F.when(n == 0, "code").when(n == 1, "ab").otherwise(F.col("session_id"))
+    keyed = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("topic_key", F.concat(name, F.lit("x:"), "topic_key").alias("scope"))
+    prefix = F.regexp_extract("scope", "^([^:]+):", 1)
+    keys = keyed.select("topic_key", prefix.alias("prefix")).distinct()
+    kept = (F.length("prefix") >= 4) & ~F.lower("prefix").isin(*clusters.GENERIC)
+    return keys.where(kept).groupBy("prefix").agg(F.count("*").alias("clusters")).where("clusters >= 2")
 
 
 @query(sql("""SELECT entity, count(DISTINCT memory_id) AS memories FROM (SELECT source AS entity, memory_id FROM edges UNION ALL SELECT target, memory_id FROM edges)
@@ -40,20 +46,23 @@ def cl_entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("entity").agg(F.count_distinct("memory_id").alias("memories")).where("memories >= 3")
 
 
-@query(sql(f"WITH {SEEN_SQL} SELECT id FROM seen WHERE sequence > 400", "memories"))
+@query(sql(f"""WITH {SEEN_SQL} SELECT DISTINCT id FROM seen JOIN (SELECT event_id % 1000 AS sequence FROM events WHERE event_id > 500 AND event_id <= 700) USING (sequence)""", "memories"))
 def cl_discovery_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen(spark, sf_dir).where("sequence > 400").select("id")
+    """Visible memories that a window of the change feed names (an event changes the memory of its number)."""
+    feed = read_table(spark, sf_dir, "events").where("event_id > 500 AND event_id <= 700").select((F.col("event_id") % 1000).alias("sequence"))
+    return seen(spark, sf_dir).join(feed, "sequence", "left_semi").select("id")
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 40 AS m FROM lineitem), z AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
-    p AS (SELECT a.id AS first, b.id AS second, count(*) AS k FROM s a JOIN s b ON a.m = b.m AND a.id < b.id GROUP BY ALL)
-    SELECT first, second, round(k / (x.n + y.n - k), 9) AS likeness FROM p JOIN z x ON x.id = first JOIN z y ON y.id = second
-    WHERE x.n >= 4 AND y.n >= 4 AND k / (x.n + y.n - k) >= 0.75""")
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS cluster, l_partkey AS m FROM lineitem), p AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS m FROM lineitem WHERE l_linenumber > 1),
+    x AS (SELECT cluster, count(*) AS n FROM a GROUP BY 1), y AS (SELECT id, count(*) AS n FROM p GROUP BY 1),
+    k AS (SELECT id, cluster, count(*) AS k FROM a JOIN p USING (m) GROUP BY ALL),
+    s AS (SELECT id, cluster, k / (x.n + y.n - k) AS likeness FROM k JOIN x USING (cluster) JOIN y USING (id))
+    SELECT id, cluster, round(likeness, 9) AS likeness FROM s WHERE likeness > 0.74 QUALIFY row_number() OVER (PARTITION BY id ORDER BY likeness DESC, cluster) = 1""")
 def cl_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of four groups of suppliers or more that overlap by three quarters."""
-    s = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 40).alias("member")).distinct()
-    big = s.groupBy("id").agg(F.count("*").alias("n")).where("n >= 4").select("id")
-    return sets.similar_sets(s.join(big, "id"), 0.75).withColumn("likeness", F.round("likeness", 9))
+    """Proposed groups (the parts of an order without its first line) and the active cluster (the parts of an order) each overlaps most."""
+    items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("member"), "l_linenumber")
+    found = clusters.best_overlaps(items.where("l_linenumber > 1"), items, 0.74)
+    return found.withColumn("likeness", F.round("likeness", 9))
 
 
 @query("""SELECT o_custkey, substr(sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey)), 1, 32) AS fingerprint FROM orders GROUP BY 1""")
@@ -62,18 +71,22 @@ def cl_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(members.alias("m")).select("o_custkey", text.hash128(F.col("m")).alias("fingerprint"))
 
 
-@query("""WITH k AS (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS members FROM orders GROUP BY 1)
-    SELECT o_custkey, members FROM k WHERE members NOT IN (SELECT members FROM k WHERE o_custkey % 50 = 1)""")
+@query("""WITH k AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag || ':' || l_suppkey % 5, ',' ORDER BY l_returnflag || ':' || l_suppkey % 5) AS members FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, members FROM k WHERE members NOT IN (SELECT members FROM k WHERE l_orderkey % 50 = 1)""")
 def cl_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups whose members were dissolved before are not proposed again."""
-    k = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("members"))
-    return k.join(k.where("o_custkey % 50 = 1").select("members").distinct(), "members", "left_anti").select("o_custkey", "members")
+    """Groups whose members (kind and id) are those of a dissolved group are not proposed again."""
+    member = F.concat("l_returnflag", F.lit(":"), (F.col("l_suppkey") % 5).cast("string"))
+    k = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(member)), ",").alias("members"))
+    return k.join(k.where("l_orderkey % 50 = 1").select("members").distinct(), "members", "left_anti").select("l_orderkey", "members")
 
 
-@query(sql(f"""WITH {SEEN_SQL} SELECT topic_key, arg_max(id, sequence) AS evidence FROM seen WHERE topic_key IS NOT NULL GROUP BY 1""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, s AS (SELECT type, topic_key, arg_max(id, sequence) AS revision FROM seen WHERE topic_key IS NOT NULL GROUP BY ALL)
+    SELECT topic_key, id, revision FROM seen JOIN s USING (type, topic_key)""", "memories"))
 def cl_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = seen(spark, sf_dir).where("topic_key IS NOT NULL")
-    return kept.groupBy("topic_key").agg(F.max_by("id", "sequence").alias("evidence"))
+    """The visible originals of each cluster, beside the revision that is selected in their fact group."""
+    kept = seen(spark, sf_dir).where("topic_key IS NOT NULL").select("type", "topic_key", "id", "sequence")
+    selected = kept.groupBy("type", "topic_key").agg(F.max_by("id", "sequence").alias("revision"))
+    return kept.join(selected, ["type", "topic_key"]).select("topic_key", "id", "revision")
 
 
 @query(sql("""SELECT topic_key, max(created_on) AS updated FROM memories WHERE contains(lower(topic_key), 'src1') GROUP BY 1 ORDER BY updated DESC, topic_key LIMIT 30""", "memories"))
@@ -82,53 +95,82 @@ def cl_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("topic_key").agg(F.max("created_on").alias("updated")).orderBy(F.desc("updated"), "topic_key").limit(30)
 
 
-@query(sql("""SELECT topic_key, id, row_number() OVER (PARTITION BY topic_key ORDER BY sequence) AS revision FROM memories
-    WHERE topic_key = 'en.src3' AND from_sequence <= 800""", "memories"))
+@query(sql("""WITH r AS (SELECT topic_key, id, row_number() OVER (PARTITION BY topic_key ORDER BY sequence) AS revision, type, sequence, from_sequence FROM memories WHERE topic_key IS NOT NULL)
+    SELECT topic_key, id, revision, revision = max(revision) OVER (PARTITION BY topic_key) AS current FROM r WHERE from_sequence <= 600""", "memories"))
 def cl_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = memories(spark, sf_dir).where("topic_key = 'en.src3' AND from_sequence <= 800")
+    """The structure of every cluster as it was at a snapshot: all revisions until then, the last one being current."""
+    known = memories(spark, sf_dir).where("topic_key IS NOT NULL AND from_sequence <= 600").select("topic_key", "id", "sequence")
+    last = known.groupBy("topic_key").agg(F.max("sequence").alias("last"))
     revision = F.row_number().over(Window.partitionBy("topic_key").orderBy("sequence"))
-    return one.select("topic_key", "id", revision.alias("revision"))
+    return known.withColumn("revision", revision).join(last, "topic_key").select("topic_key", "id", "revision", (F.col("sequence") == F.col("last")).alias("current"))
 
 
-@query(sql("""SELECT topic_key, count(DISTINCT session_id) AS covered FROM memories WHERE contains(content, 'the') OR contains(content, 'die') GROUP BY 1""", "memories"))
+@query(sql(f"""WITH {PROBES_SQL}, t AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(said), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3
+        AND x NOT IN ('the', 'and', 'for', 'with', 'from', 'what', 'how', 'are', 'was', 'this', 'that', 'does', 'can')))) AS term FROM probes),
+    c AS (SELECT topic_key, sequence, lower(left(content, 100)) AS claim FROM memories WHERE topic_key IS NOT NULL),
+    m AS (SELECT DISTINCT query_id, topic_key, sequence FROM c JOIN t ON contains(claim, term))
+    SELECT query_id, topic_key, count(DISTINCT source) AS covered FROM (SELECT query_id, topic_key, unnest([sequence, sequence + 1]) AS source FROM m) GROUP BY ALL""", "memories"))
 def cl_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = [F.contains("content", F.lit(t)) for t in ("the", "die")]
-    return memories(spark, sf_dir).where(text.any_of(terms)).groupBy("topic_key").agg(F.count_distinct("session_id").alias("covered"))
+    """Originals that are covered by a cluster's claims with a term of a query anywhere in them; a claim (a memory's first 100 characters) covers two."""
+    terms = probes(spark, sf_dir).select("query_id", F.explode(text.claim_terms(F.col("said"))).alias("term"))
+    claims = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("sequence", F.lower(F.left("content", F.lit(100))).alias("claim"), "topic_key")
+    held = search.contained(claims, "claim", terms.select("term").distinct()).select("topic_key", "sequence", "term")
+    met = held.join(terms, "term").select("query_id", "topic_key", F.explode(F.array("sequence", F.col("sequence") + 1)).alias("source"))
+    return met.groupBy("query_id", "topic_key").agg(F.count_distinct("source").alias("covered"))
 
 
-@query(sql("""SELECT DISTINCT target AS entity FROM edges WHERE sequence % 11 = 0 UNION
-    SELECT DISTINCT b.target FROM edges a JOIN edges b ON b.source = a.target WHERE a.sequence % 11 = 0""", "edges"))
+@query(sql("""WITH RECURSIVE up AS (SELECT DISTINCT source AS entity FROM edges WHERE sequence % 11 = 0 AND source LIKE 'o%' UNION
+    SELECT target FROM up JOIN edges ON source = entity) SELECT entity FROM up""", "edges"))
 def cl_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All that stands above what changed."""
+    """What changed and everything above it."""
     e = edges(spark, sf_dir)
-    changed = e.where("sequence % 11 = 0").select(F.col("target").alias("entity")).distinct()
-    above = e.join(changed.withColumnRenamed("entity", "source"), "source", "left_semi").select(F.col("target").alias("entity"))
-    return changed.unionByName(above).distinct()
+    changed = e.where("sequence % 11 = 0 AND source LIKE 'o%'").select(F.col("source").alias("entity"))
+    return clusters.closure(e.select(F.col("source").alias("child"), F.col("target").alias("parent")), changed)
 
 
-@query("SELECT event_id FROM events WHERE hour(ts + INTERVAL 2 HOUR) = 3")
+@query("""WITH s AS (SELECT c_custkey AS profile, c_custkey % 3 <> 0 AS enabled, printf('%02d:%02d', c_custkey % 24, c_custkey % 7) AS local_time,
+        [0, 2, 9, -4][CAST(c_nationkey % 4 + 1 AS INT)] AS hours, CASE WHEN c_custkey % 5 = 0 THEN '2024-07-01' END AS last_date FROM customer),
+    t AS (SELECT *, TIMESTAMP '2024-07-01 12:01:30' + to_hours(hours) AS local FROM s)
+    SELECT profile, strftime(local, '%Y-%m-%d') AS local_date FROM t WHERE enabled AND date_diff('second', strptime(strftime(local, '%Y-%m-%d') || ' ' || local_time, '%Y-%m-%d %H:%M'), local) BETWEEN 0 AND 119
+        AND (last_date IS NULL OR last_date <> strftime(local, '%Y-%m-%d'))""")
 def cl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in the hour that is three o'clock at two hours east."""
-    return read_table(spark, sf_dir, "events").where(F.hour(F.col("ts") + F.expr("INTERVAL 2 HOURS")) == 3).select("event_id")
+    """Profiles (customers) whose daily time has come, each in its own time zone."""
+    key = F.col("c_custkey")
+    zones = F.array(*map(F.lit, ("UTC", "Europe/Berlin", "Asia/Tokyo", "America/New_York")))
+    schedules = read_table(spark, sf_dir, "customer").select(
+        key.alias("profile"),
+        (key % 3 != 0).alias("enabled"),
+        F.format_string("%02d:%02d", key % 24, key % 7).alias("local_time"),
+        F.element_at(zones, F.col("c_nationkey") % 4 + 1).alias("zone"),
+        F.when(key % 5 == 0, "2024-07-01").alias("last_date"),
+    )
+    return clusters.due(schedules, F.lit("2024-07-01 12:01:30").cast("timestamp")).select("profile", "local_date")
 
 
 # Pages
 
 
-@query(sql("SELECT DISTINCT 'topic:' || topic_key AS page FROM memories WHERE topic_key IS NOT NULL UNION SELECT DISTINCT 'directory:' || profile_id FROM memories", "memories"))
+@query(sql("""WITH t AS (SELECT sequence, 'topic:' || topic_key AS page, 'group:' || CASE WHEN starts_with(topic_key, 'code:') THEN 'code:' ELSE 'topic:' END
+        || regexp_extract(topic_key, '^[^:.]*') AS parent FROM memories WHERE topic_key IS NOT NULL),
+    e AS (SELECT DISTINCT m.sequence, 'entity:' || x AS page, 'group:entity:' || left(x, 1) AS parent FROM memories m
+        JOIN (SELECT sequence, source AS x FROM edges UNION SELECT sequence, target FROM edges) USING (sequence)), b AS (SELECT * FROM t UNION ALL SELECT * FROM e)
+    SELECT sequence, page, parent FROM b UNION SELECT sequence, parent, CASE WHEN starts_with(parent, 'group:entity:') THEN 'directory:Entities'
+        WHEN starts_with(parent, 'group:code:') THEN 'directory:Code' ELSE 'directory:Topics' END FROM b""", "memories", "edges"))
 def wk_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topic = F.concat(F.lit("topic:"), F.col("topic_key"))
-    pages = F.array_compact(F.array(topic, F.concat(F.lit("directory:"), F.col("profile_id"))))
-    return memories(spark, sf_dir).select(F.explode(pages).alias("page")).distinct()
+    """The pages of which each memory is a core member: its topic's, its entities', and the directories over them."""
+    known = memories(spark, sf_dir).select("sequence", "topic_key")
+    entities = rows.endpoints(edges(spark, sf_dir), "sequence").distinct()
+    return pages.anchors(known, entities)
 
 
 @query(sql("""SELECT e AS entity FROM (SELECT memory_id, source AS e FROM edges UNION SELECT memory_id, target FROM edges) GROUP BY 1
-    HAVING count(*) <= greatest(10, 0.0001 * (SELECT count(DISTINCT memory_id) FROM edges))""", "edges"))
+    HAVING count(*) <= greatest(10, 0.1 * (SELECT count(DISTINCT memory_id) FROM edges))""", "edges"))
 def wk_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of ten memories at most, or of a tenth of them."""
     ends = rows.endpoints(edges(spark, sf_dir), "memory_id").distinct()
     whole = ends.agg(F.count_distinct("memory_id").alias("m"))
     counted = ends.groupBy("entity").agg(F.count("*").alias("n"))
-    return counted.join(F.broadcast(whole)).where("n <= greatest(10, 0.0001 * m)").select("entity")
+    return counted.join(F.broadcast(whole)).where("n <= greatest(10, 0.1 * m)").select("entity")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name), p_partkey) > ('part#1', 5) ORDER BY lower(p_name), p_partkey LIMIT 21")
@@ -138,13 +180,23 @@ def wk_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.where(after).orderBy(F.lower("p_name"), "p_partkey").limit(21)
 
 
-@query(sql("""WITH q AS (SELECT vec_id AS id, vec_id % 20 = 0 AS asked FROM embeddings),
-    near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d
-        FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM near QUALIFY rank <= 10)
-    SELECT query_id, id, round(1.0 / (60 + rank), 9) AS score FROM top""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fts
+        WHERE id IN (SELECT sequence FROM seen) QUALIFY rank <= 10),
+    e AS (SELECT k.item_id AS query_id, s.sequence AS id, row_number() OVER (PARTITION BY k.item_id ORDER BY s.created_on DESC, s.sequence) AS rank FROM benchmark k
+        JOIN memories m ON m.sequence = k.item_id JOIN seen s ON s.topic_key = m.topic_key WHERE k.item_id % 20 = 0 QUALIFY rank <= 10),
+    {VECTOR_SQL}, r AS (SELECT * FROM f UNION ALL SELECT * FROM e UNION ALL SELECT query_id, id, rank FROM near_top WHERE query_id IN (SELECT query_id FROM probes))
+    SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY ALL""", "memories"))
 def wk_search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = search.fuse(search.channel(nearest(spark, sf_dir), "vector"), weights={"vector": 1.0})
+    """Three routes with equal weights: full text, the exact key (that of the memory of the query's number) and vectors."""
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "created_on")
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), probes(spark, sf_dir), "doc_id", "text")
+    worded = search.ranked(scored.join(visible.select("id"), "id", "left_semi"), 10, [F.desc(F.round("score", 9)), F.col("id")])
+    asked = probes(spark, sf_dir).select("query_id")
+    keys = asked.join(memories(spark, sf_dir).select(F.col("sequence").alias("query_id"), "topic_key"), "query_id")
+    exact = search.ranked(visible.join(F.broadcast(keys), "topic_key"), 10, [F.desc("created_on"), F.col("id")])
+    near = nearest(spark, sf_dir).join(asked, "query_id", "left_semi")
+    routes = search.channel(worded, "fts").unionByName(search.channel(exact, "exact")).unionByName(search.channel(near, "vector"))
+    fused = search.fuse(routes, weights=dict.fromkeys(("fts", "exact", "vector"), 1.0))
     return fused.select("query_id", "id", F.round("score", 9).alias("score"))
 
 
@@ -177,25 +229,49 @@ def wk_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(ends, "page", "left").select("page", F.coalesce("canonical", "page").alias("canonical"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_orderkey AS id, l_suppkey % 40 AS m FROM lineitem), k AS (SELECT id, list_sort(list(m)) AS members FROM s GROUP BY 1)
-    SELECT id, min(id) OVER (PARTITION BY members) AS kept FROM k""")
+@query("""WITH o AS (SELECT l_orderkey AS page, o_orderdate AS created, o_custkey % 7 AS subject, l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    m AS (SELECT DISTINCT page, id, created, subject FROM o UNION SELECT DISTINCT -page, l_partkey, o_orderdate + INTERVAL 1 DAY, CASE WHEN page % 5 = 0 THEN 99 ELSE subject END FROM o
+        JOIN lineitem ON l_orderkey = page JOIN orders ON o_orderkey = page WHERE l_linenumber > 1),
+    z AS (SELECT page, count(*) AS n FROM m GROUP BY 1),
+    k AS (SELECT a.page AS first, b.page AS second, count(*) AS k FROM m a JOIN m b ON a.id = b.id AND a.page < b.page AND a.subject = b.subject GROUP BY ALL),
+    p AS (SELECT first, second FROM k JOIN z x ON x.page = first JOIN z y ON y.page = second WHERE k / (x.n + y.n - k) >= 0.8 - 1e-9),
+    d AS (SELECT DISTINCT page, created FROM m)
+    SELECT CASE WHEN (a.created, first) <= (b.created, second) THEN first ELSE second END AS keep, CASE WHEN (a.created, first) <= (b.created, second) THEN second ELSE first END AS remove,
+        abs(keep) % 2 = 0 AND keep = -remove AS confirmed FROM p JOIN d a ON a.page = first JOIN d b ON b.page = second""")
 def wk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of equal members go into the oldest of them."""
-    s = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 40).alias("m"))
-    pages = s.groupBy("id").agg(F.array_sort(F.collect_set("m")).alias("members"))
-    oldest = pages.groupBy("members").agg(F.min("id").alias("kept"))
-    return pages.join(oldest, "members").select("id", "kept")
-
-
-@query(sql(f"""WITH {SEEN_SQL}, live AS (SELECT topic_key, count(*) AS n, substr(sha256(string_agg(id, chr(10) ORDER BY id)), 1, 32) AS signature FROM seen GROUP BY 1)
-    SELECT k.topic_key, CASE WHEN n > 0 THEN 'active' ELSE 'retired' END AS lifecycle, signature FROM (SELECT DISTINCT topic_key FROM memories WHERE topic_key IS NOT NULL) k
-    LEFT JOIN live USING (topic_key)""", "memories"))
+    """Pages (orders and, with negative ids, later ones without the first line) that share 0.8 of their members and their subject go
+    into the older one once two rounds have found it; the earlier round is that of the even ones."""
+    items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id"), "l_linenumber")
+    members = items.select("page", "id").unionByName(items.where("l_linenumber > 1").select((-F.col("page")).alias("page"), "id")).distinct()
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("created"), (F.col("o_custkey") % 7).alias("subject"))
+    later = orders.select((-F.col("page")).alias("page"), (F.col("created") + F.expr("INTERVAL 1 DAY")).alias("created"), F.when(F.col("page") % 5 == 0, 99).otherwise(F.col("subject")).alias("subject"))
+    signatures = members.groupBy("page").agg(clusters.set_signature(F.col("id")).alias("signature"))
+    described = orders.unionByName(later).join(signatures, "page").withColumn("parent", F.lit("topics"))
+    pairs = described.select(F.col("page").alias("keep"), F.col("signature").alias("a")).join(
+        described.select((-F.col("page")).alias("keep"), F.col("page").alias("remove"), F.col("signature").alias("b")), "keep"
+    )
+    both = F.concat_ws("\n", F.col("a").cast("string"), F.col("b").cast("string"))
+    earlier = pairs.where("keep > 0 AND keep % 2 = 0").select("keep", "remove", both.alias("signature"))
+    return pages.merges(described, members, earlier)
+
+
+@query(sql(f"""WITH {SEEN_SQL}, live AS (SELECT topic_key AS page, bit_xor(CAST('0x' || left(md5(id), 15) AS BIGINT)) AS signature FROM seen WHERE topic_key IS NOT NULL GROUP BY 1),
+    old AS (SELECT topic_key AS page, bit_xor(CAST('0x' || left(md5(id), 15) AS BIGINT)) AS signature FROM seen WHERE topic_key IS NOT NULL AND (sequence < 300 OR profile_id = 'de') GROUP BY 1),
+    pieces AS (SELECT topic_key AS page, id, left(content, 300) || ' ' AS piece, coalesce(sum(length(left(content, 300)) + 1) OVER (PARTITION BY topic_key ORDER BY id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM seen WHERE topic_key IS NOT NULL),
+    text AS (SELECT page, md5(string_agg(piece, '' ORDER BY id)) AS excerpt FROM pieces WHERE before < 2000 GROUP BY 1)
+    SELECT k.page, CASE WHEN live.page IS NULL THEN 'retired' ELSE 'active' END AS lifecycle, CASE WHEN live.signature IS NOT DISTINCT FROM old.signature THEN 1 ELSE 2 END AS revision, excerpt
+    FROM (SELECT DISTINCT topic_key AS page FROM memories WHERE topic_key IS NOT NULL) k LEFT JOIN live USING (page) LEFT JOIN old USING (page) LEFT JOIN text USING (page)""", "memories"))
 def wk_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = seen(spark, sf_dir).groupBy("topic_key").agg(F.array_join(F.array_sort(F.collect_list("id")), "\n").alias("m"))
-    live = live.select("topic_key", text.hash128(F.col("m")).alias("signature"))
-    keys = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("topic_key").distinct()
+    """Each page's lifecycle, its excerpt, and its revision, which goes up where the members are no longer those of the stored page."""
+    members = seen(spark, sf_dir).where("topic_key IS NOT NULL").select(F.col("topic_key").alias("page"), "id", "content", "sequence", "profile_id")
+    live = members.groupBy("page").agg(clusters.set_signature(F.col("id")).alias("signature"))
+    old = members.where("sequence < 300 OR profile_id = 'de'").groupBy("page").agg(clusters.set_signature(F.col("id")).alias("old"))
+    keys = memories(spark, sf_dir).where("topic_key IS NOT NULL").select(F.col("topic_key").alias("page")).distinct()
+    found = keys.join(live, "page", "left").join(old, "page", "left").join(clusters.excerpts(members), "page", "left")
     state = F.when(F.col("signature").isNotNull(), "active").otherwise("retired")
-    return keys.join(live, "topic_key", "left").select("topic_key", state.alias("lifecycle"), "signature")
+    revision = F.when(F.col("signature").eqNullSafe(F.col("old")), 1).otherwise(2)
+    return found.select("page", state.alias("lifecycle"), revision.alias("revision"), F.md5("excerpt").alias("excerpt"))
 
 
 # Ingestion
@@ -222,12 +298,19 @@ def in_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk(messages(spark, sf_dir), 2000)
 
 
-@query(sql("""SELECT session_id, turn FROM messages WHERE NOT EXISTS (SELECT 1 FROM messages l WHERE l.session_id = messages.session_id AND l.turn = messages.turn
-    AND l.id = messages.id AND l.session_id % 3 = 0)""", "messages"))
+@query("""WITH RECURSIVE m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, length(role) + length(text) + 8 AS cost FROM conversations),
+    w AS (SELECT conv_id, place, CAST(0 AS BIGINT) AS chunk, CAST(cost AS BIGINT) AS size FROM m WHERE place = 0
+        UNION ALL SELECT m.conv_id, m.place, CASE WHEN size + cost + 1 > 800 THEN chunk + 1 ELSE chunk END, CASE WHEN size + cost + 1 > 800 THEN cost ELSE size + cost + 1 END
+        FROM w JOIN m ON m.conv_id = w.conv_id AND m.place = w.place + 1),
+    c AS (SELECT conv_id AS session_id, chunk, max(size) AS size FROM w GROUP BY ALL)
+    SELECT session_id, chunk FROM c WHERE NOT (session_id % 3 = 0 AND chunk % 2 = 0)
+        AND (session_id % 4 = 0 OR chunk < (SELECT max(chunk) FROM c d WHERE d.session_id = c.session_id))""")
 def in_chunk_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed since a ledger that holds every third session."""
-    now = messages(spark, sf_dir).select("session_id", "turn", F.col("id").alias("digest"))
-    return ingest.changed(now, now.where("session_id % 3 = 0"), ["session_id", "turn"]).select("session_id", "turn")
+    """Chunks to take in: not those the ledger has (every second of every third session), nor the last of a session that may still grow."""
+    chunks = ingest.chunk(messages(spark, sf_dir), 800).withColumn("digest", F.sha2(F.concat_ws(":", "session_id", "first", "last", "chars"), 256))
+    ledger = chunks.where("session_id % 3 = 0 AND chunk % 2 = 0").select("session_id", "chunk", "digest")
+    ended = chunks.where("session_id % 4 = 0").select("session_id").distinct()
+    return ingest.due_chunks(chunks, ledger, ended).select("session_id", "chunk")
 
 
 @query("""SELECT lower(trim(role)) || ':' || conv_id AS candidate, min(turn) AS turn FROM conversations GROUP BY 1""")
@@ -237,18 +320,32 @@ def in_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").groupBy(key.alias("candidate")).agg(F.min("turn").alias("turn"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'verify' ELSE 'pass' END AS route FROM documents""")
+@query("""WITH s AS (SELECT c.conv_id, c.turn, lower(c.text) AS said, lower(p.text) AS given FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
+    t AS (SELECT *, regexp_extract_all(said, '[a-z0-9./_-]+') AS own, regexp_extract_all(given, '[a-z0-9./_-]+') AS known FROM s),
+    w AS (SELECT *, list_filter(own, lambda x: NOT regexp_matches(x, '[0-9/]') AND length(x) >= 4) AS plain, list_filter(own, lambda x: regexp_matches(x, '[0-9/]')) AS critical FROM t),
+    g AS (SELECT conv_id, turn, len(list_filter(critical, lambda x: NOT contains(given, x))) = 0 AND len(plain) > 0
+        AND len(list_filter(plain, lambda x: list_contains(known, x))) >= len(plain) * 0.6 AS grounded FROM w)
+    SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'verify' ELSE CASE WHEN grounded THEN 'pass' ELSE 'verify' END END AS route FROM g""")
 def in_verify_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    route = F.when(F.col("text").rlike("[0-9]"), "verify").otherwise("pass")
-    return read_table(spark, sf_dir, "documents").select("doc_id", route.alias("route"))
+    """What a model is to verify: nothing, all, or what the turn before does not bear out; a third of the conversations each."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("given"))
+    mode = F.when(F.col("conv_id") % 3 == 0, "never").when(F.col("conv_id") % 3 == 1, "always").otherwise("grounded")
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", ingest.route(mode, F.col("text"), F.col("given")).alias("route"))
 
 
-@query("""SELECT conv_id, turn, CAST(ceil(sum((length(text) + 3) // 4) OVER (PARTITION BY conv_id) / count(*) OVER (PARTITION BY conv_id)) AS BIGINT) AS share FROM conversations""")
+@query("""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, (length(text) + 3) // 4 AS t FROM conversations),
+    f AS (SELECT conv_id AS session_id, place // 2 AS chunk, sum(t) AS fresh FROM m GROUP BY ALL)
+    SELECT session_id, chunk, CAST(ceil(fresh / (1 + session_id % 3)) AS BIGINT) AS share FROM f""")
 def in_source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each survivor's share of its session's tokens, rounded up."""
-    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens_estimate(F.col("text")).alias("t"))
-    share = table.groupBy("conv_id").agg(F.ceil(F.sum("t") / F.count("*")).alias("share"))
-    return table.join(share, "conv_id").select("conv_id", "turn", "share")
+    """Each survivor's share of its chunk's new tokens, rounded up; a chunk of two turns also repeats the one before, which is not new."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1
+    said = messages(spark, sf_dir).select("session_id", place.cast("long").alias("place"), text.tokens_estimate(F.col("content")).alias("tokens"))
+    number = F.floor(F.col("place") / 2)
+    chunks = said.groupBy("session_id", number.alias("chunk")).agg(F.greatest(F.min("place") - 1, F.lit(0)).alias("first"), F.max("place").alias("last"))
+    survivors = (F.col("session_id") % 3 + 1).alias("survivors")
+    fresh = ingest.new_tokens(chunks, said)
+    return fresh.select("session_id", "chunk", survivors, "tokens").select("session_id", "chunk", F.ceil(F.col("tokens") / F.col("survivors")).alias("share"))
 
 
 # Traces
@@ -282,19 +379,45 @@ def tr_id_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces(spark, sf_dir).groupBy(ident.alias("id")).agg(F.min("event_id").alias("event_id"))
 
 
-@query(sql("""SELECT event_id, 'trace:outcome:' || tool || '-k' AS topic_key, '`' || tool || ' k=1` ' || CASE WHEN status = 'failure' THEN 'failed: at x:3' ELSE 'succeeded' END AS content,
-    CASE WHEN status = 'failure' THEN substr(sha256('at x:#'), 1, 32) ELSE 'none' END AS error_digest FROM traces""", "traces"))
+@query(sql("""WITH e AS (SELECT *, CASE WHEN tool = 'click' THEN args ELSE tool || ' ' || args END AS invocation, array_to_string(list_filter(list_transform(list_filter(string_split_regex(trim(lower(args)), '\\s+'), lambda x: x <> '' AND NOT starts_with(x, '-') AND NOT regexp_full_match(x, '\\d+')),
+            lambda x: trim(regexp_replace(regexp_replace(x, '^\\./', ''), '[^a-z0-9_]+', '-', 'g'), '-')), lambda x: x <> '')[1:4], '-') AS body FROM traces)
+    SELECT event_id, 'trace:outcome:' || CASE WHEN tool = 'click' THEN body ELSE tool || '-' || body END AS topic_key,
+        '`' || invocation || '` ' || CASE WHEN status = 'failure' THEN 'failed (exit 1): no such user ' || session_id ELSE 'succeeded (exit 0)' END AS content,
+        CASE WHEN status = 'failure' THEN substr(sha256('no such user ' || session_id || ' at x:#'), 1, 32) ELSE substr(sha256('all done'), 1, 32) END AS error_digest FROM e""", "traces"))
 def tr_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.when(F.col("status") == "failure", "at x:3")
-    made = traces(spark, sf_dir).withColumns({"args": F.lit("k=1"), "error": error})
-    found = ingest.outcome(made)
-    return found.select("event_id", F.regexp_replace("topic_key", "-k-1$", "-k").alias("topic_key"), "content", "error_digest")
-
-
-@query(sql("SELECT event_id, tool || ' ' || args AS invocation, CAST(occurred_at AS DATE) AS occurred_on FROM traces", "traces"))
+    """What is remembered of each trace (clicks stand for the shell, which goes unnamed)."""
+    failed = F.col("status") == "failure"
+    error = F.when(failed, F.concat(F.lit("\n no such user "), F.col("session_id").cast("string"), F.lit("\n at x:31")))
+    made = traces(spark, sf_dir).withColumns(
+        {
+            "error": error,
+            "output": F.when(~failed, F.lit(" all  done ")),
+            "exit_code": F.when(failed, 1).otherwise(0),
+            "tool": F.when(F.col("tool") == "click", "Bash").otherwise(F.col("tool")),
+        }
+    )
+    return ingest.outcome(made).select("event_id", "topic_key", "content", "error_digest")
+
+
+@query(sql("""SELECT event_id, replace(tool || ' ' || args || ' ./src', chr(10), ' ') AS invocation, CAST(CASE WHEN event_id % 3 = 0 THEN occurred_at + INTERVAL 1 DAY
+        WHEN event_id % 3 = 1 THEN occurred_at ELSE TIMESTAMP '2024-06-01 00:00:00' END AS DATE) AS occurred_on, event_id % 3 = 2 AS from_receipt,
+    CASE WHEN event_id % 2 = 0 THEN 'first problem' WHEN event_id % 5 = 0 THEN 'no output' ELSE 'last line' END AS signal, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS hits FROM traces""", "traces"))
 def tr_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    invocation = F.concat_ws(" ", "tool", "args")
-    return traces(spark, sf_dir).select("event_id", invocation.alias("invocation"), F.col("occurred_at").cast("date").alias("occurred_on"))
+    """Traces made clean: secrets masked, paths short, the time from the end, else the start, else the receipt; the line worth quoting."""
+    n = F.col("event_id")
+    raw = traces(spark, sf_dir).select(
+        "event_id",
+        "tool",
+        F.concat("args", F.lit(" /srv/repo/src")).alias("args"),
+        F.when(n % 2 == 0, F.lit("\n first problem \npassword=hunter22secret")).alias("error"),
+        F.when(n % 5 != 0, F.lit("one\nlast line\n\n")).alias("output"),
+        F.when(n % 3 < 2, F.col("occurred_at")).alias("started_at"),
+        F.when(n % 3 == 0, F.col("occurred_at") + F.expr("INTERVAL 1 DAY")).alias("ended_at"),
+    )
+    found = ingest.event(raw, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"), 4000, "/srv/repo", "/home/user")
+    return found.select(
+        "event_id", ingest.invocation().alias("invocation"), F.col("occurred_at").cast("date").alias("occurred_on"), "from_receipt", ingest.signal_line().alias("signal"), "hits"
+    )
 
 
 # Evaluation and audit
@@ -313,9 +436,11 @@ def ev_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(shared, 20, [F.desc("shared"), F.col("id")]).select("query_id", "id", "shared")
 
 
-@query("""SELECT event_id, event_type FROM events WHERE event_type = 'view' AND contains(props, '3') ORDER BY ts DESC, event_id DESC LIMIT 26""")
+@query("""SELECT event_id, event_type FROM events WHERE event_type = 'view' AND list_bool_and(list_transform(['k', '3'], lambda w: len(list_filter(
+    string_split_regex(lower(props), '[^\\p{L}\\p{N}_-]+'), lambda x: starts_with(x, w))) > 0)) ORDER BY ts DESC, event_id DESC LIMIT 26""")
 def au_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rows.where_given(read_table(spark, sf_dir, "events"), event_type="view").where(rows.contains_ignoring_case(F.col("props"), "3"))
+    """A page of calls by equal fields and by words of the body, each of which must begin one of its words."""
+    hits = rows.where_given(read_table(spark, sf_dir, "events"), event_type="view").where(text.matches_all_prefixes(F.col("props"), "K 3"))
     return rows.keyset_page(hits, "ts", "event_id", 25).select("event_id", "event_type")
 
 
