@@ -46,6 +46,11 @@ def span_days(first: Column, second: Column) -> Column:
     return F.abs(F.date_diff(first, second))
 
 
+def asks_since(question: Column) -> Column:
+    """Whether a question asks how long ago something was."""
+    return F.coalesce(question.rlike(r"(?i)\b(?:how long (?:ago|since|has it been)|(?:days|weeks|months|years) (?:ago|since|has it been)|since when|time since)\b"), F.lit(False))
+
+
 def signed_span(event: Column, day: Column) -> Column:
     """How far an event lies from a day, in words."""
     n = F.date_diff(day, event)

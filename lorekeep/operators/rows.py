@@ -120,6 +120,61 @@ def endpoints(edges: DataFrame, *keep: str) -> DataFrame:
     return edges.select(ends.alias("entity"), *keep)
 
 
+def capped(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """The first `most` rows, each with `truncated`: whether there are more. One row more than that is looked at."""
+    top = df.orderBy(*order).limit(most + 1)
+    rank = F.row_number().over(Window.orderBy(*order))  # of most + 1 rows
+    counted = top.withColumn("truncated", F.count("*").over(Window.partitionBy()) > most).withColumn("_rank", rank)
+    return counted.where(F.col("_rank") <= most).drop("_rank")
+
+
+def eligible_page(hits: DataFrame, eligible: Column, order: Sequence[Column], scan: int, limit: int) -> DataFrame:
+    """The first `limit` eligible hits in order, of the first `scan` hits: what a store finds that reads on, page by page,
+    until it has enough or has looked at `scan` rows."""
+    return hits.orderBy(*order).limit(scan).where(eligible).orderBy(*order).limit(limit)
+
+
+def from_code(topic_key: Column, session: Column, prefix: str = "code:", code_session: str = "code-index") -> Column:
+    """Whether a row comes from the index of code, by its key or by its session; nulls do not."""
+    return F.coalesce(topic_key.startswith(prefix), F.lit(False)) | F.coalesce(session == code_session, F.lit(False))
+
+
+def at_least(column: Column, ranks: Sequence[str], least: str) -> Column:
+    """Whether a value ranks no lower than `least` in ascending ranks; unknown values and nulls do not."""
+    return F.coalesce(column.isin(*ranks[ranks.index(least) :]), F.lit(False))
+
+
+def spend(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """tier, calls, prompt_tokens, completion_tokens, cost: calls (tier, prompt, completion) summed, priced by the million tokens.
+
+    prices: tier, prompt_price, completion_price, a row for each tier. A tier without a price has a null cost.
+    """
+    sums = calls.groupBy("tier").agg(F.count("*").alias("calls"), F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"))
+    cost = F.col("prompt_tokens") / 1e6 * F.col("prompt_price") + F.col("completion_tokens") / 1e6 * F.col("completion_price")
+    return sums.join(prices, "tier", "left").select("tier", "calls", "prompt_tokens", "completion_tokens", cost.alias("cost"))
+
+
+def json_lines(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """line: each row's columns as one JSON object, in order; nulls are left out. Write it with `.write.text`."""
+    return df.orderBy(*order).select(F.to_json(F.struct(*columns)).alias("line"))
+
+
+def delete_cascade(tables: dict[str, DataFrame], root: str, gone: Column, links: Sequence[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """The tables without the rows of `root` that are gone and all rows that refer to a row that is no longer there.
+
+    links: (child, its column, parent, its column), parents before their children. References that are null stay.
+    """
+    left = dict(tables)
+    removed = {root: tables[root].where(gone)}
+    left[root] = tables[root].where(~F.coalesce(gone, F.lit(False)))
+    for child, column, parent, key in links:
+        if parent in removed:
+            keys = removed[parent].select(F.col(key).alias(column))
+            removed[child] = left[child].join(keys, column, "left_semi")
+            left[child] = left[child].join(keys, column, "left_anti")
+    return left
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text, vectors
@@ -93,10 +93,13 @@ def str_fts_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(text.distinct_terms(F.col("text"), 1, 20), " ").alias("terms"))
 
 
-@query("""SELECT doc_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 10), ' ') AS terms FROM (
+@query("""SELECT doc_id, array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 10), ' ') AS terms,
+    len(list_distinct(list_filter(t, lambda x: x NOT IN ('the', 'and', 'for', 'with', 'from', 'what', 'how', 'are', 'was', 'this', 'that', 'does', 'can')))) AS covering FROM (
     SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 2) AS t FROM documents)""")
 def str_claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.distinct_terms(F.col("text"), 2, 10), " ").alias("terms"))
+    """The terms by which claims are searched, and how many there are by which coverage is told."""
+    terms = F.array_join(text.distinct_terms(F.col("text"), 2, 10), " ")
+    return _docs(spark, sf_dir).select("doc_id", terms.alias("terms"), F.size(text.claim_terms(F.col("text"))).cast("long").alias("covering"))
 
 
 @query("""SELECT event_id, regexp_extract_all(props, '[A-Za-z0-9_]+')[1] AS first_token,
@@ -138,15 +141,14 @@ def str_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE WHEN b = '' THEN s WHEN s = 'bash' THEN b ELSE s || '-' || b END AS signature FROM (
     SELECT doc_id, s, array_to_string(list_slice(list_filter(list_transform(list_filter(
-        string_split_regex(trim(lower(left(text, 200)), chr(32) || chr(10) || chr(9) || chr(13)), '\\s+'),
+        string_split_regex(trim(lower(text), chr(32) || chr(10) || chr(9) || chr(13)), '\\s+'),
         lambda x: x <> '' AND NOT starts_with(x, '-') AND NOT regexp_full_match(x, '\\d+')),
         lambda x: trim(regexp_replace(regexp_replace(x, '^\\./', ''), '[^a-z0-9_]+', '-', 'g'), '-')), lambda x: x <> ''), 1, 4), '-') AS b
     FROM (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'bash' ELSE source END AS s FROM documents))""")
 def str_command_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invocations are the first 200 characters of the documents, run by the shell or by a tool of the source's name."""
+    """Invocations are whole documents, run by the shell or by a tool of the source's name."""
     tool = F.when(F.col("doc_id") % 2 == 0, "bash").otherwise(F.col("source"))
-    args = F.left("text", F.lit(200))
-    return _docs(spark, sf_dir).select("doc_id", text.command_signature(tool, args).alias("signature"))
+    return _docs(spark, sf_dir).select("doc_id", text.command_signature(tool, F.col("text")).alias("signature"))
 
 
 @query("""SELECT doc_id, CASE WHEN trim(text) = '' THEN 'none' ELSE substr(sha256(lower(trim(regexp_replace(regexp_replace(
@@ -184,12 +186,21 @@ def str_tokens_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.tokens_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split_regex(text, '\\n'), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS lines FROM documents""")
+@query("""WITH l AS (SELECT doc_id, CASE WHEN (i + doc_id) % 5 = 0 THEN '## ' || s WHEN (i + doc_id) % 7 = 0 THEN '### ' || s ELSE s END AS line, i FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    p AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,2}\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM l),
+    s AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY i) AS section FROM p GROUP BY ALL)
+    SELECT doc_id, count(*) AS sections, CAST(sum(length(rtrim(section, chr(10)))) AS BIGINT) AS chars FROM s WHERE trim(section, chr(10) || ' ') <> '' GROUP BY 1""")
 def str_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each non-blank line made a heading gives a section of its own."""
-    headed = F.regexp_replace("text", r"(?m)^(?=.)", "# ")
-    found = F.filter(text.sections(headed), lambda s: F.trim(F.regexp_replace(s, r"^#\s|\s", "")) != "")
-    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("lines"))
+    """Documents with every fifth line made a heading (and some of a lower level, which do not count), in sections."""
+    n = F.col("doc_id")
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda s, i: F.when((i + 1 + n) % 5 == 0, F.concat(F.lit("## "), s)).when((i + 1 + n) % 7 == 0, F.concat(F.lit("### "), s)).otherwise(s),
+    )
+    found = F.filter(text.sections(F.array_join(lines, "\n")), lambda s: F.btrim(s, F.lit("\n ")) != "")
+    chars = F.aggregate(found, F.lit(0), lambda t, s: t + F.length(F.rtrim(s, F.lit("\n"))))
+    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("sections"), chars.cast("long").alias("chars")).where("sections > 0")
 
 
 @query("""WITH s AS (SELECT c.conv_id, c.turn, lower(c.text) AS said, lower(p.text) AS given FROM conversations c
@@ -248,16 +259,17 @@ def str_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.language_of(path).alias("language"))
 
 
-@query("""WITH dirs AS (SELECT DISTINCT source AS marker FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents WHERE doc_id % 3 = 0),
+@query("""WITH dirs AS (SELECT DISTINCT source AS marker FROM documents WHERE source < 'src5' UNION SELECT DISTINCT source || '/' || lang FROM documents WHERE doc_id % 3 = 0),
     files AS (SELECT doc_id, source || '/' || lang || '/f' || doc_id || '.py' AS path FROM documents)
-    SELECT doc_id, max_by(marker, length(marker)) AS module FROM files JOIN dirs ON starts_with(path, marker || '/') GROUP BY doc_id""")
+    SELECT doc_id, coalesce(max_by(marker, length(marker)), split_part(path, '/', 1)) AS module FROM files LEFT JOIN dirs ON starts_with(path, marker || '/') GROUP BY doc_id, path""")
 def str_module_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest marked folder above each file: the file's own folders are listed and met by an equi-join."""
+    """The longest marked folder above each file, else its first folder: a file's own folders are listed and met by an equi-join."""
     docs = _docs(spark, sf_dir)
     inner = F.concat("source", F.lit("/"), "lang")
-    marked = docs.select(F.col("source").alias("marker")).union(docs.where("doc_id % 3 = 0").select(inner)).distinct()
-    files = docs.select("doc_id", F.explode(F.array("source", inner)).alias("marker"))
-    return files.join(marked, "marker").groupBy("doc_id").agg(F.max_by("marker", F.length("marker")).alias("module"))
+    marked = docs.where("source < 'src5'").select(F.col("source").alias("marker")).union(docs.where("doc_id % 3 = 0").select(inner)).distinct()
+    files = docs.select("doc_id", F.col("source").alias("first"), F.explode(F.array("source", inner)).alias("folder"))
+    met = files.join(marked, files.folder == marked.marker, "left")
+    return met.groupBy("doc_id", "first").agg(F.max_by("marker", F.coalesce(F.length("marker"), F.lit(-1))).alias("m")).select("doc_id", F.coalesce("m", "first").alias("module"))
 
 
 # Dates
@@ -325,10 +337,13 @@ def dt_last_next_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").select("o_orderkey", moved[0].alias("last_week"), moved[1].alias("next_week"))
 
 
-@query(sql("SELECT id, date_diff('day', created_on, DATE '2025-06-01') AS days FROM memories WHERE type = 'event'", "memories"))
+@query(sql("""WITH q(query_id, said) AS (VALUES (1, 'How many days since the launch?'), (2, 'What was said about it?'), (3, 'how long ago did it break'))
+    SELECT query_id, id, date_diff('day', created_on, DATE '2025-06-01') AS days FROM q JOIN memories ON type = 'event' WHERE query_id IN (1, 3)""", "memories"))
 def dt_event_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = F.date_diff(F.lit("2025-06-01").cast("date"), F.col("created_on"))
-    return memories(spark, sf_dir).where("type = 'event'").select("id", days.cast("long").alias("days"))
+    """Days since each event, for questions that ask how long ago something was."""
+    asked = spark.createDataFrame([(1, "How many days since the launch?"), (2, "What was said about it?"), (3, "how long ago did it break")], "query_id int, said string")
+    events = memories(spark, sf_dir).where("type = 'event'").select("id", dates.span_days(F.lit("2025-06-01").cast("date"), F.col("created_on")).alias("days"))
+    return events.join(F.broadcast(asked.where(dates.asks_since(F.col("said"))).select("query_id"))).select("query_id", "id", F.col("days").cast("long").alias("days"))
 
 
 @query("""SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(?:recently|soon)\\b') AS fuzzy FROM conversations""")
@@ -368,9 +383,15 @@ def vec_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(one)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
-@query("SELECT doc_id, (n_chars + 2) // 3 AS third FROM documents")
+@query("""SELECT source, doc_id, row_number() OVER w AS rank, min(n_chars) OVER (PARTITION BY source) AS least, max(n_chars) OVER (PARTITION BY source) AS most,
+    CAST((n_chars + count(*) OVER (PARTITION BY source) - 1) // count(*) OVER (PARTITION BY source) AS BIGINT) AS share FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id)""")
 def mth_rank_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.ceil(F.col("n_chars") / 3).alias("third"))
+    """Ranks within a source, its bounds, and the share of tokens that falls to each of its rows, rounded up."""
+    docs = _docs(spark, sf_dir).select("source", "doc_id", "n_chars")
+    sums = docs.groupBy("source").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    share = F.ceil(F.col("n_chars") / F.col("n"))
+    return docs.withColumn("rank", rank).join(sums, "source").select("source", "doc_id", "rank", "least", "most", share.alias("share"))
 
 
 # JSON and arrays

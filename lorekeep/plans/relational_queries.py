@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text, vectors
-from lorekeep.operators import rows
+from lorekeep.operators import ingest, rows
 from lorekeep.plans.derived import TYPES, edges, memories, messages, sql, traces
 from lorekeep.plans.registry import query
 from lorekeep.sources.tables import read_table
+from lorekeep.streaming import feeds
 
 SNAPSHOT = rows.Snapshot("2024-02-15", "2024-06-01", 600)
 BOUNDS = """*, created_on AS recorded_from, CASE WHEN sequence % 7 = 0 THEN created_on + 45 END AS recorded_to"""
@@ -71,14 +73,25 @@ def snk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("spent", F.round("spent", 4))
 
 
-@query(sql("SELECT id, type, created_on FROM memories WHERE NOT forgotten", "memories"))
+@query(sql("""SELECT '{"id":"' || id || '","type":"' || type || CASE WHEN topic_key IS NULL THEN '' ELSE '","topic_key":"' || topic_key END || '","created_on":"' || created_on
+    || '","content":' || to_json(left(replace(content, chr(127), ''), 200)) || '}' AS line FROM memories WHERE NOT forgotten""", "memories"))
 def snk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).where("NOT forgotten").orderBy(F.desc("created_on"), "id").select("id", "type", "created_on")
+    """One JSON line for each memory that is not forgotten, newest first."""
+    kept = memories(spark, sf_dir).where("NOT forgotten").withColumn("content", F.left(F.replace("content", F.lit("\x7f"), F.lit("")), F.lit(200)))
+    return rows.json_lines(kept, ["id", "type", "topic_key", "created_on", "content"], [F.desc("created_on"), F.desc("id")])
 
 
-@query(sql("SELECT id, profile_id FROM memories WHERE profile_id <> 'de'", "memories"))
+@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey <> 3), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    SELECT 'customer' AS kind, c_custkey AS key FROM c UNION ALL SELECT 'orders', o_orderkey FROM o
+    UNION ALL SELECT 'lineitem', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""")
 def snk_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).where("profile_id <> 'de'").select("id", "profile_id")
+    """A profile (the customers of nation 3) goes with all that depends on it, table after table."""
+    tables = {n: read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
+    links = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")]
+    left = rows.delete_cascade(tables, "customer", F.col("c_nationkey") == 3, links)
+    keys = {"customer": F.col("c_custkey"), "orders": F.col("o_orderkey"), "lineitem": F.col("l_orderkey") * 10 + F.col("l_linenumber")}
+    kept = [left[n].select(F.lit(n).alias("kind"), k.alias("key")) for n, k in keys.items()]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 @query("""SELECT vec_id, label = 3 AS forgotten, CASE WHEN label <> 3 THEN len(embedding) END AS width FROM embeddings""")
@@ -99,9 +112,16 @@ def snk_replace_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.replace_group(stored, anew, tenth.select("o_custkey"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id > 5000")
+@query("""WITH w AS (SELECT user_id AS consumer, max(event_id) AS seen FROM events WHERE user_id IN (3, 7) AND event_id < 600 GROUP BY 1)
+    SELECT consumer, event_id, event_type FROM w JOIN events ON event_id > seen""")
 def src_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").where("event_id > 5000").select("event_id", "event_type")
+    """For two consumers, the changes after the last one that each has seen (their last of the first 600 events)."""
+    feed = read_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    own = F.col("user_id").isin(3, 7) & (F.col("event_id") < 600)
+    marks = {r.user_id: r.seen for r in feed.where(own).groupBy("user_id").agg(F.max("event_id").alias("seen")).collect()}
+    read = [feeds.since(feed, "event_id", seen).select(F.lit(k).cast("long").alias("consumer"), "event_id", "event_type") for k, seen in sorted(marks.items())]
+    nothing = feed.where("false").select(F.col("user_id").alias("consumer"), "event_id", "event_type")
+    return functools.reduce(DataFrame.unionByName, read, nothing)
 
 
 # Filters and projections
@@ -122,10 +142,12 @@ def flt_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).where(rows.recorded_by(SNAPSHOT)).select("id")
 
 
-@query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 1000)""")
+@query(sql(f"""WITH {SEEN_SQL} SELECT DISTINCT e AS entity FROM (SELECT source AS e, sequence FROM edges UNION ALL SELECT target, sequence FROM edges)
+    WHERE sequence IN (SELECT sequence FROM seen)""", "memories", "edges"))
 def flt_active_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders").where("o_totalprice > 1000").select(F.col("o_custkey").alias("c_custkey"))
-    return read_table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_semi")
+    """Entities of which some edge comes from a visible memory (that of the edge's number)."""
+    ends = rows.endpoints(edges(spark, sf_dir), "sequence")
+    return ends.join(seen(spark, sf_dir).select("sequence"), "sequence", "left_semi").select("entity").distinct()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -143,9 +165,10 @@ def flt_null_safe_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).where("NOT startswith(coalesce(topic_key, ''), 'en.')").select("id")
 
 
-@query(sql("SELECT id FROM memories WHERE topic_key IS NULL OR NOT starts_with(topic_key, 'de.')", "memories"))
+@query(sql("SELECT id FROM memories WHERE (topic_key IS NULL OR NOT starts_with(topic_key, 'de.')) AND session_id <> 'src0'", "memories"))
 def flt_code_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memories(spark, sf_dir).where("topic_key IS NULL OR NOT startswith(topic_key, 'de.')").select("id")
+    """Memories that come from code neither by their key's namespace (here `de.`) nor by their session (here `src0`)."""
+    return memories(spark, sf_dir).where(~rows.from_code(F.col("topic_key"), F.col("session_id"), "de.", "src0")).select("id")
 
 
 @query(sql("SELECT id FROM memories WHERE starts_with(topic_key, 'fr.')", "memories"))
@@ -153,9 +176,11 @@ def flt_trace_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).where(F.col("topic_key").startswith("fr.")).select("id")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus IN ('O')")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE list_position(['A', 'N', 'R'], l_returnflag) >= 2")
 def flt_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus").isin("O")).select("l_orderkey", "l_linenumber")
+    """Rows of at least a confidence, in the order A, N, R."""
+    kept = rows.at_least(F.col("l_returnflag"), ("A", "N", "R"), "N")
+    return read_table(spark, sf_dir, "lineitem").where(kept).select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND user_id = 7")
@@ -173,11 +198,13 @@ def prj_memory_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("id", "profile_id", "session_id", "type", "topic_key", "created_on")
 
 
-@query(sql(f"""WITH {SEEN_SQL}, latest AS (SELECT session_id, arg_max(payload, sequence) AS newer FROM seen GROUP BY 1)
-    SELECT id, coalesce(newer, payload) AS payload FROM memories JOIN latest USING (session_id)""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, selected AS (SELECT type, topic_key, arg_max(payload, sequence) AS newer FROM seen WHERE topic_key IS NOT NULL GROUP BY ALL)
+    SELECT id, coalesce(newer, payload) AS payload FROM seen LEFT JOIN selected USING (type, topic_key)""", "memories"))
 def prj_temporal_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = seen(spark, sf_dir).groupBy("session_id").agg(F.max_by("payload", "sequence").alias("newer"))
-    return memories(spark, sf_dir).join(latest, "session_id").select("id", F.coalesce("newer", "payload").alias("payload"))
+    """Visible memories with the payload of the revision that is selected in their fact group (type and key), or their own."""
+    visible = seen(spark, sf_dir).select("id", "type", "topic_key", "payload", "sequence")
+    selected = visible.where("topic_key IS NOT NULL").groupBy("type", "topic_key").agg(F.max_by("payload", "sequence").alias("newer"))
+    return visible.join(selected, ["type", "topic_key"], "left").select("id", F.coalesce("newer", "payload").alias("payload"))
 
 
 # Joins
@@ -331,11 +358,17 @@ def agg_usage_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_type AS tier, count(*) AS calls, round(sum(value), 4) AS tokens, round(sum(value) / 1e6 * 2.5, 9) AS cost FROM events GROUP BY 1""")
+@query("""WITH p(tier, prompt_price, completion_price) AS (VALUES ('view', 0.25, 2.0), ('click', 1.25, 10.0), ('signup', 5.0, 25.0)),
+    u AS (SELECT event_type AS tier, CAST(floor(value * 100) AS BIGINT) AS prompt, CAST(json_extract(props, '$.k') AS BIGINT) AS completion FROM events)
+    SELECT tier, count(*) AS calls, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(completion) AS BIGINT) AS completion_tokens,
+        round(CAST(sum(prompt) AS DOUBLE) / 1e6 * CAST(max(prompt_price) AS DOUBLE) + CAST(sum(completion) AS DOUBLE) / 1e6 * CAST(max(completion_price) AS DOUBLE), 9) AS cost FROM u LEFT JOIN p USING (tier) GROUP BY 1""")
 def agg_tier_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("tier")).agg(
-        F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("tokens"), F.round(F.sum("value") / 1e6 * 2.5, 9).alias("cost")
+    """Calls, tokens and cost by tier; a tier without a price has no cost."""
+    prices = spark.createDataFrame([("view", 0.25, 2.0), ("click", 1.25, 10.0), ("signup", 5.0, 25.0)], "tier string, prompt_price double, completion_price double")
+    calls = read_table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("tier"), F.floor(F.col("value") * 100).alias("prompt"), F.get_json_object("props", "$.k").cast("long").alias("completion")
     )
+    return rows.spend(calls, prices).withColumn("cost", F.round("cost", 9))
 
 
 @query("""SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM (
@@ -476,19 +509,26 @@ def win_rank_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select("label", "vec_id", rank.alias("rank")).where("rank <= 10")
 
 
-@query(sql("SELECT tool, status, session_id, max(event_id) AS event_id FROM traces GROUP BY 1, 2, 3", "traces"))
+@query(sql("""WITH l AS (SELECT tool, status, session_id, max(event_id) AS event_id FROM traces GROUP BY 1, 2, 3)
+    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS place FROM l""", "traces"))
 def win_last_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of each signature and status in a session, in the order in which they came."""
     kept = traces(spark, sf_dir).select("tool", "status", "session_id", "event_id")
-    return rows.latest_per_key(kept, ["tool", "status", "session_id"], ["event_id"])
+    last = rows.latest_per_key(kept, ["tool", "status", "session_id"], ["event_id"])
+    return last.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn > coalesce(max(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING
-    AND 1 PRECEDING), -1) THEN (length(text) + 3) // 4 ELSE 0 END AS tokens FROM conversations""")
+@query("""WITH m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, (length(text) + 3) // 4 AS t FROM conversations),
+    c AS (SELECT conv_id, place AS chunk, greatest(place - 1 - conv_id % 3, 0) AS first, place AS last FROM m WHERE place % 2 = 1),
+    o AS (SELECT m.conv_id, m.t, min(chunk) AS chunk FROM m JOIN c ON c.conv_id = m.conv_id AND place BETWEEN first AND last GROUP BY m.conv_id, m.place, m.t)
+    SELECT c.conv_id AS session_id, c.chunk, CAST(coalesce(sum(t), 0) AS BIGINT) AS tokens FROM c LEFT JOIN o USING (conv_id, chunk) GROUP BY ALL""")
 def win_prefix_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of turns that no earlier turn has already accounted for."""
-    before = F.max("turn").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(F.col("turn") > F.coalesce(before, F.lit(-1)), text.tokens_estimate(F.col("text"))).otherwise(0)
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", fresh.alias("tokens"))
+    """Tokens of a chunk's turns that no earlier chunk has accounted for; chunks end at every second turn and reach back two to four."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1
+    said = messages(spark, sf_dir).select("session_id", place.cast("long").alias("place"), text.tokens_estimate(F.col("content")).alias("tokens"))
+    first = F.greatest(F.col("place") - 1 - F.col("session_id") % 3, F.lit(0))
+    chunks = said.where("place % 2 = 1").select("session_id", F.col("place").alias("chunk"), first.alias("first"), F.col("place").alias("last"))
+    return ingest.new_tokens(chunks, said)
 
 
 # Order and pages
@@ -505,17 +545,20 @@ def top_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.keyset_page(kept, "created_on", "id", 20, (datetime.date(2024, 12, 1), "f"))
 
 
-@query(sql(f"""WITH {SEEN_SQL} SELECT id FROM (SELECT id, sequence FROM seen WHERE contains(content, 'the') ORDER BY sequence LIMIT 300) ORDER BY sequence LIMIT 40""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, s AS (SELECT id, sequence FROM memories WHERE contains(content, 'the') ORDER BY sequence LIMIT 300)
+    SELECT id FROM s WHERE id IN (SELECT id FROM seen) ORDER BY sequence LIMIT 40""", "memories"))
 def top_paged_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = seen(spark, sf_dir).where(F.contains("content", F.lit("the"))).select("id", "sequence")
-    return hits.orderBy("sequence").limit(300).orderBy("sequence").limit(40).select("id")
+    """Forty eligible hits; of those that match, no more than 300 are looked at, however few of them are visible."""
+    hits = segments(spark, sf_dir).where(F.contains("content", F.lit("the")))
+    return rows.eligible_page(hits, rows.visible(SNAPSHOT), [F.col("sequence")], scan=300, limit=40).select("id")
 
 
-@query(sql("""SELECT entity, degree FROM (SELECT e AS entity, count(*) AS degree FROM (SELECT source AS e FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1)
-    ORDER BY degree DESC, entity LIMIT 31""", "edges"))
+@query(sql("""WITH d AS (SELECT entity, degree FROM (SELECT e AS entity, count(*) AS degree FROM (SELECT source AS e FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1)
+    ORDER BY degree DESC, entity LIMIT 31) SELECT entity, degree, (SELECT count(*) FROM d) > 30 AS truncated FROM d ORDER BY degree DESC, entity LIMIT 30""", "edges"))
 def top_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty entities of highest degree, and whether there are more."""
     degrees = rows.endpoints(edges(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("degree"))
-    return degrees.orderBy(F.desc("degree"), "entity").limit(31)
+    return rows.capped(degrees, [F.desc("degree"), F.col("entity")], 30)
 
 
 @query(sql("SELECT id, topic_key FROM memories ORDER BY topic_key DESC NULLS LAST, id LIMIT 50", "memories"))
