@@ -26,8 +26,8 @@ from lorekeep.llm.common import own_name, slices, whole_text
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}'@$!*_-]*[\p{L}\p{N}])?")
 #: Words that a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 200_000
-#: Words whose n-grams training handles at a time.
-BLOCK = 20_000
+#: Words whose n-grams training handles at a time, and words of texts.
+BLOCK, PART = 20_000, 200_000
 #: Multipliers of the n-gram hash.
 FACTOR, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,7 +78,7 @@ def gram_rows(words: list[str], settings: Settings) -> tuple[np.ndarray, np.ndar
 
 
 def _gram_blocks(words: list[str], settings: Settings) -> tuple[list[tuple], np.ndarray]:
-    """Blocks of words (first word, places of their rows, word of each within the block, rows per word), and the rows used.
+    """Blocks of words (first word, places of their rows word by word, rows per word), and the rows used.
 
     Training goes through the blocks, so that its temporary arrays are as large as one block's.
     """
@@ -86,10 +86,10 @@ def _gram_blocks(words: list[str], settings: Settings) -> tuple[list[tuple], np.
     for begin in range(0, len(words), BLOCK):
         found, of = gram_rows(words[begin : begin + BLOCK], settings)
         used[found] = True
-        made.append((begin, found, of, np.bincount(of)))
+        made.append((begin, found[np.argsort(of, kind="stable")], np.bincount(of)))
     place = np.cumsum(used, dtype=np.int32) - 1
-    for i, (begin, found, of, n) in enumerate(made):
-        made[i] = begin, place[found], of, n
+    for i, (begin, found, n) in enumerate(made):
+        made[i] = begin, place[found], n
     return made, np.flatnonzero(used)
 
 
@@ -129,6 +129,39 @@ def windows(values: np.ndarray, last: np.ndarray) -> np.ndarray:
     return both
 
 
+def _parts(docs: list[np.ndarray], y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of some texts laid end to end, the sizes of the texts and their labels, about PART words at a time."""
+    sizes = np.array([len(d) for d in docs])
+    number = np.cumsum(sizes) // PART
+    for own in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(number)) + 1):
+        yield np.concatenate([docs[i] for i in own]), sizes[own], y[own]
+
+
+def _pulls(margin: np.ndarray, sizes: np.ndarray, y: np.ndarray, offset: float, window: int, even: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By how much the loss of each text moves with the margin of each of its words, and with the offset."""
+    first, length, last = blocks_of(sizes, window)
+    counts = np.diff(np.flatnonzero(last), prepend=-1)  # blocks of each text
+    begins = np.cumsum(counts) - counts
+    span = windows(length.astype(float), last)
+    real = span > 0
+    span[~real] = 1.0
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
+    block_margin = np.add.reduceat(margin, first)
+    window_margin = windows(block_margin, last) / span
+    if even:  # each text's windows share its decision
+        score = np.add.reduceat(np.where(real, window_margin, 0.0), begins) / np.bincount(owner, real)
+    else:
+        score = np.maximum.reduceat(window_margin, begins)
+    logit = score + np.add.reduceat(block_margin, begins) / sizes + offset
+    error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y  # of the class-1 logit; of class 0 its negative
+    deciding = real if even else window_margin == score[owner]
+    pull = np.where(deciding, (error / np.bincount(owner, deciding))[owner] / span, 0.0)
+    block_pull = pull + (error / sizes)[owner]
+    second = np.flatnonzero(real & ~last) + 1  # the second blocks of windows
+    block_pull[second] += pull[second - 1]
+    return np.repeat(block_pull, length), error
+
+
 def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
     """A number for each embedding row and one for all: a text's logit is that one and the means over its words and its window.
 
@@ -144,19 +177,8 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     y = labels[used] if len(labels) else labels
     if not used.any() or len(set(y.tolist())) < 2:
         return np.zeros(settings.rows), bias
-    docs = [k for k in kept if len(k)]
-    words = np.concatenate(docs)
-    sizes = np.array([len(d) for d in docs])
-    first, length, last = blocks_of(sizes, settings.window)
-    counts = np.diff(np.flatnonzero(np.append(last, True)), prepend=-1)[: len(docs)]  # blocks of each text
-    doc_first = np.cumsum(counts) - counts
-    span = windows(length.astype(float), last)
-    real = span > 0
-    span[~real] = 1.0
-    owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
-    many = np.bincount(owner, real)
-    second = np.flatnonzero(real & ~last) + 1  # the second blocks of windows
-    del kept, docs
+    parts = [*_parts([k for k in kept if len(k)], y)]
+    del kept
     blocks, rows = _gram_blocks([*vocabulary], settings)
     size = len(vocabulary)
     del vocabulary
@@ -172,27 +194,17 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     for step in range(1, settings.rounds + 1):
         row_logits = table @ layer
         row_margin = row_logits[:, 1] - row_logits[:, 0]
-        margin = np.concatenate([np.bincount(of, row_margin[at]) / n for _, at, of, n in blocks])
-        block_margin = np.add.reduceat(margin[words], first)
-        window_margin = windows(block_margin, last) / span
-        even = step <= settings.rounds // 6
-        if even:  # each document's windows share its decision
-            score = np.add.reduceat(np.where(real, window_margin, 0.0), doc_first) / many
-        else:
-            score = np.maximum.reduceat(window_margin, doc_first)
-        logit = score + np.add.reduceat(block_margin, doc_first) / sizes + offset[1] - offset[0]
-        toxic = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error = (toxic - y) / len(y)  # of the class-1 logit; of class 0 its negative
-        deciding = real if even else window_margin == score[owner]
-        pull = np.where(deciding, (error / np.bincount(owner, deciding))[owner] / span, 0.0)
-        block_pull = pull + (error / sizes)[owner]
-        block_pull[second] += pull[second - 1]
-        word_pull = np.bincount(words, np.repeat(block_pull, length), minlength=size)
+        margin = np.concatenate([np.add.reduceat(row_margin[at], np.cumsum(n) - n, dtype=np.float64) / n for _, at, n in blocks])
+        word_pull, pulled = np.zeros(size), 0.0
+        for words, sizes, toxic in parts:
+            pull, error = _pulls(margin[words], sizes, toxic, offset[1] - offset[0], settings.window, step <= settings.rounds // 6)
+            word_pull += np.bincount(words, pull / len(y), minlength=size)
+            pulled += error.sum() / len(y)
         row_pull = np.zeros(len(rows))
-        for begin, at, of, n in blocks:
-            row_pull += np.bincount(at, (word_pull[begin : begin + len(n)] / n)[of], minlength=len(rows))
+        for begin, at, n in blocks:
+            row_pull += np.bincount(at, np.repeat(word_pull[begin : begin + len(n)] / n, n), minlength=len(rows))
         both = np.stack([-row_pull, row_pull], axis=1).astype(np.float32)
-        total = np.array([-error.sum(), error.sum()])
+        total = np.array([-pulled, pulled])
         pulls = both @ layer.T
         pulls += np.float32(settings.decay / len(y)) * table
         for (m, v), w, g in zip(moments, weights, [pulls, table.T @ both, total], strict=True):
