@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.rows import settled
@@ -17,26 +17,35 @@ def incident(edges: DataFrame) -> DataFrame:
     return edges.select("*", F.explode(ends).alias("x")).select("x.*", *edges.columns)
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int) -> DataFrame:
-    """entity, hop: entities reached from seeds (column entity, hop 0) within depth.
+def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, follow: Column | None = None) -> DataFrame:
+    """entity, hop: entities reached from seeds (column entity, hop 0) within depth, over the edges that `follow` admits.
 
-    Each hop follows the `fanout` newest edges of the whole frontier (sequence descending, then source, relation
-    and target); an edge to an entity seen before still spends its place. Frontiers after the seeds have at most
-    `fanout` rows and are broadcast; the seeds' join is left to Spark.
+    `follow` is a condition over entity, direction, relation and other. Each hop follows the `fanout` newest edges of the whole
+    frontier (sequence descending, then source, relation and target); an edge to an entity seen before still spends its place.
+    """
+    one = seeds.select(F.lit(0).alias("query_id"), "entity")
+    return walk(edges, one, depth, fanout, follow).select("entity", "hop")
+
+
+def walk(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, follow: Column | None = None) -> DataFrame:
+    """query_id, entity, hop: the neighbourhoods of many queries' seeds (query_id, entity) at once, each as in `neighborhood`.
+
+    A query's frontier after the seeds has at most `fanout` entities. Each level is checkpointed, so the plan does not grow with depth;
+    edges are cut to a query's newest within tasks before they are shuffled.
     """
-    seen = seeds.select("entity", F.lit(0).alias("hop"))
     both = incident(edges)
-    front = seen
+    both = both if follow is None else both.where(follow)
+    seen = front = settled(seeds.select("query_id", "entity").distinct().withColumn("hop", F.lit(0)))
+    order = [F.desc("sequence"), F.col("source"), F.col("relation"), F.col("target"), F.col("direction")]
     for hop in range(1, depth + 1):
-        ends = front.select("entity").distinct()
-        followed = (
-            both.join(ends if hop == 1 else F.broadcast(ends), "entity")
-            .orderBy(F.desc("sequence"), "source", "relation", "target", "direction")
-            .limit(fanout)
-        )
-        reached = followed.select(F.col("other").alias("entity")).distinct()
-        front = reached.join(seen.select("entity"), "entity", "left_anti").select("entity", F.lit(hop).alias("hop"))
-        seen = seen.unionByName(front)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        met = both.join(front.select("query_id", "entity"), "entity")
+        # An edge between two entities of the frontier is met from both, and spends two places as in a union of both ends.
+        followed = met.withColumn("_rank", rank).where(F.col("_rank") <= fanout)
+        reached = followed.select("query_id", F.col("other").alias("entity")).distinct()
+        new = reached.join(seen.select("query_id", "entity"), ["query_id", "entity"], "left_anti")
+        front = settled(new.select("query_id", "entity", F.lit(hop).alias("hop")))
+        seen = settled(seen.unionByName(front))
     return seen
 
 
@@ -53,13 +62,14 @@ def descend(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
 
     Cycles end where an entity was already reached.
     """
-    reached = roots.select(F.col("entity").alias("root"), "entity", F.lit(0).alias("level"))
-    front = reached
+    reached = front = settled(roots.select(F.col("entity").alias("root"), "entity", F.lit(0).alias("level")))
     steps = edges.select(F.col("source").alias("entity"), F.col("target").alias("next")).distinct()
     for level in range(1, levels + 1):
-        front = front.join(steps, "entity").select("root", F.col("next").alias("entity"), F.lit(level).alias("level")).distinct()
-        front = front.join(reached, ["root", "entity"], "left_anti")
-        reached = reached.unionByName(front)
+        step = front.join(steps, "entity").select("root", F.col("next").alias("entity"), F.lit(level).alias("level")).distinct()
+        front = settled(step.join(reached, ["root", "entity"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = settled(reached.unionByName(front))
     return reached
 
 
@@ -72,12 +82,23 @@ def ascend(edges: DataFrame, held: DataFrame, levels: int) -> DataFrame:
     front = held.select(F.col("entity").alias("child")).distinct()
     climbed = None
     for _ in range(levels):
-        taken = front.join(steps, "child")
+        taken = settled(front.join(steps, "child"))
         climbed = taken if climbed is None else climbed.unionByName(taken)
         front = taken.select(F.col("parent").alias("child")).distinct()
     return climbed.distinct()
 
 
+def resolve(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """references (name, file, ...) with the symbol that each means: one of that name in the same file, else the first anywhere.
+
+    symbols: symbol, name, file. Of several the smallest counts; a name that nothing has resolves to null.
+    """
+    near = symbols.groupBy("name", "file").agg(F.min("symbol").alias("near"))
+    far = symbols.groupBy("name").agg(F.min("symbol").alias("far"))
+    met = references.join(near, ["name", "file"], "left").join(far, "name", "left")
+    return met.withColumn("symbol", F.coalesce("near", "far")).drop("near", "far")
+
+
 def redirect_ends(redirects: DataFrame) -> DataFrame:
     """page, canonical: where each redirect (page, to; a page has one at most) ends. A cycle raises ValueError.
 

@@ -127,6 +127,20 @@ def orphans(memories: DataFrame, edges: DataFrame) -> DataFrame:
     return memories.join(edges.select(F.col("memory_id").alias("id")), "id", "left_anti")
 
 
+def adopt(orphaned: DataFrame, batches: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, chunk, edges, adopted: memories without edges after their batches came back.
+
+    orphaned: profile_id, id; batches: profile_id, chunk, first, last (places in order of id), done; edges: memory_id, what a model gave. A batch
+    that is done stamps all its memories, so that those without an edge are not asked about again; those of a failed one stay as they were.
+    """
+    place = F.row_number().over(Window.partitionBy("profile_id").orderBy("id")) - 1
+    placed = orphaned.select("profile_id", "id", place.cast("long").alias("place"))
+    spans = batches.select("profile_id", "chunk", "done", F.explode(F.sequence("first", "last")).alias("place"))
+    counted = edges.groupBy(F.col("memory_id").alias("id")).agg(F.count("*").alias("edges"))
+    met = placed.join(spans, ["profile_id", "place"]).join(counted, "id", "left")
+    return met.select("id", "chunk", F.when(F.col("done"), F.coalesce("edges", F.lit(0))).otherwise(0).alias("edges"), F.col("done").alias("adopted"))
+
+
 def admitted(denied: tuple[str, ...]) -> Column:
     """Traces worth keeping: failures, tools that always are, and tools that are not on the list."""
     tool = F.lower("tool")

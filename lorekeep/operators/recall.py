@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import search
+from lorekeep.functions import vectors as vector
+from lorekeep.operators import graph, search
 from lorekeep.operators.rows import Snapshot
 
 CHANNEL_LIMIT = 10
+#: Share of the best score at which a cluster comes in by its claims.
+INJECTED = 0.85
 
 
 class Mode(Enum):
@@ -88,3 +91,45 @@ def cover(candidates: DataFrame) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, id {kinds['id']}, place long")
+
+
+def spread(first: DataFrame, edges: DataFrame, seeds: int, depth: int, fanout: int) -> DataFrame:
+    """query_id, id, hop: memories by how near their edges come to the entities of a first wave's best `seeds` hits (query_id, id, rank).
+
+    edges have a column memory, the id of the memory that tells of them.
+    """
+    ends = edges.select("memory", F.explode(F.array("source", "target")).alias("entity"))
+    best = first.where(F.col("rank") <= seeds).select("query_id", F.col("id").alias("memory"))
+    around = graph.walk(edges, ends.join(best, "memory").select("query_id", "entity"), depth, fanout)
+    return ends.join(around, "entity").groupBy("query_id", F.col("memory").alias("id")).agg(F.min("hop").alias("hop"))
+
+
+def evidence_lines(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, limit: int) -> DataFrame:
+    """query_id, line, rank: edges around a query's seeds (query_id, entity) in words, the nearest first."""
+    around = graph.walk(edges, seeds, depth, fanout)
+    line = F.concat("source", F.lit(" -"), "relation", F.lit("-> "), "target")
+    told = graph.incident(edges).select("entity", line.alias("line")).join(around, "entity")
+    nearest = told.groupBy("query_id", "line").agg(F.min("hop").alias("hop"))
+    return search.ranked(nearest, limit, [F.col("hop"), F.col("line")]).select("query_id", "line", "rank")
+
+
+def claimed_clusters(
+    claims: DataFrame, hidden: DataFrame, asked: DataFrame, vectors: DataFrame, asked_vectors: DataFrame, limit: int = 30, cosine: float = 0.78
+) -> DataFrame:
+    """query_id, cluster, rank: clusters for questions by their claims (cluster, id, content) and the claims' vectors (id, v).
+
+    asked: query_id, terms; asked_vectors: query_id, q; hidden: clusters that are not eligible. Clusters with a claim that has a term come first, by
+    their latest claim (the greatest id); then those whose claims are among the nearest vectors and reach the cosine, nearest first. Three
+    times `limit` of each are looked at, 300 at most.
+    """
+    looked = min(300, 3 * limit)
+    words = claims.select("cluster", "id", F.explode(F.array_distinct(text.tokens(F.col("content")))).alias("term"))
+    met = words.join(asked.select("query_id", F.explode("terms").alias("term")), "term")
+    latest = met.groupBy("query_id", "cluster").agg(F.max("id").alias("latest"))
+    worded = search.ranked(latest, looked, [F.desc("latest"), F.col("cluster")]).select("query_id", "cluster", F.col("rank").alias("place"))
+    near = search.nearest(vectors, asked_vectors, looked).join(vectors, "id").join(asked_vectors, "query_id")
+    near = near.where(F.round(vector.cosine(F.col("v"), F.col("q")), 9) >= cosine).join(claims.select("id", "cluster"), "id")
+    near = near.groupBy("query_id", "cluster").agg((F.min("rank") + 1000).alias("place"))
+    both = worded.unionByName(near).groupBy("query_id", "cluster").agg(F.min("place").alias("place"))
+    open_ = both.join(hidden.select("cluster").distinct(), "cluster", "left_anti")
+    return search.ranked(open_, limit, [F.col("place"), F.col("cluster")]).select("query_id", "cluster", "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ WEIGHTS = {
 }
 #: Terms of all queries together that are broadcast to the postings at most; more are joined by a shuffle.
 FEW_TERMS = 100_000
+#: Query vectors that are compared in one pass over all vectors, and vectors that a task takes up at a time.
+QUERY_BLOCK, SLICE = 2_000, 1_024
 
 
 def bm25(
@@ -79,32 +82,114 @@ def fuse(candidates: DataFrame, k: int = RRF_K, weights: dict[str, float] = WEIG
 def blend(rows: DataFrame, weight: float = 0.4, by: str = "query_id") -> DataFrame:
     """rows (query_id, score, cosine) with `blended`: scores brought to 0..1 in each query, mixed with the cosine.
 
-    Equal scores all become 1; without a cosine a row keeps its part of the score alone.
+    Equal scores all become 1; a row without a cosine keeps its score as it is, and an opposed vector counts as no likeness.
     """
     window = Window.partitionBy(by)
     low, high = F.min("score").over(window), F.max("score").over(window)
     scaled = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)
     mixed = (1 - weight) * scaled + weight * F.greatest(F.lit(0.0), F.col("cosine"))
-    return rows.withColumn("blended", F.coalesce(mixed, scaled))
+    return rows.withColumn("blended", F.when(F.col("cosine").isNull(), scaled).otherwise(mixed))
 
 
-def collapse(candidates: DataFrame, threshold: float = 0.6) -> DataFrame:
+def rescored(hits: DataFrame, window: int = 30, weight: float = 0.4) -> DataFrame:
+    """hits (query_id, id, rank, score, cosine) with place: the first `window` ordered by `blend`, all others after them as they were.
+
+    Of equal blends the better rank counts.
+    """
+    top = blend(hits.where(F.col("rank") <= window), weight)
+    along = Window.partitionBy("query_id").orderBy(F.desc(F.round("blended", 9)), "rank")
+    moved = top.withColumn("place", F.row_number().over(along)).drop("blended")
+    return moved.unionByName(hits.where(F.col("rank") > window).withColumn("place", F.col("rank")))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, apart: bool = True) -> DataFrame:
+    """query_id, id, distance, rank: for each query (query_id, q) the k nearest vectors (id, v) by L2 distance, then id.
+
+    Exact. Queries go in blocks of about QUERY_BLOCK, which are broadcast; every task keeps the k best of its own vectors for
+    each query of the block, and only those are shuffled and merged. Distances are compared after rounding to nine
+    places. Vectors that are null or of another width than the query's are like nothing. apart: an id is not its own neighbour.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    ids, asked = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def best_of(block: DataFrame) -> DataFrame:
+        rows = block.where("q IS NOT NULL").select("query_id", "q").collect()  # about QUERY_BLOCK vectors
+        shared = vectors.sparkSession.sparkContext.broadcast([(r.query_id, np.array(r.q, np.float64)) for r in rows])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(np.empty(0), []) for _ in shared.value]
+            for batch in batches:
+                for at in range(0, len(batch), SLICE):
+                    part = batch.slice(at, SLICE)
+                    pairs = [(i, v) for i, v in zip(part.column("id").to_pylist(), part.column("v").to_pylist(), strict=True) if v is not None]
+                    for width in {len(v) for _, v in pairs}:
+                        own = [i for i, v in pairs if len(v) == width]
+                        laid = np.array([v for _, v in pairs if len(v) == width], np.float64)
+                        for n, (asked_by, q) in enumerate(shared.value):
+                            if len(q) == width:
+                                held[n] = _keep(held[n], np.sqrt(((laid - q) ** 2).sum(axis=1)).round(9), own, k, asked_by if apart else None)
+            out = [(shared.value[n][0], i, d) for n, (far, near) in enumerate(held) for i, d in zip(near, far.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "id", "distance"]), schema=wire, preserve_index=False)
+
+        wire = pa.schema([("query_id", to_arrow(asked)), ("id", to_arrow(ids)), ("distance", pa.float64())])
+        return vectors.select("id", "v").mapInArrow(scan, f"query_id {asked}, id {ids}, distance double")
+
+    found = None
+    for n in range(blocks):
+        one = best_of(queries.where(of == n))
+        found = one if found is None else found.unionByName(one)
+    return ranked(found, k, [F.col("distance"), F.col("id")])
+
+
+def to_arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def _keep(held: tuple, distances: np.ndarray, ids: list, k: int, but: object) -> tuple:
+    """The k best (distance, id) of what is held and of new ones, without the id `but`."""
+    far, near = held
+    may = distances <= far[-1] if len(far) == k else np.ones(len(distances), bool)
+    new = [(distances[i], ids[i]) for i in np.flatnonzero(may) if but is None or ids[i] != but]
+    if not new:
+        return held
+    best = sorted([*zip(far.tolist(), near), *new])[:k]
+    return np.array([d for d, _ in best]), [i for _, i in best]
+
+
+def collapse(candidates: DataFrame, threshold: float = 0.6, cosine: float = 0.78) -> DataFrame:
     """Of candidates (query_id, id, rank, shingles, ...), in rank order, those unlike every one kept before, without shingles.
 
-    The rule is a chain over a query's few candidates (top-k lists), so each query is one group in pandas.
+    Two are alike if their shingles overlap by `threshold` or, where candidates have a column vector, the cosine of their
+    vectors reaches `cosine`. Where they have a column exempt, exempt candidates stay and nothing is compared with them. The rule is a
+    chain over a query's few candidates (top-k lists), so each query is one group in pandas.
     """
+    spare = {"shingles", "vector", "exempt"} & {*candidates.columns}
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
+        kept: list[tuple[set, np.ndarray | None]] = []
         places = []
         for place, row in group.sort_values(["rank", "id"]).iterrows():
-            own = set(row["shingles"])
-            if not any(own and k and len(own & k) / len(own | k) >= threshold for k in kept):
-                kept.append(own)
+            if "exempt" in spare and row["exempt"] is not None and row["exempt"]:
+                places.append(place)
+                continue
+            own = {*row["shingles"]} if row["shingles"] is not None else set()
+            vector = None
+            if "vector" in spare and row["vector"] is not None:
+                vector = np.array(row["vector"], np.float64)
+                size = np.linalg.norm(vector)
+                vector = vector / size if size else None
+            alike = any(
+                (own and k and len(own & k) / len(own | k) >= threshold)
+                or (vector is not None and v is not None and len(v) == len(vector) and float(v @ vector) >= cosine)
+                for k, v in kept
+            )
+            if not alike:
+                kept.append((own, vector))
                 places.append(place)
         return group.loc[places, names]
 
-    names = [c for c in candidates.columns if c != "shingles"]
+    names = [c for c in candidates.columns if c not in spare]
     schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in names)
     return candidates.groupBy("query_id").applyInPandas(keep, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,44 @@ def revise(revisions: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def supersedes(rows: DataFrame, key: str, known: str, order: str) -> DataFrame:
-    """rows with `supersedes`: the id of the row of the same key that was known just before, by (known, order)."""
-    return rows.withColumn("supersedes", F.lag("id").over(Window.partitionBy(key).orderBy(known, order)))
+def supersedes(rows: DataFrame, key: str, stated: str, order: str) -> DataFrame:
+    """rows (id, ...) with `supersedes`, the id of the row of the same key that was current when the row came (by `order`), and `stale`.
+
+    Current is the row that was stated last so far, the later one of equals. A row that was stated before it supersedes
+    nothing and is stale: an older truth that arrives late never replaces a newer one. Without a statement a row
+    is not known to be older, and what has none is replaced by anything.
+    """
+    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    current = F.max(F.struct(F.col(stated).alias("stated"), F.col(order).alias("at"), F.col("id"))).over(along)
+    older = F.coalesce(F.col(stated) < F.col("current.stated"), F.lit(False))
+    found = rows.withColumn("current", current)
+    return found.withColumns({"supersedes": F.when(~older, F.col("current.id")), "stale": older}).drop("current")
+
+
+def history(revisions: DataFrame, segments: DataFrame, day: Column) -> DataFrame:
+    """revisions (fact_group, revision_id, transaction_id, ...) with place, valid_from, valid_to, selected: a row for each stretch in which
+    one holds, or one without bounds; place counts within the fact by transaction, selected says whether it holds on the day."""
+    held = segments.select("fact_group", "revision_id", "valid_from", "valid_to")
+    met = revisions.join(held, ["fact_group", "revision_id"], "left")
+    place = F.row_number().over(Window.partitionBy("fact_group").orderBy("transaction_id", "valid_from"))
+    on = (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
+    return met.withColumns({"place": place, "selected": F.coalesce(on, F.lit(False))})
+
+
+def append(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """fact_group, revision_id, start, stop, closed: stored revisions and those of `incoming` that are not among them.
+
+    incoming: fact_group (its own), revision_id, start, stop, predecessor, corrects (revision ids or null). A correction of a stored
+    revision joins its fact, begins when it did unless it says otherwise, and closes it. Others join their predecessor's
+    fact if that is stored, else their own. What is appended is to be resolved again by fact.
+    """
+    new = incoming.dropDuplicates(["revision_id"]).join(stored.select("revision_id"), "revision_id", "left_anti")
+    target = stored.select(F.col("revision_id").alias("corrects"), F.col("fact_group").alias("target"), F.col("start").alias("began"))
+    before = stored.select(F.col("revision_id").alias("predecessor"), F.col("fact_group").alias("before"))
+    met = new.join(target, "corrects", "left").join(before, "predecessor", "left")
+    made = met.select(
+        F.coalesce("target", "before", "fact_group").alias("fact_group"), "revision_id", F.coalesce("start", "began").alias("start"), "stop", F.lit(False).alias("closed")
+    )
+    closed = met.where("target IS NOT NULL").select(F.col("corrects").alias("revision_id"), F.lit(True).alias("shut")).distinct()
+    kept = stored.join(closed, "revision_id", "left")
+    return kept.select("fact_group", "revision_id", "start", "stop", F.coalesce("shut", F.lit(False)).alias("closed")).unionByName(made)

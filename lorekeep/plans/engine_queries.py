@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text, vectors
-from lorekeep.operators import graph, rows, search, temporal
+from lorekeep.functions import dates, text, vectors
+from lorekeep.operators import graph, ingest, rows, search, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
 from lorekeep.plans.functions_queries import STOP
 from lorekeep.plans.registry import query
@@ -29,6 +29,9 @@ def bm25_sql(name: str, table: str, ident: str, body: str) -> str:
 
 
 FTS_SQL = bm25_sql("fts", "documents", "doc_id", "text")
+VISIBLE_FTS = f"""fts_top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fts QUALIFY rank <= 300)
+    WHERE id IN (SELECT sequence FROM seen) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10)"""
 FTS_TOP = "fts_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fts QUALIFY rank <= 10)"
 
 
@@ -43,9 +46,17 @@ def fts(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
     return search.ranked(scored, limit, [F.desc(F.round("score", 9)), F.col("id")])
 
 
-@query(f"WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP} SELECT query_id, id, rank, round(score, 6) AS score FROM fts_top")
+def visible_fts(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
+    """The best full-text hits over memories that are visible; of a query's hits 300 are looked at."""
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), probes(spark, sf_dir), "doc_id", "text")
+    looked = search.ranked(scored, 300, [F.desc(F.round("score", 9)), F.col("id")]).withColumnRenamed("rank", "of_all")
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"))
+    return search.ranked(looked.join(visible, "id", "left_semi"), limit, [F.col("of_all")]).select("query_id", "id", "score", "rank")
+
+
+@query(sql(f"WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS} SELECT query_id, id, rank, round(score, 6) AS score FROM fts_top", "memories"))
 def ret_fts_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return visible_fts(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 MESSAGES_SQL = bm25_sql("said", "conversations", "conv_id || ':' || turn || ':' || role", "text")
@@ -53,13 +64,17 @@ SESSIONS = """sessions AS (SELECT query_id, CAST(split_part(id, ':', 1) AS BIGIN
     sessions_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id) AS rank FROM sessions QUALIFY rank <= 10)"""
 
 
-@query(f"WITH {PROBES_SQL}, {MESSAGES_SQL}, {SESSIONS} SELECT query_id, session_id, rank FROM sessions_top")
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {MESSAGES_SQL}, best AS (SELECT query_id, 'src' || CAST(split_part(id, ':', 1) AS BIGINT) % 10 AS session_id, max(score) AS score FROM said GROUP BY ALL)
+    SELECT query_id, sequence AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id, created_on DESC, sequence) AS rank FROM best JOIN seen USING (session_id) QUALIFY rank <= 10""", "memories"))
 def ret_fts_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session ranks by its best message."""
+    """Visible memories of the sessions with the best messages, newest first (a conversation belongs to the session of its last digit)."""
     said = read_table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn", "role").alias("id"), F.col("text").alias("content"))
     scored = search.bm25(said, probes(spark, sf_dir))
-    best = scored.groupBy("query_id", F.split("id", ":")[0].cast("long").alias("session_id")).agg(F.max("score").alias("score"))
-    return search.ranked(best, 10, [F.desc(F.round("score", 9)), F.col("session_id")]).select("query_id", "session_id", "rank")
+    session = F.concat(F.lit("src"), (F.split("id", ":")[0].cast("long") % 10).cast("string"))
+    best = scored.groupBy("query_id", session.alias("session_id")).agg(F.max("score").alias("score"))
+    held = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "session_id", "created_on")
+    order = [F.desc(F.round("score", 9)), F.col("session_id"), F.desc("created_on"), F.col("id")]
+    return search.ranked(held.join(best, "session_id"), 10, order).select("query_id", "id", "rank")
 
 
 KEYS = ("en.src3", "fr.src1", "de.src2")
@@ -80,16 +95,11 @@ VECTOR_SQL = """near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dista
     near_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM near QUALIFY rank <= 10)"""
 
 
-def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each query vector: blocks of queries, in a shuffle join on a block number."""
-    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    blocks = 16
-    asked = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    pairs = dealt.join(asked, "block").where("query_id <> vec_id")
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), vectors.l2(F.col("embedding"), F.col("q")).alias("d"))
-    return search.ranked(scored, 10, [F.round("d", 9), F.col("id")])
+def nearest(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
+    """The nearest vectors of each query vector: those whose id is divisible by 20, against all."""
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = table.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return search.nearest(table, asked, limit).withColumnRenamed("distance", "d")
 
 
 @query(f"WITH {VECTOR_SQL} SELECT query_id, id, rank, round(d, 6) AS distance FROM near_top")
@@ -102,13 +112,22 @@ LIKE_SQL = """hits AS (SELECT query_id, doc_id AS id, count(*) AS hits FROM (SEL
     USING (term) GROUP BY ALL)"""
 
 
-@query(f"WITH {PROBES_SQL}, {LIKE_SQL} SELECT query_id, id, hits FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) <= 10")
+@query(sql(f"""WITH {PROBES_SQL}, t AS (SELECT query_id, unnest(terms) AS term FROM probes),
+    c AS (SELECT query_id, sequence AS id, count(*) AS hits FROM memories JOIN t ON contains(lower(content), term) GROUP BY ALL),
+    s AS (SELECT DISTINCT query_id, 'src' || conv_id % 100 AS session_id FROM conversations JOIN t ON contains(lower(text), term)),
+    h AS (SELECT * FROM c UNION ALL SELECT query_id, sequence, 1 FROM s JOIN memories USING (session_id))
+    SELECT * FROM (SELECT query_id, id, max(hits) AS hits FROM h GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) <= 10""", "memories"))
 def ret_legacy_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by how many of the query's terms they have."""
+    """Memories by how many of the query's terms their text holds anywhere; one whose session has a message with a term counts one at least."""
     terms = probes(spark, sf_dir).select("query_id", F.explode("terms").alias("term"))
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    counted = docs.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
-    return search.ranked(counted, 10, [F.desc("hits"), F.col("id")]).select("query_id", "id", "hits")
+    each = terms.select("term").distinct()
+    held = memories(spark, sf_dir).select(F.col("sequence").alias("id"), "session_id", F.lower("content").alias("content"))
+    own = search.contained(held, "content", each).select("id", "term").join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    said = read_table(spark, sf_dir, "conversations").select(F.concat(F.lit("src"), (F.col("conv_id") % 100).cast("string")).alias("session_id"), F.lower("text").alias("said"))
+    sessions = search.contained(said, "said", each).select("session_id", "term").join(terms, "term").select("query_id", "session_id").distinct()
+    by_session = held.select("id", "session_id").join(sessions, "session_id").select("query_id", "id", F.lit(1).cast("long").alias("hits"))
+    best = own.unionByName(by_session).groupBy("query_id", "id").agg(F.max("hits").alias("hits"))
+    return search.ranked(best, 10, [F.desc("hits"), F.col("id")]).select("query_id", "id", "hits")
 
 
 FUSED_SQL = f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, {VECTOR_SQL}, {LIKE_SQL},
@@ -119,12 +138,19 @@ FUSED_SQL = f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, {VECTOR_SQL}, {LIKE_SQL
     fused AS (SELECT query_id, id, sum(share) AS score, 'rrf:' || string_agg(channel, '+' ORDER BY share DESC, channel) AS source FROM shares GROUP BY ALL)"""
 
 
+def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by how many of the query's terms are among their words."""
+    terms = probes(spark, sf_dir).select("query_id", F.explode("terms").alias("term"))
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    counted = docs.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    return search.ranked(counted, 10, [F.desc("hits"), F.col("id")])
+
+
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text, vector and term-count channels, fused."""
     asked = probes(spark, sf_dir).select("query_id")
     near = nearest(spark, sf_dir).join(asked, "query_id", "left_semi")
-    terms = ret_legacy_like(spark, sf_dir)
-    terms = search.ranked(terms, 10, [F.desc("hits"), F.col("id")])
+    terms = shared_terms(spark, sf_dir)
     channels = search.channel(fts(spark, sf_dir), "fts").unionByName(search.channel(near, "vector")).unionByName(search.channel(terms, "message"))
     return search.fuse(channels)
 
@@ -147,34 +173,41 @@ def ret_rrf_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).join(docs, "id").select("query_id", "id", F.round(F.col("score") * boost, 9).alias("score"))
 
 
-@query(f"""{FUSED_SQL}, c AS (SELECT f.*, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine
-        FROM fused f LEFT JOIN embeddings v ON v.vec_id = f.id LEFT JOIN embeddings q ON q.vec_id = f.query_id),
+@query(f"""{FUSED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS old FROM fused),
+    c AS (SELECT o.*, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine FROM o LEFT JOIN embeddings v ON v.vec_id = o.id
+        LEFT JOIN embeddings q ON q.vec_id = o.query_id WHERE old <= 8),
     s AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS scaled
-        FROM c WINDOW w AS (PARTITION BY query_id))
-    SELECT query_id, id, round(coalesce(0.6 * scaled + 0.4 * greatest(0.0, CASE WHEN cosine IS NOT NULL THEN cosine END), scaled), 6) AS blended FROM s WHERE cosine IS NOT NULL
-    UNION ALL SELECT query_id, id, round(scaled, 6) FROM s WHERE cosine IS NULL""")
+        FROM c WINDOW w AS (PARTITION BY query_id)),
+    b AS (SELECT query_id, id, old, round(CASE WHEN cosine IS NULL THEN scaled ELSE 0.6 * scaled + 0.4 * greatest(0.0, cosine) END, 9) AS blended FROM s)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, old) AS place FROM b UNION ALL SELECT query_id, id, old FROM o WHERE old > 8""")
 def ret_rerank_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight fused hits in the order of their score blended with the cosine of their vectors; all others follow as they were."""
+    hits = search.ranked(fused(spark, sf_dir), 1 << 30, [F.desc(F.round("score", 12)), F.col("id")])
     vec = read_table(spark, sf_dir, "embeddings")
-    hits = fused(spark, sf_dir).join(vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
+    hits = hits.join(vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
     hits = hits.join(vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
-    cosine = F.when(F.col("v").isNotNull() & F.col("q").isNotNull(), F.greatest(F.lit(0.0), vectors.cosine(F.col("v"), F.col("q"))))
-    mixed = 0.6 * F.col("scaled") + 0.4 * F.col("cosine")
-    blended = search.blend(hits.withColumn("cosine", cosine), weight=0.0).withColumnRenamed("blended", "scaled")
-    return blended.select("query_id", "id", F.round(F.coalesce(mixed, "scaled"), 6).alias("blended"))
+    cosine = F.when(F.col("v").isNotNull() & F.col("q").isNotNull(), vectors.cosine(F.col("v"), F.col("q")))
+    return search.rescored(hits.withColumn("cosine", cosine), window=8).select("query_id", "id", "place")
 
 
 @query()
 def ret_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused hits without those that nearly repeat a better one."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    """Fused hits without those that nearly repeat a better one, by words or by vectors; those of one source (`src0`, as it were code) stay."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("source") == "src0").alias("exempt"))
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     top = search.ranked(fused(spark, sf_dir), 30, [F.desc(F.round("score", 12)), F.col("id")])
-    hits = top.join(docs, "id").select("query_id", "id", "rank", text.shingles(F.col("text")).alias("shingles"))
-    return search.collapse(hits)
+    hits = top.join(docs, "id").join(vec, "id", "left")
+    return search.collapse(hits.select("query_id", "id", "rank", text.shingles(F.col("text")).alias("shingles"), "vector", "exempt"))
 
 
-@query(sql(f"WITH {SEEN_SQL} SELECT id, valid_from, valid_to FROM seen", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS} SELECT query_id, id, 'valid from ' || valid_from || CASE WHEN valid_to IS NULL THEN '' ELSE ' until ' || valid_to END AS fact
+    FROM fts_top JOIN (SELECT sequence AS id, valid_from, valid_to FROM seen) USING (id)""", "memories"))
 def ret_temporal_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen(spark, sf_dir).select("id", "valid_from", "valid_to")
+    """The selected validity of each hit, as a fact in words."""
+    rows_ = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "valid_from", "valid_to")
+    until = F.coalesce(F.concat(F.lit(" until "), F.col("valid_to").cast("string")), F.lit(""))
+    fact = F.concat(F.lit("valid from "), F.col("valid_from").cast("string"), until)
+    return visible_fts(spark, sf_dir).select("query_id", "id").join(rows_, "id").select("query_id", "id", fact.alias("fact"))
 
 
 @query(sql("SELECT id FROM memories WHERE session_id <> 'src0'", "memories"))
@@ -182,10 +215,18 @@ def ret_exclude_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).where("session_id <> 'src0'").select("id")
 
 
-@query(sql("""SELECT id, type, session_id FROM memories WHERE type = 'fact' AND contains(lower(content), 'th') ORDER BY created_on DESC, id DESC LIMIT 21""", "memories"))
+@query(sql("""WITH h AS (SELECT * FROM memories WHERE contains(lower(content), 'th') AND session_id <> 'src9'),
+    p AS (SELECT id, created_on FROM h WHERE type = 'fact' ORDER BY created_on DESC, id DESC LIMIT 21)
+    SELECT 'row' AS kind, id AS name, CAST(1 AS BIGINT) AS n FROM p UNION ALL SELECT 'type', type, count(*) FROM h GROUP BY type
+    UNION ALL SELECT 'tool', topic_key, count(*) FROM h WHERE starts_with(topic_key, 'fr.') GROUP BY topic_key""", "memories"))
 def ret_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rows.where_given(memories(spark, sf_dir), type="fact", session_id="").where(rows.contains_ignoring_case(F.col("content"), "TH"))
-    return rows.keyset_page(hits, "created_on", "id", 20).select("id", "type", "session_id")
+    """A page of hits of one type, the counts of all types under the other filters, and calls (here keys under `fr.`) grouped by key."""
+    hits = memories(spark, sf_dir).where(rows.contains_ignoring_case(F.col("content"), "TH") & (F.col("session_id") != "src9"))
+    page = rows.keyset_page(rows.where_given(hits, type="fact", profile_id=""), "created_on", "id", 20)
+    kinds = hits.groupBy("type").agg(F.count("*").alias("n")).select(F.lit("type").alias("kind"), F.col("type").alias("name"), "n")
+    calls = hits.where(F.col("topic_key").startswith("fr.")).groupBy("topic_key").agg(F.count("*").alias("n"))
+    listed = page.select(F.lit("row").alias("kind"), F.col("id").alias("name"), F.lit(1).cast("long").alias("n"))
+    return listed.unionByName(kinds).unionByName(calls.select(F.lit("tool").alias("kind"), F.col("topic_key").alias("name"), "n"))
 
 
 @query(sql("SELECT id, created_on FROM memories WHERE session_id = 'src1' AND NOT forgotten", "memories"))
@@ -202,15 +243,18 @@ def ret_topic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Temporal
 
 
-@query(sql("""WITH p AS (SELECT *, CASE WHEN u THEN NULL ELSE stated_on END AS stated, CASE WHEN u THEN transaction_id END AS trans FROM (
+SEGMENTS_SQL = """p AS (SELECT *, CASE WHEN u THEN NULL ELSE stated_on END AS stated, CASE WHEN u THEN transaction_id END AS trans FROM (
         SELECT *, bool_or(stated_on IS NULL) OVER (PARTITION BY fact_group, start) AS u FROM assertions)),
     bounds AS (SELECT fact_group, start AS moment FROM assertions UNION SELECT fact_group, stop FROM assertions WHERE stop IS NOT NULL),
     spans AS (SELECT fact_group, moment, lead(moment) OVER (PARTITION BY fact_group ORDER BY moment) AS until FROM bounds),
     held AS (SELECT s.fact_group, moment, until, revision_id FROM spans s JOIN p ON p.fact_group = s.fact_group AND start <= moment AND (stop IS NULL OR moment < stop)
         QUALIFY row_number() OVER (PARTITION BY s.fact_group, moment ORDER BY start DESC, stated DESC NULLS LAST, trans DESC NULLS LAST, revision_id DESC) = 1),
     marked AS (SELECT *, CASE WHEN lag(revision_id) OVER w = revision_id AND lag(until) OVER w = moment THEN 0 ELSE 1 END AS new FROM held WINDOW w AS (PARTITION BY fact_group ORDER BY moment)),
-    islands AS (SELECT *, sum(new) OVER (PARTITION BY fact_group ORDER BY moment) AS island FROM marked)
-    SELECT fact_group, revision_id, min(moment) AS valid_from, arg_max(coalesce(until, DATE '9999-12-31'), moment) AS valid_to FROM islands GROUP BY fact_group, island, revision_id""", "assertions"))
+    islands AS (SELECT *, sum(new) OVER (PARTITION BY fact_group ORDER BY moment) AS island FROM marked),
+    segments AS (SELECT fact_group, revision_id, min(moment) AS valid_from, arg_max(coalesce(until, DATE '9999-12-31'), moment) AS valid_to FROM islands GROUP BY fact_group, island, revision_id)"""
+
+
+@query(sql(f"WITH {SEGMENTS_SQL} SELECT * FROM segments", "assertions"))
 def tmp_resolve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = temporal.resolve_segments(assertions(spark, sf_dir))
     return found.withColumn("valid_to", F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
@@ -241,10 +285,14 @@ def tmp_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assertions(spark, sf_dir).select("fact_group", "revision_id", place.alias("place"))
 
 
-@query(sql("""SELECT id, lag(id) OVER (PARTITION BY type || ':' || topic_key ORDER BY created_on, sequence) AS supersedes FROM memories WHERE topic_key IS NOT NULL""", "memories"))
+@query(sql("""WITH m AS (SELECT *, type || ':' || topic_key AS key, DATE '2024-01-01' + CAST(sequence % 365 AS INT) AS stated FROM memories WHERE topic_key IS NOT NULL AND NOT forgotten),
+    b AS (SELECT id, stated, arg_max(id, (stated, sequence)) OVER w AS active, max(stated) OVER w AS latest FROM m WINDOW w AS (PARTITION BY key ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT id, CASE WHEN latest IS NULL OR stated >= latest THEN active END AS supersedes, coalesce(stated < latest, false) AS stale FROM b""", "memories"))
 def tmp_supersede_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("id", "created_on", "sequence", F.concat("type", F.lit(":"), "topic_key").alias("key"))
-    return temporal.supersedes(keyed, "key", "created_on", "sequence").select("id", "supersedes")
+    """What each memory supersedes on arrival; one that was stated before what is current supersedes nothing and is history at once."""
+    kept = memories(spark, sf_dir).where("topic_key IS NOT NULL AND NOT forgotten")
+    keyed = kept.select("id", "sequence", F.concat("type", F.lit(":"), "topic_key").alias("key"), dates.payload_time(F.col("payload"), "stated_at").alias("stated"))
+    return temporal.supersedes(keyed, "key", "stated", "sequence").select("id", "supersedes", "stale")
 
 
 @query(sql("""SELECT min(b) AS next_boundary FROM (SELECT start AS b FROM assertions UNION ALL SELECT stop FROM assertions) WHERE b > DATE '1996-01-01'""", "assertions"))
@@ -253,9 +301,14 @@ def tmp_next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.agg(F.min("b").alias("next_boundary"))
 
 
-@query(sql("SELECT fact_group, count(*) AS due FROM assertions WHERE stop <= DATE '1997-01-01' GROUP BY 1", "assertions"))
+@query(sql("""WITH b AS (SELECT fact_group % 100 AS cluster, start AS b FROM assertions UNION ALL SELECT fact_group % 100, stop FROM assertions)
+    SELECT cluster, min(b) AS boundary FROM b WHERE b > DATE '1996-01-01' GROUP BY 1 HAVING min(b) <= DATE '1996-01-04'""", "assertions"))
 def tmp_boundaries_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assertions(spark, sf_dir).where("stop <= DATE '1997-01-01'").groupBy("fact_group").agg(F.count("*").alias("due"))
+    """Clusters (of fact groups) whose next boundary after the last look has come, so that they are to be looked at again."""
+    day = F.lit("1996-01-01").cast("date")
+    bounds = assertions(spark, sf_dir).select((F.col("fact_group") % 100).alias("cluster"), F.explode(F.array("start", "stop")).alias("b"))
+    following = bounds.where(F.col("b") > day).groupBy("cluster").agg(F.min("b").alias("boundary"))
+    return following.where(F.col("boundary") <= F.lit("1996-01-04").cast("date"))
 
 
 # Graph
@@ -268,9 +321,9 @@ def _seed(spark: SparkSession, *names: str) -> DataFrame:
 HOP = """SELECT other FROM (SELECT source AS e, target AS other, sequence, source, relation, target, 'out' AS d FROM edges
     UNION ALL SELECT target, source, sequence, source, relation, target, 'in' FROM edges) WHERE e IN (SELECT entity FROM {front})
     ORDER BY sequence DESC, source, relation, target, d LIMIT 20"""
-WALK = f"""h0 AS (SELECT 'c5' AS entity), h1 AS (SELECT DISTINCT other AS entity FROM ({HOP.format(front="h0")}) WHERE other NOT IN (SELECT entity FROM h0)),
-    h2 AS (SELECT DISTINCT other AS entity FROM ({HOP.format(front="h1")}) WHERE other NOT IN (SELECT entity FROM h0 UNION SELECT entity FROM h1)),
-    walk AS (SELECT entity, 0 AS hop FROM h0 UNION ALL SELECT entity, 1 FROM h1 UNION ALL SELECT entity, 2 FROM h2)"""
+WALK = f"""h0 AS MATERIALIZED (SELECT 'c5' AS entity), h1 AS MATERIALIZED (SELECT DISTINCT other AS entity FROM ({HOP.format(front="h0")}) WHERE other NOT IN (SELECT entity FROM h0)),
+    h2 AS MATERIALIZED (SELECT DISTINCT other AS entity FROM ({HOP.format(front="h1")}) WHERE other NOT IN (SELECT entity FROM h0 UNION SELECT entity FROM h1)),
+    walk AS MATERIALIZED (SELECT entity, 0 AS hop FROM h0 UNION ALL SELECT entity, 1 FROM h1 UNION ALL SELECT entity, 2 FROM h2)"""
 
 
 @query(sql(f"WITH {WALK} SELECT entity FROM walk", "edges"))
@@ -278,9 +331,11 @@ def gr_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighborhood(edges(spark, sf_dir), _seed(spark, "c5"), 2, 20).select("entity")
 
 
-@query(sql(f"WITH {WALK} SELECT entity, hop FROM walk", "edges"))
+@query(sql(f"""WITH {WALK.replace("FROM edges", "FROM edges_")} SELECT entity, hop FROM walk""".replace("WITH ", "WITH edges_ AS (SELECT * FROM edges WHERE left(source, 1) IN ('o', 'c') AND left(target, 1) IN ('o', 'c')), ", 1), "edges"))
 def gr_neighborhood_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighborhood(edges(spark, sf_dir), _seed(spark, "c5"), 2, 20)
+    """With each entity's hop, over entities of two types only."""
+    kinds = F.left("entity", F.lit(1)).isin("o", "c") & F.left("other", F.lit(1)).isin("o", "c")
+    return graph.neighborhood(edges(spark, sf_dir), _seed(spark, "c5"), 2, 20, kinds)
 
 
 DEGREES = "degrees AS (SELECT e AS entity, count(*) AS degree FROM (SELECT source AS e FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1)"
@@ -290,10 +345,12 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.endpoints(edges(spark, sf_dir)).groupBy("entity").agg(F.count("*").alias("degree"))
 
 
-@query(sql(f"WITH {WALK}, {DEGREES} SELECT entity, hop, degree FROM walk JOIN degrees USING (entity) ORDER BY hop, degree DESC, entity LIMIT 30", "edges"))
+@query(sql(f"""WITH {WALK}, {DEGREES}, r AS (SELECT entity, hop, degree FROM walk JOIN degrees USING (entity) ORDER BY hop, degree DESC, entity LIMIT 13)
+    SELECT *, (SELECT count(*) FROM r) > 12 AS truncated FROM r ORDER BY hop, degree DESC, entity LIMIT 12""", "edges"))
 def gr_explorer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed, then what is nearest, of equals the highest degree; twelve, and whether there are more."""
     walk = graph.neighborhood(edges(spark, sf_dir), _seed(spark, "c5"), 2, 20)
-    return walk.join(degrees(spark, sf_dir), "entity").orderBy("hop", F.desc("degree"), "entity").limit(30)
+    return rows.capped(walk.join(degrees(spark, sf_dir), "entity"), [F.col("hop"), F.desc("degree"), F.col("entity")], 12)
 
 
 @query(sql(f"WITH {WALK} SELECT source, relation, target FROM edges WHERE source IN (SELECT entity FROM walk) AND target IN (SELECT entity FROM walk)", "edges"))
@@ -337,10 +394,12 @@ def gr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc("degree"), "entity").limit(10).select("entity", "degree")
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+@query(sql(f"""WITH {SEEN_SQL} SELECT id FROM seen WHERE type <> 'task' AND sequence % 13 <> 0 AND sequence NOT IN (SELECT sequence FROM edges WHERE relation = 'placed by' AND sequence % 4 < 2)""", "memories", "edges"))
 def gr_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
-    return read_table(spark, sf_dir, "part").select("p_partkey").join(sold, "p_partkey", "left_anti")
+    """Visible memories, but for tasks and those that were taken up before (here every thirteenth), of which no edge tells."""
+    told = edges(spark, sf_dir).where("relation = 'placed by' AND sequence % 4 < 2").select(F.col("sequence").alias("memory_id"))
+    open_ = seen(spark, sf_dir).where("type <> 'task' AND sequence % 13 <> 0").select(F.col("sequence").alias("id"), F.col("id").alias("name"))
+    return ingest.orphans(open_, told).select(F.col("name").alias("id"))
 
 
 @query(sql("""WITH s AS (SELECT DISTINCT left(source, 1) || right(source, 1) AS cluster, target AS entity FROM edges WHERE relation = 'placed by'),
@@ -367,12 +426,18 @@ def gr_dag_descend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.descend(e, roots, 4)
 
 
-@query(sql("""WITH s AS (SELECT DISTINCT source FROM edges WHERE relation = 'placed by' AND target = 'c8')
-    SELECT source AS entity, count(*) AS n FROM edges WHERE source IN (SELECT source FROM s) GROUP BY 1""", "edges"))
+@query(sql("""WITH down AS (SELECT DISTINCT target AS parent, source AS child FROM edges WHERE relation <> 'contains' UNION SELECT source, target FROM edges WHERE relation = 'contains'),
+    c1 AS (SELECT DISTINCT parent AS cluster, child AS entity FROM down WHERE parent LIKE 'n%'), c2 AS (SELECT DISTINCT cluster, child AS entity FROM c1 JOIN down ON parent = entity),
+    c3 AS (SELECT DISTINCT cluster, child AS entity FROM c2 JOIN down ON parent = entity)
+    SELECT cluster, left(entity, 1) AS kind, count(DISTINCT entity) AS n FROM (SELECT * FROM c1 UNION SELECT * FROM c2 UNION SELECT * FROM c3) GROUP BY ALL""", "edges"))
 def gr_cluster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is under each nation, down to the parts of its customers' orders, by kind."""
     e = edges(spark, sf_dir)
-    mine = e.where("relation = 'placed by' AND target = 'c8'").select("source").distinct()
-    return e.join(mine, "source", "left_semi").groupBy(F.col("source").alias("entity")).agg(F.count("*").alias("n"))
+    inner = e.where("relation <> 'contains'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    down = inner.unionByName(e.where("relation = 'contains'").select("source", "target"))
+    roots = inner.where("source LIKE 'n%'").select(F.col("source").alias("entity")).distinct()
+    under = graph.descend(down, roots, 4).where("level > 0")
+    return under.groupBy(F.col("root").alias("cluster"), F.left("entity", F.lit(1)).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(sql("""WITH h AS (SELECT source, target FROM edges WHERE source = 'o9') SELECT e.source, e.relation, e.target, CASE WHEN e.relation = 'placed by' THEN 0 ELSE 1 END AS strength
@@ -388,15 +453,13 @@ def gr_code_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "relation", "target", strength.alias("strength")).orderBy("strength", "source", "target")
 
 
-@query("""SELECT l_orderkey, l_linenumber, coalesce(s.s_suppkey, g.s_suppkey) AS resolved FROM lineitem
-    LEFT JOIN (SELECT s_suppkey, s_nationkey FROM supplier) s ON s.s_suppkey = l_suppkey AND s.s_nationkey < 12
-    LEFT JOIN (SELECT 1 AS one, min(s_suppkey) AS s_suppkey FROM supplier) g ON g.one = 1""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, p_brand AS name, l_suppkey % 50 + 1 AS file FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)
+    SELECT l_orderkey, coalesce((SELECT min(p_partkey) FROM part WHERE p_brand = name AND p_size = file AND p_partkey % 3 = 0),
+        (SELECT min(p_partkey) FROM part WHERE p_brand = name AND p_partkey % 3 = 0)) AS resolved FROM r""")
 def gr_code_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The destination near at hand, else the first one anywhere."""
-    suppliers = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    near = suppliers.where("s_nationkey < 12").select("l_suppkey", F.col("l_suppkey").alias("near"))
-    first = suppliers.agg(F.min("l_suppkey").alias("first"))
-    items = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return items.join(near, "l_suppkey", "left").join(F.broadcast(first)).select("l_orderkey", "l_linenumber", F.coalesce("near", "first").alias("resolved"))
-
-
+    """The symbol (every third part) that a reference means by a qualified name (a brand): in its own file (a size), else the first anywhere."""
+    part = read_table(spark, sf_dir, "part")
+    symbols = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("file"))
+    items = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("name")), "l_partkey")
+    references = items.select("l_orderkey", "name", (F.col("l_suppkey") % 50 + 1).alias("file"))
+    return graph.resolve(references, symbols).select("l_orderkey", F.col("symbol").alias("resolved"))

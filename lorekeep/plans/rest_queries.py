@@ -6,17 +6,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, stem, text, vectors
-from lorekeep.operators import graph, ingest, pages, rows, search, temporal
+from lorekeep.operators import clusters, graph, ingest, pages, recall, rows, search, sets, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
-from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, fts, nearest
+from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, SEGMENTS_SQL, VISIBLE_FTS, bm25_sql, fts, nearest, probes, visible_fts
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
 from lorekeep.streaming import feeds
 
+#: The walk of the graph channel in SQL: seeds are the entities of a query's first five memories; one hop over its twenty newest edges.
+SPREAD_SQL = """ends AS (SELECT source AS e, target AS other, 'out' AS d, * FROM edges UNION ALL SELECT target, source, 'in', * FROM edges),
+    h0 AS MATERIALIZED (SELECT DISTINCT query_id, e AS entity FROM fts_top JOIN ends ON ends.sequence = id WHERE rank <= 5),
+    h1 AS MATERIALIZED (SELECT DISTINCT query_id, other AS entity FROM (SELECT query_id, other FROM ends JOIN h0 ON e = entity
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sequence DESC, source, relation, target, d) <= 20)
+        WHERE (query_id, other) NOT IN (SELECT (query_id, entity) FROM h0)),
+    spread AS MATERIALIZED (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1),
+    graph_top AS (SELECT query_id, sequence AS id, row_number() OVER (PARTITION BY query_id ORDER BY hop, created_on DESC, sequence) AS rank FROM (
+        SELECT query_id, ends.sequence, min(hop) AS hop FROM ends JOIN spread ON e = entity GROUP BY ALL) JOIN seen USING (sequence) QUALIFY rank <= 10)"""
+
 IDS = "list_distinct([event_id % 7, CAST(json_extract(props, '$.k') AS BIGINT)])"
 
 
+def graph_hits(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
+    """The graph channel: visible memories whose edges touch what lies around the entities of the first wave's memories."""
+    e = edges(spark, sf_dir)
+    found = recall.spread(first, e.withColumn("memory", F.col("sequence")), seeds=5, depth=1, fanout=20)
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "created_on")
+    return search.ranked(found.join(visible, "id"), 10, [F.col("hop"), F.desc("created_on"), F.col("id")])
+
+
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a payload of symbol ids; every fourth is malformed."""
     made = F.concat(F.lit('{"symbolIds":['), (F.col("event_id") % 7).cast("string"), F.lit(","), F.get_json_object("props", "$.k"), F.lit("]}"))
@@ -42,28 +60,28 @@ def map_merge_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("channel")).agg(F.min(rank).alias("rank"))
 
 
-@query("""WITH near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(list_transform(q.embedding, lambda x: CAST(-x AS DOUBLE)), CAST(v.embedding AS DOUBLE[])) AS d
-        FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+@query("""WITH near AS (SELECT q.vec_id - 1 AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d
+        FROM embeddings q JOIN embeddings v ON q.vec_id - 1 <> v.vec_id WHERE q.vec_id % 20 = 1)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM near QUALIFY rank <= 10""")
 def ret_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector channel for made-up answers (here the opposites of the query vectors), in blocks of queries."""
-    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: -x).alias("q"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    dealt = table.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int"))
-    pairs = dealt.join(asked, "block").where("query_id <> vec_id")
-    scored = pairs.select("query_id", F.col("vec_id").alias("id"), vectors.l2(F.col("embedding"), F.col("q")).alias("d"))
-    return search.ranked(scored, 10, [F.round("d", 9), F.col("id")]).select("query_id", "id", "rank")
+    """The vector channel by vectors of made-up answers, which a model supplies (here a column: the vector of the next number)."""
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    answers = table.where("id % 20 = 1").select((F.col("id") - 1).alias("query_id"), F.col("v").alias("q"))
+    return search.nearest(table, answers, 10).select("query_id", "id", "rank")
 
 
-@query("""WITH q AS (SELECT p_partkey AS query_id, lower(p_name) AS n FROM part WHERE p_partkey % 20 = 0) SELECT query_id, p.p_partkey AS id FROM q JOIN part p ON lower(p.p_name) = n""")
+@query(sql(f"""WITH {SEEN_SQL}, symbols AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS said FROM part),
+    probes AS (SELECT p_partkey AS query_id, list_distinct(list_filter(string_split_regex(lower(p_brand || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS terms FROM part WHERE p_partkey % 500 = 0),
+    {bm25_sql("hit", "symbols", "id", "said")}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hit QUALIFY rank <= 50)
+    SELECT query_id, m.id, rank FROM top JOIN (SELECT sequence, id FROM seen) m ON m.sequence = top.id""", "memories"))
 def ret_symbol_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols by all the words of their name; the rarest word is the join key, so common words meet nothing."""
-    table = read_table(spark, sf_dir, "part").select("p_partkey", text.tokens(F.col("p_name")).alias("t"))
-    words = table.select("p_partkey", "t", F.explode("t").alias("w"))
-    rare = words.join(words.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("p_partkey", "t").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    asked = rare.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("t").alias("asked"), "w")
-    return rare.join(asked, "w").where("t = asked").select("query_id", F.col("p_partkey").alias("id"))
+    """Symbols (parts) by the words of all their fields, and the visible memories that come from the best fifty of each query."""
+    part = read_table(spark, sf_dir, "part")
+    symbols = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("content"))
+    asked = part.where("p_partkey % 500 = 0").select(F.col("p_partkey").alias("query_id"), text.query_terms(F.concat_ws(" ", "p_brand", "p_type")).alias("terms"))
+    top = search.ranked(search.bm25(symbols, asked), 50, [F.desc(F.round("score", 9)), F.col("id")])
+    held = seen(spark, sf_dir).select(F.col("sequence").alias("symbol"), F.col("id").alias("memory"))
+    return top.join(held, top.id == held.symbol).select("query_id", F.col("memory").alias("id"), "rank")
 
 
 @query()
@@ -86,32 +104,55 @@ def ret_context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).select("id", "type", c.alias("c")).select("id", F.concat(F.lit("- ("), "type", F.lit(") "), cut).alias("line"))
 
 
-@query(sql(f"""WITH {SEEN_SQL}, k AS (SELECT topic_key, count(*) AS claims FROM seen WHERE topic_key IS NOT NULL AND contains(content, 'the') GROUP BY 1)
-    SELECT topic_key, claims FROM k ORDER BY claims DESC, topic_key LIMIT 30""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, t AS (SELECT query_id, unnest(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 10)) AS term FROM (
+        SELECT query_id, list_filter(string_split_regex(lower(said), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2) AS w FROM probes)),
+    c AS (SELECT topic_key, sequence, unnest(list_distinct(string_split_regex(lower(content), '[^\\p{{L}}\\p{{Nd}}]+'))) AS term FROM memories WHERE topic_key IS NOT NULL),
+    live AS (SELECT topic_key, bool_and(s.sequence IS NOT NULL) AS whole FROM (SELECT * FROM memories WHERE topic_key IS NOT NULL AND sequence % 40 < 2) m LEFT JOIN (SELECT sequence FROM seen) s USING (sequence) GROUP BY 1),
+    w AS (SELECT query_id, topic_key, max(sequence) AS latest FROM c JOIN t USING (term) GROUP BY ALL),
+    words AS (SELECT query_id, topic_key, row_number() OVER (PARTITION BY query_id ORDER BY latest DESC, topic_key) AS place FROM w QUALIFY place <= 90),
+    near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d,
+        list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS cosine FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS place FROM near QUALIFY place <= 90),
+    v AS (SELECT query_id, topic_key, min(place) + 1000 AS place FROM top JOIN memories ON sequence = top.id WHERE round(cosine, 9) >= 0.35 AND topic_key IS NOT NULL GROUP BY ALL),
+    u AS (SELECT query_id, topic_key, min(place) AS place FROM (SELECT * FROM words UNION ALL SELECT * FROM v) GROUP BY ALL)
+    SELECT query_id, topic_key, round(0.85 * 2.5, 9) AS score FROM u WHERE topic_key NOT IN (SELECT topic_key FROM live WHERE NOT whole)
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, topic_key) <= 30""", "memories"))
 def ret_cluster_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters by how many of their visible claims match."""
-    hits = seen(spark, sf_dir).where(F.col("topic_key").isNotNull() & F.contains("content", F.lit("the")))
-    return hits.groupBy("topic_key").agg(F.count("*").alias("claims")).orderBy(F.desc("claims"), "topic_key").limit(30)
+    """Clusters whose claims match a query by words, the latest first, then those whose claims' vectors are near (here a cosine of 0.35, as
+    the table's vectors lie far apart); only those all of whose supports are visible; injected at 0.85 of the best score (here 2.5)."""
+    claims = memories(spark, sf_dir).where("topic_key IS NOT NULL").select(F.col("topic_key").alias("cluster"), F.col("sequence").alias("id"), "content")
+    supports = claims.where("id % 40 < 2").select("cluster", F.col("id").alias("source"))
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("source"))
+    hidden = supports.join(visible, "source", "left_anti").select("cluster").distinct()
+    asked = probes(spark, sf_dir).select("query_id", text.distinct_terms(F.col("said"), 2, 10).alias("terms"))
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    vectors_ = vec.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = recall.claimed_clusters(claims, hidden, asked, vec, vectors_, limit=30, cosine=0.35)
+    return found.select("query_id", F.col("cluster").alias("topic_key"), F.round(F.lit(recall.INJECTED * 2.5), 9).alias("score"))
 
 
 @query(sql("""WITH RECURSIVE steps AS (SELECT DISTINCT source AS child, target AS parent FROM edges WHERE relation <> 'contains'),
     up AS (SELECT child, parent, 1 AS level FROM steps WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0 AND child LIKE 'o%'
-        UNION SELECT s.child, s.parent, level + 1 FROM up JOIN steps s ON s.child = up.parent WHERE level < 4)
-    SELECT parent, count(DISTINCT child) AS branches FROM up GROUP BY 1 HAVING count(DISTINCT child) >= 2 ORDER BY branches DESC, parent LIMIT 30""", "edges"))
+        UNION SELECT s.child, s.parent, level + 1 FROM up JOIN steps s ON s.child = up.parent WHERE level < 4),
+    c AS (SELECT parent, count(DISTINCT child) AS branches, parent IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS matched FROM up GROUP BY 1)
+    SELECT parent, branches, matched FROM c WHERE branches >= 2 OR matched ORDER BY matched DESC, branches DESC, parent LIMIT 30""", "edges"))
 def ret_cluster_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The thirty parents, up to four levels up, over the most branches that hold a hit; two at least."""
+    """The thirty parents, up to four levels up, whose claims match (here customers of one segment) or that join two branches with hits or more."""
     e = edges(spark, sf_dir).where("relation <> 'contains'")
     hits = e.where(F.col("source").startswith("o") & (F.substring("source", 2, 20).cast("long") % 10 == 0))
     up = graph.ascend(e, hits.select(F.col("source").alias("entity")), 4)
-    counted = up.groupBy("parent").agg(F.count_distinct("child").alias("branches")).where("branches >= 2")
-    return counted.orderBy(F.desc("branches"), "parent").limit(30)
+    claims = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent"))
+    counted = up.groupBy("parent").agg(F.count_distinct("child").alias("branches")).join(claims.withColumn("hit", F.lit(True)), "parent", "left")
+    nominated = counted.select("parent", "branches", F.coalesce("hit", F.lit(False)).alias("matched")).where("branches >= 2 OR matched")
+    return nominated.orderBy(F.desc("matched"), F.desc("branches"), "parent").limit(30)
 
 
-@query(sql("SELECT fact_group, count(*) AS revisions, min(start) AS first, max(start) AS last, arg_max(revision_id, transaction_id) AS latest FROM assertions GROUP BY 1", "assertions"))
+@query(sql(f"""WITH {SEGMENTS_SQL} SELECT a.fact_group, a.revision_id, row_number() OVER (PARTITION BY a.fact_group ORDER BY a.transaction_id, s.valid_from) AS place, s.valid_from,
+    coalesce(s.valid_from <= DATE '1996-06-30' AND DATE '1996-06-30' < s.valid_to, false) AS selected FROM assertions a LEFT JOIN segments s USING (fact_group, revision_id)""", "assertions"))
 def tmp_fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assertions(spark, sf_dir).groupBy("fact_group").agg(
-        F.count("*").alias("revisions"), F.min("start").alias("first"), F.max("start").alias("last"), F.max_by("revision_id", "transaction_id").alias("latest")
-    )
+    """All revisions of each fact with the stretches in which each holds, and which one holds on a day."""
+    every = assertions(spark, sf_dir)
+    return temporal.history(every, temporal.resolve_segments(every), F.lit("1996-06-30").cast("date")).select("fact_group", "revision_id", "place", "valid_from", "selected")
 
 
 @query(sql(f"WITH {SEEN_SQL} SELECT id, payload, valid_from, valid_to FROM seen WHERE session_id = 'src2'", "memories"))
@@ -119,13 +160,22 @@ def tmp_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen(spark, sf_dir).where("session_id = 'src2'").select("id", "payload", "valid_from", "valid_to")
 
 
-@query(sql("""SELECT fact_group, count(*) AS assertions, max(transaction_id) AS last FROM assertions WHERE fact_group % 10 <> 3 OR transaction_id % 2 = 0 GROUP BY 1""", "assertions"))
+@query(sql("""WITH stored AS (SELECT fact_group, revision_id, start, stop FROM assertions WHERE transaction_id % 2 = 0),
+    incoming AS (SELECT revision_id, fact_group AS own, CASE WHEN transaction_id % 3 = 0 THEN NULL ELSE start END AS start, stop, CASE WHEN transaction_id % 7 = 0 THEN transaction_id + 1 END AS predecessor,
+        CASE WHEN transaction_id % 5 = 0 THEN transaction_id - 1 END AS corrects FROM assertions WHERE transaction_id % 2 = 1 OR transaction_id % 10 = 0),
+    fresh AS (SELECT i.*, t.fact_group AS target_group, t.start AS target_start, p.fact_group AS predecessor_group FROM incoming i LEFT JOIN stored t ON t.revision_id = i.corrects
+        LEFT JOIN stored p ON p.revision_id = i.predecessor WHERE i.revision_id NOT IN (SELECT revision_id FROM stored))
+    SELECT coalesce(target_group, predecessor_group, own) AS fact_group, revision_id, coalesce(start, target_start) AS start, false AS closed FROM fresh
+    UNION ALL SELECT fact_group, revision_id, start, revision_id IN (SELECT corrects FROM fresh WHERE target_group IS NOT NULL) FROM stored""", "assertions"))
 def tmp_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that get new assertions are written anew, all others stay as they are."""
-    stored = assertions(spark, sf_dir)
-    touched = stored.where("fact_group % 10 = 3")
-    merged = rows.replace_group(stored, touched.where("transaction_id % 2 = 0"), touched.select("fact_group"))
-    return merged.groupBy("fact_group").agg(F.count("*").alias("assertions"), F.max("transaction_id").alias("last"))
+    """New assertions beside the stored ones: known ones are left out, a correction joins and closes its target, others join their predecessor's group."""
+    every = assertions(spark, sf_dir)
+    n = F.col("transaction_id")
+    stored = every.where("transaction_id % 2 = 0").select("fact_group", "revision_id", "start", "stop")
+    incoming = every.where("transaction_id % 2 = 1 OR transaction_id % 10 = 0").select(
+        "fact_group", "revision_id", F.when(n % 3 != 0, F.col("start")).alias("start"), "stop", F.when(n % 7 == 0, n + 1).alias("predecessor"), F.when(n % 5 == 0, n - 1).alias("corrects")
+    )
+    return temporal.append(stored, incoming).select("fact_group", "revision_id", "start", "closed")
 
 
 @query()
@@ -138,30 +188,45 @@ def tmp_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.replace_group(stored, anew, changed)
 
 
-@query("""WITH near AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d
-        FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-    top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) <= 10)
-    SELECT query_id AS seed, count(*) AS members FROM top JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id WHERE a.label = b.label
-    GROUP BY 1 HAVING count(*) >= 3""")
+@query(sql(f"""WITH {SEEN_SQL}, probes AS (SELECT sequence AS query_id, list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 8))), 1, 12) AS terms
+        FROM memories WHERE sequence % 20 = 0), {bm25_sql("fts", "documents", "doc_id", "text")},
+    f AS (SELECT query_id, id FROM fts WHERE query_id <> id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 15),
+    k AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes)
+        QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 15),
+    n AS (SELECT * FROM f UNION SELECT * FROM k),
+    c AS (SELECT n.*, a.topic_key = b.topic_key AS keyed, a.session_id = b.session_id OR a.profile_id = b.profile_id AS fits,
+        list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine FROM n JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = n.id
+        LEFT JOIN embeddings x ON x.vec_id = query_id LEFT JOIN embeddings y ON y.vec_id = n.id)
+    SELECT query_id AS seed, count(*) + 1 AS members FROM c WHERE fits AND (coalesce(keyed, false) OR coalesce(round(cosine, 9) >= 0.3, false)) GROUP BY 1 HAVING count(*) + 1 BETWEEN 3 AND 20""", "memories"))
 def cl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds with three near neighbours or more of their own kind."""
-    kinds = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = nearest(spark, sf_dir).join(kinds.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    met = near.join(kinds.select(F.col("vec_id").alias("id"), "label"), "id").where("own = label")
-    return met.groupBy(F.col("query_id").alias("seed")).agg(F.count("*").alias("members")).where("members >= 3")
+    """Groups around seeds (every twentieth memory): of fifteen neighbours by words and fifteen by vectors those of the same key or
+    of a near vector (here 0.3), if their sources are compatible; three to twenty members. Likeness by shingles is tested apart."""
+    visible = memories(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "session_id", "profile_id", "content")
+    long = F.filter(text.words(F.col("content"), "[^a-z0-9]+"), lambda w: F.length(w) >= 8)
+    seeds = visible.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.array_distinct(long)), 1, 12).alias("terms"))
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), seeds, "doc_id", "text").where("query_id <> id")
+    worded = search.ranked(scored, 15, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id")
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = vec.join(seeds.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    near = search.nearest(vec, asked, 15).select("query_id", "id")
+    pairs = worded.unionByName(near).distinct()
+    return clusters.discover(pairs, visible, vec, cosine=0.3, jaccard=None).select("seed", "members")
 
 
-@query("""WITH h AS (SELECT doc_id, source AS page, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents QUALIFY i <= 60),
-    n AS (SELECT page, i, row_number() OVER (PARTITION BY page ORDER BY i) - 1 AS earlier FROM h)
-    SELECT page, round(sum(1.0 / ((60 + i) * pow(2, earlier))), 9) AS score FROM n WHERE earlier < 3 GROUP BY 1""")
+@query()
 def wk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the hits among their sources: the first three count, each half as much as the one before."""
-
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("page"), "n_chars")
-    top = docs.orderBy(F.desc("n_chars"), "doc_id").limit(60)
-    numbered = top.withColumn("i", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    hits = search.ranked(numbered, 3, [F.col("i")], by="page")
-    return hits.groupBy("page").agg(F.round(F.sum(1.0 / ((F.col("i") + 60) * F.pow(F.lit(2.0), F.col("rank") - 1))), 9).alias("score"))
+    """Pages (topics, profiles, and keys that nearly repeat the topics) for questions: by their own words, by hits among their sources, halved where
+    a page that is listed before has nearly the same members. Checked against brute force."""
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "profile_id")
+    pages_of = F.array_compact(F.array(F.concat(F.lit("topic:"), "topic_key"), F.concat(F.lit("profile:"), "profile_id"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("key:"), "topic_key"))))
+    placed = visible.select("id", F.explode(pages_of).alias("page"))
+    titles = placed.select("page").distinct().select(F.col("page").alias("id"), F.translate("page", ":.", "  ").alias("content"))
+    asked = probes(spark, sf_dir)
+    worded = search.ranked(search.bm25(titles, asked), 100, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", F.col("id").alias("page"), "rank")
+    exact = asked.select("query_id", F.concat(F.lit("topic:"), F.lower(F.trim("said"))).alias("page"))
+    alike = sets.similar_sets(placed, 0.8, "page", "id").where("likeness > 0.8")
+    hits = visible_fts(spark, sf_dir, 100)
+    return pages.search(worded, hits.select("query_id", "id", "rank"), placed, exact, alike, 10).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT o_orderkey, d - 1 AS yesterday, CAST(date_trunc('month', d) AS DATE) AS month_from, CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE) AS month_to,
@@ -236,32 +301,43 @@ def tmp_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("stop", F.coalesce("stop", F.lit("9999-12-31").cast("date")))
 
 
-@query(f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, w AS (SELECT DISTINCT query_id, d.source, d.lang FROM fts_top JOIN documents d ON d.doc_id = id WHERE rank <= 3)
-    SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM w JOIN documents USING (source, lang) QUALIFY rank <= 10""")
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL},
+    u AS (SELECT query_id, id, 1.0 / (60 + rank) AS share FROM fts_top UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM graph_top)
+    SELECT query_id, id, round(sum(share), 9) AS score FROM u GROUP BY ALL""", "memories", "edges"))
 def ret_two_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second wave of hits from where the best of the first were found."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    seeds = fts(spark, sf_dir).where("rank <= 3").join(docs, "id").select("query_id", "source", "lang").distinct()
-    return search.ranked(docs.join(seeds, ["source", "lang"]), 10, [F.desc("id")]).select("query_id", "id", "rank")
-
-
-@query(sql("""WITH h0 AS (SELECT 'p7' AS entity), h1 AS (SELECT DISTINCT source AS entity FROM edges WHERE target = 'p7' AND relation = 'contains'),
-    walk AS (SELECT entity, 0 AS hop FROM h0 UNION ALL SELECT entity, 1 FROM h1)
-    SELECT source, target, min(hop) AS hop FROM edges JOIN walk ON entity IN (source, target) WHERE relation = 'contains' GROUP BY ALL ORDER BY hop, source, target LIMIT 60""", "edges"))
+    """Two waves fused: full text, and what the graph finds around the entities of its hits. The first wave is kept for the second."""
+    first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
+    second = graph_hits(spark, sf_dir, first)
+    fused = search.fuse(search.channel(first, "fts").unionByName(search.channel(second, "graph")))
+    return fused.select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, e AS (SELECT * FROM edges WHERE relation = 'contains'),
+    ends AS (SELECT source AS e, target AS other, 'out' AS d, * FROM e UNION ALL SELECT target, source, 'in', * FROM e),
+    h0 AS MATERIALIZED (SELECT DISTINCT query_id, entity FROM (SELECT query_id, 'p' || (id % 200 + 1) AS entity FROM fts_top WHERE rank <= 4 UNION ALL SELECT query_id, 'p' || (query_id + 1) FROM probes)),
+    h1 AS MATERIALIZED (SELECT DISTINCT query_id, other AS entity FROM (SELECT query_id, other FROM ends JOIN h0 ON e = entity
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sequence DESC, source, relation, target, d) <= 20) WHERE (query_id, other) NOT IN (SELECT (query_id, entity) FROM h0)),
+    spread AS (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1),
+    f AS (SELECT query_id, source || ' -' || relation || '-> ' || target AS line, min(hop) AS hop FROM ends JOIN spread ON e = entity GROUP BY ALL)
+    SELECT query_id, line, row_number() OVER (PARTITION BY query_id ORDER BY hop, line) AS rank FROM f QUALIFY rank <= 10""", "memories", "edges"))
 def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of one relation as evidence, by how near to a named symbol they lie."""
-    e = edges(spark, sf_dir).where("relation = 'contains'")
-    walk = graph.neighborhood(e, spark.createDataFrame([("p7",)], "entity string"), 1, 10_000)
-    met = rows.endpoints(e, "source", "target").join(walk, "entity")
-    return met.groupBy("source", "target").agg(F.min("hop").alias("hop")).orderBy("hop", "source", "target").limit(60)
+    """Evidence lines around symbols: those that a query names (here the part after its number) and those in the payloads of its first four hits."""
+    first = visible_fts(spark, sf_dir, 4).select("query_id", F.concat(F.lit("p"), (F.col("id") % 200 + 1).cast("string")).alias("entity"))
+    named = probes(spark, sf_dir).select("query_id", F.concat(F.lit("p"), (F.col("query_id") + 1).cast("string")).alias("entity"))
+    return recall.evidence_lines(edges(spark, sf_dir).where("relation = 'contains'"), first.unionByName(named), depth=1, fanout=20, limit=10)
 
 
-@query(sql("""WITH l AS (SELECT topic_key, arg_max(session_id, sequence) AS parent, count(*) AS sources FROM memories WHERE topic_key IS NOT NULL GROUP BY 1)
-    SELECT parent AS page, count(*) AS clusters, CAST(sum(sources) AS BIGINT) AS sources FROM l GROUP BY 1""", "memories"))
+@query(sql("""WITH m AS (SELECT source AS child, target AS parent, CASE WHEN relation = 'lives in' THEN 1 ELSE r END AS revision FROM edges, (VALUES (1), (2)) v(r)
+        WHERE relation <> 'contains' AND (r = 1 OR relation = 'placed by' AND sequence % 2 = 0 AND CAST(substr(target, 2) AS BIGINT) % 3 = 0)),
+    l AS (SELECT parent, max(revision) AS revision FROM m GROUP BY 1), n AS (SELECT DISTINCT parent, child FROM m JOIN l USING (parent, revision))
+    SELECT parent AS page, child AS source FROM n WHERE child LIKE 'o%' UNION SELECT a.parent, b.child FROM n a JOIN n b ON b.parent = a.child WHERE b.child LIKE 'o%'""", "edges"))
 def wk_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the latest revisions of clusters, with what is nested under them."""
-    latest = memories(spark, sf_dir).where("topic_key IS NOT NULL").groupBy("topic_key").agg(F.max_by("session_id", "sequence").alias("page"), F.count("*").alias("n"))
-    return latest.groupBy("page").agg(F.count("*").alias("clusters"), F.sum("n").alias("sources"))
+    """The sources nested under each cluster's page (orders under customers, and under nations through these), by the latest revision of each cluster."""
+    e = edges(spark, sf_dir).where("relation <> 'contains'")
+    first = e.select(F.col("target").alias("cluster"), F.lit(1).alias("revision"), F.col("source").alias("child"))
+    again = (F.col("sequence") % 2 == 0) & (F.substring("target", 2, 20).cast("long") % 3 == 0) & (F.col("relation") == "placed by")
+    second = e.where(again).select(F.col("target").alias("cluster"), F.lit(2).alias("revision"), F.col("source").alias("child"))
+    return clusters.nested_sources(first.unionByName(second), F.col("child").startswith("o")).select(F.col("cluster").alias("page"), "source")
 
 
 @query("SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -294,17 +370,21 @@ def in_onboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.onboard(docs, ledger)[1]
 
 
-@query("""WITH RECURSIVE p AS (SELECT o_custkey % 50 AS profile_id, o_orderkey % 900 AS cost, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS place
+@query("""WITH RECURSIVE p AS (SELECT o_custkey % 50 AS profile_id, o_orderkey AS id, o_orderkey % 900 AS cost, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS place
         FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)),
-    w AS (SELECT profile_id, place, CAST(0 AS BIGINT) AS chunk, CAST(cost AS BIGINT) AS size, 1 AS n FROM p WHERE place = 0
-        UNION ALL SELECT p.profile_id, p.place, CASE WHEN n = 8 OR size + cost > 3000 THEN chunk + 1 ELSE chunk END,
+    w AS (SELECT profile_id, id, place, CAST(0 AS BIGINT) AS chunk, CAST(cost AS BIGINT) AS size, 1 AS n FROM p WHERE place = 0
+        UNION ALL SELECT p.profile_id, p.id, p.place, CASE WHEN n = 8 OR size + cost > 3000 THEN chunk + 1 ELSE chunk END,
             CASE WHEN n = 8 OR size + cost > 3000 THEN cost ELSE size + cost END, CASE WHEN n = 8 OR size + cost > 3000 THEN 1 ELSE n + 1 END
         FROM w JOIN p ON p.profile_id = w.profile_id AND p.place = w.place + 1)
-    SELECT profile_id, chunk, min(place) AS first, max(place) AS last, max(size) AS size FROM w GROUP BY ALL""")
+    SELECT id, chunk, coalesce(k, 0) AS edges, chunk % 4 <> 3 AS adopted FROM w LEFT JOIN (SELECT l_orderkey AS id, count(*) AS k FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) USING (id) WHERE chunk % 4 <> 3
+    UNION ALL SELECT id, chunk, 0, false FROM w WHERE chunk % 4 = 3""")
 def in_reminisce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of memories without edges, for a model to make their graphs; here orders without a third line."""
+    """Memories without edges (orders without a third line) in batches, the graph that a model gave for a batch (their first lines; every
+    fourth batch failed) attached, and those that were taken up stamped, whether they got an edge or not."""
     own = read_table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 50).alias("profile_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 900).alias("chars")
     )
-    linked = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("memory_id"))
-    return ingest.pack(ingest.orphans(own, linked), "profile_id", "id", "chars", 3000, most=8)
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("memory_id"), "l_linenumber")
+    open_ = ingest.orphans(own, lines.where("l_linenumber = 3"))
+    batches = ingest.pack(open_, "profile_id", "id", "chars", 3000, most=8)
+    return ingest.adopt(open_, batches.withColumn("done", F.col("chunk") % 4 != 3), lines.where("l_linenumber <= 2").select("memory_id"))
