@@ -1,8 +1,7 @@
-"""Deterministic offline stand-ins for model steps that have a numeric form, and vector transport."""
+"""Vector transport: arrays of floats as bytes and back."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,28 +9,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WIDTH = 64
-
-
-def embed(text: Column, width: int = WIDTH) -> Column:
-    """A unit vector of hashed words; the zero vector for a text without words."""
-
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            made = []
-            for said in batch:
-                v = np.zeros(width, np.float64)
-                for word in (said or "").lower().split():
-                    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-                    v[h % width] += 1 if h & 1 << 31 else -1
-                size = np.linalg.norm(v)
-                made.append((v / size if size else v).astype(np.float32))
-            yield pd.Series(made)
-
-    return vectors(text)
-
-
 def encode_vector(vector: Column) -> Column:
     """An array of floats as little-endian bytes."""
 

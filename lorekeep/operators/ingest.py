@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text
 
+# What traces name. Tests that failed, tasks of a module, paths and stems of source files, frames of a stack, and the
+# tools that edit files.
+FAILED_TEST = r"([A-Za-z_][A-Za-z0-9_.$]*)\s*>\s*[^\n]*?\bFAILED\b"
+FAILED_NAME = r"([A-Za-z_][A-Za-z0-9_$]*)\s*>\s*[^\n]*?\bFAILED\b"
+MODULE_TASK = r":([A-Za-z0-9_-]+):"
+SOURCE_PATH = r"[\w./-]+\.(?:java|kt|scala|js|ts|tsx|scss|py|go|rs)"
+SOURCE_STEM = r"\b([A-Za-z_][A-Za-z0-9_]*+)\.(?:java|kt|scala|js|ts|tsx|scss|py|go|rs)\b"
+STACK_FRAME = r"\bat\s+([A-Za-z_][A-Za-z0-9_.$]*\.[A-Za-z_][A-Za-z0-9_$]*)\s*\("
+EDITING = ("edit", "write", "multiedit", "notebookedit")
 # Tools whose calls are always kept, and those dropped unless they failed.
 ALWAYS_KEPT = ("bash", "edit", "write", "multiedit", "notebookedit")
 
@@ -243,3 +252,112 @@ def capture(body: Column, limit: int) -> list[Column]:
         F.sha2(body, 256).alias("sha256"),
         (F.length(body) > limit).alias("truncated"),
     ]
+
+
+def _named(pattern: str, group: int, *columns: str) -> Column:
+    """What a pattern finds in the columns, in order, each name once; nulls have none."""
+    found = [F.coalesce(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(group)), F.array().cast("array<string>")) for c in columns]
+    return F.filter(F.array_distinct(F.concat(*found)), lambda x: F.trim(x) != "")
+
+
+def trace_triples(calls: DataFrame, ident: str, most: int = 24, entities: int = 24) -> DataFrame:
+    """ident, place, source, relation, target: what calls (tool, args, status, error, output) say as edges.
+
+    A tool invoked a command; a failed command failed in tests, a command validates modules, and one of an editing tool touched files. At most
+    `most` edges for each call; if they name over `entities` ends, half as many edges as that. A call without arguments says nothing.
+    """
+    name = text.normalize_entity
+    command = name(F.trim(F.replace(invocation(), F.lit("./"), F.lit(""))))
+
+    def edges(source: Column, relation: str, targets: Column) -> Column:
+        return F.transform(targets, lambda t: F.struct(source.alias("source"), F.lit(relation).alias("relation"), name(t).alias("target")))
+
+    none = F.array().cast("array<string>")
+    tool = name(F.col("tool"))
+    said = F.concat(
+        F.transform(F.filter(F.array(tool), lambda t: t != ""), lambda t: F.struct(t.alias("source"), F.lit("invoked").alias("relation"), command.alias("target"))),
+        edges(command, "failed_in", F.when(F.col("status") == "failure", _named(FAILED_TEST, 1, "error", "output")).otherwise(none)),
+        edges(command, "validates", _named(MODULE_TASK, 1, "args")),
+        edges(command, "touched", F.when(F.lower("tool").isin(*EDITING), _named(SOURCE_PATH, 0, "args")).otherwise(none)),
+    )
+    ends = F.size(F.array_distinct(F.flatten(F.transform("x", lambda e: F.array(e["source"], e["target"])))))
+    cut = calls.where(F.trim(F.coalesce("args", F.lit(""))) != "").select(ident, F.slice(said, 1, most).alias("x"))
+    kept = F.when(ends > entities, F.slice("x", 1, max(1, entities // 2))).otherwise(F.col("x"))
+    return cut.select(ident, F.posexplode(kept).alias("place", "e")).select(ident, "place", "e.*")
+
+
+def trace_links(calls: DataFrame, symbols: DataFrame, ident: str, most: int) -> DataFrame:
+    """ident, symbol: symbols (symbol, qualified, name) that a call's error, output and arguments name, `most` of each call.
+
+    Qualified names in stack frames come first, then tests that failed and stems of files; of equals the smaller symbol.
+    """
+    bodies = ("error", "output", "args")
+    bare = F.array_distinct(F.concat(_named(FAILED_NAME, 1, *bodies), _named(SOURCE_STEM, 1, *bodies)))
+    found = calls.select(ident, _named(STACK_FRAME, 1, *bodies).alias("qualified"), bare.alias("bare"))
+    by = [
+        found.select(ident, F.explode(side).alias(key)).join(symbols.select("symbol", key), key).select(ident, "symbol", F.lit(n).alias("p"))
+        for n, (side, key) in enumerate((("qualified", "qualified"), ("bare", "name")))
+    ]
+    first = by[0].unionByName(by[1]).groupBy(ident, "symbol").agg(F.min("p").alias("p"))
+    rank = F.row_number().over(Window.partitionBy(ident).orderBy("p", "symbol"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= most).select(ident, "symbol")
+
+
+def candidates(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, candidate, sample, n: what a model's answers (keys, sample, answer as a JSON list of type and content) hold, each once.
+
+    Candidates are one if their types and contents are, but for case and white space at the ends of either; the first sample that
+    has one counts, n says in how many it is. Malformed answers, blank types and contents count for nothing.
+    """
+    parsed = answers.select(*keys, "sample", F.explode(F.from_json("answer", "array<struct<type: string, content: string>>")).alias("x"))
+    kind, said = F.lower(F.trim("x.type")), F.lower(F.trim("x.content"))
+    kept = parsed.where((kind != "") & (said != "")).select(*keys, "sample", F.concat(kind, F.lit(":"), said).alias("candidate"))
+    return kept.groupBy(*keys, "candidate").agg(F.min("sample").alias("sample"), F.count_distinct("sample").alias("n"))
+
+
+def accepted_conflicts(decisions: DataFrame) -> DataFrame:
+    """incoming, revision_id: the decision of a model that stands, if exactly one does.
+
+    decisions: incoming, revision_id, relationship, content, old (both texts), subjects (array: what both must hold), evidence, old_evidence.
+    A replacement or correction stands if its evidence and subjects occur in the texts, but for case and spacing.
+    """
+
+    def holds(body: str, part: Column) -> Column:
+        return (F.length(F.trim(part)) > 0) & F.contains(text.collapse(F.col(body)), text.collapse(part))
+
+    both = F.forall("subjects", lambda s: holds("content", s) & holds("old", s))
+    stands = F.col("relationship").isin("replacement", "correction") & holds("content", F.col("evidence")) & holds("old", F.col("old_evidence")) & both
+    kept = decisions.where(F.coalesce(stands, F.lit(False)))
+    one = kept.groupBy("incoming").agg(F.min("revision_id").alias("revision_id"), F.count("*").alias("n"))
+    return one.where("n = 1").drop("n")
+
+
+def recipes(calls: DataFrame, known: DataFrame, statements: DataFrame, most: int = 3) -> DataFrame:
+    """batch, recipe: statements of a model about batches of calls that are worth keeping, the first `most` of each batch.
+
+    calls: batch, signature, status; known: signature; statements: batch, recipe, place, statement, log, confirmed. A batch is worth a model's
+    call if a call failed or has an unknown signature. A statement is kept if the log bears it out, or a second look confirmed it.
+    """
+    seen = known.select("signature").distinct().withColumn("seen", F.lit(True))
+    new = (F.col("status") == "failure") | F.col("seen").isNull()
+    worth = calls.join(seen, "signature", "left").groupBy("batch").agg(F.bool_or(new).alias("worth")).where("worth").select("batch")
+    kept = statements.where(text.grounded(F.col("statement"), F.col("log")) | F.col("confirmed")).join(worth, "batch", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("batch").orderBy("place"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= most).select("batch", "recipe", "statement")
+
+
+def index_files(files: DataFrame, ledger: DataFrame, symbols: DataFrame, most: int = 8, listed: int = 30) -> DataFrame:
+    """files (path, digest, ...) that the ledger does not hold as they are, with fact and defines.
+
+    symbols: path, kind, name, line, order. The fact names what a file defines, the first `listed` symbols by order; defines is the number of edges to
+    symbols that the graph gets, the first `most`. These replace what earlier versions of the files gave.
+    """
+    new = changed(files, ledger, ["path"])
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("order", "line"))
+    first = symbols.join(new.select("path"), "path", "left_semi").withColumn("rank", rank).where(F.col("rank") <= listed)
+    named = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "kind", "name").alias("name"))))
+    told = first.groupBy("path").agg(named.alias("x"), F.count_if(F.col("rank") <= most).alias("k"))
+    names = F.coalesce(F.array_join(F.transform("x", lambda s: s["name"]), ", "), F.lit("nothing"))
+    return new.join(told, "path", "left").withColumns(
+        {"fact": F.concat(F.lit("It defines "), names, F.lit(".")), "defines": F.coalesce("k", F.lit(0).cast("long"))}
+    ).drop("x", "k")

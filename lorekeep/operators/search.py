@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,24 @@ def collapse(candidates: DataFrame, threshold: float = 0.6, cosine: float = 0.78
     return candidates.groupBy("query_id").applyInPandas(keep, schema)
 
 
+def first_channel(channels: Iterable[DataFrame]) -> DataFrame:
+    """query_id, id, priority: what any of the channels (query_id, id) offers, with the number of the first that does, from 1."""
+    each = [c.select("query_id", "id", F.lit(n).alias("priority")) for n, c in enumerate(channels, 1)]
+    return reduce(DataFrame.unionByName, each).groupBy("query_id", "id").agg(F.min("priority").alias("priority"))
+
+
+def restated(hits: DataFrame, texts: DataFrame, least: float = 0.7) -> DataFrame:
+    """query_id, id, likeness: of a text's hits (query_id, id, rank; both ids of texts) the one whose shingles overlap it most, if by `least`.
+
+    Of equals the hit of the greater rank counts. Texts (id, content) without words are like nothing. Only texts among the hits are cut into shingles.
+    """
+    own = hits.select("query_id").distinct().join(texts.select(F.col("id").alias("query_id"), F.col("content").alias("a")), "query_id")
+    met = hits.join(texts.select("id", F.col("content").alias("b")), "id").join(own, "query_id")
+    scored = met.select("query_id", "id", "rank", tx.jaccard(tx.shingles(F.col("a")), tx.shingles(F.col("b"))).alias("likeness")).where(F.col("likeness") >= least)
+    best = scored.groupBy("query_id").agg(F.max_by("id", F.struct("likeness", "rank")).alias("id"), F.max("likeness").alias("likeness"))
+    return best.select("query_id", "id", "likeness")
+
+
 def contained(texts: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """texts with `term`: a row for each of the terms (column term, distinct) that is anywhere in the text, words or not.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions import models, text, vectors
-from lorekeep.operators import graph, ingest, pages, recall, rows, search, sets
+from lorekeep.functions import codec, text
+from lorekeep.operators import clusters, ingest, pages, recall, rows, search
 from lorekeep.plans.derived import edges, memories, sql, traces
-from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, fts, fused, probes
+from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, VISIBLE_FTS, fts, fused, probes, visible_fts
 from lorekeep.plans.functions_queries import SHINGLES
 from lorekeep.plans.registry import query
-from lorekeep.plans.relational_queries import SEEN_SQL, seen
+from lorekeep.plans.relational_queries import BOUNDS, SEEN_SQL, SEEN_STRICTLY, SNAPSHOT, seen, segments
+from lorekeep.plans.rest_queries import SPREAD_SQL, graph_hits
 from lorekeep.sources import transcripts
 from lorekeep.sources.tables import read_table
 
@@ -27,6 +28,16 @@ def recall_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.recall(probes(spark, sf_dir), known)
 
 
+SELF_PROBES_SQL = """probes AS (SELECT sequence AS query_id, list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 8))), 1, 12) AS terms FROM memories WHERE sequence % {n} = 0)"""
+
+
+def own_probes(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """Questions made of memories themselves: the first twelve long words, in order of the alphabet, of every so many."""
+    long = F.filter(text.words(F.col("content"), "[^a-z0-9]+"), lambda w: F.length(w) >= 8)
+    terms = F.slice(F.array_sort(F.array_distinct(long)), 1, 12)
+    return memories(spark, sf_dir).where(F.col("sequence") % every == 0).select(F.col("sequence").alias("query_id"), terms.alias("terms"))
+
+
 # Sources
 
 
@@ -109,38 +120,35 @@ def str_fact_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors written as bytes and read back."""
     table = read_table(spark, sf_dir, "embeddings")
-    back = table.select("vec_id", models.decode_vector(models.encode_vector(F.col("embedding"))).alias("v"))
+    back = table.select("vec_id", codec.decode_vector(codec.encode_vector(F.col("embedding"))).alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return back.select("vec_id", F.size("v").cast("long").alias("width"), F.round(total, 5).alias("total"))
 
 
-@query()
-def vec_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = models.embed(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", F.round(vectors.norm(F.col("v")), 5).alias("norm"))
-
-
-@query("""WITH q AS (SELECT list_transform(embedding, lambda x: CAST(-x AS DOUBLE)) AS q FROM embeddings ORDER BY vec_id LIMIT 1)
-    SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), q), 6) AS distance FROM embeddings, q ORDER BY list_distance(CAST(embedding AS DOUBLE[]), q), vec_id LIMIT 10""")
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1)
+    SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS distance FROM embeddings, q WHERE vec_id <> 0
+    ORDER BY round(list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9), vec_id LIMIT 10""")
 def vec_hyde_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest to a second, made-up query vector (here the first one's opposite)."""
-    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    one = table.agg(F.min_by("embedding", "vec_id").alias("q")).select(F.transform("q", lambda x: -x).alias("q"))
-    near = table.join(F.broadcast(one)).select("vec_id", vectors.l2(F.col("embedding"), F.col("q")).alias("d"))
-    return near.orderBy("d", "vec_id").limit(10).select("vec_id", F.round("d", 6).alias("distance"))
+    """Nearest to a second query vector, that of a made-up answer, which a model supplies (here a column: the vector numbered 1 for question 0)."""
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    answer = table.where("id = 1").select(F.lit(0).cast("long").alias("query_id"), F.col("v").alias("q"))
+    return search.nearest(table, answer, 10).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 # Retrieval
 
 
-@query(f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, l AS (SELECT *, CASE id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS bucket FROM fts_top),
-    s AS (SELECT query_id, bool_or(bucket < 2) AS useful FROM l GROUP BY 1)
-    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN useful THEN bucket ELSE 0 END, rank) AS rank FROM l JOIN s USING (query_id)
-    WHERE NOT useful OR bucket < 2""")
+@query(f"""WITH {PROBES_SQL}, {FTS_SQL}, {FTS_TOP}, l AS (SELECT f.*, CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN 2 WHEN quality = 1 AND id % 2 = 0 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS bucket
+        FROM fts_top f LEFT JOIN labels ON doc_id = id),
+    k AS (SELECT * FROM l WHERE bucket IS NOT NULL), s AS (SELECT query_id, bool_or(bucket < 2) AS useful FROM k GROUP BY 1)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN useful THEN bucket ELSE 0 END, rank) AS rank FROM k JOIN s USING (query_id) WHERE NOT useful OR bucket < 2""")
 def ret_rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits reordered by labels that a model gave; here the labels follow from the id."""
-    label = F.when(F.col("id") % 3 == 0, "essential").when(F.col("id") % 3 == 1, "related").otherwise("irrelevant")
-    return recall.rerank_by_label(fts(spark, sf_dir).withColumn("label", label))
+    """Hits reordered by labels that a model gave, here those of the table of labels; hits without one are not asked about."""
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    hits = fts(spark, sf_dir).join(labels, "id")
+    good = (F.col("quality") == 1) & (F.col("toxic") != 1)
+    label = F.when(good & (F.col("id") % 2 == 0), "essential").when(good, "related").otherwise("irrelevant")
+    return recall.rerank_by_label(hits.withColumn("label", label).select("query_id", "id", "rank", "label"))
 
 
 @query()
@@ -161,67 +169,102 @@ def ret_near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(scored.join(kind, "id", "left_semi"), 10, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id", "rank")
 
 
-@query(sql(f"""WITH {SEEN_SQL}, c AS (
-        (SELECT sequence AS id, 1 AS p FROM seen WHERE topic_key = 'en.src3' ORDER BY created_on DESC, sequence LIMIT 10)
-        UNION ALL (SELECT sequence, 2 FROM seen WHERE contains(content, 'idiot') ORDER BY sequence LIMIT 10)
-        UNION ALL (SELECT sequence, 3 FROM seen WHERE session_id = 'src3' ORDER BY sequence LIMIT 10))
-    SELECT id, min(p) AS priority FROM c GROUP BY 1""", "memories"))
+@query(sql(f"""WITH {SEEN_SQL}, {SELF_PROBES_SQL.format(n=50)}, {FTS_SQL}, i AS (SELECT sequence AS query_id, type, topic_key FROM memories WHERE sequence % 50 = 0),
+    k AS (SELECT query_id, s.sequence AS id, 1 AS p FROM i JOIN seen s USING (type, topic_key) WHERE s.sequence <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_on DESC, s.sequence) <= 4),
+    f AS (SELECT query_id, id, 2 AS p FROM fts WHERE query_id <> id AND id IN (SELECT sequence FROM seen) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 4),
+    e AS (SELECT sequence, source AS x FROM edges WHERE relation <> 'lives in' UNION SELECT sequence, target FROM edges WHERE relation <> 'lives in'),
+    g AS (SELECT query_id, b.sequence AS id, 3 AS p FROM (SELECT DISTINCT i.query_id, b.sequence FROM i JOIN e a ON a.sequence = query_id JOIN e b ON b.x = a.x WHERE b.sequence <> query_id) b
+        WHERE b.sequence IN (SELECT sequence FROM seen) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b.sequence) <= 4),
+    n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
+        WHERE q.vec_id % 50 = 0 AND v.vec_id IN (SELECT sequence FROM seen)),
+    v AS (SELECT query_id, id, 4 AS p FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) <= 4)
+    SELECT query_id, id, min(p) AS priority FROM (SELECT * FROM k UNION ALL SELECT * FROM f UNION ALL SELECT * FROM g UNION ALL SELECT * FROM v) GROUP BY ALL""", "memories", "edges"))
 def ret_conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by key, by words and by neighbourhood, a third of the limit each; the first channel counts."""
-    open_ = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "content", "session_id", "created_on")
-    keyed = open_.where("topic_key = 'en.src3'").orderBy(F.desc("created_on"), "id").limit(10).select("id", F.lit(1).alias("p"))
-    worded = open_.where(F.contains("content", F.lit("idiot"))).orderBy("id").limit(10).select("id", F.lit(2).alias("p"))
-    near = open_.where("session_id = 'src3'").orderBy("id").limit(10).select("id", F.lit(3).alias("p"))
-    return keyed.unionByName(worded).unionByName(near).groupBy("id").agg(F.min("p").alias("priority"))
-
-
-WALKED = """h0 AS (SELECT 'c5' AS entity, 0 AS hop), ends AS (SELECT source AS e, target AS o, memory_id, sequence, source, relation, target FROM edges
-        UNION ALL SELECT target, source, memory_id, sequence, source, relation, target FROM edges),
-    h1 AS (SELECT DISTINCT o AS entity, 1 AS hop FROM ends WHERE e = 'c5' AND o <> 'c5'), walk AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1)"""
-
-
-@query(sql(f"""WITH {WALKED} SELECT memory_id, min(hop) AS hop FROM (SELECT memory_id, e FROM ends) JOIN walk ON entity = e GROUP BY 1
-    ORDER BY hop, memory_id LIMIT 40""", "edges"))
+    """What each new memory (every fiftieth) may contradict: open ones of its key, near by words, by the graph, by vectors; four of each, the first channel counts."""
+    known = memories(spark, sf_dir)
+    open_ = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "type", "topic_key", "created_on")
+    new = known.where("sequence % 50 = 0").select(F.col("sequence").alias("query_id"), "type", "topic_key")
+    keyed = search.ranked(open_.join(new, ["type", "topic_key"]).where("query_id <> id"), 4, [F.desc("created_on"), F.col("id")])
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir, 50), "doc_id", "text").where("query_id <> id")
+    worded = search.ranked(scored.join(open_.select("id"), "id", "left_semi"), 4, [F.desc(F.round("score", 9)), F.col("id")])
+    ends = rows.endpoints(edges(spark, sf_dir).where("relation <> 'lives in'"), "sequence").distinct()
+    named = new.select("query_id").join(ends.withColumnRenamed("sequence", "query_id"), "query_id")
+    linked = ends.select("entity", F.col("sequence").alias("id")).join(named, "entity").select("query_id", "id").distinct().where("query_id <> id")
+    linked = search.ranked(linked.join(open_.select("id"), "id", "left_semi"), 4, [F.col("id")])
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = vec.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    near = search.nearest(vec.join(open_.select("id"), "id", "left_semi"), asked, 4)
+    return search.first_channel([keyed, worded, linked, near])
+
+
+
+
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL} SELECT query_id, id, rank FROM graph_top""", "memories", "edges"))
 def ret_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Memories by how near to the seeds the entities of their edges are."""
-    e = edges(spark, sf_dir)
-    walk = graph.neighborhood(e, spark.createDataFrame([("c5",)], "entity string"), 1, 10_000)
-    met = rows.endpoints(e, "memory_id").join(walk, "entity")
-    return met.groupBy("memory_id").agg(F.min("hop").alias("hop")).orderBy("hop", "memory_id").limit(40)
+    """Visible memories by how near they are, in the graph, to the entities of the first wave's best; then the newest."""
+    return graph_hits(spark, sf_dir, visible_fts(spark, sf_dir)).select("query_id", "id", "rank")
 
 
 # Time
 
 
-@query(f"""WITH s AS ({SHINGLES}), x AS (SELECT doc_id, unnest(s) AS g FROM s), z AS (SELECT doc_id, len(s) AS n FROM s),
-    p AS (SELECT a.doc_id AS first, b.doc_id AS second, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT first, second, round(k / (u.n + v.n - k), 9) AS likeness FROM p JOIN z u ON u.doc_id = first JOIN z v ON v.doc_id = second WHERE k / (u.n + v.n - k) >= 0.7""")
+@query(sql(f"""WITH {SELF_PROBES_SQL.format(n=3)}, {FTS_SQL}, s AS ({SHINGLES}),
+    c AS (SELECT query_id, f.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, f.id) AS rank FROM fts f JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = f.id AND b.type = a.type
+        WHERE query_id <> f.id AND coalesce(a.session_id <> 'src0', true) AND coalesce(b.session_id <> 'src0', true) QUALIFY rank <= 10),
+    j AS (SELECT c.*, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS likeness FROM c JOIN s x ON x.doc_id = query_id JOIN s y ON y.doc_id = c.id WHERE len(x.s) > 0 AND len(y.s) > 0)
+    SELECT query_id AS id, id AS supersedes, round(likeness, 9) AS likeness FROM j WHERE likeness >= 0.7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY likeness DESC, rank DESC) = 1""", "memories"))
 def tmp_supersede_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of which the later supersedes the earlier: 0.7 of their shingles are shared."""
-    s = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(text.shingles(F.col("text"))).alias("g"))
-    pairs = sets.similar_sets(s.select("id", F.xxhash64("g").alias("member")), 0.7)
-    return pairs.withColumn("likeness", F.round("likeness", 9))
+    """What each new memory (every third) restates: of its ten best hits of the same type, none from code (here `src0`), the likeliest, if 0.7 of the
+    shingles are shared; of equals the later hit."""
+    known = memories(spark, sf_dir).where("session_id <> 'src0'").select(F.col("sequence").alias("id"), "type", "content")
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir, 3), "doc_id", "text").where("query_id <> id")
+    kinds = known.select("id", "type")
+    same = scored.join(kinds, "id").join(kinds.select(F.col("id").alias("query_id"), "type"), ["query_id", "type"])
+    best = search.ranked(same, 10, [F.desc(F.round("score", 9)), F.col("id")])
+    return search.restated(best, known, 0.7).select(F.col("query_id").alias("id"), F.col("id").alias("supersedes"), F.round("likeness", 9).alias("likeness"))
 
 
 # Graph
 
 
-@query(sql("""SELECT event_id, source, relation, target FROM (SELECT event_id, tool AS source, 'invoked' AS relation, 'k' || CAST(json_extract(args, '$.k') AS VARCHAR) AS target FROM traces
-    UNION ALL SELECT event_id, tool, 'failed in', 'session ' || session_id FROM traces WHERE status = 'failure')""", "traces"))
+@query(sql("""WITH t AS (SELECT event_id, lower(tool) AS tool, CASE WHEN tool = 'click' THEN 'write' ELSE lower(tool) END AS shown, status, session_id, CAST(json_extract(args, '$.k') AS BIGINT) AS k FROM traces),
+    c AS (SELECT *, shown || ' src/a.py :mod' || k % 3 || ':test b' || k || '.ts' AS command FROM t)
+    SELECT event_id, shown AS source, 'invoked' AS relation, command AS target FROM c
+    UNION ALL SELECT event_id, command, 'failed_in', 'suite' || session_id FROM c WHERE status = 'failure'
+    UNION ALL SELECT event_id, command, 'validates', 'mod' || k % 3 FROM c
+    UNION ALL SELECT event_id, command, 'touched', f FROM c, unnest(['./src/a.py', 'b' || k || '.ts']) u(f) WHERE shown = 'write'""", "traces"))
 def gr_trace_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a trace says as edges."""
-    invoked = F.struct(F.col("tool").alias("source"), F.lit("invoked").alias("relation"), F.concat(F.lit("k"), F.get_json_object("args", "$.k")).alias("target"))
-    failed = F.struct(F.col("tool").alias("source"), F.lit("failed in").alias("relation"), F.concat(F.lit("session "), F.col("session_id").cast("string")).alias("target"))
-    said = F.array_compact(F.array(invoked, F.when(F.col("status") == "failure", failed)))
-    return traces(spark, sf_dir).select("event_id", F.explode(said).alias("x")).select("event_id", "x.*")
+    """What traces say as edges (clicks stand for an editing tool)."""
+    k = F.get_json_object("args", "$.k").cast("long")
+    made = traces(spark, sf_dir).select(
+        "event_id",
+        F.when(F.col("tool") == "click", "Write").otherwise(F.col("tool")).alias("tool"),
+        F.concat(F.lit("./src/a.py :mod"), (k % 3).cast("string"), F.lit(":test b"), k.cast("string"), F.lit(".ts")).alias("args"),
+        "status",
+        F.when(F.col("status") == "failure", F.concat(F.lit("Suite"), F.col("session_id").cast("string"), F.lit(" > works() FAILED"))).alias("error"),
+        F.lit(None).cast("string").alias("output"),
+    )
+    return ingest.trace_triples(made, "event_id").select("event_id", "source", "relation", "target")
 
 
-@query("""SELECT DISTINCT event_id, p_partkey FROM (SELECT event_id, unnest(regexp_extract_all(props, '[0-9]+')) AS n FROM events) JOIN part ON CAST(p_partkey AS VARCHAR) = n""")
+@query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+    s AS (SELECT p_partkey AS symbol, 'pkg.C' || p_partkey % 50 || '.run' AS qualified, 'C' || p_partkey % 50 AS name FROM part WHERE p_partkey <= 100),
+    q AS (SELECT event_id, symbol FROM e JOIN s ON qualified = 'pkg.C' || k || '.run' WHERE k % 2 = 0),
+    b AS (SELECT event_id, symbol FROM e JOIN s ON name = 'C' || (k + 1) % 60),
+    u AS (SELECT event_id, symbol, min(p) AS p FROM (SELECT *, 1 AS p FROM q UNION ALL SELECT *, 2 FROM b) GROUP BY ALL)
+    SELECT event_id, symbol FROM u QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p, symbol) <= 3""")
 def gr_trace_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names found in a trace, joined to what they name."""
-    names = read_table(spark, sf_dir, "events").select("event_id", F.explode(F.regexp_extract_all("props", F.lit("[0-9]+"), 0)).alias("n"))
-    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("n"))
-    return names.join(parts, "n").select("event_id", "p_partkey").distinct()
+    """Symbols that a trace's stack frames name, then those of the files it names; three at most."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    frame = F.concat(F.lit("boom\n  at pkg.C"), k.cast("string"), F.lit(".run (C.java)"))
+    calls = read_table(spark, sf_dir, "events").select(
+        "event_id", F.when(k % 2 == 0, frame).alias("error"), F.lit(None).cast("string").alias("output"), F.concat(F.lit("src/C"), ((k + 1) % 60).cast("string"), F.lit(".py")).alias("args")
+    )
+    n = (F.col("p_partkey") % 50).cast("string")
+    symbols = read_table(spark, sf_dir, "part").where("p_partkey <= 100").select(
+        F.col("p_partkey").alias("symbol"), F.concat(F.lit("pkg.C"), n, F.lit(".run")).alias("qualified"), F.concat(F.lit("C"), n).alias("name")
+    )
+    return ingest.trace_links(calls, symbols, "event_id", most=3)
 
 
 @query(sql("""WITH h1 AS (SELECT DISTINCT target AS entity FROM edges WHERE source = 'o9' AND relation IN ('placed by', 'contains') ORDER BY entity LIMIT 5),
@@ -241,43 +284,85 @@ def gr_code_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Clusters and pages
 
 
-@query(sql(f"""WITH {SEEN_SQL} SELECT m.topic_key, count(*) = count(s.id) AS eligible FROM memories m LEFT JOIN seen s ON s.id = m.id WHERE m.topic_key IS NOT NULL GROUP BY 1""", "memories"))
+@query(sql(f"""WITH strict AS (SELECT * FROM (SELECT {BOUNDS} FROM memories) WHERE {SEEN_STRICTLY}),
+    s AS (SELECT topic_key AS cluster, sequence // 100 AS synthesis, sequence, session_id FROM memories WHERE topic_key IS NOT NULL AND sequence % 9 = 0),
+    l AS (SELECT cluster, max(synthesis) AS latest FROM s GROUP BY 1),
+    o AS (SELECT cluster, synthesis, bool_and(t.id IS NOT NULL) AND NOT bool_or(s.session_id = 'src0') AS whole FROM s LEFT JOIN (SELECT sequence, id FROM strict) t USING (sequence) GROUP BY ALL),
+    p AS (SELECT cluster, synthesis, substr(cluster, 1, 3) || 'src1' AS child, CASE WHEN synthesis % 2 = 0 THEN (SELECT latest FROM l d WHERE d.cluster = substr(o.cluster, 1, 3) || 'src1') ELSE 0 END AS pinned FROM o)
+    SELECT cluster, synthesis, synthesis = latest AND whole AND coalesce((SELECT latest FROM l d WHERE d.cluster = p.child), -1) = coalesce(pinned, -1) AS eligible FROM o JOIN l USING (cluster) JOIN p USING (cluster, synthesis)""", "memories"))
 def cl_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthesis counts while every one of its supports is visible."""
-    visible = seen(spark, sf_dir).select("id", F.lit(True).alias("visible"))
-    supports = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("topic_key", "id").join(visible, "id", "left")
-    return supports.groupBy("topic_key").agg(F.bool_and(F.coalesce("visible", F.lit(False))).alias("eligible"))
-
-
-@query(sql("""SELECT topic_key, '{"topic_key":"' || topic_key || '","members":' || count(*) || ',"latest":"' || strftime(max(created_on), '%Y-%m-%d') || '"}' AS archive
-    FROM memories WHERE topic_key IS NOT NULL GROUP BY 1""", "memories"))
+    """A synthesis counts while it is its cluster's latest, all its supports are visible (by both bounds) and none comes from code (here `src0`), and
+    the child syntheses it was made from are still the latest."""
+    strict = segments(spark, sf_dir).where(rows.visible(SNAPSHOT, strict=True)).select(F.col("sequence").alias("source"))
+    s = memories(spark, sf_dir).where("topic_key IS NOT NULL AND sequence % 9 = 0")
+    supports = s.select(F.col("topic_key").alias("cluster"), F.floor(F.col("sequence") / 100).alias("synthesis"), F.col("sequence").alias("source"), (F.col("session_id") == "src0").alias("code"))
+    child = F.concat(F.substring("cluster", 1, 3), F.lit("src1"))
+    made = supports.select("cluster", "synthesis", child.alias("child")).distinct()
+    latest = supports.groupBy(F.col("cluster").alias("child")).agg(F.max("synthesis").alias("last"))
+    pinned = F.when(F.col("synthesis") % 2 == 0, F.col("last")).otherwise(0)
+    pins = made.join(latest, "child", "left").select("cluster", "synthesis", "child", pinned.alias("pinned"))
+    return clusters.eligible(supports, pins, strict)
+
+
+@query(sql("""WITH k AS (SELECT topic_key, max(sequence) AS revision, count(*) AS n FROM memories WHERE topic_key IS NOT NULL GROUP BY 1)
+    SELECT '{"kind":"cluster","id":"' || topic_key || '","revision":' || revision || ',"members":' || n || '}' AS line FROM k
+    UNION ALL SELECT '{"kind":"member","cluster":"' || topic_key || '","id":"' || id || '","role":"' || CASE WHEN sequence % 3 = 0 THEN 'core' ELSE 'related' END || '"}' FROM memories WHERE topic_key IS NOT NULL
+    UNION ALL SELECT '{"kind":"override","cluster":"' || topic_key || '","id":"' || id || '","decision":"excluded"}' FROM memories WHERE topic_key IS NOT NULL AND forgotten""", "memories"))
 def cl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = memories(spark, sf_dir).where("topic_key IS NOT NULL").groupBy("topic_key").agg(F.count("*").alias("members"), F.max("created_on").alias("latest"))
-    return groups.select("topic_key", F.to_json(F.struct("topic_key", "members", "latest")).alias("archive"))
-
-
-@query(sql("""SELECT topic_key, arg_max(profile_id || ':' || type, sequence) AS state, count(*) AS revision FROM memories WHERE topic_key IS NOT NULL GROUP BY 1""", "memories"))
+    """The archive of all clusters as lines: clusters, their members, and overrides, so that none of any size is gathered."""
+    m = memories(spark, sf_dir).where("topic_key IS NOT NULL")
+    heads = m.groupBy(F.col("topic_key").alias("id")).agg(F.max("sequence").alias("revision"), F.count("*").alias("members"))
+    role = F.when(F.col("sequence") % 3 == 0, "core").otherwise("related")
+    members = m.select(F.col("topic_key").alias("cluster"), "id", role.alias("role"))
+    overrides = m.where("forgotten").select(F.col("topic_key").alias("cluster"), "id", F.lit("excluded").alias("decision"))
+    return clusters.archive(cluster=heads, member=members, override=overrides)
+
+
+@query("""WITH h AS (SELECT c_custkey AS cluster, CAST(c_custkey % 5 + 1 AS INT) AS now, CASE WHEN c_custkey % 7 = 0 THEN 'dissolved' ELSE 'active' END AS was, c_name AS named FROM customer WHERE c_custkey % 11 <> 0),
+    c AS (SELECT c_custkey AS cluster, ['create', 'edit', 'dissolve', 'restore'][CAST(c_custkey % 4 + 1 AS INT)] AS kind, CAST(c_custkey % 5 + CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END AS INT) AS expected,
+        CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new ' || c_name END AS title, c_custkey % 17 <> 0 AS valid FROM customer),
+    o AS (SELECT *, CASE WHEN kind = 'create' THEN CASE WHEN now IS NULL THEN 'done' ELSE 'conflict' END WHEN now IS NULL THEN 'missing' WHEN expected <> now THEN 'conflict'
+        WHEN kind = 'restore' THEN CASE WHEN valid THEN 'done' ELSE 'conflict' END WHEN was <> 'active' THEN 'invalid' WHEN kind = 'edit' AND title = named THEN 'same' ELSE 'done' END AS outcome FROM c LEFT JOIN h USING (cluster))
+    SELECT cluster, outcome, CASE WHEN outcome = 'done' THEN coalesce(now, 0) + 1 ELSE now END AS revision, CASE WHEN outcome <> 'done' THEN was WHEN kind = 'dissolve' THEN 'dissolved' ELSE 'active' END AS state,
+        CASE WHEN outcome <> 'done' OR kind = 'dissolve' THEN named ELSE title END AS title FROM o""")
 def cl_versioned_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of each cluster after all of its revisions, and how many there were."""
-    state = F.concat_ws(":", "profile_id", "type")
-    return memories(spark, sf_dir).where("topic_key IS NOT NULL").groupBy("topic_key").agg(F.max_by(state, "sequence").alias("state"), F.count("*").alias("revision"))
+    """A batch of changes to clusters, each of which names the revision that its author saw."""
+    key = F.col("c_custkey")
+    table = read_table(spark, sf_dir, "customer")
+    heads = table.where(key % 11 != 0).select(
+        key.alias("cluster"), (key % 5 + 1).cast("int").alias("revision"), F.when(key % 7 == 0, "dissolved").otherwise("active").alias("state"), F.col("c_name").alias("title")
+    )
+    kinds = F.array(*map(F.lit, ("create", "edit", "dissolve", "restore")))
+    changes = table.select(
+        key.alias("cluster"),
+        F.element_at(kinds, (key % 4 + 1).cast("int")).alias("kind"),
+        (key % 5 + F.when(key % 13 == 0, 2).otherwise(1)).cast("int").alias("expected"),
+        F.when(key % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("new "), "c_name")).alias("title"),
+        (key % 17 != 0).alias("valid"),
+    )
+    return clusters.apply_changes(heads, changes)
 
 
-@query("""WITH t AS (SELECT source, doc_id, sum(CAST(ceil(n_chars / 4.0) AS BIGINT)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run,
-        row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents)
-    SELECT source, doc_id FROM t WHERE run <= 8000 AND place <= 40""")
+@query()
 def wk_evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sources of a page that fit its token budget: 40 at most, cut within tasks before they are summed."""
-    tokens = F.ceil(F.col("n_chars") / 4)
-    listed = search.ranked(_documents(spark, sf_dir).select("source", "doc_id", tokens.alias("t")), 40, [F.col("doc_id")], by="source")
-    run = F.sum("t").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return listed.withColumn("run", run).where("run <= 8000").select("source", "doc_id")
+    """The evidence of each page (a source) within 8,000 tokens: whole fact groups, core ones first, single sources halved. Checked against brute force."""
+    n = F.col("doc_id")
+    group = F.concat_ws(":", "lang", (n % 40).cast("string"))
+    members = _documents(spark, sf_dir).select(F.col("source").alias("page"), n.alias("id"), group.alias("fact_group"), (n % 3 == 0).alias("core"), "n_chars")
+    return pages.select_evidence(members.withColumnRenamed("n_chars", "chars"), 8000)
 
 
-@query("""SELECT doc_id, NOT regexp_matches(text, '<[a-zA-Z/]|https?://|\\]\\(') AS clean FROM documents""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 8 = 1 AS no_cites, doc_id % 8 = 2 AS bad_ref, doc_id % 8 = 3 AS markup, doc_id % 8 = 4 AS url, doc_id % 8 = 5 AS bad_link, doc_id % 8 = 6 AS no_sections FROM documents)
+    SELECT doc_id, NOT (no_cites OR bad_ref OR markup OR url OR bad_link OR no_sections) AS valid FROM d""")
 def wk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles may hold neither markup nor addresses."""
-    return _documents(spark, sf_dir).select("doc_id", (~F.col("text").rlike(r"<[a-zA-Z/]|https?://|\]\(")).alias("clean"))
+    """Articles that may cite and link only what they were given, and hold neither markup nor addresses; most are wrong in one way."""
+    n = F.col("doc_id") % 8
+    said = F.when(n == 3, "see <b>this</b>").when(n == 4, "see www.example.org for more").when(n == 5, "see [[p9]] too").otherwise("see [[p1]] and [[p2]] too")
+    cites = F.when(n == 1, F.array().cast("array<string>")).when(n == 2, F.array(F.lit("E1"), F.lit("E7"))).otherwise(F.array(F.lit("E1"), F.lit("E2")))
+    sections = F.array(F.struct(F.lit("A title").alias("title"), F.array(F.struct(said.alias("text"), cites.alias("citations"))).alias("paragraphs")))
+    article = F.when(n == 6, F.lit('{"sections":[]}')).otherwise(F.to_json(F.struct(sections.alias("sections"))))
+    refs, links = (F.array(*map(F.lit, x)) for x in (("E1", "E2", "E3"), ("p1", "p2")))
+    return _documents(spark, sf_dir).select("doc_id", pages.valid_article(article, refs, links, 500).alias("valid"))
 
 
 @query("""WITH p AS (SELECT doc_id, lang || '.' || source AS page, CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN doc_id % 3 = 1 THEN 0.5 ELSE 0.2 END AS score FROM documents
@@ -308,11 +393,16 @@ def wk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingestion
 
 
-@query("SELECT conv_id, turn, s AS sample FROM conversations, range(3) r(s)")
+@query("""WITH s AS (SELECT conv_id, turn, text, unnest([0, 1, 2]) AS sample FROM conversations WHERE (conv_id + turn) % 5 <> 4)
+    SELECT conv_id, turn, 'fact:' || md5(CASE WHEN sample = 2 THEN 'other' ELSE text END) AS candidate, min(sample) AS sample, count(*) AS n FROM s GROUP BY ALL""")
 def in_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One call per chunk and sample."""
-    samples = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", samples.alias("sample"))
+    """The union of what a model's samples found in each chunk, from its answers as JSON (every fifth is malformed and counts for nothing)."""
+    samples = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    each = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", samples.alias("sample"))
+    found = F.md5(F.when(F.col("sample") == 2, "other").otherwise(F.col("text")))
+    answer = F.to_json(F.array(F.struct(F.lit("Fact").alias("type"), found.alias("content")), F.struct(F.lit("fact").alias("type"), F.concat(F.lit(" "), found).alias("content"))))
+    answers = each.select("conv_id", "turn", "sample", F.when((F.col("conv_id") + F.col("turn")) % 5 == 4, '[{"type":').otherwise(answer).alias("answer"))
+    return ingest.candidates(answers, ["conv_id", "turn"])
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality IS NULL OR l.toxic = 1 THEN 'drop' WHEN l.quality = 0 THEN 'correct' ELSE 'pass' END AS verdict
@@ -324,21 +414,52 @@ def in_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id").join(labels, "doc_id", "left").select("doc_id", verdict.alias("verdict"))
 
 
-@query("""SELECT o_custkey, min(o_orderkey) AS accepted FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) = 1""")
+@query("""WITH d AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'replacement' WHEN o_orderkey % 3 = 1 THEN 'correction' ELSE 'unrelated' END AS relationship, o_orderkey % 4 <> 0 AS borne_out FROM orders)
+    SELECT o_custkey AS incoming, min(o_orderkey) AS revision_id FROM d WHERE relationship <> 'unrelated' AND borne_out GROUP BY 1 HAVING count(*) = 1""")
 def in_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replacement is accepted only where exactly one qualifies."""
-    urgent = read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return urgent.groupBy("o_custkey").agg(F.min("o_orderkey").alias("accepted"), F.count("*").alias("n")).where("n = 1").drop("n")
+    """A model's decision that a new memory replaces or corrects an old one is accepted only where exactly one is borne out by both texts."""
+    n = F.col("o_orderkey")
+    said = F.concat(F.lit("The price of part "), F.col("o_custkey").cast("string"), F.lit(" is new"))
+    decisions = read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("incoming"),
+        n.alias("revision_id"),
+        F.when(n % 3 == 0, "replacement").when(n % 3 == 1, "correction").otherwise("unrelated").alias("relationship"),
+        said.alias("content"),
+        F.lit("the PRICE of part was old").alias("old"),
+        F.array(F.lit("price"), F.when(n % 4 != 0, "of part").otherwise("weight")).alias("subjects"),
+        F.lit("is new").alias("evidence"),
+        F.lit("was old").alias("old_evidence"),
+    )
+    return ingest.accepted_conflicts(decisions)
 
 
-@query(sql("SELECT session_id, count(*) AS failures FROM traces WHERE status = 'failure' GROUP BY 1 HAVING count(*) >= 3", "traces"))
+@query(sql("""WITH t AS (SELECT *, event_id // 10 AS batch, tool || '-k-' || CAST(json_extract(args, '$.k') AS BIGINT) AS signature FROM traces),
+    w AS (SELECT batch FROM t GROUP BY 1 HAVING bool_or(status = 'failure' OR tool = 'view')),
+    r AS (SELECT batch, event_id, event_id % 3 <> 2 AS grounded, event_id % 7 = 0 AS confirmed FROM t WHERE batch IN (SELECT batch FROM w))
+    SELECT batch, event_id AS recipe FROM r WHERE grounded OR confirmed QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id) <= 3""", "traces"))
 def tr_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with enough failures to be worth a model's call."""
-    return traces(spark, sf_dir).where("status = 'failure'").groupBy("session_id").agg(F.count("*").alias("failures")).where("failures >= 3")
-
-
-@query("""SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 2 = 0 AND sha256(k.text) = sha256(d.text) AND k.source = d.source)""")
+    """What batches of traces teach: batches with a failure or an unknown command; of a model's statements those that the log bears out, or that a
+    second look confirmed; three at most."""
+    n = F.col("event_id")
+    t = traces(spark, sf_dir).withColumn("batch", F.floor(n / 10)).withColumn("signature", text.command_signature(F.col("tool"), F.col("args")))
+    known = t.where("tool <> 'view'").select("signature").distinct()
+    log = F.lit("run gradle check before pushing; the build failed at step 7")
+    statement = F.when(n % 3 != 2, "Run gradle check before pushing").otherwise("Always restart the server at step 9")
+    statements = t.select("batch", n.alias("recipe"), n.alias("place"), statement.alias("statement"), log.alias("log"), (n % 7 == 0).alias("confirmed"))
+    return ingest.recipes(t.select("batch", "signature", "status"), known, statements).select("batch", "recipe")
+
+
+@query("""WITH f AS (SELECT doc_id, source || '/' || doc_id AS path, source AS module FROM documents WHERE doc_id % 2 = 1),
+    s AS (SELECT doc_id, doc_id % 12 + i AS name, i FROM f, range(11) r(i) WHERE i < doc_id % 12)
+    SELECT f.doc_id, path, 'It defines ' || coalesce((SELECT string_agg('function s' || name, ', ' ORDER BY name) FROM s WHERE s.doc_id = f.doc_id), 'nothing') || '.' AS fact,
+        least((SELECT count(*) FROM s WHERE s.doc_id = f.doc_id), 8) AS defines FROM f""")
 def cd_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose content is not indexed yet; the even ones are."""
-    files = _documents(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("digest"))
-    return ingest.changed(files, files.where("doc_id % 2 = 0"), ["source"]).select("doc_id")
+    """Files that changed since the index was made (the odd ones): what each defines as a fact, and how many defines edges are projected (eight at most)."""
+    docs = _documents(spark, sf_dir)
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", path.alias("path"), F.sha2("text", 256).alias("digest"))
+    symbols = docs.select(path.alias("path"), F.col("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i")).where(F.col("i") < F.col("doc_id") % 12)
+    symbols = symbols.select("path", F.lit("function").alias("kind"), F.col("i").alias("line"), F.concat(F.lit("s"), (F.col("doc_id") % 12 + F.col("i")).cast("string")).alias("name"), (F.col("doc_id") % 12 + F.col("i")).alias("order"))
+    ledger = files.where("doc_id % 2 = 0").select("path", "digest")
+    found = ingest.index_files(files, ledger, symbols)
+    return found.select("doc_id", "path", "fact", "defines")
