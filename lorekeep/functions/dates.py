@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 # Modifiers of calendar periods and the steps that they take; references that no calendar defines.
 STEPS = {"last": -1, "past": -1, "this": 0, "next": 1, "coming": 1}
 UNITS = ("week", "weekend", "month", "year")
-FUZZY = (
-    r"(?i)\b(?:(?:last|past|this|next|coming)\s+(?:spring|summer|autumn|fall|winter)"
-    r"|a\s+while\s+(?:ago|back)|recently|some\s+time\s+ago|soon)\b"
-)
+SEASONS = ("spring", "summer", "autumn", "fall", "winter")
+DAYS = {"yesterday": -1, "today": 0, "tomorrow": 1}
+FUZZY = rf"(?i)\b(?:(?:{'|'.join(STEPS)})\s+(?:{'|'.join(SEASONS)})|a\s+while\s+(?:ago|back)|recently|some\s+time\s+ago|soon)\b"
 
 
 def iso(day: Column) -> Column:
@@ -33,7 +32,7 @@ def period(step: int | Column, unit: str, day: Column) -> Column:
 
 def rewrite_relative(text: Column, day: Column) -> Column:
     """The text with yesterday, today, tomorrow and named periods replaced by what they meant on that day."""
-    for word, step in (("yesterday", -1), ("today", 0), ("tomorrow", 1)):
+    for word, step in DAYS.items():
         text = F.regexp_replace(text, F.lit(rf"(?i)\b{word}\b"), iso(F.date_add(day, step)))
     for name, step in STEPS.items():
         for unit in UNITS:
@@ -116,10 +115,9 @@ def effective_bounds(phrase: Column, day: Column, said: Column, kind: str = "poi
 
 def residual(text: Column, day: Column, most: int = 6) -> Column:
     """The relative references that a text still holds, in order, with what each means on a day (null: nothing fixed)."""
-    pattern = (
-        r"(?i)\b(?:yesterday|today|tomorrow|(?:last|past|this|next|coming)\s+(?:week|weekend|month|year|spring|summer|autumn|fall|winter)"
-        r"|\d{1,4}\s+(?:day|week|month|year)s?\s+ago|recently|soon)\b"
-    )
+    named = "|".join((*DAYS, "recently", "soon"))
+    periods = rf"(?:{'|'.join(STEPS)})\s+(?:{'|'.join((*UNITS, *SEASONS))})"
+    pattern = rf"(?i)\b(?:{named}|{periods}|\d{{1,4}}\s+(?:day|week|month|year)s?\s+ago)\b"
     found = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.lower)), 1, most)
 
     def meant(phrase: Column) -> Column:

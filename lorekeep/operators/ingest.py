@@ -39,41 +39,38 @@ def pack(
 
     Every row after a run's first costs `joint` more; a run has at least one row and no more than `most`; each begins `overlap` rows
     before the next new one but after the last begin. Groups are sorted within partitions and streamed, so a
-    task holds one run at a time, not a group. Places count from zero within the group.
+    task holds one run at a time, not a group; but as each run depends on the one before, a group is one task's work. Places count
+    from zero within the group.
     """
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, base, costs, number = None, 0, [], 0
+        own, base, costs, size, number = None, 0, [], 0, 0
         out: list[tuple] = []
 
-        def emit(last: bool) -> None:
-            """Emit the runs that are complete: all but the growing one, and at a group's end that one too."""
-            nonlocal base, number
-            while costs:
-                size, end = costs[0], 1
-                while end < len(costs) and size + costs[end] + joint <= target and end != most:
-                    size += costs[end] + joint
-                    end += 1
-                if end == len(costs) and not last:
-                    return
-                out.append((own, number, base, base + end - 1, size))
-                number += 1
-                step = len(costs) if end == len(costs) else max(1, end - overlap)
-                del costs[:step]
-                base += step
+        def close() -> None:
+            """Emit the run and begin the next one with what the two share."""
+            nonlocal base, costs, size, number
+            out.append((own, number, base, base + len(costs) - 1, size))
+            step = max(1, len(costs) - overlap)
+            base, costs, number = base + step, costs[step:], number + 1
+            size = sum(costs) + joint * max(0, len(costs) - 1)
 
         for batch in batches:
             for key, value in zip(batch["own"], batch["cost"], strict=True):
                 if key != own:
-                    emit(True)
-                    own, base, number = key, 0, 0
-                costs.append(int(value))
-                emit(False)
+                    if costs:
+                        close()
+                    own, base, costs, size, number = key, 0, [], 0, 0
+                value = int(value)
+                while costs and (size + joint + value > target or len(costs) == most):
+                    close()
+                size += value + (joint if costs else 0)
+                costs.append(value)
             if out:
                 yield pd.DataFrame(out, columns=names)
                 out = []
-        emit(True)
-        if out:
+        if costs:
+            close()
             yield pd.DataFrame(out, columns=names)
 
     names = ["own", "chunk", "first", "last", "size"]

@@ -208,13 +208,14 @@ def wk_cluster_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(missing.alias("m")).where("m = 0").select("l_orderkey")
 
 
-@query("""SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority
-    AND a.o_orderkey < b.o_orderkey""")
+@query("""WITH s AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT o_orderkey AS peer FROM orders WHERE o_orderkey % 10 <> 0 AND (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM s)""")
 def wk_fact_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = read_table(spark, sf_dir, "orders")
-    one = table.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("first"))
-    two = table.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("second"))
-    return one.join(two, ["o_custkey", "o_orderpriority"]).where("first < second").select("first", "second")
+    """What else is said of the facts (customer and priority) of selected orders (every tenth): each peer once, however many of them are selected."""
+    table = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    chosen = table.where("o_orderkey % 10 = 0").select("o_custkey", "o_orderpriority")
+    others = table.where("o_orderkey % 10 <> 0").join(chosen, ["o_custkey", "o_orderpriority"], "left_semi")
+    return others.select(F.col("o_orderkey").alias("peer"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT p_partkey AS page, CASE WHEN p_partkey % 4 = 0 OR p_partkey < 2 THEN NULL ELSE p_partkey - 1 END AS next FROM part),
@@ -277,10 +278,14 @@ def wk_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ingestion
 
 
-@query(sql("""SELECT session_id, turn, trim(role) AS role, md5(content) AS content_md5 FROM messages WHERE trim(role) <> '' AND trim(content) <> ''""", "messages"))
+@query(sql("""SELECT session_id, turn, trim(role) AS role, md5(CASE turn % 3 WHEN 0 THEN content WHEN 1 THEN strftime(said_on - 1, '%Y-%m-%d') || ': ' || content
+    ELSE content || ' in ' || strftime(said_on + INTERVAL 1 MONTH, '%B %Y') END) AS content_md5 FROM messages WHERE trim(role) <> '' AND trim(content) <> ''""", "messages"))
 def in_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No message of the table names a relative date, so contents stay as they are."""
-    return ingest.normalize(messages(spark, sf_dir)).select("session_id", "turn", "role", F.md5("content").alias("content_md5"))
+    """Two of three messages are given a relative date, which becomes what it meant on the day."""
+    n = F.col("turn") % 3
+    said = F.when(n == 0, F.col("content")).when(n == 1, F.concat(F.lit("Yesterday: "), "content")).otherwise(F.concat("content", F.lit(" in the next month")))
+    made = messages(spark, sf_dir).withColumn("content", F.when(F.trim("content") != "", said).otherwise(F.col("content")))
+    return ingest.normalize(made).select("session_id", "turn", "role", F.md5("content").alias("content_md5"))
 
 
 @query(sql("SELECT id, min(session_id * 1000 + turn) AS sequence FROM messages GROUP BY 1", "messages"))

@@ -59,6 +59,14 @@ def ret_fts_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible_fts(spark, sf_dir).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {PROBES_SQL}, {FTS_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fts)
+    SELECT query_id, source, min(rank) AS best FROM t JOIN documents ON doc_id = id WHERE rank <= 300 GROUP BY ALL""")
+def agg_min_rank_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rank of each source among the 300 hits of a question that are looked at."""
+    sources = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return fts(spark, sf_dir, 300).join(sources, "id").groupBy("query_id", "source").agg(F.min("rank").alias("best"))
+
+
 MESSAGES_SQL = bm25_sql("said", "conversations", "conv_id || ':' || turn || ':' || role", "text")
 SESSIONS = """sessions AS (SELECT query_id, CAST(split_part(id, ':', 1) AS BIGINT) AS session_id, max(score) AS score FROM said GROUP BY ALL),
     sessions_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id) AS rank FROM sessions QUALIFY rank <= 10)"""

@@ -275,12 +275,19 @@ def str_module_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Dates
 
 
-@query("""SELECT o_orderkey, strftime(d - 1, '%Y-%m-%d') || ' ' || strftime(d, '%Y-%m-%d') || ' the week of '
-        || strftime(CAST(date_trunc('week', d) AS DATE) - 7, '%Y-%m-%d') || ', ' || strftime(d + INTERVAL 1 MONTH, '%B %Y') AS rewritten
-    FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(d - 1, '%Y-%m-%d') || ' ' || strftime(d, '%Y-%m-%d') || ' the week of '
+        || strftime(CAST(date_trunc('week', d) AS DATE) - 7, '%Y-%m-%d') || ', ' || strftime(d + INTERVAL 1 MONTH, '%B %Y')
+    WHEN 1 THEN o_orderpriority || ' due the weekend of ' || strftime(CAST(date_trunc('week', d) AS DATE) + 12, '%Y-%m-%d') || ' or ' || strftime(d + 1, '%Y-%m-%d')
+    ELSE 'todays ' || o_orderpriority || ' of ' || (year(d) - 1) END AS rewritten FROM (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def dt_rewrite_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-    said = F.lit("Yesterday today the last week, next MONTH")
+    """Sentences of three forms with words of the rows; a longer word that begins like a date word is none."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("d"))
+    n = F.col("o_orderkey") % 3
+    said = (
+        F.when(n == 0, "Yesterday today the last week, next MONTH")
+        .when(n == 1, F.concat("o_orderpriority", F.lit(" due next weekend or tomorrow")))
+        .otherwise(F.concat(F.lit("todays "), "o_orderpriority", F.lit(" of past year")))
+    )
     return orders.select("o_orderkey", dates.rewrite_relative(said, F.col("d")).alias("rewritten"))
 
 

@@ -425,14 +425,6 @@ def agg_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT source, min(r) AS best FROM (SELECT source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 300) GROUP BY 1""")
-def agg_min_rank_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best rank per source among the 300 longest documents; only those 300 are ordered in one place."""
-    top = read_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(300)
-    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    return ranked.groupBy("source").agg(F.min("r").alias("best"))
-
-
 JUDGED = "SELECT *, CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN toxic = 1 THEN 'wrong' ELSE 'abstained' END AS verdict FROM labels"
 
 

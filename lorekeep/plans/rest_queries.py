@@ -155,9 +155,12 @@ def tmp_fact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.history(every, temporal.resolve_segments(every), F.lit("1996-06-30").cast("date")).select("fact_group", "revision_id", "place", "valid_from", "selected")
 
 
-@query(sql(f"WITH {SEEN_SQL} SELECT id, payload, valid_from, valid_to FROM seen WHERE session_id = 'src2'", "memories"))
+@query(sql(f"""WITH {SEEN_SQL} SELECT session_id, type, topic_key, arg_max(id, sequence) AS id, arg_max(payload, sequence) AS payload, arg_max(valid_from, sequence) AS valid_from FROM seen
+    WHERE topic_key IS NOT NULL GROUP BY ALL""", "memories"))
 def tmp_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seen(spark, sf_dir).where("session_id = 'src2'").select("id", "payload", "valid_from", "valid_to")
+    """The selected revision of every visible fact."""
+    visible = seen(spark, sf_dir).where("topic_key IS NOT NULL").select("session_id", "type", "topic_key", "id", "payload", "valid_from", "sequence")
+    return rows.latest_per_key(visible, ["session_id", "type", "topic_key"], ["sequence"]).drop("sequence")
 
 
 @query(sql("""WITH stored AS (SELECT fact_group, revision_id, start, stop FROM assertions WHERE transaction_id % 2 = 0),
@@ -251,10 +254,16 @@ def dt_effective_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey, unnest(['today', 'next week', '3 days ago', 'soon']) AS phrase, unnest([strftime(d, '%Y-%m-%d'), 'the week of '
-    || strftime(CAST(date_trunc('week', d) AS DATE) + 7, '%Y-%m-%d'), strftime(d - 3, '%Y-%m-%d'), NULL]) AS meaning FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 1 + o_orderkey % 9 AS n FROM orders),
+    p AS (SELECT o_orderkey, unnest(['today', 'next week', n || ' days ago', 'soon']) AS phrase, unnest([strftime(d, '%Y-%m-%d'), 'the week of '
+        || strftime(CAST(date_trunc('week', d) AS DATE) + 7, '%Y-%m-%d'), strftime(d - CAST(n AS INT), '%Y-%m-%d'), NULL]) AS meaning FROM o WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT o_orderkey, unnest(['last month', 'tomorrow']), unnest([strftime(d - INTERVAL 1 MONTH, '%B %Y'), strftime(d + 1, '%Y-%m-%d')]) FROM o WHERE o_orderkey % 2 = 1)
+    SELECT * FROM p""")
 def dt_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.lit("Due today or next week; it broke 3 days ago, today, and soon")
+    """Sentences of two forms, with numbers from the rows."""
+    key = F.col("o_orderkey")
+    one = F.concat(F.lit("Due today or next week; it broke "), (key % 9 + 1).cast("string"), F.lit(" days ago, today, and soon"))
+    said = F.when(key % 2 == 0, one).otherwise("Last month, or tomorrow, or LAST MONTH")
     found = dates.residual(said, F.col("o_orderdate").cast("date"))
     return read_table(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("x")).select("o_orderkey", "x.*")
 
