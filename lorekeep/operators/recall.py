@@ -20,10 +20,11 @@ INJECTED = 0.85
 
 
 class Mode(Enum):
-    """How far a recall goes: hits as fused, or collapsed and reranked as well."""
+    """How far a recall goes: hits as fused; collapsed as well; or those laid out as the context for a model's answer."""
 
     EVIDENCE = "evidence"
     ANALYZED = "analyzed"
+    SYNTHESIZED = "synthesized"
 
 
 def parse_snapshot(as_of: str, known_as_of: str, sequence: int, now: datetime.datetime) -> Snapshot:
@@ -39,7 +40,8 @@ def parse_snapshot(as_of: str, known_as_of: str, sequence: int, now: datetime.da
 def recall(questions: DataFrame, memories: DataFrame, limit: int = 10, mode: Mode = Mode.ANALYZED) -> DataFrame:
     """query_id, id, score, source, place of the best memories (id, content, topic_key, known) for questions (query_id, said).
 
-    Channels: full text, and exact topic keys by their order in the question, newest first. The limit comes last.
+    Channels: full text, and exact topic keys by their order in the question, newest first. The limit comes last. For a synthesized
+    answer the result is query_id, context: one line for each of the memories, in order.
     """
     asked = questions.select("query_id", text.query_terms(F.col("said")).alias("terms"))
     hits = search.ranked(search.bm25(memories, asked), CHANNEL_LIMIT, [F.desc(F.round("score", 9)), F.col("id")])
@@ -47,12 +49,22 @@ def recall(questions: DataFrame, memories: DataFrame, limit: int = 10, mode: Mod
     exact = memories.where("topic_key IS NOT NULL").select("id", "topic_key", "known").join(keys, "topic_key")
     exact = search.ranked(exact, CHANNEL_LIMIT, [F.col("place"), F.desc("known"), F.col("id")])
     fused = search.fuse(search.channel(hits, "fts").unionByName(search.channel(exact, "exact")))
-    if mode is Mode.ANALYZED:
+    if mode is not Mode.EVIDENCE:
         listed = search.ranked(fused, 2 * CHANNEL_LIMIT, [F.desc(F.round("score", 12)), F.col("id")])
         held = listed.join(memories.select("id", "content"), "id")  # few rows; shingles are made of those alone
         fused = search.collapse(held.withColumn("shingles", text.shingles(F.col("content"))).drop("content")).drop("rank")
     top = search.ranked(fused, limit, [F.desc(F.round("score", 12)), F.col("id")])
-    return top.select("query_id", "id", "score", "source", F.col("rank").alias("place"))
+    found = top.select("query_id", "id", "score", "source", F.col("rank").alias("place"))
+    return context(found, memories) if mode is Mode.SYNTHESIZED else found
+
+
+def context(hits: DataFrame, memories: DataFrame, most: int = 200) -> DataFrame:
+    """query_id, context: a query's hits (query_id, id, place), a top-k list, as lines of at most `most` characters of their texts."""
+    said = F.trim(F.regexp_replace("content", r"\s+", " "))
+    line = F.concat(F.lit("- "), F.when(F.length(said) > most, F.concat(F.left(said, F.lit(most)), F.lit("…"))).otherwise(said))
+    lines = hits.join(memories.select("id", "content"), "id").select("query_id", F.struct("place", line.alias("line")).alias("x"))
+    laid = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    return lines.groupBy("query_id").agg(laid.alias("context"))
 
 
 def rerank_by_label(hits: DataFrame) -> DataFrame:

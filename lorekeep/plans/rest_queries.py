@@ -397,3 +397,23 @@ def in_reminisce(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = ingest.orphans(own, lines.where("l_linenumber = 3"))
     batches = ingest.pack(open_, "profile_id", "id", "chars", 3000, most=8)
     return ingest.adopt(open_, batches.withColumn("done", F.col("chunk") % 4 != 3), lines.where("l_linenumber <= 2").select("memory_id"))
+
+
+@query(sql("""WITH o AS (SELECT o_orderkey AS memory_id, CAST(o_orderkey % 7 AS INT) AS attempts FROM orders)
+    SELECT memory_id, outcome, CASE WHEN outcome = 'failed' THEN attempts + 1 ELSE attempts END AS attempts FROM (SELECT *, CASE WHEN attempts >= 5 THEN 'abandoned'
+        WHEN memory_id NOT IN (SELECT sequence FROM memories) THEN 'orphaned' WHEN memory_id IN (SELECT vec_id FROM embeddings) THEN 'succeeded' ELSE 'failed' END AS outcome FROM o)""", "memories"))
+def in_outbox_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of an outbox's rows (orders stand for them), given the memories that there still are and the vectors that a model gave."""
+    batch = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("memory_id"), (F.col("o_orderkey") % 7).cast("int").alias("attempts"))
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("vector"))
+    known = memories(spark, sf_dir).select(F.col("sequence").alias("id"))
+    return feeds.outcomes(batch, known, vec).select("memory_id", "outcome", "attempts")
+
+
+@query(sql(f"""WITH {PROBES_SQL}, {FTS_SQL}, f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM fts QUALIFY place <= 10),
+    c AS (SELECT query_id, place, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM f JOIN documents ON doc_id = id)
+    SELECT query_id, string_agg('- ' || CASE WHEN length(said) > 200 THEN left(said, 200) || '…' ELSE said END, chr(10) ORDER BY place) AS context FROM c GROUP BY 1""", "memories"))
+def ret_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context for a model's answer: what full text finds, a line each."""
+    known = memories(spark, sf_dir).select(F.col("sequence").alias("id"), "content")
+    return recall.context(fts(spark, sf_dir).select("query_id", "id", F.col("rank").alias("place")), known)

@@ -41,3 +41,20 @@ def drain(outbox: DataFrame, handle: Callable[[DataFrame], DataFrame], done: str
 def since(changes: DataFrame, sequence: str, seen: int) -> DataFrame:
     """Changes after a watermark in their sequence."""
     return changes.where(F.col(sequence) > seen)
+
+
+def outcomes(batch: DataFrame, memories: DataFrame, vectors: DataFrame, most: int = 5) -> DataFrame:
+    """memory_id, outcome, attempts, vector: what becomes of the rows of an outbox (memory_id, attempts).
+
+    memories: id; vectors: memory_id, vector: what the model gave, for as many as it could, so that one failure does not fail the others.
+    A row that was tried `most` times is abandoned, one whose memory is gone orphaned (both leave the outbox), one with a vector succeeded, any
+    other failed; that counts as an attempt, and it stays.
+    """
+    there = memories.select(F.col("id").alias("memory_id"), F.lit(True).alias("there")).distinct()
+    met = batch.join(there, "memory_id", "left").join(vectors, "memory_id", "left")
+    outcome = (
+        F.when(F.col("attempts") >= most, "abandoned").when(F.col("there").isNull(), "orphaned").when(F.col("vector").isNotNull(), "succeeded").otherwise("failed")
+    )
+    done = F.col("outcome") == "succeeded"
+    counted = F.when(F.col("outcome") == "failed", F.col("attempts") + 1).otherwise(F.col("attempts"))
+    return met.withColumn("outcome", outcome).select("memory_id", "outcome", counted.alias("attempts"), F.when(done, F.col("vector")).alias("vector"))
