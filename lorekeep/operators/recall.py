@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from enum import Enum
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,11 @@ def recall(questions: DataFrame, memories: DataFrame, limit: int = 10, mode: Mod
     return context(found, memories) if mode is Mode.SYNTHESIZED else found
 
 
+def fused(channels: dict[str, DataFrame]) -> DataFrame:
+    """query_id, id, score, source: the channels' hits (query_id, id, rank), by name, fused with the channels' weights."""
+    return search.fuse(reduce(DataFrame.unionByName, (search.channel(hits, name) for name, hits in channels.items())))
+
+
 def context(hits: DataFrame, memories: DataFrame, most: int = 200) -> DataFrame:
     """query_id, context: a query's hits (query_id, id, place), a top-k list, as lines of at most `most` characters of their texts."""
     said = F.trim(F.regexp_replace("content", r"\s+", " "))

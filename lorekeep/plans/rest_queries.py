@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import dates, stem, text, vectors
 from lorekeep.operators import clusters, graph, ingest, pages, recall, rows, search, sets, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
-from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, SEGMENTS_SQL, VISIBLE_FTS, bm25_sql, fts, nearest, probes, visible_fts
+from lorekeep.plans.engine_queries import FTS_SQL, MESSAGES_SQL, PROBES_SQL, SEGMENTS_SQL, VISIBLE_FTS, bm25_sql, fts, nearest, probes, ret_fts_message, visible_fts
+from lorekeep.plans.functions_queries import SHINGLES
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
@@ -196,14 +197,15 @@ def tmp_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT query_id, id FROM fts WHERE query_id <> id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 15),
     k AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes)
         QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 15),
-    n AS (SELECT * FROM f UNION SELECT * FROM k),
+    n AS (SELECT * FROM f UNION SELECT * FROM k), g AS ({SHINGLES}),
     c AS (SELECT n.*, a.topic_key = b.topic_key AS keyed, a.session_id = b.session_id OR a.profile_id = b.profile_id AS fits,
-        list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine FROM n JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = n.id
+        list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine,
+        len(list_intersect(p.s, q.s)) / greatest(1, len(p.s) + len(q.s) - len(list_intersect(p.s, q.s))) AS likeness FROM n JOIN g p ON p.doc_id = query_id JOIN g q ON q.doc_id = n.id JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = n.id
         LEFT JOIN embeddings x ON x.vec_id = query_id LEFT JOIN embeddings y ON y.vec_id = n.id)
-    SELECT query_id AS seed, count(*) + 1 AS members FROM c WHERE fits AND (coalesce(keyed, false) OR coalesce(round(cosine, 9) >= 0.3, false)) GROUP BY 1 HAVING count(*) + 1 BETWEEN 3 AND 20""", "memories"))
+    SELECT query_id AS seed, count(*) + 1 AS members FROM c WHERE fits AND (coalesce(keyed, false) OR likeness >= 0.35 OR coalesce(round(cosine, 9) >= 0.3, false)) GROUP BY 1 HAVING count(*) + 1 BETWEEN 3 AND 20""", "memories"))
 def cl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups around seeds (every twentieth memory): of fifteen neighbours by words and fifteen by vectors those of the same key or
-    of a near vector (here 0.3), if their sources are compatible; three to twenty members. Likeness by shingles is tested apart."""
+    """Groups around seeds (every twentieth memory): of fifteen neighbours by words and fifteen by vectors those of the same key, of
+    like words or of a near vector (here 0.3), if their sources are compatible; three to twenty members."""
     visible = memories(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "session_id", "profile_id", "content")
     long = F.filter(text.words(F.col("content"), "[^a-z0-9]+"), lambda w: F.length(w) >= 8)
     seeds = visible.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.array_distinct(long)), 1, 12).alias("terms"))
@@ -213,7 +215,7 @@ def cl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = vec.join(seeds.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     near = search.nearest(vec, asked, 15).select("query_id", "id")
     pairs = worded.unionByName(near).distinct()
-    return clusters.discover(pairs, visible, vec, cosine=0.3, jaccard=None).select("seed", "members")
+    return clusters.discover(pairs, visible, vec, cosine=0.3).select("seed", "members")
 
 
 @query()
@@ -310,6 +312,40 @@ def tmp_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("stop", F.coalesce("stop", F.lit("9999-12-31").cast("date")))
 
 
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL}, {MESSAGES_SQL},
+    e AS (SELECT p.query_id, s.sequence AS id, row_number() OVER (PARTITION BY p.query_id ORDER BY s.created_on DESC, s.sequence) AS rank FROM probes p
+        JOIN memories m ON m.sequence = p.query_id JOIN seen s ON s.topic_key = m.topic_key QUALIFY rank <= 10),
+    b AS (SELECT query_id, 'src' || CAST(split_part(id, ':', 1) AS BIGINT) % 10 AS session_id, max(score) AS score FROM said GROUP BY ALL),
+    m AS (SELECT query_id, sequence AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id, created_on DESC, sequence) AS rank FROM b JOIN seen USING (session_id) QUALIFY rank <= 10),
+    v AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) AS rank
+        FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes) AND v.vec_id IN (SELECT sequence FROM seen) QUALIFY rank <= 10),
+    h AS (SELECT q.vec_id - 1 AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) AS rank
+        FROM embeddings q JOIN embeddings v ON q.vec_id - 1 <> v.vec_id WHERE q.vec_id - 1 IN (SELECT query_id FROM probes) AND v.vec_id IN (SELECT sequence FROM seen) QUALIFY rank <= 10),
+    u AS (SELECT query_id, id, 1.0 / (60 + rank) AS share FROM fts_top UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM graph_top UNION ALL SELECT query_id, id, 3.0 / (60 + rank) FROM e
+        UNION ALL SELECT query_id, id, 0.5 / (60 + rank) FROM m UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM v UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM h)
+    SELECT query_id, id, round(sum(share), 9) AS score FROM u GROUP BY ALL""", "memories", "edges"))
+def recall_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six channels of both waves over visible memories, fused: keys, words, messages, vectors, vectors of made-up answers, and the graph."""
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "session_id", "created_on")
+    asked = probes(spark, sf_dir)
+    first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
+    keys = asked.select("query_id").join(memories(spark, sf_dir).select(F.col("sequence").alias("query_id"), "topic_key"), "query_id")
+    exact = search.ranked(visible.join(F.broadcast(keys), "topic_key"), 10, [F.desc("created_on"), F.col("id")])
+    vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    open_ = vec.join(visible.select("id"), "id", "left_semi")
+    own = vec.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    made = vec.join(asked.select((F.col("query_id") + 1).alias("id")), "id").select((F.col("id") - 1).alias("query_id"), F.col("v").alias("q"))
+    channels = {
+        "fts": first,
+        "exact": exact,
+        "message": ret_fts_message(spark, sf_dir),
+        "vector": search.nearest(open_, own, 10),
+        "hyde": search.nearest(open_, made, 10),
+        "graph": graph_hits(spark, sf_dir, first),
+    }
+    return recall.fused(channels).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
 @query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL},
     u AS (SELECT query_id, id, 1.0 / (60 + rank) AS share FROM fts_top UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM graph_top)
     SELECT query_id, id, round(sum(share), 9) AS score FROM u GROUP BY ALL""", "memories", "edges"))
@@ -317,8 +353,7 @@ def ret_two_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two waves fused: full text, and what the graph finds around the entities of its hits. The first wave is kept for the second."""
     first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
     second = graph_hits(spark, sf_dir, first)
-    fused = search.fuse(search.channel(first, "fts").unionByName(search.channel(second, "graph")))
-    return fused.select("query_id", "id", F.round("score", 9).alias("score"))
+    return recall.fused({"fts": first, "graph": second}).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 @query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, e AS (SELECT * FROM edges WHERE relation = 'contains'),
