@@ -1,7 +1,7 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams, hashed to rows of an embedding table. A text is the sum of two averages: of
-all its words, and of the words of its most toxic window, so that a long text is not diluted. A softmax layer
+all its words, and of the words of its most toxic window (by default one word), so that a long text is not diluted. A softmax layer
 of two classes reads the sum. Table and layer are trained together, so a misspelling that was never seen shares
 the vectors of the n-grams it kept.
 
@@ -44,7 +44,7 @@ class Settings:
     size: int = 16
     shortest_gram: int = 3
     longest_gram: int = 6
-    window: int = 2
+    window: int = 1
     sample: int = 5_000
     characters: int = 20_000_000
     rounds: int = 80
@@ -107,7 +107,8 @@ class Vocabulary(dict):
 def blocks_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts of so many words (none empty), their blocks of half a window: first word, number of words; and whether it is a text's last.
 
-    A window is a block and the next one of its text, so windows overlap by half; a text of one block is one window.
+    A window is a block and the next one of its text, so windows overlap by half; a text of one block is one window. A window of one
+    word is a block by itself.
     """
     step = max(1, window // 2)
     counts = -(-words // step)
@@ -121,8 +122,10 @@ def blocks_of(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
     return first, length, last
 
 
-def windows(values: np.ndarray, last: np.ndarray) -> np.ndarray:
+def windows(values: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
     """Sums over windows of sums over blocks. A last block has no window of its own unless its text has no other: -inf there."""
+    if window == 1:
+        return values.copy()
     both = values.copy()
     both[:-1] += np.where(last[:-1], 0.0, values[1:])
     both[1:][last[1:] & ~last[:-1]] = -np.inf
@@ -142,12 +145,12 @@ def _pulls(margin: np.ndarray, sizes: np.ndarray, y: np.ndarray, offset: float,
     first, length, last = blocks_of(sizes, window)
     counts = np.diff(np.flatnonzero(last), prepend=-1)  # blocks of each text
     begins = np.cumsum(counts) - counts
-    span = windows(length.astype(float), last)
+    span = windows(length.astype(float), last, window)
     real = span > 0
     span[~real] = 1.0
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     block_margin = np.add.reduceat(margin, first)
-    window_margin = windows(block_margin, last) / span
+    window_margin = windows(block_margin, last, window) / span
     if even:  # each text's windows share its decision
         score = np.add.reduceat(np.where(real, window_margin, 0.0), begins) / np.bincount(owner, real)
     else:
@@ -157,8 +160,9 @@ def _pulls(margin: np.ndarray, sizes: np.ndarray, y: np.ndarray, offset: float,
     deciding = real if even else window_margin == score[owner]
     pull = np.where(deciding, (error / np.bincount(owner, deciding))[owner] / span, 0.0)
     block_pull = pull + (error / sizes)[owner]
-    second = np.flatnonzero(real & ~last) + 1  # the second blocks of windows
-    block_pull[second] += pull[second - 1]
+    if window > 1:
+        second = np.flatnonzero(real & ~last) + 1  # the second blocks of windows
+        block_pull[second] += pull[second - 1]
     return np.repeat(block_pull, length), error
 
 
@@ -246,8 +250,8 @@ class Scorer:
         if words:
             first, length, last = blocks_of(sizes[sizes > 0], self.settings.window)
             values = np.fromiter(map(self.known.__getitem__, words), float, len(words))
-            span = windows(length.astype(float), last)
-            sums = windows(np.add.reduceat(values, first), last)
+            span = windows(length.astype(float), last, self.settings.window)
+            sums = windows(np.add.reduceat(values, first), last, self.settings.window)
             means = np.divide(sums, span, out=np.full(len(sums), -np.inf), where=span > 0)
             starts = np.flatnonzero(np.append(True, last[:-1]))
             out[sizes > 0] += np.add.reduceat(values, first[starts]) / sizes[sizes > 0] + np.maximum.reduceat(means, starts)
