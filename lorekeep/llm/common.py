@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -29,11 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return memory that the process freed to the system, where its C library can: workers and drivers live on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The rows of Arrow batches in slices of HELD rows, which need not be copies."""
+    """The rows of Arrow batches in slices of HELD rows, which need not be copies; at the end freed memory is given back."""
     for batch in batches:
         for at in range(0, len(batch), HELD):
             yield batch.slice(at, HELD)
+    give_back()
 
 
 def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: Column) -> DataFrame:

@@ -15,13 +15,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import own_name, slices, whole_text
+from lorekeep.llm.common import give_back, own_name, slices, whole_text
 
 WORD = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}'@$!*_-]*[\p{L}\p{N}])?")
 #: Words that a worker remembers; the memory is emptied when it is full.
@@ -173,8 +172,9 @@ def train(texts: Iterable[str], labels: Iterable[int], settings: Settings = Sett
     most toxic one, so that no window decides before anything is learnt. Texts without words teach only
     the share of toxic texts. With one class or no text at all, the scores are that share throughout.
     """
-    vocabulary, labels = Vocabulary(), np.array([*labels], np.float64)
+    vocabulary = Vocabulary()
     kept = [vocabulary.add(text) for text in texts]
+    labels = np.array([*labels], np.float64)  # which may have grown with the texts
     share = (labels.sum() + 0.5) / (len(labels) + 2)  # a quarter if nothing is known, so that nothing is called toxic then
     bias = float(np.log(share / (1 - share)))
     used = np.array([len(k) > 0 for k in kept], bool)
@@ -263,8 +263,8 @@ class Scorer:
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, settings: Settings, text: str = "text", doc_id: str = "doc_id", label: str = "toxic"
-) -> pd.DataFrame:
-    """Labelled rows (text, label), within settings.sample and settings.characters, the same whatever the partitioning."""
+) -> DataFrame:
+    """Labelled rows (_text, _label), within settings.sample and settings.characters, the same whatever the partitioning."""
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
         F.col("_label").isin(0, 1)
     )
@@ -280,11 +280,11 @@ def training_sample(
     ends = few.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < settings.characters)
     bound = ends.agg(F.max(F.struct(*by)).alias("x"), F.count("*").alias("n")).first()
     if not bound.n:
-        return found.select("_text", "_label").limit(0).toPandas()
+        return found.select("_text", "_label").limit(0)
     kinds = [few.schema[c].dataType for c in by]
     own = F.struct(*(F.col(c).alias(c) for c in by[:3]), F.xxhash64("_text").alias("_hash"))
     last = F.struct(*(F.lit(x).cast(k).alias(c) for x, k, c in zip(bound.x, kinds, by)))
-    return found.where(own <= last).orderBy(own, "_text").limit(bound.n).select("_text", "_label").toPandas()
+    return found.where(own <= last).orderBy(own, "_text").limit(bound.n).select("_text", "_label")
 
 
 def fit(
@@ -296,9 +296,16 @@ def fit(
     twice. Null texts are empty. Without any lesson all texts score a quarter. Other columns are ignored.
     """
     sample = training_sample(docs, labels if learn is None else labels.where(learn), settings, **names)
-    texts, marks = sample["_text"].tolist()[::-1], sample["_label"].tolist()
-    del sample
-    return train((texts.pop() for _ in marks), marks, settings)  # a text goes once its words are numbered
+    marks: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for row in sample.toLocalIterator():  # a text goes once its words are numbered
+            marks.append(row._label)
+            yield row._text
+
+    model = train(texts(), marks, settings)
+    give_back()
+    return model
 
 
 def with_score(

@@ -64,9 +64,8 @@ def test_training_lowers_the_loss_and_knows_misspellings():
 def test_the_sample_is_bounded_by_characters(spark):
     docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, None), (7, 5), (None, 1), (99, 1)], "doc_id long, toxic int")
-    whole = toxicity.training_sample(docs, labels, toxicity.Settings())
-    assert len(whole) == 50
-    part = toxicity.training_sample(docs, labels, toxicity.Settings(characters=5000))
-    assert len(part) == 10 and set(part["_text"]) == {"word " * 100}
-    assert len(toxicity.training_sample(docs, labels, toxicity.Settings(sample=7))) == 7
-    assert len(toxicity.training_sample(docs, labels.where("false"), toxicity.Settings())) == 0
+    assert toxicity.training_sample(docs, labels, toxicity.Settings()).count() == 50
+    part = toxicity.training_sample(docs, labels, toxicity.Settings(characters=5000)).collect()
+    assert len(part) == 10 and {r._text for r in part} == {"word " * 100}
+    assert toxicity.training_sample(docs, labels, toxicity.Settings(sample=7)).count() == 7
+    assert toxicity.training_sample(docs, labels.where("false"), toxicity.Settings()).count() == 0
