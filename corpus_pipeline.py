@@ -15,11 +15,27 @@ from lorekeep.llm import bpe, exact_dedup, mixing, queries, simhash, toxicity
 from lorekeep.llm.common import stash, table, whole_text
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", f"{4 << 20}b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the pipeline's session hand Python 4 MB at a time where it was left at Spark's 64 MB.
+
+    Two tasks of an executor hold several copies of a batch, in the heap, in Arrow and in the worker. The operators leave
+    their session alone; that is the business of the application, which this is.
+    """
+    key, default, small = BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, small)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; clean ones stay. Texts without words score the share of toxic labels.
 
     Equal texts score alike. Labels of no document teach nothing.
     """
+    small_batches(spark)
     model = queries.toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model, queries.TOXIC)
 
@@ -37,6 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words are alike. Null and repeated ids are treated as among exact copies.
     """
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, similarity=0.8, words=5)
 
 
@@ -53,6 +70,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that are null or empty have no tokens; other columns are left out.
     """
+    small_batches(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.round_trip(docs.select("doc_id", "source", "text"), path, pattern)
     return coded.select(
