@@ -106,7 +106,8 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int
 
     Positions count code points, end exclusive; place is the kind's place in PARTS. Null and empty texts have
     no spans. Matches of a kind are leftmost and do not overlap; a match that is too short is dropped but has
-    used up its text. Ids may be null or repeat, as rows are told apart by themselves; other columns are ignored.
+    used up its text. Ids may be null or repeat, as rows are told apart by themselves; other columns are ignored; an empty
+    table gives none. Within a scope of a text there are few parts, as each takes some of its characters, so the join makes few pairs.
     """
     names = [f"m{i}" for i in range(len(PARTS))]
     plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
