@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.rows import settled as stash  # noqa: F401
@@ -22,6 +22,8 @@ HELD = 64
 HOT = 1000
 #: A row set's bitmap has so many bits for each row, and BITMAP_BITS (16 MB) at most.
 BITS_A_ROW, BITMAP_BITS = 32, 1 << 27
+#: Bits of a row's number within its partition in what monotonically_increasing_id gives.
+RANGE_BITS = 33
 #: Bits of one value of Spark's bitmap functions.
 BITMAP_BUCKET = 32_768
 
@@ -60,6 +62,32 @@ def meet(many: DataFrame, one: DataFrame, keys: list[str], hot: Column) -> DataF
     return near.unionByName(far)
 
 
+def ranked(rows: DataFrame, by: list[str], name: str, block: str) -> DataFrame:
+    """rows with the long column `name`, their place (from 0, gapless) in the order of the columns `by` (nulls first), and `block`.
+
+    `block` numbers the ranges of that order that tasks hold, from Spark's sampled ranges, so a range is as large as others
+    unless many rows agree in all of `by`. Only the sizes of ranges, a row for each task, are summed up in one place.
+    """
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+    placed = stash(placed.withColumn(block, F.shiftright(name, RANGE_BITS)))
+    shift = own_name(placed, "shift")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy(block).agg(F.count("*").alias("n"))
+    shifts = sizes.select(block, (before - F.shiftleft(block, RANGE_BITS)).alias(shift))
+    return placed.join(F.broadcast(shifts), block).withColumn(name, F.col(name) + F.col(shift)).drop(shift)
+
+
+def straddlers(ranges: DataFrame, key: str, block: str) -> DataFrame:
+    """key, block: the values of `key` that lie in several blocks, with each of their blocks.
+
+    ranges is in the order of key first (see `ranked`), so these are firsts or lasts of their blocks: two rows a block at most.
+    """
+    ends = ranges.groupBy(block).agg(F.min(F.struct(key)).alias("low"), F.max(F.struct(key)).alias("high"))
+    ends = ends.select(block, F.explode(F.array_distinct(F.array("low", "high"))).alias("of"))
+    several = Window.partitionBy("of")
+    return ends.withColumn("blocks", F.count("*").over(several)).where("blocks > 1").select(F.col(f"of.{key}").alias(key), block)
+
+
 def divide(rows: DataFrame, some: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows without, and with, those whose keys may be among those of `some` (the same columns, stashed).
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, quality, secret_scan, simhash, token_counts, toxicity
+from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, prefix_trie, quality, secret_scan, simhash, token_counts, toxicity
 from lorekeep.llm.common import held_out, table, whole_text
 
 
@@ -119,6 +119,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(docs, quality.fit(docs, good))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = prefix_trie.steps(table(spark, sf_dir, "conversations"))
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefix_trie.build(*prefix_trie.share_beginnings(steps, shared.cast("int"))).withColumnRenamed("saved", "saved_tokens")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -130,9 +136,47 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
+#: CRC-32 of the digits of a number, as a macro-like fragment: {x} is the number. Bits go one by one, so it needs no table.
+CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+        list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])),
+            lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
 ORACLES = {
+    "op11_prefix_trie": f"""
+        WITH told AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS step
+            FROM conversations WHERE conv_id IS NOT NULL),
+        plans AS (
+            SELECT *, least(skip, (SELECT count(*) FROM told t WHERE t.conv_id = base)) AS taken
+            FROM (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format(x="conv_id")} % 6 AS skip FROM told)),
+        rebuilt AS (
+            SELECT p.conv_id, t.step, role, text FROM plans p JOIN told t ON t.conv_id = p.base AND t.step <= p.taken
+            UNION ALL
+            SELECT p.conv_id, t.step - skip + taken, role, text FROM plans p JOIN told t ON t.conv_id = p.conv_id AND t.step > skip),
+        reached AS (
+            SELECT conv_id, step AS depth, length(text) AS size,
+                   list(struct_pack(role, text)) OVER (PARTITION BY conv_id ORDER BY step) AS path,
+                   step = max(step) OVER (PARTITION BY conv_id) AS last
+            FROM rebuilt
+            UNION ALL
+            SELECT conv_id, 0, 0, [], conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM plans),
+        nodes AS (
+            SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+            FROM reached GROUP BY path, depth),
+        kids AS (SELECT path[:-2] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+        under AS (
+            SELECT r.path, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.size) AS saved_tokens
+            FROM counted u JOIN reached r ON r.conv_id = u.conv_id AND r.depth <= u.depth GROUP BY r.path)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+               CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM counted n JOIN under USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:-2]""",
     "op9_chat": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
