@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, prefix_trie, quality, secret_scan, simhash, token_counts, toxicity
+from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, prefix_trie, quality, secret_scan, sharding, simhash, token_counts, toxicity
 from lorekeep.llm.common import held_out, table, whole_text
 
 
@@ -125,6 +125,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build(*prefix_trie.share_beginnings(steps, shared.cast("int"))).withColumnRenamed("saved", "saved_tokens")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -137,6 +144,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_sharding": op12_sharding,
 }
 
 #: CRC-32 of the digits of a number, as a macro-like fragment: {x} is the number. Bits go one by one, so it needs no table.
