@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, prefix_trie, quality, secret_scan, sharding, simhash, token_counts, toxicity
+from lorekeep.llm import bpe, chat, exact_dedup, fingerprints, mixing, prefix_trie, quality, repair, secret_scan, sharding, simhash, token_counts, toxicity
 from lorekeep.llm.common import held_out, table, whole_text
 
 
@@ -132,6 +132,22 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with the damage that a hash of conversation and turn decides; nulls are one space."""
+    conversation, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = F.crc32(F.concat(conversation, F.lit(":"), turn).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind != 0")
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    bare = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"copy": F.explode(copies), "text": bare})
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), "text")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(damaged(turns), turns.select("conv_id"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -145,6 +161,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_sharding": op12_sharding,
+    "op13_repair": op13_repair,
 }
 
 #: CRC-32 of the digits of a number, as a macro-like fragment: {x} is the number. Bits go one by one, so it needs no table.
