@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import stash, whole_text
+from lorekeep.llm.common import slices, stash, whole_text
 
 PIECE = regex.compile(r"\w+|[^\w\s]+")
 #: Bins of one pass of the search for the k-th key; rows it may end with.
@@ -89,9 +89,10 @@ def fit(docs: DataFrame, good: DataFrame, settings: Settings = Settings(), text:
 
     The raw model counts all documents, the target model a bounded sample of the examples. Without examples (or
     documents) all ratios are zero. Null ids are no examples, an id of several rows makes all of them examples, a
-    repeated example counts once. Null texts are empty; other columns are ignored.
+    repeated example counts once; an id of no document takes no place among the sample. Null texts are empty; other columns are ignored.
     """
     ids = good.select(F.col(doc_id).alias("_good")).where("_good IS NOT NULL").distinct()
+    ids = ids.join(docs.select(F.col(doc_id).alias("_good")).distinct(), "_good", "left_semi")
     ids = ids.orderBy(F.xxhash64(F.lit(settings.seed), "_good"), "_good").limit(settings.sample)
     # At most settings.sample ids, so the join shuffles no text.
     marked = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("text")).join(
@@ -147,7 +148,7 @@ def select(
 
     @F.arrow_udf("struct<n: long, log_weight: double>")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value[buckets_of(x.as_py(), settings.buckets)] for x in batch]
             yield pa.StructArray.from_arrays(
                 [pa.array([len(f) for f in found], pa.int64()), pa.array([float(f.sum()) for f in found], pa.float64())],

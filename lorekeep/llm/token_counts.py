@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.bpe import byte_characters
-from lorekeep.llm.common import whole_text
+from lorekeep.llm.common import slices, whole_text
 
 #: Characters that a chunk holds, and those that are laid end to end before a run.
 CHUNK, LAID_OUT = 128, 1_000_000
@@ -276,7 +276,7 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", name: str
     @F.arrow_udf("long")
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = text_counter(path)
-        for batch in batches:
-            yield pa.array(own.count_batch((x.as_py() for x in batch), len(batch)))
+        for part in slices(batches):
+            yield pa.array(own.count_batch((x.as_py() for x in part), len(part)))
 
     return docs.withColumn(name, counts(whole_text(text)))

@@ -264,14 +264,18 @@ class Scorer:
 def training_sample(
     docs: DataFrame, labels: DataFrame, settings: Settings, text: str = "text", doc_id: str = "doc_id", label: str = "toxic"
 ) -> DataFrame:
-    """Labelled rows (_text, _label), within settings.sample and settings.characters, the same whatever the partitioning."""
+    """Labelled rows (_text, _label), within settings.sample and settings.characters, the same whatever the partitioning.
+
+    Labels of no document do not count: ids of labels and documents, and nothing else, meet before any label is left out.
+    """
     marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).where(
         F.col("_label").isin(0, 1)
     )
     texts = docs.select(F.col(doc_id).alias("_id"), whole_text(text).alias("_text"))
     order = F.xxhash64(F.lit(settings.seed), "_id")
-    some = marks.withColumn("_order", order).orderBy("_order", "_id", "_label").limit(settings.sample * 2)
-    # At most twice the sample of small rows, so the join needs no shuffle of texts.
+    known = marks.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
+    some = known.withColumn("_order", order).orderBy("_order", "_id", "_label").limit(settings.sample)
+    # At most the sample of small rows, so the join needs no shuffle of texts.
     found = texts.join(F.broadcast(some), "_id").withColumn("_chars", F.length("_text"))
     few = found.select("_order", "_id", "_label", "_chars", F.xxhash64("_text").alias("_hash"))
     by = ["_order", "_id", "_label", "_hash"]

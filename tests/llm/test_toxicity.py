@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from lorekeep.llm import toxicity
+from lorekeep.llm import quality, toxicity
 
 
 def slow_logit(text, numbers, offset, settings):
@@ -69,3 +69,18 @@ def test_the_sample_is_bounded_by_characters(spark):
     assert len(part) == 10 and {r._text for r in part} == {"word " * 100}
     assert toxicity.training_sample(docs, labels, toxicity.Settings(sample=7)).count() == 7
     assert toxicity.training_sample(docs, labels.where("false"), toxicity.Settings()).count() == 0
+
+
+def test_labels_of_absent_documents_take_no_place(spark, monkeypatch):
+    docs = spark.createDataFrame([(i * 500, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.range(50_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic", "1 AS quality")
+    found = toxicity.training_sample(docs, labels, toxicity.Settings(sample=200))
+    assert found.count() == 100
+    few = quality.Settings(sample=60)
+    ratios = quality.fit(docs, labels, few)
+    assert ratios.any() and not quality.fit(docs, labels.where("doc_id % 500 != 0"), few).any()
+    seen = []
+    counts = quality.ngram_counts
+    monkeypatch.setattr(quality, "ngram_counts", lambda rows, settings: seen.append((rows.where("target").count(), rows.count())) or counts(rows, settings))
+    quality.fit(docs, labels, few)
+    assert seen == [(60, 100)]
