@@ -318,31 +318,6 @@ def cl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.archive(cluster=heads, member=members, override=overrides)
 
 
-@query("""WITH h AS (SELECT c_custkey AS cluster, CAST(c_custkey % 5 + 1 AS INT) AS now, CASE WHEN c_custkey % 7 = 0 THEN 'dissolved' ELSE 'active' END AS was, c_name AS named FROM customer WHERE c_custkey % 11 <> 0),
-    c AS (SELECT c_custkey AS cluster, ['create', 'edit', 'dissolve', 'restore'][CAST(c_custkey % 4 + 1 AS INT)] AS kind, CAST(c_custkey % 5 + CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END AS INT) AS expected,
-        CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'new ' || c_name END AS title, c_custkey % 17 <> 0 AS valid FROM customer),
-    o AS (SELECT *, CASE WHEN kind = 'create' THEN CASE WHEN now IS NULL THEN 'done' ELSE 'conflict' END WHEN now IS NULL THEN 'missing' WHEN expected <> now THEN 'conflict'
-        WHEN kind = 'restore' THEN CASE WHEN valid THEN 'done' ELSE 'conflict' END WHEN was <> 'active' THEN 'invalid' WHEN kind = 'edit' AND title = named THEN 'same' ELSE 'done' END AS outcome FROM c LEFT JOIN h USING (cluster))
-    SELECT cluster, outcome, CASE WHEN outcome = 'done' THEN coalesce(now, 0) + 1 ELSE now END AS revision, CASE WHEN outcome <> 'done' THEN was WHEN kind = 'dissolve' THEN 'dissolved' ELSE 'active' END AS state,
-        CASE WHEN outcome <> 'done' OR kind = 'dissolve' THEN named ELSE title END AS title FROM o""")
-def cl_versioned_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of changes to clusters, each of which names the revision that its author saw."""
-    key = F.col("c_custkey")
-    table = read_table(spark, sf_dir, "customer")
-    heads = table.where(key % 11 != 0).select(
-        key.alias("cluster"), (key % 5 + 1).cast("int").alias("revision"), F.when(key % 7 == 0, "dissolved").otherwise("active").alias("state"), F.col("c_name").alias("title")
-    )
-    kinds = F.array(*map(F.lit, ("create", "edit", "dissolve", "restore")))
-    changes = table.select(
-        key.alias("cluster"),
-        F.element_at(kinds, (key % 4 + 1).cast("int")).alias("kind"),
-        (key % 5 + F.when(key % 13 == 0, 2).otherwise(1)).cast("int").alias("expected"),
-        F.when(key % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("new "), "c_name")).alias("title"),
-        (key % 17 != 0).alias("valid"),
-    )
-    return clusters.apply_changes(heads, changes)
-
-
 @query()
 def wk_evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of each page (a source) within 8,000 tokens: whole fact groups, core ones first, single sources halved. Checked against brute force."""
