@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text
 from lorekeep.operators import clusters, graph, ingest, pages, rows, search
 from lorekeep.plans.derived import edges, memories, messages, sql, traces
-from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, VECTOR_SQL, nearest, probes
+from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, VECTOR_SQL, keyed_hits, nearest, probes
 from lorekeep.plans.functions_queries import STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
@@ -107,13 +107,13 @@ def cl_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(f"""WITH {PROBES_SQL}, t AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(said), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3
         AND x NOT IN ('the', 'and', 'for', 'with', 'from', 'what', 'how', 'are', 'was', 'this', 'that', 'does', 'can')))) AS term FROM probes),
-    c AS (SELECT topic_key, sequence, lower(left(content, 100)) AS claim FROM memories WHERE topic_key IS NOT NULL),
+    c AS (SELECT topic_key, sequence, lower(content) AS claim FROM memories WHERE topic_key IS NOT NULL),
     m AS (SELECT DISTINCT query_id, topic_key, sequence FROM c JOIN t ON contains(claim, term))
     SELECT query_id, topic_key, count(DISTINCT source) AS covered FROM (SELECT query_id, topic_key, unnest([sequence, sequence + 1]) AS source FROM m) GROUP BY ALL""", "memories"))
 def cl_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Originals that are covered by a cluster's claims with a term of a query anywhere in them; a claim (a memory's first 100 characters) covers two."""
+    """Originals that are covered by a cluster's claims with a term of a query anywhere in them; a claim (a memory's text) covers two."""
     terms = probes(spark, sf_dir).select("query_id", F.explode(text.claim_terms(F.col("said"))).alias("term"))
-    claims = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("sequence", F.lower(F.left("content", F.lit(100))).alias("claim"), "topic_key")
+    claims = memories(spark, sf_dir).where("topic_key IS NOT NULL").select("sequence", F.lower("content").alias("claim"), "topic_key")
     held = search.contained(claims, "claim", terms.select("term").distinct()).select("topic_key", "sequence", "term")
     met = held.join(terms, "term").select("query_id", "topic_key", F.explode(F.array("sequence", F.col("sequence") + 1)).alias("source"))
     return met.groupBy("query_id", "topic_key").agg(F.count_distinct("source").alias("covered"))
@@ -193,7 +193,7 @@ def wk_search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     worded = search.ranked(scored.join(visible.select("id"), "id", "left_semi"), 10, [F.desc(F.round("score", 9)), F.col("id")])
     asked = probes(spark, sf_dir).select("query_id")
     keys = asked.join(memories(spark, sf_dir).select(F.col("sequence").alias("query_id"), "topic_key"), "query_id")
-    exact = search.ranked(visible.join(F.broadcast(keys), "topic_key"), 10, [F.desc("created_on"), F.col("id")])
+    exact = keyed_hits(visible, keys)
     near = nearest(spark, sf_dir).join(asked, "query_id", "left_semi")
     routes = search.channel(worded, "fts").unionByName(search.channel(exact, "exact")).unionByName(search.channel(near, "vector"))
     fused = search.fuse(routes, weights=dict.fromkeys(("fts", "exact", "vector"), 1.0))

@@ -82,7 +82,10 @@ def ret_fts_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = scored.groupBy("query_id", session.alias("session_id")).agg(F.max("score").alias("score"))
     held = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "session_id", "created_on")
     order = [F.desc(F.round("score", 9)), F.col("session_id"), F.desc("created_on"), F.col("id")]
-    return search.ranked(held.join(best, "session_id"), 10, order).select("query_id", "id", "rank")
+    # A question's ten come from its ten best sessions, and from each session's ten newest.
+    newest = search.ranked(held, 10, [F.desc("created_on"), F.col("id")], by="session_id").drop("rank")
+    some = search.ranked(best.join(newest.select("session_id").distinct(), "session_id", "left_semi"), 10, order[:2]).drop("rank")
+    return search.ranked(newest.join(some, "session_id"), 10, order).select("query_id", "id", "rank")
 
 
 KEYS = ("en.src3", "fr.src1", "de.src2")
@@ -110,6 +113,15 @@ def nearest(spark: SparkSession, sf_dir: str, limit: int = 10) -> DataFrame:
     return search.nearest(table, asked, limit).withColumnRenamed("distance", "d")
 
 
+def keyed_hits(visible: DataFrame, keys: DataFrame, limit: int = 10) -> DataFrame:
+    """query_id, id, rank: the newest memories (id, topic_key, created_on) of each question's key (query_id, topic_key).
+
+    Each key's memories are cut to `limit` before questions meet them, so a question meets no more than that.
+    """
+    newest = search.ranked(visible, limit, [F.desc("created_on"), F.col("id")], by="topic_key")
+    return keys.join(newest.select("topic_key", "id", "rank"), "topic_key").select("query_id", "id", "rank")
+
+
 @query(f"WITH {VECTOR_SQL} SELECT query_id, id, rank, round(d, 6) AS distance FROM near_top")
 def ret_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir).select("query_id", "id", "rank", F.round("d", 6).alias("distance"))
@@ -183,19 +195,19 @@ def ret_rrf_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{FUSED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS old FROM fused),
     c AS (SELECT o.*, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine FROM o LEFT JOIN embeddings v ON v.vec_id = o.id
-        LEFT JOIN embeddings q ON q.vec_id = o.query_id WHERE old <= 8),
+        LEFT JOIN embeddings q ON q.vec_id = o.query_id WHERE old <= 30),
     s AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS scaled
         FROM c WINDOW w AS (PARTITION BY query_id)),
     b AS (SELECT query_id, id, old, round(CASE WHEN cosine IS NULL THEN scaled ELSE 0.6 * scaled + 0.4 * greatest(0.0, cosine) END, 9) AS blended FROM s)
-    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, old) AS place FROM b UNION ALL SELECT query_id, id, old FROM o WHERE old > 8""")
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, old) AS place FROM b UNION ALL SELECT query_id, id, old FROM o WHERE old > 30""")
 def ret_rerank_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight fused hits in the order of their score blended with the cosine of their vectors; all others follow as they were."""
+    """The first thirty fused hits in the order of their score blended with the cosine of their vectors; all others follow as they were."""
     hits = search.ranked(fused(spark, sf_dir), 1 << 30, [F.desc(F.round("score", 12)), F.col("id")])
     vec = read_table(spark, sf_dir, "embeddings")
     hits = hits.join(vec.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id", "left")
     hits = hits.join(vec.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
     cosine = F.when(F.col("v").isNotNull() & F.col("q").isNotNull(), vectors.cosine(F.col("v"), F.col("q")))
-    return search.rescored(hits.withColumn("cosine", cosine), window=8).select("query_id", "id", "place")
+    return search.rescored(hits.withColumn("cosine", cosine), window=30).select("query_id", "id", "place")
 
 
 @query()
@@ -411,14 +423,16 @@ def gr_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""WITH s AS (SELECT DISTINCT left(source, 1) || right(source, 1) AS cluster, target AS entity FROM edges WHERE relation = 'placed by'),
-    k AS (SELECT entity FROM s GROUP BY 1 HAVING count(*) <= 5)
+    k AS (SELECT entity FROM s GROUP BY 1 HAVING count(*) <= greatest(2, (SELECT count(DISTINCT cluster) FROM s) // 2))
     SELECT a.cluster AS first, b.cluster AS second, count(*) AS shared, array_to_string(list_slice(list(a.entity ORDER BY a.entity), 1, 3), ',') AS examples
     FROM s a JOIN s b ON a.entity = b.entity AND a.cluster < b.cluster WHERE a.entity IN (SELECT entity FROM k) GROUP BY ALL HAVING count(*) >= 2""", "edges"))
 def gr_cluster_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters that share entities; entities of over half of the ten clusters tell nothing, which bounds the pairs."""
+    """Clusters that share entities; entities of over half of the clusters (of two at least) tell nothing, which bounds the pairs."""
     cluster = F.concat(F.left("source", F.lit(1)), F.right("source", F.lit(1)))
     s = edges(spark, sf_dir).where("relation = 'placed by'").select(cluster.alias("cluster"), F.col("target").alias("entity")).distinct()
-    telling = s.join(s.groupBy("entity").agg(F.count("*").alias("n")).where("n <= 5"), "entity")
+    most = F.greatest(F.lit(2), F.floor(F.count_distinct("cluster") / 2)).alias("most")
+    counted = s.groupBy("entity").agg(F.count("*").alias("n")).join(F.broadcast(s.agg(most)))
+    telling = s.join(counted.where("n <= most").select("entity"), "entity")
     pairs = telling.select("entity", F.col("cluster").alias("first")).join(telling.select("entity", F.col("cluster").alias("second")), "entity").where("first < second")
     shared = pairs.groupBy("first", "second").agg(F.count("*").alias("shared"), F.array_sort(F.collect_set("entity")).alias("x")).where("shared >= 2")
     return shared.select("first", "second", "shared", F.array_join(F.slice("x", 1, 3), ",").alias("examples"))

@@ -9,7 +9,7 @@ from lorekeep.functions import codec, text
 from lorekeep.operators import clusters, ingest, pages, recall, rows, search
 from lorekeep.plans.derived import edges, memories, sql, traces
 from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, VISIBLE_FTS, fts, fused, probes, visible_fts
-from lorekeep.plans.functions_queries import SHINGLES
+from lorekeep.plans.functions_queries import SHINGLES, STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import BOUNDS, SEEN_SQL, SEEN_STRICTLY, SNAPSHOT, seen, segments
 from lorekeep.plans.rest_queries import SPREAD_SQL, graph_hits
@@ -28,14 +28,25 @@ def recall_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.recall(probes(spark, sf_dir), known)
 
 
-SELF_PROBES_SQL = """probes AS (SELECT sequence AS query_id, list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 8))), 1, 12) AS terms FROM memories WHERE sequence % {n} = 0)"""
+SELF_PROBES_SQL = f"""probes AS (SELECT sequence AS query_id, list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'),
+    lambda x: length(x) >= 2 AND x NOT IN ({STOP}))) AS terms FROM memories WHERE sequence % 20 = 0)"""
+#: For every twentieth memory, the ten best full-text hits among active memories of its profile and type.
+NEAR_DUP_SQL = """near AS (SELECT query_id, f.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, f.id) AS rank
+    FROM fts f JOIN memories a ON a.sequence = query_id JOIN memories b ON NOT b.forgotten AND b.to_sequence IS NULL AND b.sequence = f.id AND b.type = a.type AND b.profile_id = a.profile_id QUALIFY rank <= 10)"""
 
 
-def own_probes(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    """Questions made of memories themselves: the first twelve long words, in order of the alphabet, of every so many."""
-    long = F.filter(text.words(F.col("content"), "[^a-z0-9]+"), lambda w: F.length(w) >= 8)
-    terms = F.slice(F.array_sort(F.array_distinct(long)), 1, 12)
-    return memories(spark, sf_dir).where(F.col("sequence") % every == 0).select(F.col("sequence").alias("query_id"), terms.alias("terms"))
+def own_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of memories themselves: all terms of every twentieth."""
+    return memories(spark, sf_dir).where("sequence % 20 = 0").select(F.col("sequence").alias("query_id"), text.query_terms(F.col("content")).alias("terms"))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, id, rank: what every twentieth memory may restate: the ten best hits for all its terms among active ones (neither forgotten nor closed) of its profile and type."""
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir), "doc_id", "text")
+    kind = F.struct("profile_id", "type").alias("kind")
+    visible = memories(spark, sf_dir).where("NOT forgotten AND to_sequence IS NULL").select(F.col("sequence").alias("id"), kind)
+    own = memories(spark, sf_dir).select(F.col("sequence").alias("query_id"), kind)
+    return search.ranked(scored.join(visible, "id").join(own, ["query_id", "kind"]), 10, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id", "rank")
 
 
 # Sources
@@ -125,14 +136,14 @@ def vec_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", F.size("v").cast("long").alias("width"), F.round(total, 5).alias("total"))
 
 
-@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1)
-    SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS distance FROM embeddings, q WHERE vec_id <> 0
-    ORDER BY round(list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9), vec_id LIMIT 10""")
+@query("""WITH q AS (SELECT vec_id - 1 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 1),
+    d AS (SELECT query_id, vec_id, list_distance(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS d FROM embeddings JOIN q ON vec_id <> query_id)
+    SELECT query_id, vec_id, round(d, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) <= 10""")
 def vec_hyde_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest to a second query vector, that of a made-up answer, which a model supplies (here a column: the vector numbered 1 for question 0)."""
+    """Nearest to second query vectors, those of made-up answers, which a model supplies (here a column: the vector of the next number)."""
     table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    answer = table.where("id = 1").select(F.lit(0).cast("long").alias("query_id"), F.col("v").alias("q"))
-    return search.nearest(table, answer, 10).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    answers = table.where("id % 20 = 1").select((F.col("id") - 1).alias("query_id"), F.col("v").alias("q"))
+    return search.nearest(table, answers, 10).select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 # Retrieval
@@ -160,39 +171,36 @@ def ret_select_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.cover(top.join(docs, "id").select("query_id", "id", "rank", "covers"))
 
 
-@query(f"""WITH {PROBES_SQL}, {FTS_SQL} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fts
-    JOIN documents ON doc_id = id WHERE lang = 'en' QUALIFY rank <= 10""")
+@query(sql(f"WITH {SELF_PROBES_SQL}, {FTS_SQL}, {NEAR_DUP_SQL} SELECT query_id, id, rank FROM near", "memories"))
 def ret_near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best full-text hits of one type (here of one language): filtered before the limit."""
-    kind = _documents(spark, sf_dir).where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    scored = search.bm25(read_table(spark, sf_dir, "documents"), probes(spark, sf_dir), "doc_id", "text")
-    return search.ranked(scored.join(kind, "id", "left_semi"), 10, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id", "rank")
+    """For every twentieth memory the ten best full-text hits for all its terms, among active ones of its profile and type: filtered before the limit."""
+    return near_duplicates(spark, sf_dir)
 
 
-@query(sql(f"""WITH {SEEN_SQL}, {SELF_PROBES_SQL.format(n=50)}, {FTS_SQL}, i AS (SELECT sequence AS query_id, type, topic_key FROM memories WHERE sequence % 50 = 0),
+@query(sql(f"""WITH {SEEN_SQL}, {SELF_PROBES_SQL}, {FTS_SQL}, i AS (SELECT sequence AS query_id, type, topic_key FROM memories WHERE sequence % 20 = 0),
     k AS (SELECT query_id, s.sequence AS id, 1 AS p FROM i JOIN seen s USING (type, topic_key) WHERE s.sequence <> query_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_on DESC, s.sequence) <= 4),
     f AS (SELECT query_id, id, 2 AS p FROM fts WHERE query_id <> id AND id IN (SELECT sequence FROM seen) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 4),
     e AS (SELECT sequence, source AS x FROM edges WHERE relation <> 'lives in' UNION SELECT sequence, target FROM edges WHERE relation <> 'lives in'),
     g AS (SELECT query_id, b.sequence AS id, 3 AS p FROM (SELECT DISTINCT i.query_id, b.sequence FROM i JOIN e a ON a.sequence = query_id JOIN e b ON b.x = a.x WHERE b.sequence <> query_id) b
         WHERE b.sequence IN (SELECT sequence FROM seen) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b.sequence) <= 4),
     n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS d FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id
-        WHERE q.vec_id % 50 = 0 AND v.vec_id IN (SELECT sequence FROM seen)),
+        WHERE q.vec_id % 20 = 0 AND v.vec_id IN (SELECT sequence FROM seen)),
     v AS (SELECT query_id, id, 4 AS p FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) <= 4)
     SELECT query_id, id, min(p) AS priority FROM (SELECT * FROM k UNION ALL SELECT * FROM f UNION ALL SELECT * FROM g UNION ALL SELECT * FROM v) GROUP BY ALL""", "memories", "edges"))
 def ret_conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each new memory (every fiftieth) may contradict: open ones of its key, near by words, by the graph, by vectors; four of each, the first channel counts."""
+    """What each new memory (every twentieth) may contradict: open ones of its key, near by words, by the graph, by vectors; four of each, the first channel counts."""
     known = memories(spark, sf_dir)
     open_ = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "type", "topic_key", "created_on")
-    new = known.where("sequence % 50 = 0").select(F.col("sequence").alias("query_id"), "type", "topic_key")
+    new = known.where("sequence % 20 = 0").select(F.col("sequence").alias("query_id"), "type", "topic_key")
     keyed = search.ranked(open_.join(new, ["type", "topic_key"]).where("query_id <> id"), 4, [F.desc("created_on"), F.col("id")])
-    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir, 50), "doc_id", "text").where("query_id <> id")
+    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir), "doc_id", "text").where("query_id <> id")
     worded = search.ranked(scored.join(open_.select("id"), "id", "left_semi"), 4, [F.desc(F.round("score", 9)), F.col("id")])
     ends = rows.endpoints(edges(spark, sf_dir).where("relation <> 'lives in'"), "sequence").distinct()
     named = new.select("query_id").join(ends.withColumnRenamed("sequence", "query_id"), "query_id")
     linked = ends.select("entity", F.col("sequence").alias("id")).join(named, "entity").select("query_id", "id").distinct().where("query_id <> id")
     linked = search.ranked(linked.join(open_.select("id"), "id", "left_semi"), 4, [F.col("id")])
     vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = vec.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    asked = vec.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     near = search.nearest(vec.join(open_.select("id"), "id", "left_semi"), asked, 4)
     return search.first_channel([keyed, worded, linked, near])
 
@@ -208,20 +216,16 @@ def ret_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Time
 
 
-@query(sql(f"""WITH {SELF_PROBES_SQL.format(n=3)}, {FTS_SQL}, s AS ({SHINGLES}),
-    c AS (SELECT query_id, f.id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, f.id) AS rank FROM fts f JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = f.id AND b.type = a.type
-        WHERE query_id <> f.id AND coalesce(a.session_id <> 'src0', true) AND coalesce(b.session_id <> 'src0', true) QUALIFY rank <= 10),
+@query(sql(f"""WITH {SELF_PROBES_SQL}, {FTS_SQL}, {NEAR_DUP_SQL}, s AS ({SHINGLES}),
+    c AS (SELECT near.* FROM near JOIN memories a ON a.sequence = query_id JOIN memories b ON b.sequence = near.id WHERE query_id <> near.id AND a.session_id <> 'src0' AND b.session_id <> 'src0'),
     j AS (SELECT c.*, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS likeness FROM c JOIN s x ON x.doc_id = query_id JOIN s y ON y.doc_id = c.id WHERE len(x.s) > 0 AND len(y.s) > 0)
     SELECT query_id AS id, id AS supersedes, round(likeness, 9) AS likeness FROM j WHERE likeness >= 0.7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY likeness DESC, rank DESC) = 1""", "memories"))
 def tmp_supersede_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each new memory (every third) restates: of its ten best hits of the same type, none from code (here `src0`), the likeliest, if 0.7 of the
-    shingles are shared; of equals the later hit."""
-    known = memories(spark, sf_dir).where("session_id <> 'src0'").select(F.col("sequence").alias("id"), "type", "content")
-    scored = search.bm25(read_table(spark, sf_dir, "documents"), own_probes(spark, sf_dir, 3), "doc_id", "text").where("query_id <> id")
-    kinds = known.select("id", "type")
-    same = scored.join(kinds, "id").join(kinds.select(F.col("id").alias("query_id"), "type"), ["query_id", "type"])
-    best = search.ranked(same, 10, [F.desc(F.round("score", 9)), F.col("id")])
-    return search.restated(best, known, 0.7).select(F.col("query_id").alias("id"), F.col("id").alias("supersedes"), F.round("likeness", 9).alias("likeness"))
+    """What each new memory (every twentieth) restates: of its near-duplicate candidates, none from code (here `src0`) nor itself, the likeliest, if 0.7 of
+    the shingles are shared; of equals the later hit."""
+    known = memories(spark, sf_dir).where("session_id <> 'src0'").select(F.col("sequence").alias("id"), "content")
+    hits = near_duplicates(spark, sf_dir).where("query_id <> id").join(known.select("id"), "id", "left_semi")
+    return search.restated(hits, known, 0.7).select(F.col("query_id").alias("id"), F.col("id").alias("supersedes"), F.round("likeness", 9).alias("likeness"))
 
 
 # Graph
@@ -248,7 +252,7 @@ def gr_trace_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
-    s AS (SELECT p_partkey AS symbol, 'pkg.C' || p_partkey % 50 || '.run' AS qualified, 'C' || p_partkey % 50 AS name FROM part WHERE p_partkey <= 100),
+    s AS (SELECT p_partkey AS symbol, 'pkg.C' || p_partkey % 50 || '.run' AS qualified, 'C' || p_partkey % 50 AS name FROM part),
     q AS (SELECT event_id, symbol FROM e JOIN s ON qualified = 'pkg.C' || k || '.run' WHERE k % 2 = 0),
     b AS (SELECT event_id, symbol FROM e JOIN s ON name = 'C' || (k + 1) % 60),
     u AS (SELECT event_id, symbol, min(p) AS p FROM (SELECT *, 1 AS p FROM q UNION ALL SELECT *, 2 FROM b) GROUP BY ALL)
@@ -261,7 +265,7 @@ def gr_trace_link(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.when(k % 2 == 0, frame).alias("error"), F.lit(None).cast("string").alias("output"), F.concat(F.lit("src/C"), ((k + 1) % 60).cast("string"), F.lit(".py")).alias("args")
     )
     n = (F.col("p_partkey") % 50).cast("string")
-    symbols = read_table(spark, sf_dir, "part").where("p_partkey <= 100").select(
+    symbols = read_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("symbol"), F.concat(F.lit("pkg.C"), n, F.lit(".run")).alias("qualified"), F.concat(F.lit("C"), n).alias("name")
     )
     return ingest.trace_links(calls, symbols, "event_id", most=3)

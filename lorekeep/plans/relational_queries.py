@@ -74,10 +74,10 @@ def snk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""SELECT '{"id":"' || id || '","type":"' || type || CASE WHEN topic_key IS NULL THEN '' ELSE '","topic_key":"' || topic_key END || '","created_on":"' || created_on
-    || '","content":' || to_json(left(replace(content, chr(127), ''), 200)) || '}' AS line FROM memories WHERE NOT forgotten""", "memories"))
+    || '","content":' || replace(to_json(content), '\\u007F', chr(127)) || '}' AS line FROM memories WHERE NOT forgotten""", "memories"))
 def snk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line for each memory that is not forgotten, newest first."""
-    kept = memories(spark, sf_dir).where("NOT forgotten").withColumn("content", F.left(F.replace("content", F.lit("\x7f"), F.lit("")), F.lit(200)))
+    kept = memories(spark, sf_dir).where("NOT forgotten")
     return rows.json_lines(kept, ["id", "type", "topic_key", "created_on", "content"], [F.desc("created_on"), F.desc("id")])
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import dates, stem, text, vectors
 from lorekeep.operators import clusters, graph, ingest, pages, recall, rows, search, sets, temporal
 from lorekeep.plans.derived import assertions, edges, memories, sql
-from lorekeep.plans.engine_queries import FTS_SQL, MESSAGES_SQL, PROBES_SQL, SEGMENTS_SQL, VISIBLE_FTS, bm25_sql, fts, nearest, probes, ret_fts_message, visible_fts
-from lorekeep.plans.functions_queries import SHINGLES
+from lorekeep.plans.engine_queries import FTS_SQL, MESSAGES_SQL, PROBES_SQL, SEGMENTS_SQL, VISIBLE_FTS, bm25_sql, fts, keyed_hits, nearest, probes, ret_fts_message, visible_fts
+from lorekeep.plans.functions_queries import SHINGLES, STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
@@ -72,14 +72,14 @@ def ret_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql(f"""WITH {SEEN_SQL}, symbols AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS said FROM part),
-    probes AS (SELECT p_partkey AS query_id, list_distinct(list_filter(string_split_regex(lower(p_brand || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS terms FROM part WHERE p_partkey % 500 = 0),
+    probes AS (SELECT p_partkey AS query_id, list_distinct(list_filter(string_split_regex(lower(p_brand || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS terms FROM part WHERE p_partkey % 20 = 0),
     {bm25_sql("hit", "symbols", "id", "said")}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM hit QUALIFY rank <= 50)
     SELECT query_id, m.id, rank FROM top JOIN (SELECT sequence, id FROM seen) m ON m.sequence = top.id""", "memories"))
 def ret_symbol_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols (parts) by the words of all their fields, and the visible memories that come from the best fifty of each query."""
     part = read_table(spark, sf_dir, "part")
     symbols = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("content"))
-    asked = part.where("p_partkey % 500 = 0").select(F.col("p_partkey").alias("query_id"), text.query_terms(F.concat_ws(" ", "p_brand", "p_type")).alias("terms"))
+    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), text.query_terms(F.concat_ws(" ", "p_brand", "p_type")).alias("terms"))
     top = search.ranked(search.bm25(symbols, asked), 50, [F.desc(F.round("score", 9)), F.col("id")])
     held = seen(spark, sf_dir).select(F.col("sequence").alias("symbol"), F.col("id").alias("memory"))
     return top.join(held, top.id == held.symbol).select("query_id", F.col("memory").alias("id"), "rank")
@@ -192,10 +192,10 @@ def tmp_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.replace_group(stored, anew, changed)
 
 
-@query(sql(f"""WITH {SEEN_SQL}, probes AS (SELECT sequence AS query_id, list_slice(list_sort(list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 8))), 1, 12) AS terms
-        FROM memories WHERE sequence % 20 = 0), {bm25_sql("fts", "documents", "doc_id", "text")},
-    f AS (SELECT query_id, id FROM fts WHERE query_id <> id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 15),
-    k AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes)
+@query(sql(f"""WITH active AS (SELECT * FROM memories WHERE NOT forgotten AND to_sequence IS NULL), probes AS (SELECT sequence AS query_id, list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP}))) AS terms
+        FROM active WHERE sequence % 20 = 0), {bm25_sql("fts", "documents", "doc_id", "text")},
+    f AS (SELECT query_id, id FROM fts WHERE query_id <> id AND id IN (SELECT sequence FROM active) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 15),
+    k AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes) AND v.vec_id IN (SELECT sequence FROM active)
         QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) <= 15),
     n AS (SELECT * FROM f UNION SELECT * FROM k), g AS ({SHINGLES}),
     c AS (SELECT n.*, a.topic_key = b.topic_key AS keyed, a.session_id = b.session_id OR a.profile_id = b.profile_id AS fits,
@@ -204,16 +204,16 @@ def tmp_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         LEFT JOIN embeddings x ON x.vec_id = query_id LEFT JOIN embeddings y ON y.vec_id = n.id)
     SELECT query_id AS seed, count(*) + 1 AS members FROM c WHERE fits AND (coalesce(keyed, false) OR likeness >= 0.35 OR coalesce(round(cosine, 9) >= 0.3, false)) GROUP BY 1 HAVING count(*) + 1 BETWEEN 3 AND 20""", "memories"))
 def cl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups around seeds (every twentieth memory): of fifteen neighbours by words and fifteen by vectors those of the same key, of
+    """Groups around active seeds (every twentieth memory): of fifteen active neighbours by all words and fifteen by vectors those of the same key, of
     like words or of a near vector (here 0.3), if their sources are compatible; three to twenty members."""
-    visible = memories(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "session_id", "profile_id", "content")
-    long = F.filter(text.words(F.col("content"), "[^a-z0-9]+"), lambda w: F.length(w) >= 8)
-    seeds = visible.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.slice(F.array_sort(F.array_distinct(long)), 1, 12).alias("terms"))
+    visible = memories(spark, sf_dir).where("NOT forgotten AND to_sequence IS NULL").select(F.col("sequence").alias("id"), "topic_key", "session_id", "profile_id", "content")
+    seeds = visible.where("id % 20 = 0").select(F.col("id").alias("query_id"), text.query_terms(F.col("content")).alias("terms"))
     scored = search.bm25(read_table(spark, sf_dir, "documents"), seeds, "doc_id", "text").where("query_id <> id")
+    scored = scored.join(visible.select("id"), "id", "left_semi")
     worded = search.ranked(scored, 15, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", "id")
     vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = vec.join(seeds.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    near = search.nearest(vec, asked, 15).select("query_id", "id")
+    near = search.nearest(vec.join(visible.select("id"), "id", "left_semi"), asked, 15).select("query_id", "id")
     pairs = worded.unionByName(near).distinct()
     return clusters.discover(pairs, visible, vec, cosine=0.3).select("seed", "members")
 
@@ -330,7 +330,7 @@ def recall_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = probes(spark, sf_dir)
     first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
     keys = asked.select("query_id").join(memories(spark, sf_dir).select(F.col("sequence").alias("query_id"), "topic_key"), "query_id")
-    exact = search.ranked(visible.join(F.broadcast(keys), "topic_key"), 10, [F.desc("created_on"), F.col("id")])
+    exact = keyed_hits(visible, keys)
     vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     open_ = vec.join(visible.select("id"), "id", "left_semi")
     own = vec.join(asked.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
