@@ -7,7 +7,7 @@ from enum import Enum
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
@@ -86,29 +86,27 @@ def rerank_by_label(hits: DataFrame) -> DataFrame:
     return search.ranked(kept.withColumnRenamed("rank", "old").withColumn("rank", F.col("old")), 1 << 30, order).select("query_id", "id", "rank")
 
 
-def cover(candidates: DataFrame) -> DataFrame:
-    """query_id, id, place: hits (query_id, id, rank, covers array) chosen greedily by how much new they cover.
+def complementary(candidates: DataFrame, coverage: DataFrame) -> DataFrame:
+    """query_id, id, action, place: which of a query's hits add evidence to those before them.
 
-    Each step takes the hit with most items not yet covered (the better rank on a tie); hits that add nothing follow
-    in rank order. A query's hits are a top-k list, which is one group in pandas.
-    """
+    candidates: query_id, id, rank (each once), cluster (whether the hit is a summary of others); coverage: query_id, id, source, the
+    originals that a summary's claims cover for the query. An original stands for itself. In rank order, a hit is `selected` if any of its
+    originals is not represented yet, else `suppressed`; summaries without coverage come last, in rank order (`fallback`). place numbers what is listed.
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rest = [(r, i, set(c)) for r, i, c in sorted(zip(group["rank"], group["id"], group["covers"], strict=True), key=lambda x: x[0])]
-        seen: set = set()
-        chosen = []
-        while rest:
-            best = max(rest, key=lambda x: (len(x[2] - seen), -x[0]))
-            if not best[2] - seen:
-                chosen += rest
-                break
-            chosen.append(best)
-            seen |= best[2]
-            rest.remove(best)
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "id": [i for _, i, _ in chosen], "place": range(1, len(chosen) + 1)})
-
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, id {kinds['id']}, place long")
+    What a suppressed hit has is represented already, so an original is represented from the first rank on that has it, selected or not: one
+    minimum for each, and no pass in order.
+    """
+    own = candidates.where("NOT cluster").select("query_id", "id", "rank", F.col("id").alias("source"))
+    told = candidates.where("cluster").select("query_id", "id", "rank").join(coverage.select("query_id", "id", "source").distinct(), ["query_id", "id"])
+    evidence = own.unionByName(told)
+    first = evidence.groupBy("query_id", "source").agg(F.min("rank").alias("first"))
+    new = evidence.join(first, ["query_id", "source"]).groupBy("query_id", "id", "rank").agg(F.bool_or(F.col("first") == F.col("rank")).alias("new"))
+    met = candidates.join(new, ["query_id", "id", "rank"], "left")
+    action = F.when(F.col("new"), "selected").when(F.col("new").isNull(), "fallback").otherwise("suppressed")
+    listed = F.when(F.col("action") != "suppressed", F.struct(F.col("action") == "fallback", "rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("listed").asc_nulls_last()))  # of a top-k list
+    found = met.withColumn("action", action).withColumn("listed", listed)
+    return found.select("query_id", "id", "action", F.when(F.col("listed").isNotNull(), place).cast("long").alias("place"))
 
 
 def spread(first: DataFrame, edges: DataFrame, seeds: int, depth: int, fanout: int) -> DataFrame:

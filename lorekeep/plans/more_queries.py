@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import codec, text
 from lorekeep.operators import clusters, ingest, pages, recall, rows, search
 from lorekeep.plans.derived import edges, memories, sql, traces
-from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, VISIBLE_FTS, fts, fused, probes, visible_fts
+from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, VISIBLE_FTS, fts, probes, visible_fts
 from lorekeep.plans.functions_queries import SHINGLES, STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import BOUNDS, SEEN_SQL, SEEN_STRICTLY, SNAPSHOT, seen, segments
@@ -162,15 +162,6 @@ def ret_rerank_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.rerank_by_label(hits.withColumn("label", label).select("query_id", "id", "rank", "label"))
 
 
-@query()
-def ret_select_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused hits chosen so that each adds topics that those before it do not cover."""
-    top = search.ranked(fused(spark, sf_dir), 20, [F.desc(F.round("score", 12)), F.col("id")])
-    covers = F.array(F.concat_ws(".", "lang", "source"), F.col("lang"))
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), covers.alias("covers"))
-    return recall.cover(top.join(docs, "id").select("query_id", "id", "rank", "covers"))
-
-
 @query(sql(f"WITH {SELF_PROBES_SQL}, {FTS_SQL}, {NEAR_DUP_SQL} SELECT query_id, id, rank FROM near", "memories"))
 def ret_near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every twentieth memory the ten best full-text hits for all its terms, among active ones of its profile and type: filtered before the limit."""

@@ -86,12 +86,6 @@ def test_snapshots_need_an_offset_and_no_future(spark):
             recall.parse_snapshot(*bad, 7, now)
 
 
-def test_cover_takes_what_adds_most(spark):
-    hits = spark.createDataFrame([(1, 10, 1, ["a"]), (1, 11, 2, ["a", "b"]), (1, 12, 3, ["b"]), (1, 13, 4, ["c"])], "query_id long, id long, rank int, covers array<string>")
-    found = recall.cover(hits).orderBy("place").collect()
-    assert [r.id for r in found] == [11, 13, 10, 12]
-
-
 def naive_segments(assertions):
     bounds = sorted({a["start"] for a in assertions} | {a["stop"] for a in assertions if a["stop"]})
     undated = {a["start"] for a in assertions if a["stated_on"] is None}

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from lorekeep.operators import dag
+from lorekeep.operators import dag, recall
 
 ROW = "cluster long, kind string, child long"
 
@@ -107,3 +107,29 @@ def test_a_dissolved_cluster_leaves_its_parents(spark):
         (4, 1, "active", "d", "same", None), (9, None, None, None, "missing", None),
     }
     assert {tuple(r) for r in final.collect()} == {tuple(r) for r in rows(spark, {1: [2, 1000], 2: [1001], 4: [1003]}).collect()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_complementary_hits_as_by_passing_in_order(spark, seed):
+    chance, hits, covers = random.Random(seed), [], {}
+    for query in range(6):
+        for rank, ident in enumerate(chance.sample(range(30), 12), 1):
+            hits.append((query, ident, rank, ident % 3 == 0))
+            if ident % 3 == 0:
+                covers[query, ident] = chance.sample(range(30), chance.randrange(0, 4))
+    expected = set()
+    for query in range(6):
+        represented, listed, late = set(), [], []
+        for _, ident, _, cluster in sorted((h for h in hits if h[0] == query), key=lambda h: h[2]):
+            own = {*covers[query, ident]} if cluster else {ident}
+            if not own:
+                late.append((ident, "fallback"))
+            elif own <= represented:
+                expected.add((query, ident, "suppressed", None))
+            else:
+                listed.append((ident, "selected"))
+                represented |= own
+        expected |= {(query, ident, action, place) for place, (ident, action) in enumerate(listed + late, 1)}
+    coverage = spark.createDataFrame([(q, i, s) for (q, i), x in covers.items() for s in x], "query_id long, id long, source long")
+    found = recall.complementary(spark.createDataFrame(hits, "query_id long, id long, rank int, cluster boolean"), coverage)
+    assert {tuple(r) for r in found.collect()} == expected
