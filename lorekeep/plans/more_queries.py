@@ -335,31 +335,6 @@ def wk_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", pages.valid_article(article, refs, links, 500).alias("valid"))
 
 
-@query("""WITH p AS (SELECT doc_id, lang || '.' || source AS page, CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN doc_id % 3 = 1 THEN 0.5 ELSE 0.2 END AS score FROM documents
-        UNION ALL SELECT doc_id, lang, CASE WHEN doc_id % 11 = 0 THEN 0.1 ELSE 0.4 END FROM documents UNION ALL SELECT doc_id, source, 0.3 FROM documents
-        UNION ALL SELECT doc_id, 'all', 0.36 FROM documents WHERE doc_id % 4 = 0),
-    f AS (SELECT doc_id, page, score FROM p WHERE score >= CASE WHEN doc_id % 2 = 0 AND page IN (SELECT source FROM documents) THEN 0.25 ELSE 0.35 END
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page) <= 3)
-    SELECT doc_id, page, CAST(score AS DOUBLE) AS score FROM documents LEFT JOIN f USING (doc_id)""")
-def wk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best pages of each document; every second document was on its source's page before."""
-
-    def page(name: F.Column, score: F.Column) -> F.Column:
-        return F.struct(name.alias("page"), score.cast("double").alias("score"))
-
-    n = F.col("id")
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source")
-    some = F.array(
-        page(F.concat_ws(".", "lang", "source"), F.when(n % 3 == 0, 1.0).when(n % 3 == 1, 0.5).otherwise(0.2)),
-        page(F.col("lang"), F.when(n % 11 == 0, 0.1).otherwise(0.4)),
-        page(F.col("source"), F.lit(0.3)),
-        page(F.lit("all"), F.when(n % 4 == 0, 0.36)),
-    )
-    candidates = docs.select("id", F.explode(some).alias("x")).select("id", "x.*").where("score IS NOT NULL")
-    placed = docs.where(n % 2 == 0).select("id", F.col("source").alias("page"))
-    return pages.assign(candidates, placed, admit=0.35, retain=0.25).withColumnRenamed("id", "doc_id")
-
-
 # Ingestion
 
 

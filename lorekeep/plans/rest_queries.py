@@ -395,10 +395,25 @@ def page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(F.col("label").alias("page"), F.col("vec_id").alias("id"), "embedding")
 
 
+def split_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """page, place, id: the groups of large pages in order of their seeds; and the children of an earlier split, before every seventh source came."""
+    members = page_members(spark, sf_dir)
+    now = pages.split(members, admit=0.2, over=30)
+    before = pages.split(members.where("id % 7 != 0"), admit=0.2, over=30)
+    stored = before.select("page", F.col("seed").alias("child"), F.col("seed").alias("created"), "id")
+    return now.select("page", F.col("seed").alias("place"), "id"), stored
+
+
 @query()
 def wk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of over 30 sources into groups around farthest-first seeds; checked against brute force."""
-    return pages.split(page_members(spark, sf_dir), admit=0.2, over=30)
+    """Pages of over 30 sources in groups around farthest-first seeds, each with the child of the page that it goes on as (null: a new one); last the
+    children that no group took, which are emptied. Checked against brute force."""
+    groups, stored = (rows.settled(x) for x in split_groups(spark, sf_dir))
+    matched = rows.settled(pages.children(groups, stored))
+    sizes = groups.groupBy("page", "place").agg(F.count("*").alias("members"))
+    gone = stored.select("page", "child").distinct().join(matched.select("page", "child"), ["page", "child"], "left_anti")
+    kept = matched.join(sizes, ["page", "place"]).select("page", F.col("place").alias("seed"), "child", F.round("likeness", 9).alias("likeness"), "members")
+    return kept.unionByName(gone.withColumn("members", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
 @query("""WITH RECURSIVE p AS (SELECT source, length(text) AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents WHERE doc_id % 3 <> 0),

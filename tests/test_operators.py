@@ -331,16 +331,6 @@ def test_ascend_goes_through_cycles_and_stops(spark):
     assert graph.ascend(edges, held.limit(0), 4).count() == 0
 
 
-def test_assignment_keeps_what_it_had(spark):
-    candidates = spark.createDataFrame(
-        [(1, "a", 0.3), (1, "b", 0.3), (1, "c", 0.9), (2, "a", 0.2), (3, "d", 0.5), (3, "c", 0.5), (3, "a", 0.6), (3, "b", 0.4)],
-        "id long, page string, score double",
-    )
-    placed = spark.createDataFrame([(1, "a"), (2, "a")], "id long, page string")
-    found = sorted((r.id, r.page or "") for r in pages.assign(candidates, placed, 0.35, 0.25).collect())
-    assert found == [(1, "a"), (1, "c"), (2, ""), (3, "a"), (3, "c"), (3, "d")]
-
-
 def test_redirects_end_after_long_chains_and_cycles_raise(spark):
     chain = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(100, 7)], "page long, to long")
     assert {r.page: r.canonical for r in graph.redirect_ends(chain).collect()} == dict.fromkeys([*range(1, 41), 100], 0)

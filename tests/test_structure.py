@@ -7,7 +7,8 @@ from collections import defaultdict
 
 import pytest
 
-from lorekeep.operators import dag, recall
+from lorekeep.operators import dag, pages, recall
+from lorekeep.plans import rest_queries
 
 ROW = "cluster long, kind string, child long"
 
@@ -133,3 +134,67 @@ def test_complementary_hits_as_by_passing_in_order(spark, seed):
     coverage = spark.createDataFrame([(q, i, s) for (q, i), x in covers.items() for s in x], "query_id long, id long, source long")
     found = recall.complementary(spark.createDataFrame(hits, "query_id long, id long, rank int, cluster boolean"), coverage)
     assert {tuple(r) for r in found.collect()} == expected
+
+
+def slow_children(groups, stored, least=0.5):
+    out = set()
+    for page, parts in groups.items():
+        taken = set()
+        for place, own in sorted(parts.items()):
+            child, best = None, least
+            for name, (_, old) in sorted(stored.get(page, {}).items(), key=lambda x: (x[1][0], x[0])):
+                score = len(own & old) / len(own | old)
+                if name not in taken and score >= best:
+                    child, best = name, score
+            taken.add(child)
+            out.add((page, place, child, round(best, 9) if child is not None else None))
+    return out
+
+
+def test_groups_go_on_as_the_children_they_overlap(spark):
+    chance = random.Random(2)
+    groups = {p: {s: {*chance.sample(range(12), chance.randrange(1, 7))} for s in range(chance.randrange(1, 5))} for p in range(60)}
+    stored = {p: {100 + c: (chance.randrange(3), {*chance.sample(range(12), chance.randrange(1, 7))}) for c in range(chance.randrange(0, 5))} for p in range(60)}
+    now = spark.createDataFrame([(p, s, i) for p, x in groups.items() for s, own in x.items() for i in own], "page long, place long, id long")
+    old = spark.createDataFrame([(p, c, t, i) for p, x in stored.items() for c, (t, own) in x.items() for i in own], "page long, child long, created long, id long")
+    found = {(r.page, r.place, r.child, r.likeness and round(r.likeness, 9)) for r in pages.children(now, old).collect()}
+    assert found == slow_children(groups, stored) and len({r[2] for r in found}) == 5
+    assert {r.child for r in pages.children(now, old.where("false")).collect()} == {None} and pages.children(now.where("false"), old).count() == 0
+
+
+def test_split_pages_keep_their_children(spark):
+    folder = "/root/testdata/sf0.001"
+    groups, stored = defaultdict(lambda: defaultdict(set)), defaultdict(dict)
+    now, before = rest_queries.split_groups(spark, folder)
+    for r in now.collect():
+        groups[r.page][r.place].add(r.id)
+    for r in before.collect():
+        stored[r.page].setdefault(r.child, (r.created, set()))[1].add(r.id)
+    expected = slow_children(groups, stored)
+    taken = {(page, child) for page, _, child, _ in expected}
+    expected = {(*x, len(groups[x[0]][x[1]])) for x in expected} | {(p, None, c, None, 0) for p, x in stored.items() for c in x if (p, c) not in taken}
+    found = {(r.page, r.seed, r.child, r.likeness, r.members) for r in rest_queries.wk_split(spark, folder).collect()}
+    assert found == expected and len(found) > 10
+
+
+def test_pages_of_many_tokens_split_too(spark):
+    data = [(1, i, [1.0, 0.0] if i < 3 else [0.0, 1.0], 10) for i in range(6)]
+    members = spark.createDataFrame(data, "page long, id long, embedding array<double>, tokens int")
+    assert pages.split(members, 0.5, over=6, tokens=60).count() == 0 and pages.split(members, 0.5, over=6, tokens=59).count() == 6
+
+
+def test_assignment_takes_candidates_thresholds_and_the_unassigned(spark):
+    core = spark.createDataFrame([(1, "t"), (2, "t"), (3, "u"), (4, "u"), (5, "w"), (6, "d")], "id long, page string")
+    members = core.selectExpr("id", "page", "'core' AS role").unionByName(spark.createDataFrame([(1, "u", "contextual"), (7, "w", "contextual")], "id long, page string, role string"))
+    near = spark.createDataFrame([(1, 5, 1), (7, 3, 1), (8, 6, 1), (9, 3, 1)], "id long, neighbour long, rank int")
+    known = spark.createDataFrame([("t", "t", True), ("u", "u", True), ("w", "w", True), ("d", "d", False)], "page string, canonical string, open boolean")
+    v = {1: [1.0, 0.0], 3: [0.77, 0.638], 4: [0.0, 1.0], 5: [0.77, 0.638], 9: [0.0, 1.0]}
+    words = {9: ["q"], 7: ["a", "b", "c", "d"], 3: ["a", "b", "x", "y"], 5: ["a", "b", "c"]}
+    features = spark.createDataFrame([(i, "k" if i != 9 else None, [], v.get(i), words.get(i, ["z"])) for i in range(1, 10)], "id long, topic_key string, entities array<string>, v array<double>, shingles array<string>")
+    asked = spark.createDataFrame([(1,), (7,), (8,), (9,)], "id long")
+    found = {(r.id, r.page, r.role, round(r.score, 3)) for r in pages.assign(asked, core, members, near, known, features).collect()}
+    assert found == {
+        (1, "t", "core", 1.0), (1, "u", "contextual", 0.77),  # kept at 0.77, at which w does not take it in
+        (7, "w", "contextual", 0.75),  # by words, as it has no vector; u would need more than 0.33
+        (8, pages.UNASSIGNED, "core", 1.0), (9, pages.UNASSIGNED, "core", 1.0),  # a directory; no shared subject
+    }
