@@ -13,6 +13,7 @@ from lorekeep.plans.functions_queries import STOP
 from lorekeep.plans.registry import query
 from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
+from lorekeep.streaming import outcomes
 
 # Clusters
 
@@ -368,14 +369,33 @@ def tr_batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.latest_per_key(marked.select("session_id", "signature", "status", "event_id"), ["session_id", "signature", "status"], ["event_id"])
 
 
-@query(sql("""WITH known AS (SELECT session_id, tool, arg_max(args, event_id) AS args FROM traces WHERE event_id < 5000 GROUP BY ALL)
-    SELECT event_id FROM traces LEFT JOIN known USING (session_id, tool) WHERE event_id >= 5000 AND (known.args IS NULL OR known.args <> traces.args)""", "traces"))
+def trace_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces as commands of forty targets, with signature, status and the digest of what they said; a thousand are a batch."""
+    n, who = F.col("event_id"), F.col("session_id") % 40
+    args = F.concat(F.lit("run u"), who.cast("string"))
+    said = F.when(F.col("status") == "failure", F.concat(F.lit("Boom "), (n % 3).cast("string"), F.lit(" at x:"), n.cast("string"))).otherwise(F.concat(F.lit("took "), (n % 2).cast("string")))
+    return traces(spark, sf_dir).select(
+        text.command_signature(F.col("tool"), args).alias("signature"), "status", text.error_digest(said).alias("digest"), F.floor(n / 1000).alias("batch"), n.alias("place")
+    )
+
+
+@query(sql("""WITH RECURSIVE e AS (SELECT event_id AS place, event_id // 1000 AS batch, tool || '-run-u' || session_id % 40 AS signature, status, substr(sha256(CASE WHEN status = 'failure'
+        THEN 'boom ' || event_id % 3 || ' at x:#' ELSE 'took ' || event_id % 2 END), 1, 32) AS digest FROM traces),
+    stored AS (SELECT signature, arg_max(status, place) AS status, CASE WHEN max(place) % 9 <> 0 THEN arg_max(digest, place) END AS digest FROM e WHERE batch = 0 GROUP BY 1),
+    d AS (SELECT signature, batch, status, max(place) AS place, arg_max(digest, place) AS digest FROM e WHERE batch > 0 GROUP BY ALL),
+    g AS (SELECT signature, list(struct_pack(place, status, digest) ORDER BY place) AS new, row_number() OVER (PARTITION BY signature ORDER BY batch) AS r FROM d GROUP BY signature, batch),
+    w AS (SELECT signature, CAST(0 AS BIGINT) AS r, stored.status, stored.digest, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT signature FROM g) LEFT JOIN stored USING (signature)
+        UNION ALL SELECT signature, r, CASE WHEN len(f) > 0 THEN f[-1].status ELSE status END, CASE WHEN len(f) > 0 THEN f[-1].digest ELSE digest END, list_transform(f, lambda x: x.place) FROM (
+            SELECT w.signature, g.r, w.status, w.digest, list_filter(new, lambda x: w.status IS NULL OR w.digest IS NULL OR w.status <> x.status OR w.digest <> x.digest) AS f
+            FROM w JOIN g ON g.signature = w.signature AND g.r = w.r + 1))
+    SELECT unnest(kept) AS event_id FROM w""", "traces"))
 def tr_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New traces whose outcome differs from the one stored."""
-    t = traces(spark, sf_dir)
-    known = t.where("event_id < 5000").groupBy("session_id", "tool").agg(F.max_by("args", "event_id").alias("known"))
-    new = t.where("event_id >= 5000").join(known, ["session_id", "tool"], "left")
-    return new.where("known IS NULL OR known <> args").select("event_id")
+    """New traces that tell something else than the stored outcome of their signature does, batch after batch; those of the first batch are stored
+    (every ninth without a digest, which proves nothing)."""
+    every = trace_outcomes(spark, sf_dir)
+    stored = every.where("batch = 0").groupBy("signature").agg(F.max_by("status", "place").alias("status"), F.max_by("digest", "place").alias("digest"), F.max("place").alias("n"))
+    stored = stored.withColumn("digest", F.when(F.col("n") % 9 != 0, F.col("digest")))
+    return outcomes.changed_outcomes(every.where("batch > 0"), stored).select(F.col("place").alias("event_id"))
 
 
 @query(sql("SELECT substr(sha256(concat(session_id, tool, args, status)), 1, 32) AS id, min(event_id) AS event_id FROM traces GROUP BY 1", "traces"))
