@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -182,10 +182,20 @@ def settled(df: DataFrame) -> DataFrame:
     executors could not share it, so there it is an error. Set spark.cleaner.referenceTracking.cleanCheckpoints to
     have checkpoints removed once nothing refers to them.
     """
-    context = df.sparkSession.sparkContext
+    _with_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _with_checkpoints(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder for tables beside the checkpoints, which all executors share."""
+    _with_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime
 import os
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import search
+from lorekeep.operators.text_index import TextIndex
 from lorekeep.plans import cluster_queries
 from lorekeep.sources.changelog import ChangeLog
 from lorekeep.sources.parts import PartedTable, delete_cascade, part_of
@@ -154,3 +157,49 @@ def test_new_outcomes_in_a_stream_are_those_of_the_table(spark, tmp_path):
         spark.conf.unset(key)
     expected = sorted(r.place for r in outcomes.changed_outcomes(rest, stored).collect())
     assert sorted(r.place for r in spark.table("told").collect()) == expected and 0 < len(expected) < rest.count()
+
+
+def test_index_scores_as_a_scan_does_through_changes(spark, tmp_path):
+    chance, words = random.Random(4), [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(chance.choices(words, weights=range(40, 0, -1), k=chance.randrange(1, 30))) for i in range(300)}
+    texts[7], texts[8], texts[9] = "rare rare word", "", None
+    index = TextIndex(spark, str(tmp_path / "index"), parts=8, buckets=32)
+    asked = spark.createDataFrame([(1, ["rare", "w1", "w1"]), (2, ["w3", "w30"]), (3, ["nothing"]), (4, ["w0"])], "query_id long, terms array<string>")
+
+    def check():
+        live = spark.createDataFrame([(i, t) for i, t in texts.items() if t is not None], "id long, content string")
+        expected = search.ranked(search.bm25(live, asked), 10, [F.desc(F.round("score", 9)), F.col("id")])
+        assert [(r.query_id, r.id, r.rank, round(r.score, 9)) for r in index.search(asked, 10).orderBy("query_id", "rank").collect()] == [
+            (r.query_id, r.id, r.rank, round(r.score, 9)) for r in expected.orderBy("query_id", "rank").collect()
+        ]
+
+    def apply(changed):
+        texts.update(changed)
+        return index.apply(spark.createDataFrame([*changed.items()], "id long, content string"))
+
+    assert index.search(asked).count() == 0
+    apply(texts)
+    check()
+    apply({7: "w1 w2", 20: None, 21: "rare w30 w30", 400: "w3 w0", 9999: None})
+    check()
+    apply({7: None, 20: "w0 again", 21: "rare"})
+    before = files(str(tmp_path / "index"))
+    check()
+    assert files(str(tmp_path / "index")) == before
+    os.remove(str(tmp_path / "index" / "totals" / "gen=3" / "_SUCCESS"))  # as if the last one had failed at its end
+    apply({7: None, 20: "w0 again", 21: "rare"})
+    check()
+    _, _, read = index.bounds(asked.where("query_id = 4"))
+    assert len(read) == 1
+
+
+def test_index_leaves_out_buckets_that_cannot_win(spark, tmp_path):
+    data = spark.range(4000).selectExpr("id", "concat('common ', IF(id % 97 = 0, repeat('rare ', 1 + CAST(id % 5 AS INT)), concat('filler', id))) AS content")
+    index = TextIndex(spark, str(tmp_path / "index"), parts=4, buckets=512)
+    index.apply(data)
+    asked = spark.createDataFrame([(1, ["common", "rare"])], "query_id long, terms array<string>")
+    hits, looked = index.explain(asked, 5)
+    expected = search.ranked(search.bm25(data, asked), 5, [F.desc(F.round("score", 9)), F.col("id")])
+    assert [(r.id, round(r.score, 9)) for r in hits.orderBy("rank").collect()] == [(r.id, round(r.score, 9)) for r in expected.orderBy("rank").collect()]
+    row = looked.first()
+    assert row.looked < row.all / 10
