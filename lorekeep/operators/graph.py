@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,26 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, follow: Co
     return seen
 
 
+def symbol_walk(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int) -> DataFrame:
+    """query_id, entity, hop: what the seeds (query_id, entity) of each query reach over edges (source, target), whichever way they point.
+
+    A hop takes the first `fanout` names, in their order, of all neighbours of the frontier. A name counts once, however many edges lead to it; one that was
+    reached before takes up a place but is not walked from again, so cycles end. Edges without a target lead nowhere. To follow
+    edges of some confidence only, give those. Each level is checkpointed, and a frontier after the seeds has `fanout` names at most.
+    """
+    known = edges.where("target IS NOT NULL").select("source", "target")
+    both = known.unionByName(known.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    steps = settled(both.select(F.col("source").alias("entity"), F.col("target").alias("next")).distinct())
+    seen = front = settled(seeds.select("query_id", "entity").distinct().withColumn("hop", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("next"))
+    for hop in range(1, depth + 1):
+        met = front.join(steps, "entity").select("query_id", "next").distinct().withColumn("_rank", rank).where(F.col("_rank") <= fanout)
+        new = met.select("query_id", F.col("next").alias("entity")).join(seen, ["query_id", "entity"], "left_anti")
+        front = settled(new.withColumn("hop", F.lit(hop)))
+        seen = settled(seen.unionByName(front))
+    return seen
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (column entity)."""
     ends = nodes.select("entity").distinct()
@@ -57,14 +79,14 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select(edges.columns)
 
 
-def descend(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
+def descend(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> DataFrame:
     """root, entity, level: all that is reached along edges from each root (column entity), at its least level.
 
-    Cycles end where an entity was already reached.
+    Cycles end where an entity was already reached. Without a bound it goes on until nothing new is reached.
     """
     reached = front = settled(roots.select(F.col("entity").alias("root"), "entity", F.lit(0).alias("level")))
-    steps = edges.select(F.col("source").alias("entity"), F.col("target").alias("next")).distinct()
-    for level in range(1, levels + 1):
+    steps = settled(edges.select(F.col("source").alias("entity"), F.col("target").alias("next")).distinct())
+    for level in count(1) if levels is None else range(1, levels + 1):
         step = front.join(steps, "entity").select("root", F.col("next").alias("entity"), F.lit(level).alias("level")).distinct()
         front = settled(step.join(reached, ["root", "entity"], "left_anti"))
         if front.isEmpty():
@@ -78,7 +100,7 @@ def ascend(edges: DataFrame, held: DataFrame, levels: int) -> DataFrame:
 
     Paths that meet go on as one, so a level is at most as large as the edges are.
     """
-    steps = edges.select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct()
+    steps = settled(edges.select(F.col("source").alias("child"), F.col("target").alias("parent")).distinct())
     front = held.select(F.col("entity").alias("child")).distinct()
     climbed = None
     for _ in range(levels):

@@ -109,14 +109,20 @@ def complementary(candidates: DataFrame, coverage: DataFrame) -> DataFrame:
     return found.select("query_id", "id", "action", F.when(F.col("listed").isNotNull(), place).cast("long").alias("place"))
 
 
-def spread(first: DataFrame, edges: DataFrame, seeds: int, depth: int, fanout: int) -> DataFrame:
-    """query_id, id, hop: memories by how near their edges come to the entities of a first wave's best `seeds` hits (query_id, id, rank).
+def spread(first: DataFrame, edges: DataFrame, seeds: int, depth: int, fanout: int, named: DataFrame | None = None) -> DataFrame:
+    """query_id, id, hop: memories by how near their edges come to the entities that a question names (named: query_id, entity) and those of a first
+    wave's best `seeds` hits (query_id, id, rank); of either, the first `seeds` that there are, by name.
 
     edges have a column memory, the id of the memory that tells of them.
     """
     ends = edges.select("memory", F.explode(F.array("source", "target")).alias("entity"))
     best = first.where(F.col("rank") <= seeds).select("query_id", F.col("id").alias("memory"))
-    around = graph.walk(edges, ends.join(best, "memory").select("query_id", "entity"), depth, fanout)
+    from_hits = search.ranked(ends.join(best, "memory").select("query_id", "entity").distinct(), seeds, [F.col("entity")])
+    start = from_hits.select("query_id", "entity")
+    if named is not None:
+        known = named.distinct().join(ends.select("entity").distinct(), "entity", "left_semi")
+        start = start.unionByName(search.ranked(known, seeds, [F.col("entity")]).select("query_id", "entity"))
+    around = graph.walk(edges, start, depth, fanout)
     return ends.join(around, "entity").groupBy("query_id", F.col("memory").alias("id")).agg(F.min("hop").alias("hop"))
 
 

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def prioritised(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
-    """assertions with `priority`, a struct that orders those of a group; `resolve_segments` says how."""
+    """assertions with `priority`, a struct that orders those of a group; `resolve_segments` says how.
+
+    Where they have a column source_order, it counts before the id.
+    """
     bucket = Window.partitionBy(group, "start")
     dated = F.count_if(F.col("stated_on").isNull()).over(bucket) == 0
     priority = F.struct(
         "start",
         F.when(dated, F.col("stated_on")).alias("stated"),
         F.when(~dated, F.col("transaction_id")).alias("transaction"),
+        *(["source_order"] if "source_order" in assertions.columns else []),
         "revision_id",
     )
     return assertions.withColumn("priority", priority)

@@ -43,7 +43,8 @@ SQL = {
         SELECT o_custkey AS fact_group, o_orderkey AS revision_id, CAST(o_orderdate AS DATE) AS start,
                CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 60 AS INT) END AS stop,
                o_orderkey AS transaction_id,
-               CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INT) END AS stated_on
+               CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INT) END AS stated_on,
+               CAST(o_orderkey % 4 AS VARCHAR) AS source_order
         FROM orders)""",
 }
 
@@ -137,4 +138,5 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, F.date_add(day, (key % 60 + 30).cast("int"))).alias("stop"),
         key.alias("transaction_id"),
         F.when(key % 3 == 0, F.date_add(day, (key % 7).cast("int"))).alias("stated_on"),
+        (key % 4).cast("string").alias("source_order"),
     )

@@ -268,7 +268,7 @@ SEGMENTS_SQL = """p AS (SELECT *, CASE WHEN u THEN NULL ELSE stated_on END AS st
     bounds AS (SELECT fact_group, start AS moment FROM assertions UNION SELECT fact_group, stop FROM assertions WHERE stop IS NOT NULL),
     spans AS (SELECT fact_group, moment, lead(moment) OVER (PARTITION BY fact_group ORDER BY moment) AS until FROM bounds),
     held AS (SELECT s.fact_group, moment, until, revision_id FROM spans s JOIN p ON p.fact_group = s.fact_group AND start <= moment AND (stop IS NULL OR moment < stop)
-        QUALIFY row_number() OVER (PARTITION BY s.fact_group, moment ORDER BY start DESC, stated DESC NULLS LAST, trans DESC NULLS LAST, revision_id DESC) = 1),
+        QUALIFY row_number() OVER (PARTITION BY s.fact_group, moment ORDER BY start DESC, stated DESC NULLS LAST, trans DESC NULLS LAST, source_order DESC, revision_id DESC) = 1),
     marked AS (SELECT *, CASE WHEN lag(revision_id) OVER w = revision_id AND lag(until) OVER w = moment THEN 0 ELSE 1 END AS new FROM held WINDOW w AS (PARTITION BY fact_group ORDER BY moment)),
     islands AS (SELECT *, sum(new) OVER (PARTITION BY fact_group ORDER BY moment) AS island FROM marked),
     segments AS (SELECT fact_group, revision_id, min(moment) AS valid_from, arg_max(coalesce(until, DATE '9999-12-31'), moment) AS valid_to FROM islands GROUP BY fact_group, island, revision_id)"""

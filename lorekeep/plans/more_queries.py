@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import codec, text
-from lorekeep.operators import clusters, ingest, pages, recall, rows, search
+from lorekeep.operators import clusters, graph, ingest, pages, recall, rows, search
 from lorekeep.plans.derived import edges, memories, sql, traces
 from lorekeep.plans.engine_queries import FTS_SQL, FTS_TOP, PROBES_SQL, VISIBLE_FTS, fts, probes, visible_fts
 from lorekeep.plans.functions_queries import SHINGLES, STOP
@@ -262,18 +262,20 @@ def gr_trace_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.trace_links(calls, symbols, "event_id", most=3)
 
 
-@query(sql("""WITH h1 AS (SELECT DISTINCT target AS entity FROM edges WHERE source = 'o9' AND relation IN ('placed by', 'contains') ORDER BY entity LIMIT 5),
-    h2 AS (SELECT DISTINCT target AS entity FROM edges WHERE source IN (SELECT entity FROM h1) ORDER BY entity LIMIT 5)
-    SELECT entity FROM (SELECT 'o9' AS entity UNION SELECT entity FROM h1 UNION SELECT entity FROM h2)""", "edges"))
+@query(sql("""WITH e AS (SELECT source, target FROM edges WHERE sequence % 3 > 0), steps AS MATERIALIZED (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),
+    h0 AS (SELECT o_orderkey AS query_id, 'o' || o_orderkey AS entity FROM orders WHERE o_orderkey % 20 = 0),
+    n1 AS (SELECT DISTINCT query_id, b AS entity FROM h0 JOIN steps ON a = entity), t1 AS (SELECT * FROM n1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 5),
+    h1 AS MATERIALIZED (SELECT * FROM t1 EXCEPT SELECT * FROM h0),
+    n2 AS (SELECT DISTINCT query_id, b AS entity FROM h1 JOIN steps ON a = entity), t2 AS (SELECT * FROM n2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 5),
+    h2 AS (SELECT * FROM t2 EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0)
+    SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2""", "edges"))
 def gr_code_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A walk whose repeated edges do not spend the fanout: each hop takes the first five new names."""
-    e = edges(spark, sf_dir).where(F.col("relation").isin("placed by", "contains", "lives in")).select("source", F.col("target").alias("entity"))
-    found = front = spark.createDataFrame([("o9",)], "entity string")
-    for _ in range(2):
-        ends = F.broadcast(front.withColumnRenamed("entity", "source"))
-        front = e.join(ends, "source", "left_semi").select("entity").distinct().orderBy("entity").limit(5)
-        found = found.unionByName(front).distinct()
-    return found
+    """Walks both ways from every twentieth order over edges that are not merely guessed; repeated edges do not spend the fanout of five."""
+    sure = F.element_at(F.array(*map(F.lit, ("guessed", "inferred", "exact"))), (F.col("sequence") % 3 + 1).cast("int"))
+    e = edges(spark, sf_dir).withColumn("confidence", sure).where(rows.at_least(F.col("confidence"), ("guessed", "inferred", "exact"), "inferred"))
+    key = F.col("o_orderkey")
+    seeds = read_table(spark, sf_dir, "orders").where(key % 20 == 0).select(key.alias("query_id"), F.concat(F.lit("o"), key.cast("string")).alias("entity"))
+    return graph.symbol_walk(e, seeds, depth=2, fanout=5)
 
 
 # Clusters and pages

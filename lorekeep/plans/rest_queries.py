@@ -15,9 +15,10 @@ from lorekeep.plans.relational_queries import SEEN_SQL, seen
 from lorekeep.sources.tables import read_table
 from lorekeep.streaming import feeds
 
-#: The walk of the graph channel in SQL: seeds are the entities of a query's first five memories; one hop over its twenty newest edges.
+#: The walk of the graph channel in SQL: seeds are the entities named by a query (here the customer of its number) and those of its first eight memories, eight of each; one hop over its twenty newest edges.
 SPREAD_SQL = """ends AS (SELECT source AS e, target AS other, 'out' AS d, * FROM edges UNION ALL SELECT target, source, 'in', * FROM edges),
-    h0 AS MATERIALIZED (SELECT DISTINCT query_id, e AS entity FROM fts_top JOIN ends ON ends.sequence = id WHERE rank <= 5),
+    h0 AS MATERIALIZED (SELECT query_id, entity FROM (SELECT DISTINCT query_id, e AS entity FROM fts_top JOIN ends ON ends.sequence = id WHERE rank <= 8) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 8
+        UNION SELECT query_id, 'c' || query_id FROM probes WHERE 'c' || query_id IN (SELECT e FROM ends)),
     h1 AS MATERIALIZED (SELECT DISTINCT query_id, other AS entity FROM (SELECT query_id, other FROM ends JOIN h0 ON e = entity
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sequence DESC, source, relation, target, d) <= 20)
         WHERE (query_id, other) NOT IN (SELECT (query_id, entity) FROM h0)),
@@ -29,9 +30,11 @@ IDS = "list_distinct([event_id % 7, CAST(json_extract(props, '$.k') AS BIGINT)])
 
 
 def graph_hits(spark: SparkSession, sf_dir: str, first: DataFrame) -> DataFrame:
-    """The graph channel: visible memories whose edges touch what lies around the entities of the first wave's memories."""
+    """The graph channel: visible memories whose edges touch what lies around the entities that the question names (here the customer of
+    its number) and those of the first wave's memories."""
     e = edges(spark, sf_dir)
-    found = recall.spread(first, e.withColumn("memory", F.col("sequence")), seeds=5, depth=1, fanout=20)
+    named = probes(spark, sf_dir).select("query_id", F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("entity"))
+    found = recall.spread(first, e.withColumn("memory", F.col("sequence")), seeds=8, depth=1, fanout=20, named=named)
     visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "created_on")
     return search.ranked(found.join(visible, "id"), 10, [F.col("hop"), F.desc("created_on"), F.col("id")])
 
@@ -291,7 +294,7 @@ def vec_minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""SELECT fact_group, revision_id, row_number() OVER (PARTITION BY fact_group ORDER BY start DESC, CASE WHEN NOT u THEN stated_on END DESC NULLS LAST,
-        CASE WHEN u THEN transaction_id END DESC NULLS LAST, revision_id DESC) AS place
+        CASE WHEN u THEN transaction_id END DESC NULLS LAST, source_order DESC, revision_id DESC) AS place
     FROM (SELECT *, bool_or(stated_on IS NULL) OVER (PARTITION BY fact_group, start) AS u FROM assertions)""", "assertions"))
 def tmp_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("fact_group").orderBy(F.desc("priority")))
