@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators import ranges
+from lorekeep.operators.rows import settled
+
 
 def prioritised(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
     """assertions with `priority`, a struct that orders those of a group; `resolve_segments` says how.
@@ -23,49 +29,131 @@ def prioritised(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
     return assertions.withColumn("priority", priority)
 
 
+#: Rows of a sweep: the start of an assertion, a mere point in time, one that holds when its range begins, and where the next range begins.
+STARTS, POINT, HELD, NEXT = range(4)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, of, revision_id, valid_from, valid_to, edge: the stretches of each range of a group, from rows in order of time.
+
+    Whatever starts later outranks what started before, so those that may still hold are a stack.
+    """
+    own, kinds = None, None
+    out: list[tuple] = []
+    stack: list[tuple] = []  # (priority, stop, revision) in ascending order
+    new: list[tuple] = []
+    first = now = following = None
+    held: tuple | None = None  # revision and since when
+
+    def flush() -> None:
+        """What holds from `now` on, all that starts then being known."""
+        nonlocal held
+        stack.extend(sorted(new, key=lambda x: x[0]))
+        new.clear()
+        best = stack[-1][2] if stack else None
+        if held is not None and held[0] != best:
+            out.append((*own, *held, now, held[1] == first))
+            held = None
+        if held is None and best is not None:
+            held = best, now
+
+    def close() -> None:
+        nonlocal held, first, now, following
+        if now is not None:
+            flush()
+        if held is not None:
+            out.append((*own, *held, following, held[1] == first or following is not None))
+        stack.clear()
+        held = first = now = following = None
+
+    def table() -> pa.RecordBatch:
+        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, ["block", "of", "revision_id", "valid_from", "valid_to", "edge"])
+
+    for batch in batches:
+        field = batch.schema.field
+        kinds = [field("block").type, field("of").type, field("revision_id").type, field("at").type, field("at").type, pa.bool_()]
+        columns = (batch.column(c).to_pylist() for c in ("block", "of", "at", "kind", "stop", "priority", "revision_id"))
+        for block, of, at, kind, stop, priority, revision in zip(*columns, strict=True):
+            if (block, of) != own:
+                close()
+                own = block, of
+            rank = priority and tuple(priority.values())
+            if kind == NEXT:
+                following = stop
+            elif kind == HELD:
+                new.append((rank, stop, revision))
+            else:
+                if at != now:
+                    if now is not None:
+                        flush()
+                    else:
+                        stack.extend(sorted(new, key=lambda x: x[0]))
+                        new.clear()
+                        first = at
+                    now = at
+                    while stack and stack[-1][1] is not None and stack[-1][1] <= at:
+                        stack.pop()
+                if kind == STARTS:
+                    new.append((rank, stop, revision))
+        if len(out) >= 4096:
+            yield table()
+    close()
+    if out:
+        yield table()
+
+
 def resolve_segments(assertions: DataFrame, group: str = "fact_group") -> DataFrame:
     """group, revision_id, valid_from, valid_to: the segments in which each assertion holds.
 
-    assertions: group, revision_id, start, stop (null: open), stated_on, transaction_id. At any time the
+    assertions: group, revision_id, start, stop (null: open; after the start), stated_on, transaction_id. At any time the
     assertion of latest start holds; of those that start together, the one stated last, or, if any of them is
-    undated, the one of the last transaction; then the greatest id. Adjacent segments of one assertion are one.
+    undated, the one of the last transaction; then the greatest source order, where there is one, and the greatest id. Adjacent segments of one
+    assertion are one.
 
-    An open assertion outranks all that start before it, for good. Points in time therefore only meet the
-    assertions since the last open start: an equi-join on that start, instead of all against all in a group.
+    Times are dealt out in order by sampled ranges, and each range is swept by itself, so a group of any size is spread over tasks. A range knows
+    of what started before it: assertions that stop in it, which are sent to it, and of those that outlast it the one that ranks highest (see `ranges.spread_maxima`).
     """
-    rows = prioritised(assertions, group).select(group, "revision_id", "start", "stop", "priority")
-    opened = F.max("opens").over(Window.partitionBy(group).orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    bounds = F.explode(
-        F.array(
-            F.struct(F.col("start").alias("at"), F.when(F.col("stop").isNull(), F.col("start")).alias("opens")),
-            F.struct(F.col("stop").alias("at"), F.lit(None).cast(assertions.schema["start"].dataType).alias("opens")),
-        )
-    )
-    points = (
-        rows.select(group, bounds.alias("b"))
-        .select(group, "b.*")
-        .where("at IS NOT NULL")
-        .groupBy(group, "at")
-        .agg(F.max("opens").alias("opens"))
-        .withColumn("era", opened)
-        .withColumn("until", F.lead("at").over(Window.partitionBy(group).orderBy("at")))
-        .drop("opens")
-    )
-    eras = rows.join(points.select(group, F.col("at").alias("start"), "era"), [group, "start"])
-    held = (
-        points.alias("p")
-        .join(eras.alias("a"), (F.col(f"p.{group}") == F.col(f"a.{group}")) & F.col("p.era").eqNullSafe(F.col("a.era")))
-        .where((F.col("start") <= F.col("at")) & (F.col("stop").isNull() | (F.col("at") < F.col("stop"))))
-        .groupBy(F.col(f"p.{group}").alias(group), "at", "until")
-        .agg(F.max("priority").alias("best"))
-        .select(group, "at", "until", F.col("best.revision_id").alias("revision_id"))
-    )
-    along = Window.partitionBy(group).orderBy("at")
-    follows = (F.lag("revision_id").over(along) == F.col("revision_id")) & (F.lag("until").over(along) == F.col("at"))
-    islands = held.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("island", F.sum("new").over(along))
-    return islands.groupBy(group, "island", "revision_id").agg(
-        F.min("at").alias("valid_from"), F.max_by("until", "at").alias("valid_to")
-    ).drop("island")
+    rows = prioritised(assertions, group).select(F.col(group).alias("of"), "revision_id", "start", "stop", "priority")
+    # Of those with the same bounds only the one that ranks highest can hold.
+    best = rows.groupBy("of", "start", "stop").agg(F.max("priority").alias("priority"))
+    times = F.array(F.struct(F.col("start").alias("at"), F.lit(STARTS).alias("kind")), F.struct(F.col("stop").alias("at"), F.lit(POINT).alias("kind")))
+    events = best.select("*", F.explode(times).alias("x")).select("of", "x.at", "x.kind", "start", "stop", "priority").where("at IS NOT NULL")
+    dealt = ranges.in_ranges(events, ["of", "at"])
+    cut = settled(ranges.of_several(dealt, "of"))
+    extra = []
+    if not cut.isEmpty():  # groups of several ranges
+        keyed = dealt.withColumn("key", F.struct("of"))
+        mine = settled(keyed.join(F.broadcast(cut.select(F.struct("of").alias("key")).distinct()), "key"))
+        ends = mine.groupBy("key").agg(F.max("block").alias("end"))
+        begun = mine.groupBy("key", "start", "stop", "priority").agg(F.max(F.when(F.col("kind") == STARTS, F.col("block"))).alias("b"), F.max(F.when(F.col("kind") == POINT, F.col("block"))).alias("e"))
+        spans = settled(begun.join(F.broadcast(ends), "key"))  # a row for each range at most
+        come = spans.where("e > b").select("key", F.col("e").alias("block"), "stop", "priority")
+        covers = spans.select("key", (F.col("b") + 1).alias("first"), F.coalesce(F.col("e") - 1, "end").alias("last"), "priority")
+        over = ranges.spread_maxima(covers, "key", "priority")
+        open_stop = F.lit(None).cast(rows.schema["stop"].dataType).alias("stop")
+        held = come.unionByName(over.select("key", F.col("block").cast("int").alias("block"), open_stop, "priority")).withColumn("kind", F.lit(HELD))
+        along = Window.partitionBy("key").orderBy("block")
+        after = mine.groupBy("key", "block").agg(F.min("at").alias("first")).select("key", "block", F.lead("first").over(along).alias("stop")).where("stop IS NOT NULL")
+        extra = [held, after.withColumns({"priority": F.lit(None).cast(best.schema["priority"].dataType), "kind": F.lit(NEXT)})]
+    feed = dealt.select("of", "block", "at", "kind", "stop", "priority")
+    for part in extra:
+        feed = feed.unionByName(part.select(F.col("key.of").alias("of"), "block", F.lit(None).cast(rows.schema["start"].dataType).alias("at"), "kind", "stop", "priority"))
+    feed = feed.withColumn("revision_id", F.col("priority.revision_id")).repartition("block").sortWithinPartitions("block", "of", "at", "kind")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"block int, of {kinds['of']}, revision_id {kinds['revision_id']}, valid_from {kinds['start']}, valid_to {kinds['start']}, edge boolean"
+    swept = feed.mapInArrow(_sweep, schema)
+    if not extra:
+        return swept.select(F.col("of").alias(group), "revision_id", "valid_from", "valid_to")
+    swept = settled(swept.withColumn("key", F.struct("of")).join(F.broadcast(cut.select(F.struct("of").alias("key"), "block", F.lit(True).alias("cut"))), ["key", "block"], "left"))
+    at_edge = F.coalesce("cut", F.lit(False)) & F.col("edge")
+    along = Window.partitionBy("key").orderBy("valid_from")  # two rows a range at most
+    follows = (F.lag("revision_id").over(along) == F.col("revision_id")) & (F.lag("valid_to").over(along) == F.col("valid_from"))
+    edges = swept.where(at_edge).withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("island", F.sum("new").over(along))
+    joined = edges.groupBy("key", "island", "revision_id").agg(F.min("valid_from").alias("low"), F.max_by("valid_to", "valid_from").alias("valid_to"))
+    inner = swept.where(~at_edge).select(F.col("of").alias(group), "revision_id", "valid_from", "valid_to")
+    return inner.unionByName(joined.select(F.col("key.of").alias(group), "revision_id", F.col("low").alias("valid_from"), "valid_to"))
 
 
 def revise(revisions: DataFrame, changes: DataFrame) -> DataFrame:

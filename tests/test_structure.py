@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 from collections import defaultdict
 
 import pytest
 
-from lorekeep.operators import dag, pages, recall
+from lorekeep.operators import dag, pages, ranges, recall, temporal
 from lorekeep.plans import rest_queries
+from test_operators import naive_segments
 
 ROW = "cluster long, kind string, child long"
 
@@ -198,3 +200,52 @@ def test_assignment_takes_candidates_thresholds_and_the_unassigned(spark):
         (7, "w", "contextual", 0.75),  # by words, as it has no vector; u would need more than 0.33
         (8, pages.UNASSIGNED, "core", 1.0), (9, pages.UNASSIGNED, "core", 1.0),  # a directory; no shared subject
     }
+
+
+@pytest.fixture
+def many_ranges(spark):
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_fact_of_many_ranges_is_resolved_as_by_the_naive_rule(spark, many_ranges, seed):
+    draw, day, data = random.Random(seed), datetime.date(2000, 1, 1), []
+    sizes = {1: 600, 2: 3, 3: 200, 4: 1, None: 20}
+    for group, n in sizes.items():
+        for i in range(n):
+            start = day + datetime.timedelta(draw.randrange(3 * n))
+            length = draw.choice((1, 2, 5, 40, n, 3 * n)) if seed < 3 else 4 * n - 2 * (start - day).days + 1  # nested ones last
+            stop = None if draw.random() < (0.02, 0.3, 0.0, 0.0)[seed] or length < 1 else start + datetime.timedelta(length)
+            data.append((group, (group or 0) * 1000 + i, start, stop, draw.randrange(50), None if draw.random() < 0.3 else day + datetime.timedelta(draw.randrange(5))))
+    schema = "fact_group int, revision_id int, start date, stop date, transaction_id int, stated_on date"
+    found = temporal.resolve_segments(spark.createDataFrame(data, schema).repartition(5)).collect()
+    names = [f.split()[0] for f in schema.split(", ")]
+    for group in sizes:
+        mine = [dict(zip(names, d)) for d in data if d[0] == group]
+        got = sorted((r.valid_from, r.revision_id, r.valid_to or datetime.date.max) for r in found if r.fact_group == group)
+        assert got == [(f, r, t or datetime.date.max) for r, f, t in sorted(naive_segments(mine), key=lambda s: s[1])]
+
+
+def test_the_source_order_counts_before_the_id(spark):
+    day = datetime.date(2024, 1, 1)
+    data = [(1, 7, day, None, 3, day, "a"), (1, 5, day, None, 3, day, "b")]
+    rows = spark.createDataFrame(data, "fact_group int, revision_id int, start date, stop date, transaction_id int, stated_on date, source_order string")
+    assert [r.revision_id for r in temporal.resolve_segments(rows).collect()] == [5]
+    assert [r.revision_id for r in temporal.resolve_segments(rows.drop("source_order")).collect()] == [7]
+
+
+def test_maxima_over_stretches(spark):
+    chance = random.Random(1)
+    covers = [(k, a, a + chance.randrange(-1, 20), chance.randrange(1000)) for k in range(3) for a in chance.choices(range(30), k=15)]
+    found = ranges.spread_maxima(spark.createDataFrame(covers, "key int, first int, last int, value int"), "key", "value").collect()
+    expected = {}
+    for k, a, z, v in covers:
+        for b in range(a, z + 1):
+            expected[k, b] = max(v, expected.get((k, b), -1))
+    assert {(r.key, r.block): r.value for r in found} == expected
