@@ -344,17 +344,22 @@ def recipes(calls: DataFrame, known: DataFrame, statements: DataFrame, most: int
 
 
 def index_files(files: DataFrame, ledger: DataFrame, symbols: DataFrame, most: int = 8, listed: int = 30) -> DataFrame:
-    """files (path, digest, ...) that the ledger does not hold as they are, with fact and defines.
+    """files (path, digest, ...) that the ledger does not hold as they are, with fact, defines and targets.
 
-    symbols: path, kind, name, line, order. The fact names what a file defines, the first `listed` symbols by order; defines is the number of edges to
-    symbols that the graph gets, the first `most`. These replace what earlier versions of the files gave.
+    symbols: path, kind, name, line, order. The fact names what a file defines, the first `listed` symbols by order; targets are the symbols
+    to which the graph gets an edge from the file, the first `most`, and defines is their number. These replace what earlier versions of the files gave.
     """
     new = changed(files, ledger, ["path"])
     rank = F.row_number().over(Window.partitionBy("path").orderBy("order", "line"))
     first = symbols.join(new.select("path"), "path", "left_semi").withColumn("rank", rank).where(F.col("rank") <= listed)
     named = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "kind", "name").alias("name"))))
-    told = first.groupBy("path").agg(named.alias("x"), F.count_if(F.col("rank") <= most).alias("k"))
+    ends = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "name"))))
+    told = first.groupBy("path").agg(named.alias("x"), F.transform(ends, lambda e: e["name"]).alias("t"))
     names = F.coalesce(F.array_join(F.transform("x", lambda s: s["name"]), ", "), F.lit("nothing"))
     return new.join(told, "path", "left").withColumns(
-        {"fact": F.concat(F.lit("It defines "), names, F.lit(".")), "defines": F.coalesce("k", F.lit(0).cast("long"))}
-    ).drop("x", "k")
+        {
+            "fact": F.concat(F.lit("It defines "), names, F.lit(".")),
+            "defines": F.coalesce(F.size("t"), F.lit(0)).cast("long"),
+            "targets": F.coalesce("t", F.array().cast("array<string>")),
+        }
+    ).drop("x", "t")

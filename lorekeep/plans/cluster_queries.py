@@ -201,12 +201,19 @@ def wk_search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS supports FROM lineitem GROUP BY 1)
-    SELECT l_orderkey FROM s WHERE len(list_filter(supports, lambda x: x % 10 > 7)) = 0""")
+@query(sql(f"""WITH {SEEN_SQL}, picked AS (SELECT topic_key AS page, sequence FROM seen WHERE topic_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic_key ORDER BY created_on DESC, sequence) <= 40),
+    c AS (SELECT topic_key AS page, sequence AS claim, unnest([sequence, sequence + 80, sequence + 160]) AS source FROM memories WHERE topic_key IS NOT NULL),
+    s AS (SELECT page, claim, source FROM c WHERE source IN (SELECT sequence FROM memories WHERE topic_key = page))
+    SELECT s.page, claim FROM s LEFT JOIN picked ON picked.page = s.page AND picked.sequence = s.source GROUP BY ALL HAVING bool_and(picked.sequence IS NOT NULL)""", "memories"))
 def wk_cluster_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims all of whose supports were selected."""
-    missing = F.count_if(F.col("l_partkey") % 10 > 7)
-    return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(missing.alias("m")).where("m = 0").select("l_orderkey")
+    """The claims of pages (topics) all of whose supports are among the page's selected evidence, its forty newest visible sources. A claim rests on its
+    memory and on those numbered 80 and 160 later, if they are of its topic."""
+    visible = seen(spark, sf_dir).where("topic_key IS NOT NULL").select(F.col("topic_key").alias("page"), F.col("sequence").alias("id"), "created_on")
+    picked = search.ranked(visible, 40, [F.desc("created_on"), F.col("id")], by="page").select("page", "id")
+    known = memories(spark, sf_dir).where("topic_key IS NOT NULL").select(F.col("topic_key").alias("page"), F.col("sequence").alias("id"))
+    n = F.col("claim")
+    supports = known.select("page", F.col("id").alias("claim")).withColumn("id", F.explode(F.array(n, n + 80, n + 160)))
+    return pages.supported_claims(supports.join(known, ["page", "id"], "left_semi"), picked)
 
 
 @query("""WITH s AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0)

@@ -281,12 +281,15 @@ def gr_code_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Clusters and pages
 
 
-@query(sql(f"""WITH strict AS (SELECT * FROM (SELECT {BOUNDS} FROM memories) WHERE {SEEN_STRICTLY}),
+ELIGIBLE_SQL = f"""WITH strict AS (SELECT * FROM (SELECT {BOUNDS} FROM memories) WHERE {SEEN_STRICTLY}),
     s AS (SELECT topic_key AS cluster, sequence // 100 AS synthesis, sequence, session_id FROM memories WHERE topic_key IS NOT NULL AND sequence % 9 = 0),
     l AS (SELECT cluster, max(synthesis) AS latest FROM s GROUP BY 1),
     o AS (SELECT cluster, synthesis, bool_and(t.id IS NOT NULL) AND NOT bool_or(s.session_id = 'src0') AS whole FROM s LEFT JOIN (SELECT sequence, id FROM strict) t USING (sequence) GROUP BY ALL),
     p AS (SELECT cluster, synthesis, substr(cluster, 1, 3) || 'src1' AS child, CASE WHEN synthesis % 2 = 0 THEN (SELECT latest FROM l d WHERE d.cluster = substr(o.cluster, 1, 3) || 'src1') ELSE 0 END AS pinned FROM o)
-    SELECT cluster, synthesis, synthesis = latest AND whole AND coalesce((SELECT latest FROM l d WHERE d.cluster = p.child), -1) = coalesce(pinned, -1) AS eligible FROM o JOIN l USING (cluster) JOIN p USING (cluster, synthesis)""", "memories"))
+    SELECT cluster, synthesis, synthesis = latest AND whole AND coalesce((SELECT latest FROM l d WHERE d.cluster = p.child), -1) = coalesce(pinned, -1) AS eligible FROM o JOIN l USING (cluster) JOIN p USING (cluster, synthesis)"""
+
+
+@query(sql(ELIGIBLE_SQL, "memories"))
 def cl_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A synthesis counts while it is its cluster's latest, all its supports are visible (by both bounds) and none comes from code (here `src0`), and
     the child syntheses it was made from are still the latest."""
@@ -304,15 +307,25 @@ def cl_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""WITH k AS (SELECT topic_key, max(sequence) AS revision, count(*) AS n FROM memories WHERE topic_key IS NOT NULL GROUP BY 1)
     SELECT '{"kind":"cluster","id":"' || topic_key || '","revision":' || revision || ',"members":' || n || '}' AS line FROM k
     UNION ALL SELECT '{"kind":"member","cluster":"' || topic_key || '","id":"' || id || '","role":"' || CASE WHEN sequence % 3 = 0 THEN 'core' ELSE 'related' END || '"}' FROM memories WHERE topic_key IS NOT NULL
-    UNION ALL SELECT '{"kind":"override","cluster":"' || topic_key || '","id":"' || id || '","decision":"excluded"}' FROM memories WHERE topic_key IS NOT NULL AND forgotten""", "memories"))
+    UNION ALL SELECT '{"kind":"override","cluster":"' || topic_key || '","id":"' || id || '","decision":"excluded"}' FROM memories WHERE topic_key IS NOT NULL AND forgotten
+    UNION ALL SELECT '{"kind":"boundary","at":"' || valid_to || CASE WHEN forgotten THEN '","redactionReason":"forgotten_source"}' ELSE '","memoryId":"' || id || '"}' END FROM memories WHERE valid_to IS NOT NULL
+    UNION ALL SELECT '{"kind":"synthesis","cluster":"' || cluster || '","id":' || synthesis || CASE WHEN eligible THEN ',"claims":' || (SELECT to_json(list(id ORDER BY id)) FROM memories WHERE topic_key = cluster AND sequence % 9 = 0 AND sequence // 100 = synthesis)
+        ELSE ',"redactionReason":"source_or_revision_unavailable"' END || '}' FROM (""" + ELIGIBLE_SQL + ")", "memories"))
 def cl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all clusters as lines: clusters, their members, and overrides, so that none of any size is gathered."""
+    """The archive of all clusters as lines: clusters, members, overrides, times at which memories end, and syntheses, with their claims where they may be
+    used. What refers to a forgotten source, or rests on what is no longer there, is redacted. No cluster of any size is gathered."""
     m = memories(spark, sf_dir).where("topic_key IS NOT NULL")
     heads = m.groupBy(F.col("topic_key").alias("id")).agg(F.max("sequence").alias("revision"), F.count("*").alias("members"))
     role = F.when(F.col("sequence") % 3 == 0, "core").otherwise("related")
     members = m.select(F.col("topic_key").alias("cluster"), "id", role.alias("role"))
     overrides = m.where("forgotten").select(F.col("topic_key").alias("cluster"), "id", F.lit("excluded").alias("decision"))
-    return clusters.archive(cluster=heads, member=members, override=overrides)
+    gone = F.when(F.col("forgotten"), "forgotten_source").alias("redactionReason")
+    boundaries = memories(spark, sf_dir).where("valid_to IS NOT NULL").select(F.col("valid_to").alias("at"), F.when(~F.col("forgotten"), F.col("id")).alias("memoryId"), gone)
+    claims = m.where("sequence % 9 = 0").groupBy(F.col("topic_key").alias("cluster"), F.floor(F.col("sequence") / 100).alias("synthesis")).agg(F.array_sort(F.collect_list("id")).alias("claims"))
+    made = cl_eligible(spark, sf_dir).join(claims, ["cluster", "synthesis"])
+    reason = F.when(~F.col("eligible"), "source_or_revision_unavailable").alias("redactionReason")
+    syntheses = made.select("cluster", F.col("synthesis").alias("id"), F.when(F.col("eligible"), F.col("claims")).alias("claims"), reason)
+    return clusters.archive(cluster=heads, member=members, override=overrides, boundary=boundaries, synthesis=syntheses)
 
 
 @query()
@@ -399,9 +412,10 @@ def tr_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT doc_id, source || '/' || doc_id AS path, source AS module FROM documents WHERE doc_id % 2 = 1),
     s AS (SELECT doc_id, doc_id % 12 + i AS name, i FROM f, range(11) r(i) WHERE i < doc_id % 12)
     SELECT f.doc_id, path, 'It defines ' || coalesce((SELECT string_agg('function s' || name, ', ' ORDER BY name) FROM s WHERE s.doc_id = f.doc_id), 'nothing') || '.' AS fact,
-        least((SELECT count(*) FROM s WHERE s.doc_id = f.doc_id), 8) AS defines FROM f""")
+        least((SELECT count(*) FROM s WHERE s.doc_id = f.doc_id), 8) AS defines, e.name AS target
+    FROM f LEFT JOIN (SELECT doc_id, 's' || name AS name FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s.name) <= 8) e ON e.doc_id = f.doc_id""")
 def cd_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that changed since the index was made (the odd ones): what each defines as a fact, and how many defines edges are projected (eight at most)."""
+    """Files that changed since the index was made (the odd ones): what each defines as a fact, and a row for each defines edge that the graph gets (eight at most)."""
     docs = _documents(spark, sf_dir)
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
     files = docs.select("doc_id", path.alias("path"), F.sha2("text", 256).alias("digest"))
@@ -409,4 +423,4 @@ def cd_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = symbols.select("path", F.lit("function").alias("kind"), F.col("i").alias("line"), F.concat(F.lit("s"), (F.col("doc_id") % 12 + F.col("i")).cast("string")).alias("name"), (F.col("doc_id") % 12 + F.col("i")).alias("order"))
     ledger = files.where("doc_id % 2 = 0").select("path", "digest")
     found = ingest.index_files(files, ledger, symbols)
-    return found.select("doc_id", "path", "fact", "defines")
+    return found.select("doc_id", "path", "fact", "defines", F.explode_outer("targets").alias("target"))

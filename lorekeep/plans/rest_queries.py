@@ -138,14 +138,17 @@ def ret_cluster_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("""WITH RECURSIVE steps AS (SELECT DISTINCT source AS child, target AS parent FROM edges WHERE relation <> 'contains'),
     up AS (SELECT child, parent, 1 AS level FROM steps WHERE CAST(substr(child, 2) AS BIGINT) % 10 = 0 AND child LIKE 'o%'
         UNION SELECT s.child, s.parent, level + 1 FROM up JOIN steps s ON s.child = up.parent WHERE level < 4),
-    c AS (SELECT parent, count(DISTINCT child) AS branches, parent IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS matched FROM up GROUP BY 1)
+    t AS (SELECT unnest(list_filter(string_split(lower('What about the building of machinery'), ' '), lambda x: length(x) >= 3 AND x NOT IN ('what', 'the'))) AS term),
+    c AS (SELECT parent, count(DISTINCT child) AS branches, parent IN (SELECT 'c' || c_custkey FROM customer JOIN t ON contains(lower(c_mktsegment), term)) AS matched FROM up GROUP BY 1)
     SELECT parent, branches, matched FROM c WHERE branches >= 2 OR matched ORDER BY matched DESC, branches DESC, parent LIMIT 30""", "edges"))
 def ret_cluster_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The thirty parents, up to four levels up, whose claims match (here customers of one segment) or that join two branches with hits or more."""
+    """The thirty parents, up to four levels up, whose claims hold a term of the question (a customer's segment is its claim) or that join two branches with hits or more."""
     e = edges(spark, sf_dir).where("relation <> 'contains'")
     hits = e.where(F.col("source").startswith("o") & (F.substring("source", 2, 20).cast("long") % 10 == 0))
     up = graph.ascend(e, hits.select(F.col("source").alias("entity")), 4)
-    claims = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent"))
+    terms = text.claim_terms(F.lit("What about the building of machinery"))
+    held = F.exists(terms, lambda t: F.contains(F.lower("c_mktsegment"), t))
+    claims = read_table(spark, sf_dir, "customer").where(held).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent"))
     counted = up.groupBy("parent").agg(F.count_distinct("child").alias("branches")).join(claims.withColumn("hit", F.lit(True)), "parent", "left")
     nominated = counted.select("parent", "branches", F.coalesce("hit", F.lit(False)).alias("matched")).where("branches >= 2 OR matched")
     return nominated.orderBy(F.desc("matched"), F.desc("branches"), "parent").limit(30)
@@ -452,15 +455,18 @@ def in_reminisce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.adopt(open_, batches.withColumn("done", F.col("chunk") % 4 != 3), lines.where("l_linenumber <= 2").select("memory_id"))
 
 
-@query(sql("""WITH o AS (SELECT o_orderkey AS memory_id, CAST(o_orderkey % 7 AS INT) AS attempts FROM orders)
-    SELECT memory_id, outcome, CASE WHEN outcome = 'failed' THEN attempts + 1 ELSE attempts END AS attempts FROM (SELECT *, CASE WHEN attempts >= 5 THEN 'abandoned'
+@query(sql("""WITH o AS (SELECT o_orderkey AS memory_id, CAST(o_orderkey % 7 AS INT) AS attempts, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 2000 AS taken FROM orders)
+    SELECT memory_id, outcome, CASE WHEN outcome = 'failed' THEN attempts + 1 ELSE attempts END AS attempts FROM (SELECT *, CASE WHEN NOT taken THEN 'waiting' WHEN attempts >= 5 THEN 'abandoned'
         WHEN memory_id NOT IN (SELECT sequence FROM memories) THEN 'orphaned' WHEN memory_id IN (SELECT vec_id FROM embeddings) THEN 'succeeded' ELSE 'failed' END AS outcome FROM o)""", "memories"))
 def in_outbox_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of an outbox's rows (orders stand for them), given the memories that there still are and the vectors that a model gave."""
-    batch = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("memory_id"), (F.col("o_orderkey") % 7).cast("int").alias("attempts"))
+    """What becomes of an outbox's rows (orders stand for them, with attempts so far) when its 2,000 oldest are drained, given the memories that there
+    still are and the vectors that a model gave; the others wait. `streaming.outbox` keeps such an outbox over batches."""
+    box = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("memory_id"), "o_orderdate", (F.col("o_orderkey") % 7).cast("int").alias("attempts"))
+    batch = rows.settled(box.orderBy("o_orderdate", "memory_id").limit(2000).drop("o_orderdate"))
     vec = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("vector"))
     known = memories(spark, sf_dir).select(F.col("sequence").alias("id"))
-    return feeds.outcomes(batch, known, vec).select("memory_id", "outcome", "attempts")
+    rest = box.join(batch.select("memory_id"), "memory_id", "left_anti").select("memory_id", F.lit("waiting").alias("outcome"), "attempts")
+    return feeds.outcomes(batch, known, vec).select("memory_id", "outcome", "attempts").unionByName(rest)
 
 
 @query(sql(f"""WITH {PROBES_SQL}, {FTS_SQL}, f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM fts QUALIFY place <= 10),
