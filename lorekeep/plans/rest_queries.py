@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,18 +228,32 @@ def cl_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages (topics, profiles, and keys that nearly repeat the topics) for questions: by their own words, by hits among their sources, halved where
-    a page that is listed before has nearly the same members. Checked against brute force."""
-    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "profile_id")
+    """Pages (topics, profiles, and keys that nearly repeat the topics) for questions: by their own words, by hits among their sources (full text, exact keys
+    and vectors), halved where a page that is listed before has nearly the same members; then hits that are on no page, and whether more was to be
+    had. Pages of `src9` are redirected to those of `src8`, those of the profile `de` are retired. Checked against brute force."""
+    visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "profile_id", "created_on")
     pages_of = F.array_compact(F.array(F.concat(F.lit("topic:"), "topic_key"), F.concat(F.lit("profile:"), "profile_id"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("key:"), "topic_key"))))
-    placed = visible.select("id", F.explode(pages_of).alias("page"))
-    titles = placed.select("page").distinct().select(F.col("page").alias("id"), F.translate("page", ":.", "  ").alias("content"))
+    placed = rows.settled(visible.where("id % 6 != 0").select("id", F.explode(pages_of).alias("page")))
+    canonical = F.when(F.endswith("page", F.lit(".src9")), F.regexp_replace("page", "9$", "8")).otherwise(F.col("page"))
+    every = placed.select("page").distinct()
+    every = every.unionByName(every.select(canonical.alias("page"))).distinct()
+    listed = every.select("page", canonical.alias("canonical"), ((canonical == F.col("page")) & (F.col("page") != "profile:de")).alias("open"))
     asked = probes(spark, sf_dir)
+    titles = listed.where("open").select(F.col("page").alias("id"), F.translate("page", ":.", "  ").alias("content"))
     worded = search.ranked(search.bm25(titles, asked), 100, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", F.col("id").alias("page"), "rank")
     exact = asked.select("query_id", F.concat(F.lit("topic:"), F.lower(F.trim("said"))).alias("page"))
-    alike = sets.similar_sets(placed, 0.8, "page", "id").where("likeness > 0.8")
-    hits = visible_fts(spark, sf_dir, 100)
-    return pages.search(worded, hits.select("query_id", "id", "rank"), placed, exact, alike, 10).withColumn("score", F.round("score", 9))
+    merged = placed.join(listed, "page").select(F.col("canonical").alias("page"), "id").distinct()
+    alike = sets.similar_sets(merged, 0.8, "page", "id").where("likeness > 0.8")
+    keys = asked.select("query_id", F.lower(F.trim("said")).alias("topic_key"))
+    near = nearest(spark, sf_dir, 100).join(visible.select("id"), "id", "left_semi").join(asked.select("query_id"), "query_id", "left_semi")
+    routes = {"fts": visible_fts(spark, sf_dir, 100), "exact": keyed_hits(visible, keys, 100), "vector": near}
+    channels = reduce(DataFrame.unionByName, (search.channel(hits, name) for name, hits in routes.items()))
+    fused = search.fuse(channels, weights=dict.fromkeys(routes, 1.0))
+    hits = search.ranked(fused, 100, [F.desc(F.round("score", 12)), F.col("id")]).select("query_id", "id", "rank")
+    found, lost, state = pages.search(worded, rows.settled(hits), placed, listed, exact, alike, 10)
+    shown = found.select("query_id", F.lit("page").alias("kind"), "place", F.col("page").alias("name"), F.round("score", 9).alias("score"))
+    rest = lost.select("query_id", F.lit("unassigned").alias("kind"), F.col("place").cast("long").alias("place"), F.col("id").cast("string").alias("name"))
+    return shown.unionByName(rest, allowMissingColumns=True).join(state, "query_id")
 
 
 @query("""SELECT o_orderkey, d - 1 AS yesterday, CAST(date_trunc('month', d) AS DATE) AS month_from, CAST(date_trunc('month', d) + INTERVAL 1 MONTH AS DATE) AS month_to,

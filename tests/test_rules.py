@@ -78,7 +78,12 @@ def test_page_search_is_that_of_a_slow_one(spark):
     alike = sets.similar_sets(placed, 0.8, "page", "id").where("likeness > 0.8")
     pairs = {(a, b) for a in members for b in members if a < b and len(members[a] & members[b]) > 0.8 * len(members[a] | members[b])}
     found = {}
-    for r in sorted(pages.search(page_hits, source_hits, placed, exact, alike, 8).collect()):
+    known = spark.createDataFrame([(p, p, True) for p in members], "page string, canonical string, open boolean")
+    listed, lost, state = pages.search(page_hits, source_hits, placed, known, exact, alike, 8)
+    held = {i for m in members.values() for i in m}
+    assert {(r.query_id, r.place, r.id) for r in lost.collect()} == {(q, n, i) for q, ids in hits.items() for n, i in enumerate([i for i in ids if i not in held][:8], 1)}
+    assert {r.truncated for r in state.collect()} == {True}
+    for r in sorted(listed.collect()):
         found.setdefault(r.query_id, []).append((r.page, round(r.score, 12)))
     for q in range(6):
         mapped = {p: [n for n, i in enumerate(hits[q], 1) if i in m] for p, m in members.items()}
@@ -87,6 +92,20 @@ def test_page_search_is_that_of_a_slow_one(spark):
         assert found[q] == want
 
 
+def test_page_search_follows_redirects_and_leaves_out_closed_pages(spark):
+    placed = spark.createDataFrame([("old", 1), ("new", 1), ("new", 2), ("shut", 3)], "page string, id long")
+    known = spark.createDataFrame([("old", "new", False), ("new", "new", True), ("shut", "shut", False)], "page string, canonical string, open boolean")
+    hits = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (1, 9, 3)], "query_id long, id long, rank int")
+    words = spark.createDataFrame([(1, "shut", 1)], "query_id long, page string, rank int")
+    none = spark.createDataFrame([], "query_id long, page string")
+    alike = spark.createDataFrame([], "first string, second string")
+    listed, lost, state = pages.search(words, hits, placed, known, none, alike, 5)
+    assert [(r.page, r.score) for r in listed.collect()] == [("new", 1 / 61)]  # once, though it is on both
+    assert sorted((r.place, r.id) for r in lost.collect()) == [(1, 3), (2, 9)]
+    assert [r.truncated for r in state.collect()] == [False]
+    assert pages.search(words, hits, placed, known, none, alike, 5, looked=3)[2].first().truncated
+
+
 def slow_evidence(groups, tokens, most, least):
     taken, used, out = 0, 0, {}
     for name in sorted(groups, key=lambda g: (not any(c for _, c, _ in groups[g]), g)):
