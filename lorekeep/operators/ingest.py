@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text
+from lorekeep.operators import packing
 
 # What traces name. Tests that failed, tasks of a module, paths and stems of source files, frames of a stack, and the
 # tools that edit files.
@@ -38,46 +36,11 @@ def pack(
     """group, chunk, first, last, size: runs of a group's rows, in order, whose costs stay within a target.
 
     Every row after a run's first costs `joint` more; a run has at least one row and no more than `most`; each begins `overlap` rows
-    before the next new one but after the last begin. Groups are sorted within partitions and streamed, so a
-    task holds one run at a time, not a group; but as each run depends on the one before, a group is one task's work. Places count
-    from zero within the group.
+    before the next new one but after the last begin. Groups are dealt out by ranges of their order, so one of any size is spread
+    over tasks (see `packing`). Places count from zero within the group.
     """
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, base, costs, size, number = None, 0, [], 0, 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            """Emit the run and begin the next one with what the two share."""
-            nonlocal base, costs, size, number
-            out.append((own, number, base, base + len(costs) - 1, size))
-            step = max(1, len(costs) - overlap)
-            base, costs, number = base + step, costs[step:], number + 1
-            size = sum(costs) + joint * max(0, len(costs) - 1)
-
-        for batch in batches:
-            for key, value in zip(batch["own"], batch["cost"], strict=True):
-                if key != own:
-                    if costs:
-                        close()
-                    own, base, costs, size, number = key, 0, [], 0, 0
-                value = int(value)
-                while costs and (size + joint + value > target or len(costs) == most):
-                    close()
-                size += value + (joint if costs else 0)
-                costs.append(value)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if costs:
-            close()
-            yield pd.DataFrame(out, columns=names)
-
-    names = ["own", "chunk", "first", "last", "size"]
-    kind = rows.schema[group].dataType.simpleString()
-    dealt = rows.select(F.col(group).alias("own"), order, F.col(cost).alias("cost")).repartition("own")
-    runs = dealt.sortWithinPartitions("own", order).select("own", "cost")
-    return runs.mapInPandas(packed, f"own {kind}, chunk long, first long, last long, size long").withColumnRenamed("own", group)
+    return packing.pack(rows, group, order, cost, packing.Bounds(target, overlap, joint, most))
 
 
 def hard_split(text: Column, limit: int) -> Column:

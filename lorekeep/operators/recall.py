@@ -6,7 +6,6 @@ import datetime
 from enum import Enum
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

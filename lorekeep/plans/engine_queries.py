@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import dates, text, vectors
 from lorekeep.operators import graph, ingest, rows, search, temporal
+from lorekeep.operators.vector_blocks import VectorBlocks
 from lorekeep.plans.derived import assertions, edges, memories, sql
 from lorekeep.plans.functions_queries import STOP
 from lorekeep.plans.registry import query
@@ -124,7 +125,11 @@ def keyed_hits(visible: DataFrame, keys: DataFrame, limit: int = 10) -> DataFram
 
 @query(f"WITH {VECTOR_SQL} SELECT query_id, id, rank, round(d, 6) AS distance FROM near_top")
 def ret_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark, sf_dir).select("query_id", "id", "rank", F.round("d", 6).alias("distance"))
+    """By blocks around pivots, so that blocks that cannot hold a nearer vector are not compared."""
+    table = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = table.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    found = VectorBlocks(table, width=64).nearest(asked, 10)
+    return found.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
 LIKE_SQL = """hits AS (SELECT query_id, doc_id AS id, count(*) AS hits FROM (SELECT query_id, unnest(terms) AS term FROM probes)

@@ -7,11 +7,13 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import search
 from lorekeep.operators.text_index import TextIndex
+from lorekeep.operators.vector_blocks import VectorBlocks
 from lorekeep.plans import cluster_queries
 from lorekeep.sources.changelog import ChangeLog
 from lorekeep.sources.parts import PartedTable, delete_cascade, part_of
@@ -203,3 +205,25 @@ def test_index_leaves_out_buckets_that_cannot_win(spark, tmp_path):
     assert [(r.id, round(r.score, 9)) for r in hits.orderBy("rank").collect()] == [(r.id, round(r.score, 9)) for r in expected.orderBy("rank").collect()]
     row = looked.first()
     assert row.looked < row.all / 10
+
+
+def test_blocks_find_what_a_scan_finds_and_leave_out_far_ones(spark, monkeypatch):
+    monkeypatch.setattr("lorekeep.operators.vector_blocks.SEAT", 50)
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(20, 8)) * 30
+    laid = [[float(x) for x in centres[i % 20] + draw.normal(size=8)] for i in range(1500)]
+    laid[1:300] = [laid[0]] * 299  # one vector held by a fifth of the rows
+    data = [(i, v) for i, v in enumerate(laid)] + [(5000, None), (5001, [1.0, 2.0])]
+    vectors = spark.createDataFrame(data, "id long, v array<double>")
+    asked = spark.createDataFrame([(i, laid[i]) for i in (0, 7, 400, 1499)] + [(-1, [0.0] * 8), (-2, None), (-3, [1.0])], "query_id long, q array<double>")
+    blocks = VectorBlocks(vectors, 8)
+    for k in (1, 7, 400):
+        hits, looked = blocks.explain(asked, k)
+        expected = search.nearest(vectors, asked, k)
+        got = sorted((r.query_id, r.rank, r.id, round(r.distance, 6)) for r in hits.collect())
+        assert got == sorted((r.query_id, r.rank, r.id, round(r.distance, 6)) for r in expected.where("query_id <> -3").collect())
+        if k < 100:
+            shares = {r.query_id: r.looked / r.all for r in looked.collect()}
+            assert shares[400] < 1 / 3 and shares[1499] < 1 / 3
+    assert VectorBlocks(vectors.where("false"), 8).nearest(asked, 3).count() == 0
+    assert blocks.nearest(asked.where("false"), 3).count() == 0

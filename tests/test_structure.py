@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from lorekeep.operators import dag, pages, ranges, recall, temporal
+from lorekeep.operators import dag, packing, pages, ranges, recall, temporal
 from lorekeep.plans import rest_queries
 from test_operators import naive_segments
 
@@ -249,3 +249,34 @@ def test_maxima_over_stretches(spark):
         for b in range(a, z + 1):
             expected[k, b] = max(v, expected.get((k, b), -1))
     assert {(r.key, r.block): r.value for r in found} == expected
+
+
+def slow_pack(costs, bounds):
+    """Row by row, as a packer that has all rows."""
+    out, base, run = [], 0, []
+
+    def size():
+        return sum(run) + bounds.joint * max(0, len(run) - 1)
+
+    for cost in costs:
+        while run and (size() + bounds.joint + cost > bounds.target or len(run) == bounds.most):
+            out.append((len(out), base, base + len(run) - 1, size()))
+            step = max(1, len(run) - bounds.overlap)
+            base, run = base + step, run[step:]
+        run.append(cost)
+    if run:
+        out.append((len(out), base, base + len(run) - 1, size()))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [(100,), (100, 2), (100, 3, 5), (100, 0, 0, 4), (60, 5, 1, 3), (1_000_000,), (100_000, 7), (1,)])
+def test_groups_of_many_ranges_are_packed_as_row_by_row(spark, many_ranges, bounds):
+    chance, bounds = random.Random(len(bounds)), packing.Bounds(*bounds)
+    costs = {"a": [chance.choice((0, 1, 7, 20, 50, 99, 300)) for _ in range(900)], "b": [5] * 3, "c": [chance.randrange(30) for _ in range(250)], None: [40, 70, 40]}
+    data = [(g, i, c) for g, x in costs.items() for i, c in enumerate(x)]
+    rows_ = spark.createDataFrame(data, "g string, o long, c int").repartition(5)
+    found = defaultdict(list)
+    for r in packing.pack(rows_, "g", "o", "c", bounds).collect():
+        found[r.g].append((r.chunk, r.first, r.last, r.size))
+    assert {g: sorted(x) for g, x in found.items()} == {g: slow_pack(x, bounds) for g, x in costs.items()}
+    assert packing.pack(rows_.where("false"), "g", "o", "c", bounds).count() == 0
