@@ -238,30 +238,38 @@ def wk_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(ends, "page", "left").select("page", F.coalesce("canonical", "page").alias("canonical"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS page, o_orderdate AS created, o_custkey % 7 AS subject, l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-    m AS (SELECT DISTINCT page, id, created, subject FROM o UNION SELECT DISTINCT -page, l_partkey, o_orderdate + INTERVAL 1 DAY, CASE WHEN page % 5 = 0 THEN 99 ELSE subject END FROM o
+@query("""WITH o AS (SELECT l_orderkey AS page, o_orderdate AS created, o_custkey % 7 AS parent, l_partkey AS id FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    m AS (SELECT DISTINCT page, id, created, parent FROM o UNION SELECT DISTINCT -page, l_partkey, o_orderdate + INTERVAL 1 DAY, CASE WHEN page % 5 = 0 THEN 99 ELSE parent END FROM o
         JOIN lineitem ON l_orderkey = page JOIN orders ON o_orderkey = page WHERE l_linenumber > 1),
     z AS (SELECT page, count(*) AS n FROM m GROUP BY 1),
-    k AS (SELECT a.page AS first, b.page AS second, count(*) AS k FROM m a JOIN m b ON a.id = b.id AND a.page < b.page AND a.subject = b.subject GROUP BY ALL),
-    p AS (SELECT first, second FROM k JOIN z x ON x.page = first JOIN z y ON y.page = second WHERE k / (x.n + y.n - k) >= 0.8 - 1e-9),
+    k AS (SELECT a.page AS first, b.page AS second, count(*) AS k FROM m a JOIN m b ON a.id = b.id AND a.page < b.page AND a.parent = b.parent GROUP BY ALL),
+    q AS (SELECT first, second FROM k JOIN z x ON x.page = first JOIN z y ON y.page = second WHERE k / (x.n + y.n - k) >= 0.8 - 1e-9),
+    r AS (SELECT page, id FROM m QUALIFY row_number() OVER (PARTITION BY page ORDER BY id) <= 8),
+    w AS (SELECT p_partkey AS id, p_brand, list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^\\p{L}\\p{Nd}]+'), lambda x: x <> '') AS t FROM part),
+    f AS (SELECT id, p_brand, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) ELSE list_distinct(t) END AS s FROM w),
+    p AS (SELECT DISTINCT first, second FROM q JOIN r a ON a.page = first JOIN r b ON b.page = second JOIN f x ON x.id = a.id JOIN f y ON y.id = b.id AND y.p_brand = x.p_brand
+        WHERE len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.6),
     d AS (SELECT DISTINCT page, created FROM m)
     SELECT CASE WHEN (a.created, first) <= (b.created, second) THEN first ELSE second END AS keep, CASE WHEN (a.created, first) <= (b.created, second) THEN second ELSE first END AS remove,
         abs(keep) % 2 = 0 AND keep = -remove AS confirmed FROM p JOIN d a ON a.page = first JOIN d b ON b.page = second""")
 def wk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages (orders and, with negative ids, later ones without the first line) that share 0.8 of their members and their subject go
-    into the older one once two rounds have found it; the earlier round is that of the even ones."""
+    """Pages (orders and, with negative ids, later ones without the first line) of one parent that share 0.8 of their members, two
+    of which are of one brand and alike in name and type, go into the older one once two rounds have found it; the earlier round is that of the even ones."""
     items = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id"), "l_linenumber")
     members = items.select("page", "id").unionByName(items.where("l_linenumber > 1").select((-F.col("page")).alias("page"), "id")).distinct()
-    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("created"), (F.col("o_custkey") % 7).alias("subject"))
-    later = orders.select((-F.col("page")).alias("page"), (F.col("created") + F.expr("INTERVAL 1 DAY")).alias("created"), F.when(F.col("page") % 5 == 0, 99).otherwise(F.col("subject")).alias("subject"))
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_orderdate").alias("created"), (F.col("o_custkey") % 7).alias("parent"))
+    later = orders.select((-F.col("page")).alias("page"), (F.col("created") + F.expr("INTERVAL 1 DAY")).alias("created"), F.when(F.col("page") % 5 == 0, 99).otherwise(F.col("parent")).alias("parent"))
     signatures = members.groupBy("page").agg(clusters.set_signature(F.col("id")).alias("signature"))
-    described = orders.unionByName(later).join(signatures, "page").withColumn("parent", F.lit("topics"))
+    described = orders.unionByName(later).join(signatures, "page")
+    none = [F.array().cast("array<string>").alias("entities"), F.lit(None).cast("array<double>").alias("v")]
+    words = text.shingles(F.concat_ws(" ", "p_name", "p_type")).alias("shingles")
+    features = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("topic_key"), *none, words)
     pairs = described.select(F.col("page").alias("keep"), F.col("signature").alias("a")).join(
         described.select((-F.col("page")).alias("keep"), F.col("page").alias("remove"), F.col("signature").alias("b")), "keep"
     )
     both = F.concat_ws("\n", F.col("a").cast("string"), F.col("b").cast("string"))
     earlier = pairs.where("keep > 0 AND keep % 2 = 0").select("keep", "remove", both.alias("signature"))
-    return pages.merges(described, members, earlier)
+    return pages.merges(described, members, earlier, features)
 
 
 @query(sql(f"""WITH {SEEN_SQL}, live AS (SELECT topic_key AS page, bit_xor(CAST('0x' || left(md5(id), 15) AS BIGINT)) AS signature FROM seen WHERE topic_key IS NOT NULL GROUP BY 1),

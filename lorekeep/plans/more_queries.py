@@ -328,13 +328,26 @@ def cl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.archive(cluster=heads, member=members, override=overrides, boundary=boundaries, synthesis=syntheses)
 
 
-@query()
-def wk_evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence of each page (a source) within 8,000 tokens: whole fact groups, core ones first, single sources halved. Checked against brute force."""
+def evidence_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members, supports, claims: the documents of each page (a source) in fact groups, every third a core one; a claim for every tenth document, on itself and
+    on the one twenty numbers later."""
     n = F.col("doc_id")
     group = F.concat_ws(":", "lang", (n % 40).cast("string"))
-    members = _documents(spark, sf_dir).select(F.col("source").alias("page"), n.alias("id"), group.alias("fact_group"), (n % 3 == 0).alias("core"), "n_chars")
-    return pages.select_evidence(members.withColumnRenamed("n_chars", "chars"), 8000)
+    docs = _documents(spark, sf_dir)
+    members = docs.select(F.col("source").alias("page"), n.alias("id"), group.alias("fact_group"), (n % 3 == 0).alias("core"), F.col("n_chars").alias("chars"))
+    told = docs.where(n % 10 == 0).select(F.col("source").alias("page"), n.alias("claim"), F.least(F.col("n_chars"), F.lit(400)).alias("chars"))
+    near = told.select("page", "claim", F.explode(F.array("claim", F.col("claim") + 20)).alias("id"))
+    return members, near.join(members.select("page", "id"), ["page", "id"], "left_semi"), told
+
+
+@query()
+def wk_evidence_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked about each page within 8,000 tokens, of which 1,200 characters are the question and 60 stand around each source: whole fact
+    groups, core ones first, single sources halved; then the claims that rest on these, as far as there is room. Checked against brute force."""
+    members, supports, claims = evidence_inputs(spark, sf_dir)
+    chosen = rows.settled(pages.select_evidence(members, 8000, frame=60, overhead=1200))
+    kept = pages.fitting_claims(chosen, supports, claims, 8000, frame=60, overhead=1200)
+    return chosen.withColumn("kind", F.lit("evidence")).unionByName(kept.select("page", F.col("claim").alias("id"), F.lit("claim").alias("kind")), allowMissingColumns=True)
 
 
 @query("""WITH d AS (SELECT doc_id, doc_id % 8 = 1 AS no_cites, doc_id % 8 = 2 AS bad_ref, doc_id % 8 = 3 AS markup, doc_id % 8 = 4 AS url, doc_id % 8 = 5 AS bad_link, doc_id % 8 = 6 AS no_sections FROM documents)

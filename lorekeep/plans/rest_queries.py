@@ -190,14 +190,15 @@ def tmp_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.append(stored, incoming).select("fact_group", "revision_id", "start", "closed")
 
 
-@query()
+@query(sql(f"WITH {SEGMENTS_SQL} SELECT * FROM segments", "assertions"))
 def tmp_resolve_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of the groups that changed, in place of the stored ones."""
+    """Segments of the groups that changed, in place of the stored ones; what comes out is as if all had been resolved."""
     every = assertions(spark, sf_dir)
     stored = temporal.resolve_segments(every.where("transaction_id % 2 = 0"))
     changed = every.where("transaction_id % 2 = 1").select("fact_group").distinct()
     anew = temporal.resolve_segments(every.join(changed, "fact_group", "left_semi"))
-    return rows.replace_group(stored, anew, changed)
+    found = rows.replace_group(stored, anew, changed)
+    return found.withColumn("valid_to", F.coalesce("valid_to", F.lit("9999-12-31").cast("date")))
 
 
 @query(sql(f"""WITH active AS (SELECT * FROM memories WHERE NOT forgotten AND to_sequence IS NULL), probes AS (SELECT sequence AS query_id, list_distinct(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 2 AND x NOT IN ({STOP}))) AS terms

@@ -31,6 +31,12 @@ def test_redact_masks_values_and_keeps_what_stands_around_them(spark):
     assert one(spark, text.redact(F.lit(out))[0]) == out
 
 
+def test_scrub_cuts_then_masks_then_shortens_paths(spark):
+    said = "/srv/repo/a.py " + "x" * 100 + ' api_key = "abcdefgh12345678" /home/user/b /srv/repo'
+    cut = f"./a.py {'x' * 25}\n…[{len(said) - 100} chars elided]…\n{'x' * 8}"
+    assert one(spark, text.scrub(F.lit(said), 100, "/srv/repo", "/home/user")) == cut + ' api_key = "[redacted]" ~/b .'
+
+
 def test_truncation_keeps_both_ends(spark):
     out = one(spark, text.truncate_head_tail(F.lit("x" * 40 + "y" * 60), 10))
     assert out == "xxxx\n…[90 chars elided]…\nyyyyyy"

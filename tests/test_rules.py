@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import clusters, graph, ingest, pages, recall, rows, search, sets, temporal
+from lorekeep.plans import more_queries
 
 
 def test_nearest_vectors_are_those_of_brute_force(spark, monkeypatch):
@@ -106,17 +107,17 @@ def test_page_search_follows_redirects_and_leaves_out_closed_pages(spark):
     assert pages.search(words, hits, placed, known, none, alike, 5, looked=3)[2].first().truncated
 
 
-def slow_evidence(groups, tokens, most, least):
-    taken, used, out = 0, 0, {}
+def slow_evidence(groups, tokens, most, least, frame=0, overhead=0):
+    taken, used, out = 0, overhead, {}
     for name in sorted(groups, key=lambda g: (not any(c for _, c, _ in groups[g]), g)):
         own = groups[name]
         if taken + len(own) > most:
             continue
-        chars = sum(c for _, _, c in own)
-        while math.ceil((used + chars) / 4) > tokens and len(own) == 1 and chars > least:
+        chars, more = sum(c for _, _, c in own), frame * len(own)
+        while math.ceil((used + chars + more) / 4) > tokens and len(own) == 1 and chars > least:
             chars = max(least, chars // 2)
-        if math.ceil((used + chars) / 4) <= tokens:
-            taken, used = taken + len(own), used + chars
+        if math.ceil((used + chars + more) / 4) <= tokens:
+            taken, used = taken + len(own), used + chars + more
             out |= {i: chars if len(own) == 1 else c for i, _, c in own}
     return out
 
@@ -136,6 +137,27 @@ def test_evidence_is_that_of_a_slow_selection(spark):
     assert pages.select_evidence(members.where("false"), 2000).count() == 0
 
 
+def test_evidence_and_claims_of_the_tables_pages(spark):
+    members, supports, claims = more_queries.evidence_inputs(spark, "/root/testdata/sf0.001")
+    groups, rests, told = {}, {}, {}
+    for r in members.collect():
+        groups.setdefault(r.page, {}).setdefault(r.fact_group, []).append((r.id, r.core, r.chars))
+    for r in supports.collect():
+        rests.setdefault((r.page, r.claim), set()).add(r.id)
+    for r in claims.collect():
+        told.setdefault(r.page, []).append((r.claim, r.chars))
+    expected = set()
+    for page, own in groups.items():
+        chosen = slow_evidence(own, 8000, 40, 256, 60, 1200)
+        expected |= {(page, "evidence", i, c) for i, c in chosen.items()}
+        kept = [x for x in sorted(told.get(page, [])) if rests[page, x[0]] <= chosen.keys()] if chosen else []
+        while kept and math.ceil((1200 + sum(c + 60 for c in chosen.values()) + sum(c for _, c in kept)) / 4) > 8000:
+            kept.pop()
+        expected |= {(page, "claim", i, None) for i, _ in kept}
+    found = {(r.page, r.kind, r.id, r.chars) for r in more_queries.wk_evidence_select(spark, "/root/testdata/sf0.001").collect()}
+    assert found == expected and any(x[1] == "claim" for x in found)
+
+
 def test_closure_of_cycles_and_nothing(spark):
     steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("c", "d")], "child string, parent string")
     one = spark.createDataFrame([("b",)], "entity string")
