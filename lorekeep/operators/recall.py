@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text
 from lorekeep.functions import vectors as vector
 from lorekeep.operators import graph, search
-from lorekeep.operators.rows import Snapshot
+from lorekeep.operators.rows import Snapshot, settled
 
 CHANNEL_LIMIT = 10
 #: Share of the best score at which a cluster comes in by its claims.
@@ -125,13 +125,32 @@ def spread(first: DataFrame, edges: DataFrame, seeds: int, depth: int, fanout: i
     return ends.join(around, "entity").groupBy("query_id", F.col("memory").alias("id")).agg(F.min("hop").alias("hop"))
 
 
-def evidence_lines(edges: DataFrame, seeds: DataFrame, depth: int, fanout: int, limit: int) -> DataFrame:
-    """query_id, line, rank: edges around a query's seeds (query_id, entity) in words, the nearest first."""
-    around = graph.walk(edges, seeds, depth, fanout)
-    line = F.concat("source", F.lit(" -"), "relation", F.lit("-> "), "target")
-    told = graph.incident(edges).select("entity", line.alias("line")).join(around, "entity")
-    nearest = told.groupBy("query_id", "line").agg(F.min("hop").alias("hop"))
-    return search.ranked(nearest, limit, [F.col("hop"), F.col("line")]).select("query_id", "line", "rank")
+def code_graph(
+    first: DataFrame, payloads: DataFrame, names: DataFrame, symbols: DataFrame, edges: DataFrame, known: DataFrame, seeds: int = 8, depth: int = 1, fanout: int = 20, limit: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """What the graph of code says of questions: memories (query_id, id, rank), and lines of evidence (query_id, line, rank).
+
+    first: query_id, id, rank, the first wave's hits; payloads: id, symbols (an array); names: query_id, name, what a question names; symbols: symbol, name;
+    edges: source, target, relation, sure (whether the target is resolved), of the confidence that is asked for; known: id, created, symbols of the memories that may be found.
+    A walk begins at the symbols that the question names, `seeds` at most, and at those in the hits' payloads, in rank order, until four times as many are
+    found. Lines come from the edges at the named symbols, or at all seeds where none is named: sure ones first, then by relation, source and target.
+    """
+    met = names.distinct().join(symbols, "name").select("query_id", "symbol").distinct()
+    named = settled(search.ranked(met, seeds, [F.col("symbol")]).select("query_id", F.col("symbol").alias("entity"), F.lit(0).alias("at"), F.lit(0).alias("spot")))
+    told = first.join(payloads, "id").select("query_id", F.col("rank").alias("at"), F.posexplode("symbols").alias("spot", "entity"))
+    every = named.unionByName(told.select("query_id", "entity", "at", "spot")).groupBy("query_id", "entity").agg(F.min(F.struct("at", "spot")).alias("x"))
+    start = settled(search.ranked(every, 4 * seeds, [F.col("x"), F.col("entity")]).select("query_id", "entity"))
+    unnamed = start.join(named.select("query_id").distinct(), "query_id", "left_anti")
+    asked = named.select("query_id", "entity").unionByName(unnamed)
+    ends = F.explode(F.array_distinct(F.array("source", F.coalesce("target", "source")))).alias("entity")
+    touching = edges.select("*", ends).join(asked, "entity").select("query_id", "source", "relation", "target", "sure").distinct()
+    order = [F.desc("sure"), F.col("relation"), F.col("source"), F.col("target")]
+    line = F.concat("source", F.lit(" -"), "relation", F.lit("-> "), F.coalesce("target", F.lit("?")))
+    lines = search.ranked(touching, fanout, order).select("query_id", line.alias("line"), "rank")
+    reached = graph.symbol_walk(edges, start, depth, fanout)
+    held = known.select("id", "created", F.explode("symbols").alias("entity"))
+    hits = held.join(reached.select("query_id", "entity"), "entity").select("query_id", "id", "created").distinct()
+    return search.ranked(hits, limit, [F.desc("created"), F.col("id")]).select("query_id", "id", "rank"), lines
 
 
 def claimed_clusters(

@@ -379,19 +379,44 @@ def ret_two_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.fused({"fts": first, "graph": second}).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, e AS (SELECT * FROM edges WHERE relation = 'contains'),
-    ends AS (SELECT source AS e, target AS other, 'out' AS d, * FROM e UNION ALL SELECT target, source, 'in', * FROM e),
-    h0 AS MATERIALIZED (SELECT DISTINCT query_id, entity FROM (SELECT query_id, 'p' || (id % 200 + 1) AS entity FROM fts_top WHERE rank <= 4 UNION ALL SELECT query_id, 'p' || (query_id + 1) FROM probes)),
-    h1 AS MATERIALIZED (SELECT DISTINCT query_id, other AS entity FROM (SELECT query_id, other FROM ends JOIN h0 ON e = entity
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sequence DESC, source, relation, target, d) <= 20) WHERE (query_id, other) NOT IN (SELECT (query_id, entity) FROM h0)),
-    spread AS (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1),
-    f AS (SELECT query_id, source || ' -' || relation || '-> ' || target AS line, min(hop) AS hop FROM ends JOIN spread ON e = entity GROUP BY ALL)
-    SELECT query_id, line, row_number() OVER (PARTITION BY query_id ORDER BY hop, line) AS rank FROM f QUALIFY rank <= 10""", "memories", "edges"))
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS},
+    sym AS (SELECT 's' || doc_id AS symbol, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 6)[1] AS name FROM documents),
+    e AS (SELECT DISTINCT 's' || l_orderkey % 1000 AS source, CASE WHEN l_partkey % 7 > 0 THEN 's' || l_partkey % 1000 END AS target, lower(l_returnflag) AS relation, l_partkey % 7 > 0 AS sure FROM lineitem WHERE l_linenumber % 3 < 2),
+    met AS (SELECT DISTINCT query_id, symbol FROM (SELECT query_id, unnest(terms) AS name FROM probes) JOIN sym USING (name)),
+    named AS MATERIALIZED (SELECT query_id, symbol AS entity FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol) <= 8),
+    told AS (SELECT query_id, entity, 0 AS rank, 0 AS spot FROM named UNION ALL SELECT query_id, 's' || (id + k), rank, k FROM fts_top, (VALUES (0), (1)) v(k)),
+    start AS MATERIALIZED (SELECT query_id, entity FROM (SELECT query_id, entity, min((rank, spot)) AS x FROM told GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x, entity) <= 32),
+    asked AS (SELECT * FROM named UNION ALL SELECT * FROM start WHERE query_id NOT IN (SELECT query_id FROM named)),
+    touch AS (SELECT DISTINCT query_id, e.* FROM e JOIN asked ON entity = source OR entity = target),
+    lines AS (SELECT query_id, source || ' -' || relation || '-> ' || coalesce(target, '?') AS name, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, relation, source, target NULLS FIRST) AS rank FROM touch QUALIFY rank <= 20),
+    steps AS MATERIALIZED (SELECT source AS a, target AS b FROM e WHERE target IS NOT NULL UNION SELECT target, source FROM e WHERE target IS NOT NULL),
+    next AS (SELECT DISTINCT query_id, b AS entity FROM start JOIN steps ON a = entity), far AS (SELECT * FROM next QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 20),
+    reached AS (SELECT * FROM start UNION SELECT * FROM far),
+    held AS (SELECT DISTINCT query_id, sequence, created_on FROM seen, (VALUES (0), (1)) v(k), reached WHERE entity = 's' || (sequence + k)),
+    hits AS (SELECT query_id, CAST(sequence AS VARCHAR) AS name, row_number() OVER (PARTITION BY query_id ORDER BY created_on DESC, sequence) AS rank FROM held QUALIFY rank <= 10)
+    SELECT query_id, 'line' AS kind, name, rank FROM lines UNION ALL SELECT query_id, 'memory', name, rank FROM hits""", "memories"))
 def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence lines around symbols: those that a query names (here the part after its number) and those in the payloads of its first four hits."""
-    first = visible_fts(spark, sf_dir, 4).select("query_id", F.concat(F.lit("p"), (F.col("id") % 200 + 1).cast("string")).alias("entity"))
-    named = probes(spark, sf_dir).select("query_id", F.concat(F.lit("p"), (F.col("query_id") + 1).cast("string")).alias("entity"))
-    return recall.evidence_lines(edges(spark, sf_dir).where("relation = 'contains'"), first.unionByName(named), depth=1, fanout=20, limit=10)
+    """The channel of code. Each document defines a symbol named by its first long word; line items are the edges between symbols, and a memory's payload
+    holds its own symbol and the next. Questions name symbols by their words."""
+    docs = read_table(spark, sf_dir, "documents")
+    long = F.filter(text.words(F.col("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 6)
+    symbols = docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("symbol"), F.get(long, F.lit(0)).alias("name")).where("name IS NOT NULL")
+    items = read_table(spark, sf_dir, "lineitem").where("l_linenumber % 3 < 2")
+
+    def symbol(column: F.Column) -> F.Column:
+        return F.concat(F.lit("s"), column.cast("string"))
+
+    sure = F.col("l_partkey") % 7 > 0
+    source, target = symbol(F.col("l_orderkey") % 1000), F.when(sure, symbol(F.col("l_partkey") % 1000))
+    e = rows.settled(items.select(source.alias("source"), target.alias("target"), F.lower("l_returnflag").alias("relation"), sure.alias("sure")).distinct())
+    own = F.array(symbol(F.col("sequence")), symbol(F.col("sequence") + 1)).alias("symbols")
+    known = seen(spark, sf_dir).select(F.col("sequence").alias("id"), F.col("created_on").alias("created"), own)
+    payloads = memories(spark, sf_dir).select(F.col("sequence").alias("id"), own)
+    names = probes(spark, sf_dir).select("query_id", F.explode("terms").alias("name"))
+    first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
+    hits, lines = recall.code_graph(first, payloads, names, symbols, e, known)
+    shown = lines.select("query_id", F.lit("line").alias("kind"), F.col("line").alias("name"), "rank")
+    return shown.unionByName(hits.select("query_id", F.lit("memory").alias("kind"), F.col("id").cast("string").alias("name"), "rank"))
 
 
 @query(sql("""WITH m AS (SELECT source AS child, target AS parent, CASE WHEN relation = 'lives in' THEN 1 ELSE r END AS revision FROM edges, (VALUES (1), (2)) v(r)
