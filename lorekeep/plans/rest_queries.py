@@ -419,17 +419,47 @@ def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.unionByName(hits.select("query_id", F.lit("memory").alias("kind"), F.col("id").cast("string").alias("name"), "rank"))
 
 
-@query(sql("""WITH m AS (SELECT source AS child, target AS parent, CASE WHEN relation = 'lives in' THEN 1 ELSE r END AS revision FROM edges, (VALUES (1), (2)) v(r)
-        WHERE relation <> 'contains' AND (r = 1 OR relation = 'placed by' AND sequence % 2 = 0 AND CAST(substr(target, 2) AS BIGINT) % 3 = 0)),
-    l AS (SELECT parent, max(revision) AS revision FROM m GROUP BY 1), n AS (SELECT DISTINCT parent, child FROM m JOIN l USING (parent, revision))
-    SELECT parent AS page, child AS source FROM n WHERE child LIKE 'o%' UNION SELECT a.parent, b.child FROM n a JOIN n b ON b.parent = a.child WHERE b.child LIKE 'o%'""", "edges"))
+@query("""WITH t AS (SELECT 'c' || c_custkey AS cluster, r AS revision, c_name AS title, CASE WHEN r = 2 AND c_custkey % 9 = 0 THEN 'dissolved' ELSE 'active' END AS state FROM customer, (VALUES (1), (2)) v(r) WHERE r = 1 OR c_custkey % 3 = 0
+        UNION ALL SELECT 'n' || n_nationkey, 1, n_name, 'active' FROM nation),
+    m AS (SELECT 'n' || c_nationkey AS cluster, 1 AS revision, 'c' || c_custkey AS child, false AS leaf FROM customer UNION ALL SELECT 'n' || (c_nationkey + 1) % 25, 1, 'c' || c_custkey, false FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 'c' || o_custkey, r, 'o' || o_orderkey, true FROM orders, (VALUES (1), (2)) v(r) WHERE r = 1 OR o_orderkey % 2 = 0),
+    p AS (SELECT 'c' || c_custkey AS cluster, 'n' || CASE WHEN c_custkey % 6 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS was, CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE c_name END AS named, CASE WHEN c_custkey % 18 = 0 THEN 'retired' ELSE 'active' END AS lifecycle
+        FROM customer WHERE c_custkey % 5 <> 0),
+    a AS (SELECT cluster, arg_max(title, revision) AS title, max(revision) AS revision FROM t GROUP BY 1 HAVING arg_max(state, revision) = 'active'),
+    k AS (SELECT DISTINCT m.cluster, child, leaf FROM m JOIN a USING (cluster, revision) WHERE leaf OR child IN (SELECT cluster FROM a)),
+    c AS (SELECT child AS cluster, coalesce(max(CASE WHEN k.cluster = was THEN was END), min(k.cluster)) AS parent FROM k LEFT JOIN p ON p.cluster = child WHERE NOT leaf GROUP BY 1),
+    g AS (SELECT a.cluster, coalesce(parent, 'directory:Topics') AS parent, title, 'active' AS lifecycle, NOT (coalesce(named = title, false) AND coalesce(was = coalesce(parent, 'directory:Topics'), false) AND coalesce(lifecycle = 'active', false)) AS changed
+        FROM a LEFT JOIN c USING (cluster) LEFT JOIN p USING (cluster) UNION ALL SELECT cluster, was, named, 'retired', lifecycle <> 'retired' FROM p WHERE cluster NOT IN (SELECT cluster FROM a))
+    SELECT 'page' AS kind, cluster, parent AS other, title, lifecycle, changed FROM g UNION ALL SELECT 'link', cluster, child, NULL, NULL, NULL FROM k WHERE NOT leaf
+    UNION ALL SELECT DISTINCT 'source', x.cluster, x.child, NULL, NULL, NULL FROM (SELECT cluster, child FROM k WHERE leaf UNION SELECT a.cluster, b.child FROM k a JOIN k b ON b.cluster = a.child WHERE b.leaf) x""")
 def wk_cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources nested under each cluster's page (orders under customers, and under nations through these), by the latest revision of each cluster."""
-    e = edges(spark, sf_dir).where("relation <> 'contains'")
-    first = e.select(F.col("target").alias("cluster"), F.lit(1).alias("revision"), F.col("source").alias("child"))
-    again = (F.col("sequence") % 2 == 0) & (F.substring("target", 2, 20).cast("long") % 3 == 0) & (F.col("relation") == "placed by")
-    second = e.where(again).select(F.col("target").alias("cluster"), F.lit(2).alias("revision"), F.col("source").alias("child"))
-    return clusters.nested_sources(first.unionByName(second), F.col("child").startswith("o")).select(F.col("cluster").alias("page"), "source")
+    """The pages of clusters (customers, and nations over them; every fourth customer is under two), the sources nested under each (orders) and the links
+    between them, by the latest revision of each cluster; pages of dissolved ones are retired, and a page keeps its parent while it may."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    table = read_table(spark, sf_dir, "customer")
+
+    def name(kind: str, column: F.Column) -> F.Column:
+        return F.concat(F.lit(kind), column.cast("string"))
+
+    again = F.explode(F.array(F.lit(1), F.lit(2))).alias("revision")
+    topics = table.select(name("c", key).alias("cluster"), "c_custkey", again, F.col("c_name").alias("title")).where((F.col("revision") == 1) | (key % 3 == 0))
+    state = F.when((F.col("revision") == 2) & (key % 9 == 0), "dissolved").otherwise("active").alias("state")
+    nations = read_table(spark, sf_dir, "nation").select(name("n", F.col("n_nationkey")).alias("cluster"), F.lit(1).alias("revision"), F.col("n_name").alias("title"), F.lit("active").alias("state"))
+    topics = topics.select("cluster", "revision", "title", state).unionByName(nations)
+    first = table.select(name("n", nation).alias("cluster"), F.lit(1).alias("revision"), name("c", key).alias("child"), F.lit(False).alias("leaf"))
+    second = table.where(key % 4 == 0).select(name("n", (nation + 1) % 25).alias("cluster"), F.lit(1).alias("revision"), name("c", key).alias("child"), F.lit(False).alias("leaf"))
+    orders = read_table(spark, sf_dir, "orders").select(name("c", F.col("o_custkey")).alias("cluster"), "o_orderkey", again)
+    orders = orders.where((F.col("revision") == 1) | (F.col("o_orderkey") % 2 == 0)).select("cluster", "revision", name("o", F.col("o_orderkey")).alias("child"), F.lit(True).alias("leaf"))
+    stored = table.where(key % 5 != 0).select(
+        name("c", key).alias("cluster"),
+        name("n", F.when(key % 6 == 0, (nation + 1) % 25).otherwise(nation)).alias("parent"),
+        F.when(key % 7 == 0, "old").otherwise(F.col("c_name")).alias("title"),
+        F.when(key % 18 == 0, "retired").otherwise("active").alias("lifecycle"),
+    )
+    found, sources, links = clusters.pages_of(topics, first.unionByName(second).unionByName(orders), stored)
+    shown = found.select(F.lit("page").alias("kind"), "cluster", F.col("parent").alias("other"), "title", "lifecycle", "changed")
+    shown = shown.unionByName(links.select(F.lit("link").alias("kind"), F.col("parent").alias("cluster"), F.col("child").alias("other")), allowMissingColumns=True)
+    return shown.unionByName(sources.select(F.lit("source").alias("kind"), "cluster", F.col("source").alias("other")), allowMissingColumns=True)
 
 
 @query("SELECT event_type, user_id, count(*) AS calls, round(sum(value), 4) AS total FROM events GROUP BY ALL")

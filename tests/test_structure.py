@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from lorekeep.operators import dag, packing, pages, ranges, recall, temporal
+from lorekeep.operators import clusters, dag, packing, pages, ranges, recall, temporal
 from lorekeep.plans import rest_queries
 from test_operators import naive_segments
 
@@ -280,3 +280,20 @@ def test_groups_of_many_ranges_are_packed_as_row_by_row(spark, many_ranges, boun
         found[r.g].append((r.chunk, r.first, r.last, r.size))
     assert {g: sorted(x) for g, x in found.items()} == {g: slow_pack(x, bounds) for g, x in costs.items()}
     assert packing.pack(rows_.where("false"), "g", "o", "c", bounds).count() == 0
+
+
+def test_pages_of_clusters_go_as_deep_as_these_do(spark):
+    topics = [(f"k{i:02}", 1, f"t{i}", "active") for i in range(15)] + [("k03", 2, "t3 again", "active"), ("k20", 1, "gone", "dissolved")]
+    held = [(f"k{i:02}", 1, f"k{i + 1:02}", False) for i in range(14)] + [("k03", 2, "k04", False), ("k03", 2, "m3", True), ("k14", 1, "m14", True), ("k20", 1, "k00", False), ("k09", 1, "k11", False)]
+    stored = [("k11", "k10", "t11", "active"), ("k05", "k99", "t5", "active"), ("k20", None, "gone", "active"), ("k21", "k00", "older", "retired")]
+    found, sources, links = clusters.pages_of(
+        spark.createDataFrame(topics, "cluster string, revision int, title string, state string"),
+        spark.createDataFrame(held, "cluster string, revision int, child string, leaf boolean"),
+        spark.createDataFrame(stored, "cluster string, parent string, title string, lifecycle string"),
+    )
+    rows_ = {r.cluster: r for r in found.collect()}
+    assert rows_["k00"].parent == "directory:Topics" and rows_["k05"].parent == "k04" and rows_["k05"].changed and rows_["k03"].title == "t3 again"
+    assert rows_["k11"].parent == "k10" and not rows_["k11"].changed and rows_["k12"].parent == "k11"
+    assert [(rows_[k].lifecycle, rows_[k].changed) for k in ("k20", "k21")] == [("retired", True), ("retired", False)]
+    assert {(r.cluster, r.source) for r in sources.collect()} == {(f"k{i:02}", "m14") for i in range(15)} | {(f"k{i:02}", "m3") for i in range(4)}
+    assert links.count() == 15
