@@ -335,8 +335,76 @@ def tmp_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("stop", F.coalesce("stop", F.lit("9999-12-31").cast("date")))
 
 
-@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL}, {MESSAGES_SQL},
-    e AS (SELECT p.query_id, s.sequence AS id, row_number() OVER (PARTITION BY p.query_id ORDER BY s.created_on DESC, s.sequence) AS rank FROM probes p
+#: The code channel in SQL, over fts_top and seen: lines of evidence, and hits.
+CODE_SQL = """sym AS (SELECT 's' || doc_id AS symbol, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 6)[1] AS name FROM documents WHERE len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 6)) > 0),
+    e AS (SELECT DISTINCT 's' || l_orderkey % 1000 AS source, CASE WHEN l_partkey % 7 > 0 THEN 's' || l_partkey % 1000 END AS target, lower(l_returnflag) AS relation, l_partkey % 7 > 0 AS sure FROM lineitem WHERE l_linenumber % 3 < 2),
+    met AS (SELECT DISTINCT query_id, symbol FROM (SELECT query_id, unnest(terms) AS name FROM probes) JOIN sym USING (name)),
+    named AS MATERIALIZED (SELECT query_id, symbol AS entity FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol) <= 8),
+    told AS (SELECT query_id, entity, 0 AS rank, 0 AS spot FROM named UNION ALL SELECT query_id, 's' || (id + k), rank, k FROM fts_top, (VALUES (0), (1)) v(k)),
+    start AS MATERIALIZED (SELECT query_id, entity FROM (SELECT query_id, entity, min((rank, spot)) AS x FROM told GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x, entity) <= 32),
+    asked AS (SELECT * FROM named UNION ALL SELECT * FROM start WHERE query_id NOT IN (SELECT query_id FROM named)),
+    touch AS (SELECT DISTINCT query_id, e.* FROM e JOIN asked ON entity = source OR entity = target),
+    lines AS (SELECT query_id, source || ' -' || relation || '-> ' || coalesce(target, '?') AS name, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, relation, source, target NULLS FIRST) AS rank FROM touch QUALIFY rank <= 20),
+    steps AS MATERIALIZED (SELECT source AS a, target AS b FROM e WHERE target IS NOT NULL UNION SELECT target, source FROM e WHERE target IS NOT NULL),
+    next AS (SELECT DISTINCT query_id, b AS entity FROM start JOIN steps ON a = entity), far AS (SELECT * FROM next QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 20),
+    reached AS (SELECT * FROM start UNION SELECT * FROM far),
+    held AS (SELECT DISTINCT query_id, sequence, created_on FROM seen, (VALUES (0), (1)) v(k), reached WHERE entity = 's' || (sequence + k)),
+    hits AS (SELECT query_id, CAST(sequence AS VARCHAR) AS name, row_number() OVER (PARTITION BY query_id ORDER BY created_on DESC, sequence) AS rank FROM held QUALIFY rank <= 10)"""
+#: The symbol channel: the fifty best symbols by their words, and the memories whose payload holds them.
+SYMBOL_SQL = f"""{bm25_sql("symhit", "sym", "symbol", "name")}, symtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM symhit QUALIFY r <= 50),
+    symmem AS (SELECT query_id, s.sequence AS id, min(r) AS r FROM symtop JOIN (SELECT sequence, 's' || (sequence + k) AS symbol FROM seen, (VALUES (0), (1)) v(k)) s ON s.symbol = symtop.id GROUP BY ALL),
+    symrank AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY r, id) AS rank FROM symmem QUALIFY rank <= 10)"""
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """symbol, name: each document defines a symbol named by its first long word; and id, created, symbols of visible memories, whose payloads hold their
+    own symbol and the next."""
+    long = F.filter(text.words(F.col("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 6)
+    docs = read_table(spark, sf_dir, "documents")
+    symbols = docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("symbol"), F.get(long, F.lit(0)).alias("name")).where("name IS NOT NULL")
+    known = seen(spark, sf_dir).select(F.col("sequence").alias("id"), F.col("created_on").alias("created"), _own_symbols())
+    return symbols, known
+
+
+def _own_symbols() -> F.Column:
+    return F.array(*(F.concat(F.lit("s"), (F.col("sequence") + k).cast("string")) for k in (0, 1))).alias("symbols")
+
+
+def code_hits(spark: SparkSession, sf_dir: str, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The code channel's memories and lines; line items are the edges between symbols, and questions name symbols by their words."""
+    symbols, known = code_symbols(spark, sf_dir)
+    items = read_table(spark, sf_dir, "lineitem").where("l_linenumber % 3 < 2")
+
+    def symbol(column: str) -> F.Column:
+        return F.concat(F.lit("s"), (F.col(column) % 1000).cast("string"))
+
+    sure = F.col("l_partkey") % 7 > 0
+    e = items.select(symbol("l_orderkey").alias("source"), F.when(sure, symbol("l_partkey")).alias("target"), F.lower("l_returnflag").alias("relation"), sure.alias("sure"))
+    payloads = memories(spark, sf_dir).select(F.col("sequence").alias("id"), _own_symbols())
+    names = probes(spark, sf_dir).select("query_id", F.explode("terms").alias("name"))
+    return recall.code_graph(first, payloads, names, symbols, rows.settled(e.distinct()), known)
+
+
+def symbol_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol channel: the memories that hold the fifty best symbols by their words."""
+    symbols, known = code_symbols(spark, sf_dir)
+    scored = search.bm25(symbols.select(F.col("symbol").alias("id"), F.col("name").alias("content")), probes(spark, sf_dir))
+    top = search.ranked(scored, 50, [F.desc(F.round("score", 9)), F.col("id")]).select("query_id", F.col("id").alias("symbol"), F.col("rank").alias("r"))
+    held = known.select("id", F.explode("symbols").alias("symbol")).join(top, "symbol").groupBy("query_id", "id").agg(F.min("r").alias("r"))
+    return search.ranked(held, 10, [F.col("r"), F.col("id")]).select("query_id", "id", "rank")
+
+
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {CODE_SQL}
+    SELECT query_id, 'line' AS kind, name, rank FROM lines UNION ALL SELECT query_id, 'memory', name, rank FROM hits""", "memories"))
+def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel of code: memories around the symbols of a question, and lines of evidence."""
+    hits, lines = code_hits(spark, sf_dir, rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank")))
+    shown = lines.select("query_id", F.lit("line").alias("kind"), F.col("line").alias("name"), "rank")
+    return shown.unionByName(hits.select("query_id", F.lit("memory").alias("kind"), F.col("id").cast("string").alias("name"), "rank"))
+
+
+@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS}, {SPREAD_SQL}, {MESSAGES_SQL}, {CODE_SQL}, {SYMBOL_SQL},
+    ex AS (SELECT p.query_id, s.sequence AS id, row_number() OVER (PARTITION BY p.query_id ORDER BY s.created_on DESC, s.sequence) AS rank FROM probes p
         JOIN memories m ON m.sequence = p.query_id JOIN seen s ON s.topic_key = m.topic_key QUALIFY rank <= 10),
     b AS (SELECT query_id, 'src' || CAST(split_part(id, ':', 1) AS BIGINT) % 10 AS session_id, max(score) AS score FROM said GROUP BY ALL),
     m AS (SELECT query_id, sequence AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, session_id, created_on DESC, sequence) AS rank FROM b JOIN seen USING (session_id) QUALIFY rank <= 10),
@@ -344,11 +412,13 @@ def tmp_revise(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id IN (SELECT query_id FROM probes) AND v.vec_id IN (SELECT sequence FROM seen) QUALIFY rank <= 10),
     h AS (SELECT q.vec_id - 1 AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), v.vec_id) AS rank
         FROM embeddings q JOIN embeddings v ON q.vec_id - 1 <> v.vec_id WHERE q.vec_id - 1 IN (SELECT query_id FROM probes) AND v.vec_id IN (SELECT sequence FROM seen) QUALIFY rank <= 10),
-    u AS (SELECT query_id, id, 1.0 / (60 + rank) AS share FROM fts_top UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM graph_top UNION ALL SELECT query_id, id, 3.0 / (60 + rank) FROM e
-        UNION ALL SELECT query_id, id, 0.5 / (60 + rank) FROM m UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM v UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM h)
+    u AS (SELECT query_id, id, 1.0 / (60 + rank) AS share FROM fts_top UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM graph_top UNION ALL SELECT query_id, id, 3.0 / (60 + rank) FROM ex
+        UNION ALL SELECT query_id, id, 0.5 / (60 + rank) FROM m UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM v UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM h
+        UNION ALL SELECT query_id, CAST(name AS BIGINT), 1.0 / (60 + rank) FROM hits UNION ALL SELECT query_id, id, 1.0 / (60 + rank) FROM symrank)
     SELECT query_id, id, round(sum(share), 9) AS score FROM u GROUP BY ALL""", "memories", "edges"))
 def recall_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six channels of both waves over visible memories, fused: keys, words, messages, vectors, vectors of made-up answers, and the graph."""
+    """All eight channels of both waves over visible memories, fused: keys, words, messages, vectors, vectors of made-up answers, symbols, and the
+    graphs of entities and of code."""
     visible = seen(spark, sf_dir).select(F.col("sequence").alias("id"), "topic_key", "session_id", "created_on")
     asked = probes(spark, sf_dir)
     first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
@@ -365,6 +435,8 @@ def recall_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vector": search.nearest(open_, own, 10),
         "hyde": search.nearest(open_, made, 10),
         "graph": graph_hits(spark, sf_dir, first),
+        "symbol": symbol_hits(spark, sf_dir),
+        "code_graph": code_hits(spark, sf_dir, first)[0],
     }
     return recall.fused(channels).select("query_id", "id", F.round("score", 9).alias("score"))
 
@@ -379,46 +451,6 @@ def ret_two_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.fused({"fts": first, "graph": second}).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query(sql(f"""WITH {SEEN_SQL}, {PROBES_SQL}, {FTS_SQL}, {VISIBLE_FTS},
-    sym AS (SELECT 's' || doc_id AS symbol, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 6)[1] AS name FROM documents),
-    e AS (SELECT DISTINCT 's' || l_orderkey % 1000 AS source, CASE WHEN l_partkey % 7 > 0 THEN 's' || l_partkey % 1000 END AS target, lower(l_returnflag) AS relation, l_partkey % 7 > 0 AS sure FROM lineitem WHERE l_linenumber % 3 < 2),
-    met AS (SELECT DISTINCT query_id, symbol FROM (SELECT query_id, unnest(terms) AS name FROM probes) JOIN sym USING (name)),
-    named AS MATERIALIZED (SELECT query_id, symbol AS entity FROM met QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY symbol) <= 8),
-    told AS (SELECT query_id, entity, 0 AS rank, 0 AS spot FROM named UNION ALL SELECT query_id, 's' || (id + k), rank, k FROM fts_top, (VALUES (0), (1)) v(k)),
-    start AS MATERIALIZED (SELECT query_id, entity FROM (SELECT query_id, entity, min((rank, spot)) AS x FROM told GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x, entity) <= 32),
-    asked AS (SELECT * FROM named UNION ALL SELECT * FROM start WHERE query_id NOT IN (SELECT query_id FROM named)),
-    touch AS (SELECT DISTINCT query_id, e.* FROM e JOIN asked ON entity = source OR entity = target),
-    lines AS (SELECT query_id, source || ' -' || relation || '-> ' || coalesce(target, '?') AS name, row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, relation, source, target NULLS FIRST) AS rank FROM touch QUALIFY rank <= 20),
-    steps AS MATERIALIZED (SELECT source AS a, target AS b FROM e WHERE target IS NOT NULL UNION SELECT target, source FROM e WHERE target IS NOT NULL),
-    next AS (SELECT DISTINCT query_id, b AS entity FROM start JOIN steps ON a = entity), far AS (SELECT * FROM next QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY entity) <= 20),
-    reached AS (SELECT * FROM start UNION SELECT * FROM far),
-    held AS (SELECT DISTINCT query_id, sequence, created_on FROM seen, (VALUES (0), (1)) v(k), reached WHERE entity = 's' || (sequence + k)),
-    hits AS (SELECT query_id, CAST(sequence AS VARCHAR) AS name, row_number() OVER (PARTITION BY query_id ORDER BY created_on DESC, sequence) AS rank FROM held QUALIFY rank <= 10)
-    SELECT query_id, 'line' AS kind, name, rank FROM lines UNION ALL SELECT query_id, 'memory', name, rank FROM hits""", "memories"))
-def ret_code_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The channel of code. Each document defines a symbol named by its first long word; line items are the edges between symbols, and a memory's payload
-    holds its own symbol and the next. Questions name symbols by their words."""
-    docs = read_table(spark, sf_dir, "documents")
-    long = F.filter(text.words(F.col("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 6)
-    symbols = docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("symbol"), F.get(long, F.lit(0)).alias("name")).where("name IS NOT NULL")
-    items = read_table(spark, sf_dir, "lineitem").where("l_linenumber % 3 < 2")
-
-    def symbol(column: F.Column) -> F.Column:
-        return F.concat(F.lit("s"), column.cast("string"))
-
-    sure = F.col("l_partkey") % 7 > 0
-    source, target = symbol(F.col("l_orderkey") % 1000), F.when(sure, symbol(F.col("l_partkey") % 1000))
-    e = rows.settled(items.select(source.alias("source"), target.alias("target"), F.lower("l_returnflag").alias("relation"), sure.alias("sure")).distinct())
-    own = F.array(symbol(F.col("sequence")), symbol(F.col("sequence") + 1)).alias("symbols")
-    known = seen(spark, sf_dir).select(F.col("sequence").alias("id"), F.col("created_on").alias("created"), own)
-    payloads = memories(spark, sf_dir).select(F.col("sequence").alias("id"), own)
-    names = probes(spark, sf_dir).select("query_id", F.explode("terms").alias("name"))
-    first = rows.settled(visible_fts(spark, sf_dir).select("query_id", "id", "rank"))
-    hits, lines = recall.code_graph(first, payloads, names, symbols, e, known)
-    shown = lines.select("query_id", F.lit("line").alias("kind"), F.col("line").alias("name"), "rank")
-    return shown.unionByName(hits.select("query_id", F.lit("memory").alias("kind"), F.col("id").cast("string").alias("name"), "rank"))
-
-
 @query("""WITH t AS (SELECT 'c' || c_custkey AS cluster, r AS revision, c_name AS title, CASE WHEN r = 2 AND c_custkey % 9 = 0 THEN 'dissolved' ELSE 'active' END AS state FROM customer, (VALUES (1), (2)) v(r) WHERE r = 1 OR c_custkey % 3 = 0
         UNION ALL SELECT 'n' || n_nationkey, 1, n_name, 'active' FROM nation),
     m AS (SELECT 'n' || c_nationkey AS cluster, 1 AS revision, 'c' || c_custkey AS child, false AS leaf FROM customer UNION ALL SELECT 'n' || (c_nationkey + 1) % 25, 1, 'c' || c_custkey, false FROM customer WHERE c_custkey % 4 = 0
