@@ -41,3 +41,15 @@ def spread_maxima(covers: DataFrame, key: str, value: str) -> DataFrame:
         lower = found.where(F.col("level") < level).unionByName(long.select(key, F.lit(level - 1).alias("level"), halves.alias("at"), value))
         found = settled(lower.groupBy(key, "level", "at").agg(F.max(value).alias(value)))
     return found.select(key, F.col("at").alias("block"), value)
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with `name`, their number from 1 within each key (nulls are one) in the order of the columns, a key of any size spread over tasks."""
+    dealt = in_ranges(rows.withColumn("_key", F.struct(key)), ["_key", *order], "_block")
+    cut = F.broadcast(settled(of_several(dealt, "_key", "_block")))  # two rows a range at most
+    along = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.join(cut, ["_key", "_block"]).groupBy("_key", "_block").agg(F.count("*").alias("_n"))
+    before = counts.select("_key", "_block", F.sum("_n").over(along).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_block", "_key").orderBy(*order))
+    met = dealt.join(F.broadcast(before), ["_key", "_block"], "left")
+    return met.withColumn(name, (here + F.coalesce("_before", F.lit(0))).cast("long")).drop("_key", "_block", "_before")

@@ -183,13 +183,20 @@ def supersedes(rows: DataFrame, key: str, stated: str, order: str) -> DataFrame:
 
     Current is the row that was stated last so far, the later one of equals. A row that was stated before it supersedes
     nothing and is stale: an older truth that arrives late never replaces a newer one. Without a statement a row
-    is not known to be older, and what has none is replaced by anything.
+    is not known to be older, and what has none is replaced by anything. Keys are dealt out by ranges of `order`, each of which is handed what was current before it.
     """
-    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    current = F.max(F.struct(F.col(stated).alias("stated"), F.col(order).alias("at"), F.col("id"))).over(along)
+    dealt = ranges.in_ranges(rows.withColumn("_key", F.struct(key)), ["_key", order], "_block")
+    mark = F.struct(F.col(stated).alias("stated"), F.col(order).alias("at"), F.col("id"))
+    cut = F.broadcast(settled(ranges.of_several(dealt, "_key", "_block")))  # two rows a range at most
+    along = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = dealt.join(cut, ["_key", "_block"]).groupBy("_key", "_block").agg(F.max(mark).alias("_m"))
+    handed = handed.select("_key", "_block", F.max("_m").over(along).alias("_before"))
+    within = Window.partitionBy("_block", "_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.join(F.broadcast(handed), ["_key", "_block"], "left").withColumn("_here", F.max(mark).over(within))
+    current = F.when(F.col("_here").isNull() | (F.col("_before") > F.col("_here")), F.col("_before")).otherwise(F.col("_here"))
+    found = met.withColumn("current", current)
     older = F.coalesce(F.col(stated) < F.col("current.stated"), F.lit(False))
-    found = rows.withColumn("current", current)
-    return found.withColumns({"supersedes": F.when(~older, F.col("current.id")), "stale": older}).drop("current")
+    return found.withColumns({"supersedes": F.when(~older, F.col("current.id")), "stale": older}).select(*rows.columns, "supersedes", "stale")
 
 
 def history(revisions: DataFrame, segments: DataFrame, day: Column) -> DataFrame:
@@ -197,9 +204,8 @@ def history(revisions: DataFrame, segments: DataFrame, day: Column) -> DataFrame
     one holds, or one without bounds; place counts within the fact by transaction, selected says whether it holds on the day."""
     held = segments.select("fact_group", "revision_id", "valid_from", "valid_to")
     met = revisions.join(held, ["fact_group", "revision_id"], "left")
-    place = F.row_number().over(Window.partitionBy("fact_group").orderBy("transaction_id", "valid_from"))
     on = (F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
-    return met.withColumns({"place": place, "selected": F.coalesce(on, F.lit(False))})
+    return ranges.numbered(met, "fact_group", ["transaction_id", "valid_from"], "place").withColumn("selected", F.coalesce(on, F.lit(False)))
 
 
 def append(stored: DataFrame, incoming: DataFrame) -> DataFrame:

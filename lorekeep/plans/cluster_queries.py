@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text
-from lorekeep.operators import clusters, graph, ingest, pages, rows, search
+from lorekeep.operators import clusters, graph, ingest, pages, ranges, rows, search
 from lorekeep.plans.derived import edges, memories, messages, sql, traces
 from lorekeep.plans.engine_queries import FTS_SQL, PROBES_SQL, VECTOR_SQL, keyed_hits, nearest, probes
 from lorekeep.plans.functions_queries import STOP
@@ -102,8 +102,7 @@ def cl_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structure of every cluster as it was at a snapshot: all revisions until then, the last one being current."""
     known = memories(spark, sf_dir).where("topic_key IS NOT NULL AND from_sequence <= 600").select("topic_key", "id", "sequence")
     last = known.groupBy("topic_key").agg(F.max("sequence").alias("last"))
-    revision = F.row_number().over(Window.partitionBy("topic_key").orderBy("sequence"))
-    return known.withColumn("revision", revision).join(last, "topic_key").select("topic_key", "id", "revision", (F.col("sequence") == F.col("last")).alias("current"))
+    return ranges.numbered(known, "topic_key", ["sequence"], "revision").join(last, "topic_key").select("topic_key", "id", "revision", (F.col("sequence") == F.col("last")).alias("current"))
 
 
 @query(sql(f"""WITH {PROBES_SQL}, t AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(said), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3

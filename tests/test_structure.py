@@ -297,3 +297,27 @@ def test_pages_of_clusters_go_as_deep_as_these_do(spark):
     assert [(rows_[k].lifecycle, rows_[k].changed) for k in ("k20", "k21")] == [("retired", True), ("retired", False)]
     assert {(r.cluster, r.source) for r in sources.collect()} == {(f"k{i:02}", "m14") for i in range(15)} | {(f"k{i:02}", "m3") for i in range(4)}
     assert links.count() == 15
+
+
+def test_what_is_superseded_in_keys_of_many_ranges(spark, many_ranges):
+    chance = random.Random(8)
+    data = [(f"i{n}", "hot" if n % 3 else None if n % 2 else "cold", None if chance.random() < 0.2 else chance.randrange(40), n) for n in chance.sample(range(900), 700)]
+    current, expected = {}, set()
+    for ident, key, stated, order in sorted(data, key=lambda x: x[3]):
+        now = current.get(key)
+        stale = bool(now and now[0] is not None and stated is not None and stated < now[0])
+        expected.add((ident, None if now is None or stale else now[2], stale))
+        new = (stated, order, ident)
+        if now is None or (now[0] is not None, now[0] or 0, now[1]) <= (stated is not None, stated or 0, order):
+            current[key] = new
+    rows_ = spark.createDataFrame(data, "id string, key string, stated int, seq int").repartition(5)
+    found = {(r.id, r.supersedes, r.stale) for r in temporal.supersedes(rows_, "key", "stated", "seq").collect()}
+    assert found == expected
+
+
+def test_numbers_within_keys_of_many_ranges(spark, many_ranges):
+    data = [(n % 5 and "hot" or None, n * 7919 % 900, n) for n in range(900)] + [("one", 5, 1)]
+    found = ranges.numbered(spark.createDataFrame(data, "key string, a int, b int").repartition(4), "key", ["a", "b"], "n").collect()
+    for key in ("hot", None, "one"):
+        own = sorted((r.n, r.a, r.b) for r in found if r.key == key)
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted((a, b) for k, a, b in data if k == key)
