@@ -254,8 +254,14 @@ def trace_links(calls: DataFrame, symbols: DataFrame, ident: str, most: int) ->
     bodies = ("error", "output", "args")
     bare = F.array_distinct(F.concat(_named(FAILED_NAME, 1, *bodies), _named(SOURCE_STEM, 1, *bodies)))
     found = calls.select(ident, _named(STACK_FRAME, 1, *bodies).alias("qualified"), bare.alias("bare"))
+
+    def of_name(key: str) -> DataFrame:
+        # What has `most` smaller symbols of its name before it is not among a call's first; so a common name does not meet calls with all its symbols.
+        along = F.row_number().over(Window.partitionBy(key).orderBy("symbol"))
+        return symbols.select("symbol", key).distinct().withColumn("place", along).where(F.col("place") <= most).select("symbol", key)
+
     by = [
-        found.select(ident, F.explode(side).alias(key)).join(symbols.select("symbol", key), key).select(ident, "symbol", F.lit(n).alias("p"))
+        found.select(ident, F.explode(side).alias(key)).join(of_name(key), key).select(ident, "symbol", F.lit(n).alias("p"))
         for n, (side, key) in enumerate((("qualified", "qualified"), ("bare", "name")))
     ]
     first = by[0].unionByName(by[1]).groupBy(ident, "symbol").agg(F.min("p").alias("p"))
