@@ -321,3 +321,18 @@ def test_numbers_within_keys_of_many_ranges(spark, many_ranges):
     for key in ("hot", None, "one"):
         own = sorted((r.n, r.a, r.b) for r in found if r.key == key)
         assert [x[0] for x in own] == list(range(1, len(own) + 1)) and [x[1:] for x in own] == sorted((a, b) for k, a, b in data if k == key)
+
+
+def test_documents_of_a_common_language_stay_where_they_are(spark):
+    """Three languages: their documents do not meet by a shuffle of texts. Rare languages and documents without one beside them."""
+    from lorekeep.plans.functions_queries import against_first
+
+    rows = [(n, ["de", "en", "fr"][n % 3], f"a b c d{n % 5} e") for n in range(3000)] + [(5000 + n, f"rare{n % 2}", f"x y z w{n % 2 * n}") for n in range(4)] + [(9000, None, "a b c"), (9001, "none", None)]
+    found = against_first(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    got = {r.doc_id: round(r.likeness, 6) for r in found.collect()}
+    assert 9000 not in got and len(got) == 3005 and got[9001] == 0.0
+    assert got[0] == got[15] == 1.0 and got[3] == 0.2 and got[5000] == got[5002] == 1.0 and got[5003] == round(1 / 3, 6)
+    only = against_first(spark.createDataFrame(rows[:3000], "doc_id long, lang string, text string"))
+    only.collect()
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
