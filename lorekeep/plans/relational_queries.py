@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text, vectors
-from lorekeep.operators import ingest, rows
+from lorekeep.operators import ingest, rows, sets
 from lorekeep.plans.derived import TYPES, edges, memories, messages, sql, traces
 from lorekeep.plans.registry import query
 from lorekeep.sources.tables import read_table
@@ -278,10 +278,8 @@ def join_cross_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY ALL HAVING count(*) >= 8""")
 def join_self_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that share parts; a part's suppliers are few, which bounds the pairs."""
-    s = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    other = s.select("l_partkey", F.col("l_suppkey").alias("second"))
-    pairs = s.withColumnRenamed("l_suppkey", "first").join(other, "l_partkey").where("first < second")
-    return pairs.groupBy("first", "second").agg(F.count("*").alias("shared")).where("shared >= 8")
+    pairs = sets.pairs_in_groups(read_table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return pairs.where("shared >= 8")
 
 
 @query(sql("""SELECT m.id, h.n FROM memories m JOIN (SELECT 'src' || (session_id % 20) AS session_id, count(*) AS n FROM messages

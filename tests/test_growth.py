@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors
-from lorekeep.operators import pages
+from lorekeep.operators import pages, sets
 
 
 def test_split_compares_each_source_with_a_seed_once(spark, monkeypatch):
@@ -29,3 +31,23 @@ def test_likenesses_are_those_of_cosine(spark):
     wanted = F.transform("s", lambda w: vectors.cosine(F.col("v"), w))
     for r in pairs.select("found", wanted.alias("wanted")).collect():
         assert r.found == r.wanted
+
+
+def test_pairs_in_groups_are_counted_in_chunks(spark, monkeypatch):
+    """Groups of many sizes, rows twice, nulls, and chunks smaller than a group; against all pairs."""
+    rng = random.Random(5)
+    held = {g: {rng.randrange(40) * 10**12 for _ in range(rng.choice([1, 2, 7, 25]))} for g in range(60)}
+    rows = spark.createDataFrame([(g, m) for g, s in held.items() for m in s] * 2 + [(None, 1), (None, 2), (1, None)], "g long, m long")
+    expected = Counter((a, b) for s in held.values() for a in s for b in s if a < b)
+    for chunk in (5, 300, 4_000_000):
+        monkeypatch.setattr(sets, "PAIRS", chunk)
+        found = sets.pairs_in_groups(rows, "g", "m").collect()
+        assert {(r.first, r.second): r.shared for r in found} == expected and len(found) == len(expected)
+    assert sets.pairs_in_groups(rows.limit(0), "g", "m").count() == 0
+
+
+def test_more_pairs_are_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sets, "PAIRS", 100)
+    rows = spark.range(600).select((F.col("id") % 3).alias("g"), "id")
+    found = sets.pairs_in_groups(rows, "g", "id")
+    assert found.rdd.getNumPartitions() > 500 and found.count() == 3 * 200 * 199 // 2
