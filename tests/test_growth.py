@@ -9,7 +9,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lorekeep.functions import vectors
-from lorekeep.operators import pages, sets
+from lorekeep.operators import pages, search, sets
+from lorekeep.plans import engine_queries
 
 
 def test_split_compares_each_source_with_a_seed_once(spark, monkeypatch):
@@ -51,3 +52,17 @@ def test_more_pairs_are_more_tasks(spark, monkeypatch):
     rows = spark.range(600).select((F.col("id") % 3).alias("g"), "id")
     found = sets.pairs_in_groups(rows, "g", "id")
     assert found.rdd.getNumPartitions() > 500 and found.count() == 3 * 200 * 199 // 2
+
+
+def test_only_vectors_that_are_asked_are_compared(spark, monkeypatch):
+    """Of the vectors that a channel could ask for, only those of its questions meet all others."""
+    seen = []
+    real = search.nearest
+    monkeypatch.setattr(search, "nearest", lambda table, asked, *a, **k: seen.append(asked.count()) or real(table, asked, *a, **k))
+    folder = "/root/testdata/sf0.001"
+    probes = engine_queries.probes(spark, folder).select("query_id").limit(3)
+    engine_queries.nearest(spark, folder, asked=probes)
+    assert seen[0] <= 3
+    seen.clear()
+    engine_queries.fused(spark, folder)
+    assert seen[0] <= engine_queries.probes(spark, folder).count()
