@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import vectors
+from lorekeep.functions import stem, vectors
 from lorekeep.operators import pages, search, sets
 from lorekeep.plans import engine_queries
 
@@ -54,6 +54,15 @@ def test_more_pairs_are_more_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() > 500 and found.count() == 3 * 200 * 199 // 2
 
 
+def test_stems_are_made_a_few_texts_at_a_time(spark, monkeypatch):
+    """A worker holds the words of SLICE texts as Python objects, not those of a whole batch; the stems are the same."""
+    texts = [f"Running naïve caresses {n}" if n % 3 else None for n in range(300)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, t string").coalesce(1)
+    found = {r.id: r.s for r in rows.select("id", stem.stems(F.col("t")).alias("s")).collect()}
+    assert found == {n: ["run", "naiv", "caress", str(n)] if t else [] for n, t in enumerate(texts)}
+    assert stem.SLICE < 300
+
+
 def test_only_vectors_that_are_asked_are_compared(spark, monkeypatch):
     """Of the vectors that a channel could ask for, only those of its questions meet all others."""
     seen = []
