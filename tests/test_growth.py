@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions import stem, vectors
+from lorekeep.functions import stem, text, vectors
 from lorekeep.operators import pages, search, sets
 from lorekeep.plans import engine_queries
 
@@ -54,6 +54,19 @@ def test_more_pairs_are_more_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() > 500 and found.count() == 3 * 200 * 199 // 2
 
 
+def test_a_signature_looks_at_the_first_arguments_only(spark):
+    """2,000 commands of 20,000 arguments, of which the first four are enough; and those where they are not."""
+    rows = spark.range(2_000, numPartitions=4).select(F.repeat(F.lit("some argument "), 10_000).alias("args"))
+    begun = time.monotonic()
+    assert rows.where(text.command_signature(F.lit("bash"), F.col("args")) != "some-argument-some-argument").count() == 0
+    assert time.monotonic() - begun < 30
+    flags = "-a 12 ./ " * 20
+    said = {flags + "one": "one", flags + "One  two\nthree four five": "one-two-three-four", flags: "", " \n".join("abcde"): "a-b-c-d", "a " * 3 + "7 " * 30 + "./b!": "a-a-a-b", "": "", None: ""}
+    given = spark.createDataFrame([(k,) for k in said], "args string")
+    found = {r.args: r.s for r in given.select("args", text.command_signature(F.lit("bash"), F.col("args")).alias("s")).collect()}
+    assert found == {k: v or "bash" for k, v in said.items()}
+
+
 def test_stems_are_made_a_few_texts_at_a_time(spark, monkeypatch):
     """A worker holds the words of SLICE texts as Python objects, not those of a whole batch; the stems are the same."""
     texts = [f"Running naïve caresses {n}" if n % 3 else None for n in range(300)]
