@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lorekeep.functions import stem, text, vectors
-from lorekeep.operators import pages, search, sets
+from lorekeep.operators import graph, pages, search, sets
 from lorekeep.plans import engine_queries
 
 
@@ -88,3 +88,21 @@ def test_only_vectors_that_are_asked_are_compared(spark, monkeypatch):
     seen.clear()
     engine_queries.fused(spark, folder)
     assert seen[0] <= engine_queries.probes(spark, folder).count()
+
+
+def test_a_descent_writes_what_it_reaches_once(spark, monkeypatch):
+    """A chain of 30 with a cycle at its end, walked from its head: rewritten at every level it would be some 500 rows."""
+    written = []
+    real = graph.settled
+
+    def settled(df):
+        out = real(df)
+        written.append(out.count() if "level" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graph, "settled", settled)
+    chain = spark.createDataFrame([(n, n + 1) for n in range(30)] + [(30, 28), (30, 0)], "source long, target long")
+    found = graph.descend(chain.unionByName(chain), spark.createDataFrame([(0,), (29,)], "entity long"))
+    reached = {(r.root, r.entity): r.level for r in found.collect()}
+    assert reached == {(0, n): n for n in range(31)} | {(29, n): (n - 29) % 31 if n != 28 else 2 for n in (28, 29, 30)} | {(29, n): n + 2 for n in range(28)}
+    assert sum(written) < 62 + 62 * 62 // 16
