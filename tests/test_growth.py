@@ -106,3 +106,13 @@ def test_a_descent_writes_what_it_reaches_once(spark, monkeypatch):
     reached = {(r.root, r.entity): r.level for r in found.collect()}
     assert reached == {(0, n): n for n in range(31)} | {(29, n): (n - 29) % 31 if n != 28 else 2 for n in (28, 29, 30)} | {(29, n): n + 2 for n in range(28)}
     assert sum(written) < 62 + 62 * 62 // 16
+
+
+def test_edges_are_not_shuffled_to_a_small_frontier(spark, monkeypatch):
+    plans = []
+    real = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    edges = spark.range(100).select(F.concat(F.lit("a"), "id").alias("source"), F.lit("r").alias("relation"), F.concat(F.lit("a"), F.col("id") + 1).alias("target"), F.lit("m").alias("memory_id"), F.col("id").alias("sequence"))
+    seeds = spark.createDataFrame([("a5",)], "entity string")
+    assert {(r.entity, r.hop) for r in graph.neighborhood(edges, seeds, 2, 20).collect()} == {("a5", 0), ("a4", 1), ("a6", 1), ("a3", 2), ("a7", 2)}
+    assert sum("broadcast" in p for p in plans) == 2
