@@ -116,3 +116,12 @@ def test_edges_are_not_shuffled_to_a_small_frontier(spark, monkeypatch):
     seeds = spark.createDataFrame([("a5",)], "entity string")
     assert {(r.entity, r.hop) for r in graph.neighborhood(edges, seeds, 2, 20).collect()} == {("a5", 0), ("a4", 1), ("a6", 1), ("a3", 2), ("a7", 2)}
     assert sum("broadcast" in p for p in plans) == 2
+
+
+def test_sessions_are_cut_before_questions_meet_them(spark, monkeypatch):
+    """A question gets ten memories of a session at most, however large that is."""
+    cut = []
+    real = search.ranked
+    monkeypatch.setattr(search, "ranked", lambda df, limit, order, by="query_id": cut.append((by, limit)) or real(df, limit, order, by))
+    engine_queries.ret_legacy_like(spark, "/root/testdata/sf0.001")
+    assert ("session_id", 10) in cut
