@@ -8,7 +8,9 @@ changes that added one are refused. A batch of one change is thereby judged as a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from lorekeep.operators.rows import settled
 
 ROW = ["cluster", "kind", "child"]
+#: Levels of a walk that are kept apart; more are written as one.
+APART = 8
 
 
 @dataclass(frozen=True)
@@ -77,8 +81,9 @@ def originals(graph: DataFrame, limits: Limits) -> DataFrame:
 def _faulty(proposed: DataFrame, changed: DataFrame, states: DataFrame, sources: DataFrame, limits: Limits) -> DataFrame:
     """cluster, reason: the changes that are wrong by themselves."""
     known = states.select(F.col("cluster").alias("child"), F.lit("cluster").alias("kind"), "state")
-    seen = sources.select("child", F.lit("memory").alias("kind"), F.lit("active").alias("state"))
-    met = proposed.join(known.unionByName(seen.distinct()), ["child", "kind"], "left")
+    named = settled(proposed.where("kind = 'memory'").select("child").distinct())
+    seen = sources.select("child").join(named, "child", "left_semi").distinct().select("child", F.lit("memory").alias("kind"), F.lit("active").alias("state"))
+    met = proposed.join(known.unionByName(seen), ["child", "kind"], "left")
     is_cluster, state = F.col("kind") == "cluster", F.col("state")
 
     def some(fault: Column) -> Column:
@@ -95,6 +100,37 @@ def _faulty(proposed: DataFrame, changed: DataFrame, states: DataFrame, sources:
     return facts.join(changed, "cluster", "left_semi").select("cluster", first.alias("reason")).where("reason IS NOT NULL")
 
 
+def _reached(steps: DataFrame, start: DataFrame, end: str, other: str) -> DataFrame:
+    """cluster: the start (cluster, distinct) and all that is reached from it along steps from `end` to `other`; a cycle ends where it was before."""
+    held, front = [start], start
+    while True:
+        seen = reduce(DataFrame.unionByName, held)
+        step = steps.join(front.withColumnRenamed("cluster", end), end, "left_semi").select(F.col(other).alias("cluster")).distinct()
+        front = settled(step.join(seen, "cluster", "left_anti"))
+        if front.isEmpty():
+            return seen
+        held = [*held, front] if len(held) < APART else [settled(seen), front]
+
+
+def _concerned(members: DataFrame, made: DataFrame, added: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that cuts memberships to those on which it depends whether what was added breaks a limit.
+
+    These are all of the clusters above those that added something and of all clusters below these, and of other clusters those that name a child that was added,
+    as its parents are counted. Cycles, longest paths and originals that use a membership that was added lie within the former.
+    """
+    steps = settled(_steps(members.unionByName(made)).distinct())
+    above = settled(_reached(steps, settled(added.select("cluster").distinct()), "below", "cluster"))
+    within = settled(_reached(steps, above, "cluster", "below"))
+    named = settled(added.select("kind", "child").distinct())
+
+    def cut(rows: DataFrame) -> DataFrame:
+        own = rows.join(within, "cluster", "left_semi").select(*ROW)
+        beside = rows.join(named, ["kind", "child"], "left_semi").join(within, "cluster", "left_anti").select(*ROW)
+        return settled(own.unionByName(beside))
+
+    return cut
+
+
 def _broken(graph: DataFrame, added: DataFrame, limits: Limits) -> DataFrame:
     """cluster, reason: the changes that added (cluster, kind, child) to what breaks the first limit that the graph breaks; none if it is sound."""
     crowded = graph.groupBy("kind", "child").agg(F.count_distinct("cluster").alias("n")).where(F.col("n") > limits.parents)
@@ -124,20 +160,25 @@ def admit(members: DataFrame, states: DataFrame, changed: DataFrame, proposed: D
     """cluster, reason: each changed cluster, with why its proposal is refused (null where it is admitted).
 
     members: the current memberships of active clusters; states: cluster, state of all; changed: cluster, each once; proposed: the memberships
-    that they shall have instead; sources: child, the memories that there are. Reasons in order: members (too many, or one
+    that they shall have instead; sources: child, the memories that there are. A round looks at what its changes concern only. Reasons in order: members (too many, or one
     twice), self, unknown child, dissolved child, unknown source, parents, cycle, levels, originals.
     """
     members, proposed = settled(members.select(*ROW)), settled(proposed.select(*ROW))
     refused = settled(_faulty(proposed, changed, states, sources, limits))
     while True:
-        open_ = changed.select("cluster").join(refused, "cluster", "left_anti")
-        made = settled(proposed.join(open_, "cluster", "left_semi"))
-        graph = settled(members.join(open_, "cluster", "left_anti").unionByName(made))
+        open_ = settled(changed.select("cluster").join(refused, "cluster", "left_anti"))
+        made = proposed.join(open_, "cluster", "left_semi").select(*ROW)
         added = settled(made.join(members, ROW, "left_anti"))
-        broken = added.limit(0).select("cluster", F.lit("").alias("reason")) if added.isEmpty() else _broken(graph, added, limits)
+        if added.isEmpty():
+            break
+        cut = _concerned(members, made, added)
+        members, proposed = cut(members), cut(made)
+        graph = settled(members.join(open_, "cluster", "left_anti").unionByName(proposed))
+        broken = _broken(graph, added, limits)
         if broken.isEmpty():
-            return changed.select("cluster").join(refused, "cluster", "left")
+            break
         refused = settled(refused.unionByName(broken))
+    return changed.select("cluster").join(refused, "cluster", "left")
 
 
 def apply_structure(

@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lorekeep.functions import stem, text, vectors
-from lorekeep.operators import graph, pages, search, sets
+from lorekeep.operators import dag, graph, pages, search, sets
 from lorekeep.plans import engine_queries
 
 
@@ -125,3 +125,28 @@ def test_sessions_are_cut_before_questions_meet_them(spark, monkeypatch):
     monkeypatch.setattr(search, "ranked", lambda df, limit, order, by="query_id": cut.append((by, limit)) or real(df, limit, order, by))
     engine_queries.ret_legacy_like(spark, "/root/testdata/sf0.001")
     assert ("session_id", 10) in cut
+
+
+def test_admission_looks_at_what_changes_concern(spark, monkeypatch):
+    """Of 300 graphs one is changed: the limits are looked at in it, and in clusters that name what was added. The others cost no more than a pass."""
+    looked = []
+    real = dag._broken
+    monkeypatch.setattr(dag, "_broken", lambda graph, *a: looked.append(graph.count()) or real(graph, *a))
+    rows = [(10 * g + a, "cluster", 10 * g + b) for g in range(300) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))] + [(10 * g + 3, "memory", -g) for g in range(300)]
+    schema = "cluster long, kind string, child long"
+    members = spark.createDataFrame(rows + [(2900, "memory", -5000)], schema)
+    states = members.select("cluster").unionByName(members.where("kind = 'cluster'").select(F.col("child").alias("cluster"))).distinct().withColumn("state", F.lit("active"))
+    sources = spark.createDataFrame([(-g,) for g in range(300)] + [(-5000,)], "child long")
+
+    def judged(added, **limits):
+        proposed = [r for r in rows if r[0] in {a[0] for a in added}] + added
+        changed = spark.createDataFrame([(c,) for c in {a[0] for a in added}], "cluster long")
+        looked.clear()
+        found = dag.admit(members, states, changed, spark.createDataFrame(proposed, schema), sources, dag.Limits(**limits))
+        return {r.cluster: r.reason for r in found.collect()}
+
+    assert judged([(72, "cluster", 71)]) == {72: None} and max(looked) == 6
+    assert judged([(73, "cluster", 70)]) == {73: "cycle"} and max(looked) == 6
+    assert judged([(73, "cluster", 80)]) == {73: "levels"} and max(looked) == 11
+    assert judged([(3, "memory", -5000), (13, "memory", -5000)], parents=2) == {3: "parents", 13: "parents"} and max(looked) < 20
+    assert judged([(3, "memory", -8)], originals=1) == {3: "originals"}
