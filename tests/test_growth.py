@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import stem, text, vectors
 from lorekeep.operators import dag, graph, pages, search, sets
-from lorekeep.plans import engine_queries
+from lorekeep.plans import derived, engine_queries
 
 
 def test_split_compares_each_source_with_a_seed_once(spark, monkeypatch):
@@ -150,3 +150,11 @@ def test_admission_looks_at_what_changes_concern(spark, monkeypatch):
     assert judged([(73, "cluster", 80)]) == {73: "levels"} and max(looked) == 11
     assert judged([(3, "memory", -5000), (13, "memory", -5000)], parents=2) == {3: "parents", 13: "parents"} and max(looked) < 20
     assert judged([(3, "memory", -8)], originals=1) == {3: "originals"}
+
+
+def test_edges_are_made_by_more_tasks_of_more_lines(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(derived, "TASK_LINES", 100, raising=False)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey")
+    made = derived.edges(spark, folder).where("relation = 'contains'")
+    assert made.rdd.getNumPartitions() > lines.count() // 100 and made.count() == lines.distinct().count()
